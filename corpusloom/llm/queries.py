@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import exact_dedup, language, packing, secrets, simhash
+from corpusloom.llm import bpe, exact_dedup, language, packing, secrets, simhash, warc
 
 #: Folder of the public tokenizer files, the same on every executor.
 TOKENIZERS = os.environ.get("CORPUSLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -23,10 +23,20 @@ def fold(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = f"{TOKENIZERS}/byte_bpe_50k.json"
+    tokens = bpe.detokenize(bpe.tokenize(_table(spark, sf_dir, "documents"), tokenizer), tokenizer)
+    return tokens.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
@@ -46,7 +56,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bpe": op2_bpe,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_warc": op5_warc,
     "op6_packing": op6_packing,
     "op7_secret_scan": op7_secret_scan,
     "op9_language_id": op9_language_id,
