@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, exact_dedup, fingerprints, language, packing, repeats, secrets, simhash, warc
+from corpusloom.llm import bpe, exact_dedup, fingerprints, html_extract, language, packing, repeats, secrets, simhash, warc
 
 #: Folder of the public tokenizer files, the same on every executor.
 TOKENIZERS = os.environ.get("CORPUSLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -23,6 +23,10 @@ def fold(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = f"{TOKENIZERS}/byte_bpe_50k.json"
     tokens = bpe.detokenize(bpe.tokenize(_table(spark, sf_dir, "documents"), tokenizer), tokenizer)
@@ -64,6 +68,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extract": op1_html_extract,
     "op2_bpe": op2_bpe,
     "op3_fingerprints": op3_fingerprints,
     "op4_exact_dedup": op4_exact_dedup,
