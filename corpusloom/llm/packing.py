@@ -225,7 +225,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     scratch.prepare(spark)
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    pieces = rows.mapInArrow(_cutter(tokenizer, end_id, window), "id long, start long, length long, crc long, total long")
+    # Written first: dealing by ranges reads its input twice, and tokenising is the costly part.
+    pieces = scratch.materialize(rows.mapInArrow(_cutter(tokenizer, end_id, window), "id long, start long, length long, crc long, total long"), "cut")
     # Ranges of (length, id, start) put equal lengths side by side, split over tasks where they are many.
     placed = pieces.repartitionByRange("length", "id", "start").sortWithinPartitions("length", "id", "start")
     numbered = scratch.materialize(placed.withColumn("place", F.monotonically_increasing_id()), "pieces")
