@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -82,15 +83,13 @@ def regression(rows: DataFrame, x: str, y: str, scale: float = 1.0) -> DataFrame
 
 def slope_test(fit: DataFrame, level: float = 0.95) -> DataFrame:
     """``fit`` with the one-sided p value of a positive slope and the confidence interval; one row, so Python may serve."""
-    import pandas as pd
-
     @F.pandas_udf("p double, t_crit double")
     def test(t: pd.Series, df: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([(t_upper(a, b), t_quantile(0.5 + level / 2, b)) for a, b in zip(t, df)], columns=["p", "t_crit"])
 
     tested = fit.withColumn("test", test(F.col("t"), F.col("df").cast("double")))
     half = F.col("test.t_crit") * F.col("stderr")
-    return tested.withColumns({"p": F.col("test.p"), "ci_low": F.col("slope") - half, "ci_high": F.col("slope") + half}).drop("test")
+    return tested.withColumns({"p": F.col("test.p"), "t_crit": F.col("test.t_crit"), "ci_low": F.col("slope") - half, "ci_high": F.col("slope") + half}).drop("test")
 
 
 def projection_fit(rows: DataFrame, x: str, y: str) -> DataFrame:

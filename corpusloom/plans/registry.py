@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import corpus_queries
+from corpusloom.plans import corpus_queries, numeric_queries, source_queries
 
-_ALL = corpus_queries.QUERIES
+_ALL = corpus_queries.QUERIES | numeric_queries.QUERIES | source_queries.QUERIES
 
 QUERIES = {name: query for name, (query, _) in _ALL.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in _ALL.items() if sql}
