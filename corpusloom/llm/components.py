@@ -25,7 +25,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``edges`` has long columns ``u, v``; returns ``node, component`` with the smallest node reachable.
 
-    Only nodes with an edge to another node are returned.  Every round is written to the shared
+    Nodes are returned that reach a smaller one; the smallest of a component is not.  Every round is written to the shared
     folder, so that neither lineage nor memory grows with the number of rounds, and nothing but a
     count and a checksum reaches the driver.
     """

@@ -111,16 +111,17 @@ def within_radius(planes: np.ndarray, s: int, valid: np.ndarray, radius: int = R
     return alive[word] * 64 + lane
 
 
-def link_runs(run: np.ndarray, values: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, list[tuple[int, int]]]:
+def link_runs(run: np.ndarray, values: np.ndarray, radius: int = RADIUS, parent: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """For values filed in runs (equal, adjacent run numbers): each value's group root, and the links that join the groups.
 
     The links are pairs of positions that were compared; there are at most as many as values.
 
     Values of one run within ``radius`` of each other are in one group, directly or by a chain.
-    A run is dropped from further comparison once all its values are in one group.
+    A run is dropped from further comparison once all its values are in one group.  ``parent`` goes
+    on from an earlier call with a smaller radius.
     """
     n = len(values)
-    parent = np.arange(n)
+    parent = np.arange(n) if parent is None else parent.copy()
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -172,7 +173,37 @@ def link_runs(run: np.ndarray, values: np.ndarray, radius: int = RADIUS) -> tupl
             flatten()
 
 
-def _linker(radius: int):
+def pairs_in_small_runs(run: np.ndarray, values: np.ndarray, radius: int, most: int) -> list[tuple[int, int]]:
+    """All pairs within ``radius`` in runs of at most ``most`` values."""
+    count = np.bincount(run)[run]
+    where = np.flatnonzero((count > 1) & (count <= most))
+    out: list[tuple[int, int]] = []
+    if len(where):
+        planes, local = _planes(values[where]), run[where]
+        for s in range(1, min(most, len(where))):
+            same = np.zeros(planes.shape[1] * 64, dtype=np.uint8)
+            same[: len(where) - s] = local[:-s] == local[s:]
+            found = within_radius(planes, s, np.packbits(same, bitorder="little").view("<u8"), radius)
+            out += zip(where[found].tolist(), where[found + s].tolist())
+    return out
+
+
+def nearest_links(run: np.ndarray, values: np.ndarray, radius: int, small: int = 6) -> list[tuple[int, int]]:
+    """Pairs to check in each run: all within ``radius`` in small runs, in others those of a spanning forest.
+
+    The forest is grown from the nearest values outwards, so that variants of one text hang on it
+    and not on each other.
+    """
+    links, parent = pairs_in_small_runs(run, values, radius, small), None
+    large = np.flatnonzero(np.bincount(run)[run] > small)
+    if len(large):
+        for r in range(4, radius + 1, 4):
+            parent, more = link_runs(run[large], values[large], r, parent)
+            links += [(int(large[a]), int(large[b])) for a, b in more]
+    return links
+
+
+def _linker(radius: int, find=lambda run, values, radius: link_runs(run, values, radius)[1]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
 
@@ -186,7 +217,7 @@ def _linker(radius: int):
             if not several.any():
                 return None
             fp, cls, runs = fp[several], cls[several], runs[several]
-            links = np.array(link_runs(runs, fp.view("<u8"), radius)[1], dtype=np.int64).reshape(-1, 2)
+            links = np.array(find(runs, fp.view("<u8"), radius), dtype=np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(cls[links[:, 0]]), pa.array(cls[links[:, 1]])], names=["u", "v"]) if len(links) else None
 
         rows = 0
@@ -295,8 +326,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts are linked when the Jaccard similarity of their sets of ``width``-word shingles is at least
     ``similarity``.  Candidates share one of :data:`BANDS` min-wise keys (two texts at 0.8 do so with
     probability 0.9996) and pass the bit-sliced comparison of their SimHashes at :data:`WIDE_RADIUS`;
-    each is then checked exactly.  Inside one file only pairs that join two groups go on, so a file
-    of m texts gives at most m - 1 candidates.
+    each is then checked exactly.  A file of up to six texts gives all its pairs; of a larger one
+    only pairs that join two groups go on, nearest first, so m texts give at most m - 1 candidates.
 
     Null counts as empty; word-less texts are equal to each other and form one group.  Rows that
     repeat id and text are one node.  Other columns are ignored; an empty table gives an empty result.
@@ -310,7 +341,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     filed = sketches.select("fp", "node", F.posexplode("keys").alias("t", "masked"))
     filed = filed.repartition("t", "masked").sortWithinPartitions("t", "masked", F.xxhash64("t", "node")).select("t", "masked", "fp", "node")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(1 << 16))  # four longs a row
-    pairs = scratch.materialize(filed.mapInArrow(_linker(WIDE_RADIUS), "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "near-pairs")
+    pairs = scratch.materialize(filed.mapInArrow(_linker(WIDE_RADIUS, nearest_links), "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "near-pairs")
     scratch.prepare(spark)
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
 
@@ -327,4 +358,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = F.size("set_u") + F.size("set_v") - common
     linked = pairs.join(left, "u").join(right, "v").where(common >= F.lit(similarity) * whole).select("u", "v")
     members = connected_components(linked)
+    members = members.unionAll(members.select(F.col("component").alias("node"), "component").distinct())
     return members.join(involved.select("node", "id"), "node").select("node", "id", "component")
