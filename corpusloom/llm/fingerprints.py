@@ -5,7 +5,9 @@ S, with r and c from a Gamma(2, 1) distribution and b uniform, all fixed by the
 t = floor(ln S / r + b), and its rank ln c - r (t - b) - r; the term and t of the smallest rank
 are kept.  Two weighted sets keep the same sample with the probability of their generalised Jaccard
 similarity.  The terms are divided by hash into strata and one sample is drawn in each, so a term
-costs one draw, and the share of strata that agree estimates the similarity.
+costs one draw, and the share of strata that agree estimates the similarity.  Strata count alike,
+so for texts with far fewer terms than strata and unequal weights the estimate leans towards the
+mean of the terms' own similarities; terms of weight 1, as shingles mostly are, have no such bias.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ def _draw(term: Column, weight: Column) -> Column:
     t = F.floor(F.ln(weight.cast("double")) / r + beta)
     once = weight == 1  # then t is 0
     rank = F.when(once, ln_c + r * (beta - 1)).otherwise(ln_c + r * (beta - t - 1))
-    digest = F.when(once, term).otherwise(F.xxhash64(term, t)).bitwiseAND(F.lit((1 << 24) - 1))
+    digest = F.when(once | (t == 0), term).otherwise(F.xxhash64(term, t)).bitwiseAND(F.lit((1 << 24) - 1))
     # Ranks beyond the range would be astronomically rare and only tie.
     place = ((F.greatest(F.least(rank, F.lit(250.0)), F.lit(-250.0)) + 256.0) * 4194304.0).cast("long")
     stratum = F.shiftrightunsigned(F.xxhash64(term, F.lit(3)), 57).bitwiseAND(F.lit(STRATA - 1))

@@ -1,0 +1,411 @@
+import collections
+import hashlib
+import html
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from corpusloom.llm import bpe, dom, fingerprints, html_extract, language, packing, sample_pages, secrets, warc
+from corpusloom.llm.queries import TOKENIZERS
+from tests.llm.cases import collect, documents, frame
+
+BYTE, WORD = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/word_bpe_49k.json"
+ODD = ["", "  ", "a<|endoftext|>b <|endoftext|>", "a  b   c\n d \n e\n\n  f ", "\n a", "é ́x", "x" * 9000, "ab" * 4000 + " " + "the" * 3000, "日本語 テスト😀👍🏽 x\x1cd\x85e　y", "don't we'll 'S 123", "!" * 900 + " " * 500 + "z\n\n", " x", "ΑΣ İI ﬁ 각", "<|startoftext|> x"]
+
+
+# --- BPE ---------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return bpe.Encoder(BYTE)
+
+
+def _reference(path):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def test_bpe_equals_the_library(encoder):
+    rng = random.Random(2)
+    parts = [" ", "  ", "\n", "a", "the", "ing", "é", "1", ".", "'s", "\t", "<|endoftext|>", "😀", " "]
+    texts = ODD + ["".join(rng.choice(parts) for _ in range(rng.randrange(80))) for _ in range(300)] + ["".join(rng.choice("etaoinshr") for _ in range(6000))]
+    other = _reference(BYTE)
+    bulk = bpe.Encoder(BYTE, remembered=50)
+    for k in range(0, len(texts), 20):
+        bulk.learn(texts[k : k + 20])
+        for text in texts[k : k + 20]:
+            expected = other.encode(text, add_special_tokens=False).ids
+            for e in (encoder, bulk):
+                assert np.frombuffer(b"".join(e.encode(text)), "<u4").tolist() == expected
+            machine = bpe.Decoder(encoder.merges.token_bytes)
+            assert "".join(machine.feed([i]) for i in expected) + machine.finish() == other.decode(expected, skip_special_tokens=False)
+
+
+def test_transducer_holds_a_bounded_window_and_emits_stable_tokens(encoder):
+    rng = random.Random(5)
+    data = "".join(rng.choice(["th", "e", "in", "g", "aa", "zz", "er"]) for _ in range(9000)).encode()
+    machine, out = bpe.Transducer(encoder.merges, encoder.lookahead), []
+    for k in range(0, len(data), 100):
+        out += machine.feed(data[k : k + 100])
+        assert len(machine._held) < encoder.lookahead + bpe.WINDOW + 100
+    assert out + machine.finish() == encoder.merges.merge(data)
+
+
+def test_lookahead_suffices_on_every_prefix(encoder):
+    """Tokens that end the lookahead before the end of a prefix are those of the whole."""
+    rng = random.Random(6)
+    data = "".join(rng.choice("etaoinshrdl") for _ in range(encoder.lookahead + 400)).encode()
+    whole = encoder.merges.merge(data)
+    for n in range(encoder.lookahead + 1, len(data), 40):
+        end = 0
+        for a, b in zip(encoder.merges.merge(data[:n]), whole):
+            end += len(encoder.merges.token_bytes[a])
+            if end > n - encoder.lookahead:
+                break
+            assert a == b
+
+
+def test_decoder_replaces_what_is_no_text(encoder):
+    ids = [encoder.merges.byte_id[b] for b in b"a\xe2\x82b\xff\xf0\x9f"]
+    machine = bpe.Decoder(encoder.merges.token_bytes)
+    assert "".join(machine.feed([i]) for i in ids) + machine.finish() == _reference(BYTE).decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_over_documents(spark):
+    rows = documents()
+    got = collect(bpe.detokenize(bpe.tokenize(frame(spark, rows), BYTE), BYTE))
+    other = _reference(BYTE)
+    expected = collections.Counter((i, np.array(other.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes(), t or "") for i, t, *_ in rows)
+    assert collections.Counter((r["doc_id"], bytes(r["ids"]), r["decoded"]) for r in got) == expected
+    assert all(r["n_tokens"] * 4 == len(r["ids"]) for r in got)
+    assert collect(bpe.tokenize(frame(spark, []), BYTE)) == []
+
+
+# --- packing -----------------------------------------------------------------------------------
+
+
+def test_word_encoder_equals_the_library():
+    other, mine, small = _reference(WORD), packing.WordEncoder(WORD), packing.WordEncoder(WORD, cached=40)
+    for text in ODD + [t for _, t, *_ in documents() if t]:
+        expected = np.array(other.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert mine.encode(text) == expected and small.encode(text) == expected
+    assert mine.encode(None) == b""
+
+
+def test_packing_covers_every_id_once(spark):
+    rows = documents()
+    got = collect(packing.pack(frame(spark, rows), WORD, window=512))
+    other = _reference(WORD)
+    pieces = collections.Counter()
+    for i, t, *_ in rows:
+        ids = np.array(other.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
+        for a in range(0, len(ids), 512):
+            part = ids[a : a + 512]
+            pieces[i, a, len(part), zlib.crc32(part.tobytes()), len(ids)] += 1
+    assert collections.Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got) == pieces
+    sequences = collections.defaultdict(list)
+    for r in got:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert sorted(sequences) == list(range(len(sequences)))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 512
+    assert collect(packing.pack(frame(spark, []), WORD)) == []
+
+
+def test_plan_uses_each_piece_once_and_fills_windows():
+    rng = random.Random(1)
+    histogram = collections.Counter(min(4095, int(rng.lognormvariate(6, 1)) + 1) for _ in range(30_000))
+    plan = packing.plan(dict(histogram))
+    used = collections.Counter()
+    for combo, times in plan:
+        assert times > 0 and sum(combo) <= 4096
+        for n in combo:
+            used[n] += times
+    assert used == histogram
+    windows = sum(times for _, times in plan)
+    assert 1 - sum(n * c for n, c in histogram.items()) / (4096 * windows) < 0.002
+    assert packing.plan({}) == [] and packing.plan({4095: 2}) == [((4095,), 2)]
+
+
+def test_nonnegative_least_squares():
+    x = packing.nonnegative_least_squares([np.array([0, 1]), np.array([1]), np.array([0, 0])], np.array([10.0, 4.0]), 2000)
+    a = np.array([[1, 0, 2], [1, 1, 0]])
+    assert (x >= 0).all() and np.allclose(a @ x, [10, 4], atol=0.05)
+
+
+# --- fingerprints ------------------------------------------------------------------------------
+
+
+def _bag(text, width=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+    width = min(width, len(words))
+    return collections.Counter(tuple(words[k : k + width]) for k in range(len(words) - width + 1)) if words else collections.Counter()
+
+
+def _jaccard(a, b):
+    either = sum((a | b).values())
+    return sum((a & b).values()) / either if either else 1.0
+
+
+def test_fingerprints_of_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BUCKET_BYTES", 2000)  # many buckets
+    rng = random.Random(8)
+    words = [f"t{k}" for k in range(400)]
+    rows = [(3 * k, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 300))), "en", "a") for k in range(120)] + [(500, None, None, None), (501, "", "", "")]
+    got = {r["doc_id"]: r for r in collect(fingerprints.fingerprint_neighbours(frame(spark, rows)))}
+    errors = []
+    for k, (i, t, *_) in enumerate(rows):
+        text, following = t or "", rows[(k + 1) % len(rows)][1] or ""
+        half = len(text) // 2
+        edited = text[: len(text) - half] + following[:half]
+        r = got[i]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        errors += [r["near_edited"] - _jaccard(_bag(text), _bag(edited)), r["near_next"] - _jaccard(_bag(text), _bag(following))]
+    assert math.sqrt(np.mean(np.square(errors))) < 0.08 and abs(np.mean(errors)) < 0.02
+
+
+def test_fingerprint_edges(spark):
+    rows = documents()
+    got = collect(fingerprints.fingerprint_neighbours(frame(spark, rows)))
+    assert len(got) == len(rows)
+    by_text = collections.defaultdict(set)
+    ids = {i: t for i, t, *_ in rows if i is not None}
+    for r in got:
+        if r["doc_id"] is not None:
+            by_text[ids[r["doc_id"]]].add(r["fingerprint"])
+    assert all(len(v) == 1 for t, v in by_text.items() if t != ids[13])
+    assert len({r["fingerprint"] for r in got if r["doc_id"] in (8, 9)}) == 1 and next(r for r in got if r["doc_id"] == 5)["fingerprint"] == ""
+    alone = collect(fingerprints.fingerprint_neighbours(frame(spark, [(1, "one two", "", "")])))
+    assert alone[0]["near_next"] == 1.0
+    assert collect(fingerprints.fingerprint_neighbours(frame(spark, []))) == []
+
+
+def test_collision_rate_is_weighted_jaccard(spark):
+    rng = random.Random(4)
+    rows, true = [], []
+    for k in range(40):  # many more terms than strata; with fewer the estimate leans to the unweighted one
+        a = [w for w in range(1500) for _ in range(rng.choice([0, 1, 1, 2, 5]))]
+        b = [w for w in range(1500) for _ in range(rng.choice([0, 1, 1, 2, 5]))]
+        rng.shuffle(a), rng.shuffle(b)
+        rows.append((k, " ".join(f"x{w}" for w in a), " ".join(f"x{w}" for w in b)))
+        true.append(_jaccard(collections.Counter(a), collections.Counter(b)))
+    df = spark.createDataFrame(rows, "k long, a string, b string")
+    df = fingerprints.with_signature(fingerprints.with_signature(df, "a", "sa", width=1), "b", "sb", width=1)
+    got = [r.s for r in df.orderBy("k").select(fingerprints.likeness("sa", "sb").alias("s")).collect()]
+    assert abs(np.mean(got) - np.mean(true)) < 0.03
+
+
+# --- secrets -----------------------------------------------------------------------------------
+
+SECRETS = [
+    (1, 'password = "hunter2hunter2" and api-key: no, apikey=ABCDEF123', "en", "a"),
+    (2, "token: short tok Token='0123456789abcdef0123456789abcdef'", "en", "b"),
+    (3, "AKIA" + "A" * 16 + " AKIAB AKIA" + "9" * 20 + "x", "en", "c"),
+    (4, "deadbeef" * 4 + "g" + "a" * 23 + " " + "b" * 24, "en", "a"),
+    (5, "secret: token:abcdefgh 😀 secret=é secret=xyzzyx", "en", "a"),
+    (6, "PASSWD:AAAAAAAA passwd :  ''x token = '/+/+/+=", "en", "a"),
+    (7, "x" * 40 + " " + "Aa1" * 15, "en", "a"),
+    (8, None, "en", "a"),
+    (9, "", None, None),
+    (10, "shared token=COMMONVALUE01", "en", "a"),
+    (11, "shared token=COMMONVALUE01", "en", "b"),
+    (12, "shared token=COMMONVALUE01", "en", "c"),
+    (12, "shared token=COMMONVALUE01", "en", "c"),
+    (13, "token=aaaaaa " * 700, "en", "z"),
+]
+
+
+def _base(text):
+    text = text or ""
+    key = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY]"
+    spans = [(m.start(), 0, m.end(), "assign") for m in re.finditer(rf"""({key})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 6]
+    spans += [(m.start(), 1, m.end(), "access") for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    spans += [(m.start(), 2, m.end(), "hex") for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(spans)
+
+
+def test_secret_spans_match_brute_force(spark):
+    got = collect(secrets.scan_secrets(frame(spark, SECRETS)))
+    assert len(got) == len(SECRETS)
+    by_id = {r["doc_id"]: r for r in got}
+    for i, t, *_ in SECRETS:
+        base = _base(t)
+        r = by_id[i]
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in base).encode()).hexdigest(), i
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(s[3] == k for s in base) for k in ("assign", "access", "hex")]
+        listed = r["spans"].split(",") if r["spans"] else []
+        assert not collections.Counter(f"{k}:{a}:{b}" for a, _, b, k in base) - collections.Counter(listed)
+    assert by_id[10]["n_example"] == 1 and by_id[10]["n_live"] == 0
+    assert by_id[1]["n_live"] == 2 and "random:41:86" in by_id[7]["spans"] and "random:0:40" not in by_id[7]["spans"]
+    assert collect(secrets.scan_secrets(frame(spark, []))) == []
+
+
+def test_redaction(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("0123456789", "live:2:4,live:3:5,example:6:7,live:8:10"), ("abc", ""), ("abc", "live:0:1")], "t string, s string")
+    got = [r.x for r in df.select(secrets.redact(F.col("t"), F.col("s"), ("live",), "#").alias("x")).collect()]
+    assert got == ["01#567#", "abc", "#bc"]
+
+
+# --- language ----------------------------------------------------------------------------------
+
+
+def test_language_holds_out_and_ignores_other_columns(spark, sf):
+    import zlib as z
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    from corpusloom.llm.queries import op9_language_id
+
+    got = {r.doc_id: r for r in op9_language_id(spark, sf).collect()}
+    rows = docs.select("doc_id", "lang").collect()
+    held = [r for r in rows if z.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert {i for i, r in got.items() if r.held_out} == {r.doc_id for r in held}
+    assert np.mean([got[r.doc_id].lang_pred == r.lang for r in held]) > 0.97
+    assert all(0 <= r.score <= 1 for r in got.values())
+
+
+def test_language_edges(spark):
+    rows = documents()
+    prototypes = language.fit(frame(spark, rows))
+    assert set(prototypes) == {"en", "de", "fr", "ja"}
+    got = collect(language.predict(frame(spark, rows), prototypes))
+    assert len(got) == len(rows)
+    for r in got:
+        has_letter = any(c.isalpha() for c in r["text"] or "")
+        assert (r["lang_pred"] == "und") == (not has_letter) and 0 <= r["score"] <= 1
+    assert all(r["lang_pred"] == "und" for r in collect(language.predict(frame(spark, rows), language.fit(frame(spark, [])))))
+    assert collect(language.predict(frame(spark, []), prototypes)) == []
+
+
+def test_trigram_counts_do_not_depend_on_stretches(monkeypatch):
+    text = "The quick brown fox, 12 jumps; über den faulen Hund. " * 20
+    whole = [x.tolist() for x in language.trigram_counts(text)]
+    monkeypatch.setattr(language, "_STRETCH", 64)
+    assert [x.tolist() for x in language.trigram_counts(text)] == whole
+
+
+# --- html --------------------------------------------------------------------------------------
+
+
+def test_extraction_on_held_out_generated_pages():
+    trees, exact = html_extract.model(), 0
+    for k in range(120):
+        writer = sample_pages._Writer(random.Random(77_000_000 + k))
+        page = writer.page()
+        exact += html_extract.extract([page], trees)[0] == "\n".join(writer.main)
+    assert exact / 120 > 0.9
+
+
+def test_extraction_on_the_test_pages(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    got = {r.page_id: r for r in html_extract.extract_pages(pages).collect()}
+    for r in pages.collect():
+        article = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        blocks = (" ".join(html.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", article))
+        text = "\n".join(b for b in blocks if b)
+        assert (got[r.page_id].text, got[r.page_id].n_chars) == (text, len(text))
+
+
+PAGE = """<html><head><title>x</title></head><body><div id="top-nav"><a href=a>Home</a> <a href=b>News</a></div><div class="post-content"><h1>My&nbsp;title</h1>
+<p>First  paragraph &amp; <a href=x>link</a>, which goes
+on for a while.<p>Second one here to read.<script>var a="<p>no</p>";</script><!-- <p>no --><div class="ad-inline">Sponsored: buy this.</div><form><p>Sign up</p><input></form></div>
+<div id="comments"><h3>3 comments</h3><div class="comment"><p>Great article, I really liked it a lot.</p></div></div><div id="footer">Copyright 2020</div>"""
+
+
+def test_extraction_decodes_and_normalises():
+    assert html_extract.extract([PAGE], html_extract.model()) == ["My title\nFirst paragraph & link, which goes on for a while.\nSecond one here to read."]
+
+
+def test_extraction_edges(spark):
+    deep = "<div>" * 3000 + "<p>text</p>"
+    pages = [None, "", "<", "<p", "<!--", "<article></article>", "</p></div>", "<p title='a>b", deep, "plain", "<br><br>", "&#0;&#xD800;&bogus;", "<table><tr><td>a<td>b<tr><td>c"]
+    df = spark.createDataFrame([(k if k else None, None, p, "t", 5) for k, p in enumerate(pages)] + [(5, "u", "x", "t", 5)] * 2, "page_id long, url string, html string, text string, n_chars long")
+    got = collect(html_extract.extract_pages(df))
+    assert len(got) == len(pages) + 2 and all(r["n_chars"] == len(r["text"]) for r in got)
+    assert collect(html_extract.extract_pages(df.limit(0))) == []
+
+
+def test_decoding_never_keeps_inside_dropped():
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        n = 12
+        nodes = [dom.Node("div", -1 if k == 0 else int(rng.integers(0, k)), 0, 0) for k in range(n)]
+        odds = rng.normal(0, 2, n)
+        kept = html_extract.decode(nodes, odds)
+        score = lambda labels: sum(-np.logaddexp(0, -o if l else o) for l, o in zip(labels, odds))  # noqa: E731, B023
+        valid = [l for l in np.ndindex(*(2,) * n) if all(k == 0 or not l[k] or l[nodes[k].parent] for k in range(n))]
+        assert all(k == 0 or not kept[k] or kept[nodes[k].parent] for k in range(n))
+        assert score(kept) == pytest.approx(max(map(score, valid)))
+
+
+# --- WARC --------------------------------------------------------------------------------------
+
+
+def test_archives_round_trip(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_ROWS", 4)
+    rng = random.Random(0)
+    big = ["<p>" + "".join(rng.choice("abcdefgh <>é") for _ in range(1500)) for _ in range(4)]
+    rows = [(1, "http://a/ü\n", big[0]), (2, None, big[0]), (9, "u", big[0]), (3, "u", big[1]), (4, "u", None), (5, "u", ""), (6, "u", "small"), (7, "u", "small"), (None, "u", big[2]), (8, "u", big[2]), (10, "u", big[3]), (10, "u", big[3]), (None, "v", "x" * 2000), (None, "w", "x" * 2000)]
+    df = spark.createDataFrame([(*r, "d", b"f", 3) for r in rows], "page_id long, url string, html string, digest string, frame binary, first int").repartition(2, "page_id")
+    got = collect(warc.archive_pages(df))
+    best = {}
+    for i, _, h in rows:
+        if i is not None:
+            best[h or ""] = max(best.get(h or "", i), i)
+    expected = collections.Counter()
+    for i, _, h in rows:
+        data, ref = (h or "").encode(), best.get(h or "")
+        revisit = len(data) >= 1000 and ref is not None and ref != i
+        expected[i, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", ref if revisit else None, None if revisit else data] += 1
+    assert collections.Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"], None if r["payload"] is None else bytes(r["payload"])) for r in got) == expected
+    assert collect(warc.archive_pages(df.limit(0))) == []
+
+
+def test_archives_are_files_that_others_read(spark, tmp_path):
+    import zstandard
+
+    df = spark.createDataFrame([(k, f"http://x/{k}", f"<p>{k} " + "abc " * 400) for k in range(300)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(df, f"file://{tmp_path}/w")
+    files = [f for f in (tmp_path / "w").iterdir() if f.name.startswith("part")]
+    content = files[0].read_bytes()
+    assert len(files) == 1 and int.from_bytes(content[:4], "little") == warc.DICTIONARY_MAGIC
+    size = int.from_bytes(content[4:8], "little")
+    dictionary = zstandard.ZstdCompressionDict(zstandard.ZstdDecompressor().decompress(content[8 : 8 + size]))
+    with zstandard.ZstdDecompressor(dict_data=dictionary).stream_reader(content[8 + size :], read_across_frames=True) as reader:
+        assert reader.read().count(b"WARC/1.1\r\n") == 300
+
+
+def _record(**changes):
+    data = warc.make_record(1, "u", b"payload", None)
+    for old, new in changes.get("swap", []):
+        assert old in data
+        data = data.replace(old, new)
+    return data
+
+
+@pytest.mark.parametrize("swap", [(b"WARC/1.1", b"WARC/9"), (b"WARC-Type: response\r\n", b""), (b"payload\r\n", b"pay!oad\r\n"), (b"payload\r\n", b"payloads\r\n"), (b"Content-Length: 7", b"Content-Length: 8"), (b"WARC-Type: response", b"WARC-Type: banana"), (b"sha1:", b"md5:"), (b"WARC-Date: ", b"no colon ")])
+def test_broken_records_are_refused(swap):
+    assert warc.parse_record(_record())["payload"] == b"payload"
+    with pytest.raises(warc.WarcError):
+        warc.parse_record(_record(swap=[swap]))
+
+
+def test_broken_archives_are_refused():
+    import zstandard
+
+    frame_ = zstandard.ZstdCompressor(write_checksum=True).compress(b"x" * 3000)
+    assert list(warc.read_archive(warc.dictionary_frame(b"") + frame_ + warc.EMPTY_FRAME.encode() + frame_)) == [b"x" * 3000] * 2
+    for bad in (frame_[:-3], b"junkjunkjunk", frame_ + b"\x01", frame_[:-1] + b"\x00", warc.dictionary_frame(b"abc")[:-1]):
+        with pytest.raises(warc.WarcError):
+            list(warc.read_archive(bad))
