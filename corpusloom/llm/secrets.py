@@ -9,6 +9,8 @@ its own over the value, beside the base spans.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,25 @@ SHARED_OWNERS = 3
 KINDS = ("assign", "access", "hex", "random", "live", "example")
 
 
+#: Matches summed at once where the places of a text's matches are added up.
+_BLOCK = 256
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body refers to it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _running(steps: Column) -> Column:
+    """Sums of an array up to each element: of whole blocks before it, and within its own."""
+    add = lambda array: F.aggregate(array, F.lit(0).cast("bigint"), lambda s, x: s + x)
+    blocks = F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / _BLOCK).cast("int"))
+    sums = F.transform(blocks, lambda b: add(F.slice(steps, b * _BLOCK + 1, F.lit(_BLOCK))))
+    offsets = lambda t: F.transform(t, lambda x, b: add(F.slice(t, F.lit(1), b)))
+    within = lambda o: F.transform(steps, lambda x, i: F.get(o, F.floor(i / _BLOCK).cast("int")) + add(F.slice(steps, i - i % _BLOCK + 1, i % _BLOCK + 1)))
+    return _let(sums, lambda t: _let(offsets(t), within))
+
+
 def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
     """Leftmost non-overlapping matches as array of (start, kind number, end, value start, value).
 
@@ -35,22 +56,19 @@ def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Col
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    between = F.split(text, pattern, -1)
+    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+    matches = F.zip_with(found, value, lambda w, v: F.struct(F.char_length(w).cast("bigint").alias("size"), v.alias("value")))
+    parts = F.zip_with(matches, gaps, lambda m, g: F.struct((m["size"] + F.char_length(g)).alias("step"), m["size"].alias("size"), m["value"].alias("value")))
     number = KINDS.index(kind)
-    parts = F.transform(found, lambda whole, i: F.struct(F.get(between, i).alias("gap"), whole.alias("whole"), F.get(value, i).alias("value")))
-    row = "struct<start:bigint,kind:int,end:bigint,value_start:bigint,value:string>"
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.char_length(x["gap"])
-        end = start + F.char_length(x["whole"])
+    def span(part: Column, end: Column) -> Column:
         # A group that ends the match ends where the match does.
-        span = F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"), (end - F.char_length(x["value"])).alias("value_start"), x["value"].alias("value"))
-        good = F.char_length(x["value"]) >= least
-        return F.struct(end.alias("at"), F.when(good, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
+        return F.struct((end - part["size"]).alias("start"), F.lit(number).alias("kind"), end.alias("end"), (end - F.char_length(part["value"])).alias("value_start"), part["value"].alias("value"))
 
-    empty = F.array().cast(f"array<{row}>")
-    scanned = F.aggregate(parts, F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("spans")), step, lambda s: s["spans"])
-    return F.when(text.rlike(pattern), scanned).otherwise(empty)
+    placed = _let(parts, lambda p: _let(F.transform(p, lambda x: x["step"]), lambda steps: F.zip_with(p, _running(steps), span)))
+    row = "array<struct<start:bigint,kind:int,end:bigint,value_start:bigint,value:string>>"
+    good = F.filter(placed, lambda s: F.char_length(s["value"]) >= least)
+    return F.when(text.rlike(pattern), good.cast(row)).otherwise(F.array().cast(row))
 
 
 def _listed(spans: Column) -> Column:
