@@ -38,7 +38,7 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +80,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_NORMAL = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')"
+
+#: For the operators that SQL can express; the tests hold the others against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op4_exact_dedup": f"""SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size, row_number() OVER w = 1 AS kept, sha256(norm) AS text_sha256
+        FROM (SELECT doc_id, length(coalesce(text, '')) AS n, {_NORMAL} AS norm FROM documents) WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id)""",
+    "op5_warc": """SELECT page_id, b AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN b >= 1000 AND page_id <> m THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN b >= 1000 AND page_id <> m THEN m END AS refers_to
+        FROM (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS b, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS m FROM pages)""",
+}
