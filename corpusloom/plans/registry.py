@@ -2,9 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+
 from corpusloom.plans import corpus_queries, numeric_queries, source_queries
+from corpusloom.session import ship
 
 _ALL = corpus_queries.QUERIES | numeric_queries.QUERIES | source_queries.QUERIES
 
-QUERIES = {name: query for name, (query, _) in _ALL.items()}
+
+def _ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {name: _ready(query) for name, (query, _) in _ALL.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in _ALL.items() if sql}
