@@ -29,6 +29,8 @@ _SEED = 42
 _CHUNK = 1 << 15
 #: Filed fingerprints compared at once.
 _FILED_ROWS = 1 << 16
+#: Words of one bit plane, over all shifts compared at once.
+_AT_ONCE = 1 << 15
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -67,27 +69,28 @@ def _planes(values: np.ndarray) -> np.ndarray:
     return out.view("<u8")
 
 
-def _shifted(planes: np.ndarray, s: int) -> np.ndarray:
-    """The planes with lane i + s at lane i."""
-    word, bit = divmod(s, 64)
-    low = planes[:, word:]
-    if not bit:
-        return low
-    high = np.zeros_like(low)
-    high[:, :-1] = low[:, 1:]
-    return (low >> np.uint64(bit)) | (high << np.uint64(64 - bit))
+def within_radius(planes: np.ndarray, run: np.ndarray, s: int, shifts: int, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Places i and j = i + s .. i + s + shifts - 1 of one run whose values differ in at most ``radius`` bits.
 
-
-def within_radius(planes: np.ndarray, s: int, valid: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Lanes i of ``valid`` (packed words) whose value differs from value i + s in at most ``radius`` bits."""
-    other = _shifted(planes, s)
-    alive = np.flatnonzero(valid[: other.shape[1]])
+    All shifts begin in one word, so ``s % 64 + shifts`` is at most 64; they are compared at once.
+    """
+    offset, first = divmod(s, 64)
+    size = planes.shape[1] - offset
+    bits = np.arange(first, first + shifts, dtype=np.uint64)[:, None]
+    same = np.zeros((shifts, size * 64), dtype=np.uint8)
+    for k in range(min(shifts, len(run) - s)):
+        same[k, : len(run) - s - k] = run[: len(run) - s - k] == run[s + k :]
+    valid = np.packbits(same, axis=1, bitorder="little").view("<u8").ravel()
+    alive = np.flatnonzero(valid)
     want = valid[alive]
     # counts[k] holds bit k of every lane's distance; over marks lanes that left the counters' range.
     counts = [np.zeros(len(alive), dtype="<u8") for _ in range(max(1, radius.bit_length()))]
     over = np.zeros(len(alive), dtype="<u8")
     for block in range(0, 64, 8):
-        a, b = planes[block : block + 8, alive], other[block : block + 8, alive]
+        own = planes[block : block + 8]
+        after = np.concatenate([own[:, offset + 1 :], np.zeros((8, 1), dtype="<u8")], axis=1)
+        shifted = (own[:, None, offset:] >> bits) | ((after[:, None, :] << np.uint64(1)) << (np.uint64(63) - bits))
+        a, b = own[:, alive % size], shifted.reshape(8, -1)[:, alive]
         for bit in range(8):
             carry = a[bit] ^ b[bit]
             for k, c in enumerate(counts):
@@ -98,7 +101,7 @@ def within_radius(planes: np.ndarray, s: int, valid: np.ndarray, radius: int = R
             alive, over, want = alive[full], over[full], want[full]
             counts = [c[full] for c in counts]
             if not len(alive):
-                return np.empty(0, dtype=np.int64)
+                return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     # A distance exceeds the radius where, at the first bit in which they differ, the distance has the one.
     equal, more = ~np.zeros_like(over), over
     for k in reversed(range(len(counts))):
@@ -108,7 +111,9 @@ def within_radius(planes: np.ndarray, s: int, valid: np.ndarray, radius: int = R
             more, equal = more | (equal & counts[k]), equal & ~counts[k]
     good = ~more & want
     word, lane = np.nonzero(np.unpackbits(good.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-    return alive[word] * 64 + lane
+    shift, at = np.divmod(alive[word], size)
+    place = at * 64 + lane
+    return place, place + s + shift
 
 
 def link_runs(run: np.ndarray, values: np.ndarray, radius: int = RADIUS, parent: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -138,32 +143,27 @@ def link_runs(run: np.ndarray, values: np.ndarray, radius: int = RADIUS, parent:
 
     where = np.arange(n)
     links: list[tuple[int, int]] = []
-    s, planes, local = 0, None, None
+    s, planes, local = 1, None, None
     while True:
-        s += 1
         # Keep the runs that are longer than s and not yet one group.
         lab, inverse, count = np.unique(run[where], return_inverse=True, return_counts=True)
-        if s == 1 or s % 16 == 0:
-            roots = parent[where]
-            low, high = np.full(len(lab), n), np.full(len(lab), -1)
-            np.minimum.at(low, inverse, roots)
-            np.maximum.at(high, inverse, roots)
-            keep = (count > s) & (low < high)
-        else:
-            keep = count > s
+        roots = parent[where]
+        low, high = np.full(len(lab), n), np.full(len(lab), -1)
+        np.minimum.at(low, inverse, roots)
+        np.maximum.at(high, inverse, roots)
+        keep = (count > s) & (low < high)
+        if not keep.any():
+            flatten()
+            return parent, links
         mask = keep[inverse]
-        if not mask.all() or planes is None:
+        if planes is None or not mask.all():
             where = where[mask]
-            if not len(where):
-                flatten()
-                return parent, links
-            planes = _planes(values[where])
-            local = run[where]
-        same = np.zeros(planes.shape[1] * 64, dtype=np.uint8)
-        same[: len(where) - s] = local[:-s] == local[s:]
-        found = within_radius(planes, s, np.packbits(same, bitorder="little").view("<u8"), radius)
-        if len(found):
-            a, b = where[found], where[found + s]
+            planes, local = _planes(values[where]), run[where]
+        shifts = int(min(64 - s % 64, count[keep].max() - s, max(1, _AT_ONCE // planes.shape[1])))
+        a, b = within_radius(planes, local, s, shifts, radius)
+        s += shifts
+        if len(a):
+            a, b = where[a], where[b]
             open_ = parent[a] != parent[b]
             for i, j in zip(a[open_].tolist(), b[open_].tolist()):
                 x, y = root(i), root(j)
@@ -179,12 +179,8 @@ def pairs_in_small_runs(run: np.ndarray, values: np.ndarray, radius: int, most:
     where = np.flatnonzero((count > 1) & (count <= most))
     out: list[tuple[int, int]] = []
     if len(where):
-        planes, local = _planes(values[where]), run[where]
-        for s in range(1, min(most, len(where))):
-            same = np.zeros(planes.shape[1] * 64, dtype=np.uint8)
-            same[: len(where) - s] = local[:-s] == local[s:]
-            found = within_radius(planes, s, np.packbits(same, bitorder="little").view("<u8"), radius)
-            out += zip(where[found].tolist(), where[found + s].tolist())
+        found = within_radius(_planes(values[where]), run[where], 1, most - 1, radius)
+        out += zip(where[found[0]].tolist(), where[found[1]].tolist())
     return out
 
 
