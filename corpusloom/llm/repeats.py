@@ -117,9 +117,22 @@ def repeated_starts(pieces: list[bytes], length: int, keep_first: bool) -> list[
 
     The flag says that the string occurs at another start too; with ``keep_first`` at an earlier one.
     """
+    copies: dict[bytes, int] = {}
+    for p in pieces:
+        copies[p] = copies.get(p, 0) + 1
+    # Equal pieces are copies of each other; the first of each stands for them.
+    own = dict(zip(copies, _judge_distinct(list(copies), length, keep_first)))
+    everything = {n: np.ones(n, dtype=bool) for n in {len(p) - length + 1 for p in copies}}
+    out, seen = [], set()
+    for p in pieces:
+        copied = p in seen if keep_first else copies[p] > 1
+        out.append(everything[len(p) - length + 1] if copied else own[p])
+        seen.add(p)
+    return out
+
+
+def _judge_distinct(pieces: list[bytes], length: int, keep_first: bool) -> list[np.ndarray]:
     counts = [len(p) - length + 1 for p in pieces]
-    if not keep_first and len(pieces) > 1 and all(p == pieces[0] for p in pieces):
-        return [np.ones(n, dtype=bool) for n in counts]
     suffixes = [p[k : k + length] for p, n in zip(pieces, counts) for k in range(n)]
     order = suffix_order(suffixes)
     # Suffixes are cut to ``length``, so only whether neighbours share all of it matters.
