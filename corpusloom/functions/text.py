@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Limits, markers and phrases that results depend on.
 TEXT_CHARS = (180, 32_000)
@@ -22,14 +23,14 @@ LEAST_LETTERS, LEAST_WORDS, MANY_WORDS, LEAST_DISTINCT = 0.45, 35, 80, 0.18
 _MAY_NORMALISE = r"[^\u0000-\u009FÀ-ı]"
 
 
-@F.pandas_udf("string")
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
 def compatibility_form(text: Column) -> Column:
     """NFKC; only rows that hold a character that may change are sent to Python."""
-    return F.coalesce(_nfkc(F.when(text.rlike(_MAY_NORMALISE), text)), text)
+    normalise = F.pandas_udf(_nfkc, StringType())
+    return F.coalesce(normalise(F.when(text.rlike(_MAY_NORMALISE), text)), text)
 
 
 def strip(text: Column) -> Column:
