@@ -31,11 +31,11 @@ def test_clean_text(spark, text, expected):
 
 def test_clean_text_cuts_at_a_word(spark):
     df = spark.createDataFrame([("aaa bbb ccc",), ("aaaaaaaaaaaa",), ("aaa bbbb",), ("aaaaaaa b",)], "t string")
-    assert [r[0] for r in df.select(T.clean_text(F.col("t"), 8)).collect()] == ["aaa", "aaaaaaaa", "aaa bbbb", "aaaaaaa"]
+    assert [r[0] for r in df.select(T.clean_text(F.col("t"), 8)).collect()] == ["aaa bbb", "aaaaaaaa", "aaa bbbb", "aaaaaaa"]
 
 
 def _words(n, distinct):
-    return " ".join(f"word{k % distinct:04d}" for k in range(n))
+    return " ".join(f"wordy{k % distinct:02d}x" for k in range(n))
 
 
 QUALITY = [
