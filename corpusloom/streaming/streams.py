@@ -50,4 +50,5 @@ def ema(stream: DataFrame, key: str, order: str, value: str, beta: float = 0.99)
 
 def windowed_counts(stream: DataFrame, time_col: str = "ts", width: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
     """Rows and mean value by window and type; rows later than ``delay`` are left out."""
-    return stream.withWatermark(time_col, delay).groupBy(F.window(time_col, width), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    stamped = stream.withColumn(time_col, F.col(time_col).cast("timestamp"))
+    return stamped.withWatermark(time_col, delay).groupBy(F.window(time_col, width), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
