@@ -212,8 +212,10 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     html = F.coalesce(pages[html_col].cast("string"), F.lit(""))
     rows = pages.select(pages[id_col].cast("long").alias("id"), pages[url_col].cast("string").alias("url"), html.alias("html"))
     keyed = rows.withColumn("digest", F.unhex(F.sha1(F.col("html").cast("binary"))))
-    # Page sample for the dictionary: bounded, the same at every run, of no effect on what is read back.
-    sample = rows.select(F.xxhash64("id").alias("h"), "id", F.substring("html", 1, SAMPLE_BYTES).alias("html")).orderBy("h", "id").limit(SAMPLE_PAGES).collect()
+    # Page sample for the dictionary: bounded whatever the number of tasks, and of no effect on what is read back.
+    place = F.xxhash64("id", "url").bitwiseAND(F.lit((1 << 62) - 1))
+    few = int(min(1.0, SAMPLE_PAGES / max(1, rows.count())) * (1 << 62))
+    sample = rows.where(place <= few).select(F.substring("html", 1, SAMPLE_BYTES).alias("html")).limit(SAMPLE_PAGES).collect()
     dictionary = train_dictionary([r.html.encode("utf-8") for r in sample])
     large = F.octet_length("html") >= least_revisit
     repeated = keyed.where(large).groupBy("digest").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
