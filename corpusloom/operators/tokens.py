@@ -72,9 +72,11 @@ def train_sentencepiece(docs: DataFrame, vocab_size: int = 12_000, kind: str = "
     """
     import sentencepiece
 
-    keyed = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h")).orderBy("h").limit(most_rows)
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"))
+    # Where there are more rows, a share of them by a hash of the text; rows come one partition at a time.
+    few = int(min(1.0, most_rows / max(1, texts.count())) * (1 << 62))
     lines, size = [], 0
-    for row in keyed.toLocalIterator():
+    for row in texts.where(F.xxhash64("t").bitwiseAND(F.lit((1 << 62) - 1)) <= few).limit(most_rows).toLocalIterator():
         size += len(row.t)
         if size > most_chars:
             break
