@@ -24,6 +24,18 @@ def _out(name, column, digits=6):
     return F.array_join(F.transform(column, lambda x: F.format_string(f"%.{digits}f", F.round(x, digits) + 0.0)), " ").alias(name)
 
 
+#: Averages of short series have few decimals and often lie half way between two rounded values, where engines may differ.
+_OFF = 0.123456789
+
+
+def _steady(name, column):
+    return (F.floor(F.col(column) * 100000 + _OFF) / 100000.0).alias(name)
+
+
+def _steady_sql(text):
+    return f"floor(({text}) * 100000 + CAST({_OFF} AS DOUBLE)) / CAST(100000 AS DOUBLE) AS ema"
+
+
 def regression_fit(spark, sf):
     fit = telemetry.regression(table(spark, sf, "lineitem"), "l_extendedprice", "l_quantity", _SCALE)
     return fit.select("n", "df", *[F.round(c, 6).alias(c) for c in ("slope", "intercept", "r_squared", "stderr", "t", "s", "s_reported")])
@@ -116,12 +128,12 @@ def param_counts(spark, sf):
 
 
 def ema_by_user(spark, sf):
-    return telemetry.final_ema(table(spark, sf, "events").select("user_id", "ts", "event_id", "value"), "user_id", ("ts", "event_id"), "value").select("user_id", "n", F.round("ema", 6).alias("ema"))
+    return telemetry.final_ema(table(spark, sf, "events").select("user_id", "ts", "event_id", "value"), "user_id", ("ts", "event_id"), "value").select("user_id", "n", _steady("ema", "ema"))
 
 
 def ema_steps(spark, sf):
     rows = table(spark, sf, "events").select("user_id", "event_id", "value")
-    return telemetry.ema(rows, "user_id", ("event_id",), "value").select("event_id", F.round("ema", 5).alias("ema"))
+    return telemetry.ema(rows, "user_id", ("event_id",), "value").select("event_id", _steady("ema", "ema"))
 
 
 def resumed_ema(spark, sf):
@@ -129,7 +141,7 @@ def resumed_ema(spark, sf):
     rows = table(spark, sf, "events").where("user_id < 50").select("user_id", "ts", "event_id", "value")
     early = telemetry.final_ema(rows.where("event_id % 1000 < 500 and event_id < 500"), "user_id", ("ts", "event_id"), "value")
     late = telemetry.ema(rows.where("event_id >= 500"), "user_id", ("event_id",), "value", seeds={r.user_id: r.ema for r in early.collect()})  # a row for each of fifty users
-    return late.groupBy("user_id").agg(F.max_by("ema", "event_id").alias("ema")).select("user_id", F.round("ema", 5).alias("ema"))
+    return late.groupBy("user_id").agg(F.max_by("ema", "event_id").alias("ema")).select("user_id", _steady("ema", "ema"))
 
 
 def running_metrics(spark, sf):
@@ -384,15 +396,15 @@ QUERIES = {
     ),
     "ema_by_user": (
         ema_by_user,
-        "SELECT user_id, n, round(sum(value * pow(CAST(0.99 AS DOUBLE), n - i) * CASE WHEN i = 1 THEN CAST(1 AS DOUBLE) ELSE CAST(1 AS DOUBLE) - CAST(0.99 AS DOUBLE) END), 6) AS ema FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) GROUP BY user_id, n",
+        "SELECT user_id, n, " + _steady_sql("sum(value * pow(CAST(0.99 AS DOUBLE), n - i) * CASE WHEN i = 1 THEN CAST(1 AS DOUBLE) ELSE CAST(1 AS DOUBLE) - CAST(0.99 AS DOUBLE) END)") + " FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) GROUP BY user_id, n",
     ),
     "ema_steps": (
         ema_steps,
-        "WITH r AS (SELECT event_id, user_id, CAST(value AS DOUBLE) AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events) SELECT a.event_id, round(sum(b.value * pow(CAST(0.99 AS DOUBLE), a.i - b.i) * CASE WHEN b.i = 1 THEN CAST(1 AS DOUBLE) ELSE CAST(1 AS DOUBLE) - CAST(0.99 AS DOUBLE) END), 5) AS ema FROM r a JOIN r b ON a.user_id = b.user_id AND b.i <= a.i GROUP BY a.event_id",
+        "WITH r AS (SELECT event_id, user_id, CAST(value AS DOUBLE) AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events) SELECT a.event_id, " + _steady_sql("sum(b.value * pow(CAST(0.99 AS DOUBLE), a.i - b.i) * CASE WHEN b.i = 1 THEN CAST(1 AS DOUBLE) ELSE CAST(1 AS DOUBLE) - CAST(0.99 AS DOUBLE) END)") + " FROM r a JOIN r b ON a.user_id = b.user_id AND b.i <= a.i GROUP BY a.event_id",
     ),
     "resumed_ema": (
         resumed_ema,
-        "WITH r AS (SELECT event_id, user_id, CAST(value AS DOUBLE) AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE user_id < 50) SELECT user_id, round(sum(value * pow(CAST(0.99 AS DOUBLE), n - i) * CASE WHEN i = 1 THEN CAST(1 AS DOUBLE) ELSE CAST(1 AS DOUBLE) - CAST(0.99 AS DOUBLE) END), 5) AS ema FROM r GROUP BY user_id HAVING max(event_id) >= 500",
+        "WITH r AS (SELECT event_id, user_id, CAST(value AS DOUBLE) AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE user_id < 50) SELECT user_id, " + _steady_sql("sum(value * pow(CAST(0.99 AS DOUBLE), n - i) * CASE WHEN i = 1 THEN CAST(1 AS DOUBLE) ELSE CAST(1 AS DOUBLE) - CAST(0.99 AS DOUBLE) END)") + " FROM r GROUP BY user_id HAVING max(event_id) >= 500",
     ),
     "running_metrics": (running_metrics, "SELECT event_id, row_number() OVER w AS step, avg(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS mean FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)"),
     "checkpoint_steps": (checkpoint_steps, "SELECT event_id, user_id FROM events WHERE event_id % 100 = 0 AND event_id > 0"),
