@@ -31,6 +31,8 @@ GRAM = 32
 #: Places of one anchor value up to which one task sorts their strings; beyond, digests are counted.
 OWNED = 20_000
 _STRETCH = 1 << 18
+#: A mapper sends the pieces it has gathered beyond so many bytes.
+_MAPPER_BYTES = 32 << 20
 _PLACE_BITS = 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -178,12 +180,27 @@ def _text_mapper(length: int):
 
 def _piece_mapper(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The strings assigned to repeated anchors: as one piece a place, or as digests."""
+        """The strings assigned to repeated anchors: as pieces, each with the places it was met at, or as digests."""
         import pyarrow as pa
 
         unpack = zstandard.ZstdDecompressor().decompress
-        names = ["anchor", "digest", "id", "key", "start", "piece"]
-        types = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+        names = ["anchor", "piece", "ids", "keys", "starts", "digest"]
+        types = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary()]
+        pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+        met: dict[tuple[int, bytes], tuple[list, list, list]] = {}
+        held = 0
+
+        def pieces():
+            rows, size = [], 0
+            for (value, piece), places in met.items():
+                rows.append((value, piece, *places, None))
+                size += len(piece) + 24 * len(places[0])
+                if size > 4 << 20:
+                    yield pack(rows)
+                    rows, size = [], 0
+            if rows:
+                yield pack(rows)
+
         done = None
         for batch in batches:
             rows = []
@@ -193,14 +210,25 @@ def _piece_mapper(length: int):
                 done, data, few, many = key, unpack(packed), set(few), set(many)
                 for value, first, last in zip(*(a.tolist() for a in _signed(anchors(data, length)))):
                     if value in few:
-                        rows.append((value, None, id_, key, first, data[first : last + length]))
+                        piece = data[first : last + length]
+                        places = met.get((value, piece))
+                        if places is None:
+                            places = met[value, piece] = ([], [], [])
+                            held += len(piece) + 400
+                        for column, x in zip(places, (id_, key, first)):
+                            column.append(x)
+                        held += 50
                     elif value in many:
-                        rows += [(None, hashlib.blake2b(data[p : p + length], digest_size=16).digest(), id_, key, p, None) for p in range(first, last + 1)]
+                        rows += [(None, None, [id_], [key], [p], hashlib.blake2b(data[p : p + length], digest_size=16).digest()) for p in range(first, last + 1)]
                     if len(rows) > 20_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+                        yield pack(rows)
                         rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+                yield pack(rows)
+            if held > _MAPPER_BYTES:
+                yield from pieces()
+                met, held = {}, 0
+        yield from pieces()
 
     return run
 
@@ -223,12 +251,12 @@ def _owner(length: int, keep_first: bool):
         current, places = None, []
         for batch in batches:
             rows = []
-            for value, *place in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for value, piece, ids, keys, starts in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if value != current and places:
                     rows += judge(places)
                     places = []
                 current = value
-                places.append(tuple(place))
+                places += [(i, k, p, piece) for i, k, p in zip(ids, keys, starts)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
         if places and (rows := judge(places)):
@@ -291,10 +319,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.collect_set(F.when(~F.col("many"), F.col("anchor"))).alias("few"), F.collect_set(F.when(F.col("many"), F.col("anchor"))).alias("many")
     )
     chosen = scratch.materialize(texts.select("key", "packed").join(wanted, "key").join(copies.select("key", "first_id"), "key").select(F.col("first_id").alias("id"), "key", "packed", "few", "many"), "repeat-chosen")
-    pieces = scratch.materialize(chosen.mapInArrow(_piece_mapper(length), "anchor long, digest binary, id long, key binary, start long, piece binary"), "repeat-pieces")
-    placed = pieces.where("anchor is not null").select("anchor", "id", "key", "start", "piece")
+    pieces = scratch.materialize(chosen.mapInArrow(_piece_mapper(length), "anchor long, piece binary, ids array<long>, keys array<binary>, starts array<long>, digest binary"), "repeat-pieces")
+    placed = pieces.where("anchor is not null").select("anchor", "piece", "ids", "keys", "starts")
     judged = placed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_owner(length, keep_first), "key binary, first long, last long")
-    by_digest = pieces.where("digest is not null").select("digest", F.struct(F.col("id").isNull().alias("last"), "id", "key", "start").alias("place"))
+    by_digest = pieces.where("digest is not null").select("digest", F.struct(F.col("ids")[0].isNull().alias("last"), F.col("ids")[0].alias("id"), F.col("keys")[0].alias("key"), F.col("starts")[0].alias("start")).alias("place"))
     several = by_digest.groupBy("digest").agg(F.count("*").alias("n"), F.min("place").alias("least")).where("n > 1")
     counted = by_digest.join(several, "digest").where(F.lit(not keep_first) | (F.col("place") != F.col("least"))).select("place.key", F.col("place.start").alias("first"), F.col("place.start").alias("last"))
     ranges = judged.unionAll(counted).groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
