@@ -24,7 +24,7 @@ from corpusloom.llm import scratch
 
 WINDOW = 4096
 #: Words whose ids a worker remembers.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
 
 
 # What the word tokenizer's own normaliser and splitter do on plain words, that is
