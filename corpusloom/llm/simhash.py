@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.llm import scratch
@@ -173,33 +174,7 @@ def link_runs(run: np.ndarray, values: np.ndarray, radius: int = RADIUS, parent:
             flatten()
 
 
-def pairs_in_small_runs(run: np.ndarray, values: np.ndarray, radius: int, most: int) -> list[tuple[int, int]]:
-    """All pairs within ``radius`` in runs of at most ``most`` values."""
-    count = np.bincount(run)[run]
-    where = np.flatnonzero((count > 1) & (count <= most))
-    out: list[tuple[int, int]] = []
-    if len(where):
-        found = within_radius(_planes(values[where]), run[where], 1, most - 1, radius)
-        out += zip(where[found[0]].tolist(), where[found[1]].tolist())
-    return out
-
-
-def nearest_links(run: np.ndarray, values: np.ndarray, radius: int, small: int = 6) -> list[tuple[int, int]]:
-    """Pairs to check in each run: all within ``radius`` in small runs, in others those of a spanning forest.
-
-    The forest is grown from the nearest values outwards, so that variants of one text hang on it
-    and not on each other.
-    """
-    links, parent = pairs_in_small_runs(run, values, radius, small), None
-    large = np.flatnonzero(np.bincount(run)[run] > small)
-    if len(large):
-        for r in range(4, radius + 1, 4):
-            parent, more = link_runs(run[large], values[large], r, parent)
-            links += [(int(large[a]), int(large[b])) for a, b in more]
-    return links
-
-
-def _linker(radius: int, find=lambda run, values, radius: link_runs(run, values, radius)[1]):
+def _linker(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
 
@@ -213,7 +188,7 @@ def _linker(radius: int, find=lambda run, values, radius: link_runs(run, values,
             if not several.any():
                 return None
             fp, cls, runs = fp[several], cls[several], runs[several]
-            links = np.array(find(runs, fp.view("<u8"), radius), dtype=np.int64).reshape(-1, 2)
+            links = np.array(link_runs(runs, fp.view("<u8"), radius)[1], dtype=np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(cls[links[:, 0]]), pa.array(cls[links[:, 1]])], names=["u", "v"]) if len(links) else None
 
         rows = 0
@@ -285,6 +260,12 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 BANDS, ROWS = 20, 5
 #: Fingerprint distance up to which two texts of one min-wise file are checked for their similarity.
 WIDE_RADIUS = 20
+#: Shingles of one chunk of a min-wise file; a worker holds two chunks.
+CHUNK_SHINGLES = 2_000_000
+#: What a text counts for beside its shingles.
+_TEXT_COST = 16
+#: Rows of sets that a worker gathers before it checks the whole blocks among them.
+_BLOCK_ROWS = 256
 
 
 def _sketcher(width: int):
@@ -296,10 +277,9 @@ def _sketcher(width: int):
         mul |= np.uint64(1)
         mix = np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
-            fps, keys = [], []
+            keys = []
             for text in batch.column(1).to_pylist():
                 h = shingle_hashes(text, width)
-                fps.append(simhash(h))
                 least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
                 for k in range(0, len(h), 2048):
                     x = h[k : k + 2048, None] * mul + add
@@ -311,7 +291,109 @@ def _sketcher(width: int):
                 keys.append(key.view(np.int64))
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
             offsets = np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, dtype="<u8").view("<i8")), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=["node", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=["node", "keys"])
+
+    return run
+
+
+def _runs(batches: Iterator[pa.RecordBatch], width: int, most: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns of about ``most`` rows at a time, cut only where the first ``width`` columns change."""
+    held: list[tuple[np.ndarray, ...]] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
+        rows += batch.num_rows
+        if rows > most:
+            whole = tuple(np.concatenate(c) for c in zip(*held))
+            # The last run may go on in the next batch, so it is held back.
+            cut = rows - int(np.logical_and.reduce([c == c[-1] for c in whole[:width]]).sum())
+            if cut:
+                yield tuple(c[:cut] for c in whole)
+            held, rows = [tuple(c[cut:] for c in whole)], rows - cut
+    if held:
+        yield tuple(np.concatenate(c) for c in zip(*held))
+
+
+def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``file, node`` of every file of several nodes, from rows sorted by band, key and node.
+
+    A file is named by a hash of its nodes, so that files of the same nodes become one.
+    """
+    import pyarrow as pa
+
+    mix = np.uint64(0x9E3779B97F4A7C15)
+    for t, masked, node in _runs(batches, 2, _FILED_ROWS):
+        new = np.concatenate([[True], (t[1:] != t[:-1]) | (masked[1:] != masked[:-1])])
+        fresh = new | np.concatenate([[True], node[1:] != node[:-1]])
+        run, node = (np.cumsum(new) - 1)[fresh], node[fresh]
+        count = np.bincount(run)
+        x = (node.view("<u8") ^ (node.view("<u8") >> np.uint64(31))) * mix
+        name = np.add.reduceat(x ^ (x >> np.uint64(29)), np.concatenate([[0], np.cumsum(count)[:-1]]))
+        several = count[run] > 1
+        yield pa.RecordBatch.from_arrays([pa.array(name.view("<i8")[run[several]]), pa.array(node[several])], names=["file", "node"])
+
+
+def similar_links(sets: list[np.ndarray], group: np.ndarray, similarity: float, fps: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of ``similarity`` or more that join everything which such pairs (and equal groups) connect.
+
+    Every pair is decided: it is compared, or its sets already hang together, or their sizes exclude it.
+    """
+    links: list[tuple[int, int]] = []
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    sets, group, fps = [sets[k] for k in order], np.unique(group[order], return_inverse=True)[1], fps[order]
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    members = np.split(np.argsort(group, kind="stable"), np.cumsum(np.bincount(group))[:-1])
+    mark = np.zeros(len(values), dtype=bool)
+    # The sets not reached so far, smallest first, and their shingles.
+    rest, left = np.arange(len(sets)), flat
+
+    def take(groups) -> list[int]:
+        nonlocal rest, left
+        gone = np.isin(group[rest], groups)
+        left, rest = left[np.repeat(~gone, size[rest])], rest[~gone]
+        return [int(k) for g in groups for k in members[g]]
+
+    while len(rest):
+        queue = take([group[rest[0]]])
+        while queue and len(rest):
+            i = queue.pop()
+            sizes = size[rest]
+            a, b = int(np.searchsorted(sizes, int(similarity * size[i]))), int(np.searchsorted(sizes, int(size[i] / similarity) + 1, side="right"))
+            if a == b:
+                continue
+            at = np.concatenate([[0], np.cumsum(sizes)])
+            mark[flat[ends[i] : ends[i + 1]]] = True
+            found = np.concatenate([[0], np.cumsum(mark[left[at[a] : at[b]]])])
+            mark[flat[ends[i] : ends[i + 1]]] = False
+            other, bounds = rest[a:b], at[a : b + 1] - at[a]
+            common = found[bounds[1:]] - found[bounds[:-1]]
+            good = common >= similarity * (size[i] + size[other] - common)
+            good &= np.bitwise_count(fps[i] ^ fps[other]) <= WIDE_RADIUS
+            if good.any():
+                groups, first = np.unique(group[other[good]], return_index=True)
+                links += [(int(order[i]), int(order[j])) for j in other[good][first]]
+                queue += take(groups)
+    return links
+
+
+def _checker(similarity: float):
+    """Links of every block from rows ``block, node, group, fp, set`` sorted by block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        for block, node, group, fp, sets in _runs(batches, 1, _BLOCK_ROWS):
+            links: list[tuple[int, int]] = []
+            cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if b - a > 1:
+                    links += [(node[a + i], node[a + j]) for i, j in similar_links(list(sets[a:b]), group[a:b], similarity, fp[a:b].view("<u8"))]
+            found = np.array(links, dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
 
     return run
 
@@ -321,9 +403,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts are linked when the Jaccard similarity of their sets of ``width``-word shingles is at least
     ``similarity``.  Candidates share one of :data:`BANDS` min-wise keys (two texts at 0.8 do so with
-    probability 0.9996) and pass the bit-sliced comparison of their SimHashes at :data:`WIDE_RADIUS`;
-    each is then checked exactly.  A file of up to six texts gives all its pairs; of a larger one
-    only pairs that join two groups go on, nearest first, so m texts give at most m - 1 candidates.
+    probability 0.9996) and lie within :data:`WIDE_RADIUS` bits of SimHash.  Every pair of a file is
+    decided exactly unless checked pairs already join its texts.  A file beyond
+    :data:`CHUNK_SHINGLES` is first checked by chunks, each with the same one text of the file; then the
+    chunks that hold different groups are checked against each other.
 
     Null counts as empty; word-less texts are equal to each other and form one group.  Rows that
     repeat id and text are one node.  Other columns are ignored; an empty table gives an empty result.
@@ -333,26 +416,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     id_ = docs[id_col].cast("long")
     rows = docs.select(F.xxhash64(id_, text).alias("node"), id_.alias("id"), text.alias("text"))
-    sketches = scratch.materialize(rows.select("node", "text").mapInArrow(_sketcher(width), "node long, fp long, keys array<long>"), "near-sketches")
-    filed = sketches.select("fp", "node", F.posexplode("keys").alias("t", "masked"))
-    filed = filed.repartition("t", "masked").sortWithinPartitions("t", "masked", F.xxhash64("t", "node")).select("t", "masked", "fp", "node")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(1 << 16))  # four longs a row
-    pairs = scratch.materialize(filed.mapInArrow(_linker(WIDE_RADIUS, nearest_links), "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "near-pairs")
+    sketches = scratch.materialize(rows.select("node", "text").mapInArrow(_sketcher(width), "node long, keys array<long>"), "near-sketches")
+    filed = sketches.select("node", F.posexplode("keys").alias("t", "masked"))
+    filed = filed.repartition("t", "masked").sortWithinPartitions("t", "masked", "node").select("t", "masked", "node")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(1 << 16))  # three longs a row
+    files = scratch.materialize(filed.mapInArrow(_files, "file long, node long").distinct(), "near-files")
     scratch.prepare(spark)
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
 
         for batch in batches:
-            hashes = [np.unique(shingle_hashes(t, width)).view("<i8") for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hashes, pa.list_(pa.int64()))], names=["node", "id", "set"])
-
-    involved = scratch.materialize(rows.join(nodes, "node", "left_semi").select("node", "id", "text").mapInArrow(sets, "node long, id long, set array<long>").dropDuplicates(["node"]), "near-sets")
-    left, right = (involved.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}")) for c in ("u", "v"))
-    common = F.size(F.array_intersect("set_u", "set_v"))
-    whole = F.size("set_u") + F.size("set_v") - common
-    linked = pairs.join(left, "u").join(right, "v").where(common >= F.lit(similarity) * whole).select("u", "v")
-    members = connected_components(linked)
+            hashes = [shingle_hashes(t, width) for t in batch.column(2).to_pylist()]
+            fps = pa.array(np.array([simhash(h) for h in hashes], dtype="<u8").view("<i8"))
+            hashes = [np.unique(h).view("<i8") for h in hashes]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps, pa.array(hashes, pa.list_(pa.int64()))], names=["node", "id", "fp", "set"])
+
+    involved = rows.join(files.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    involved = scratch.materialize(involved.select("node", "id", "text").mapInArrow(sets, "node long, id long, fp long, set array<long>"), "near-sets")
+
+    def check(blocks: DataFrame) -> DataFrame:
+        held = blocks.join(involved.select("node", "fp", "set"), "node").select("block", "node", "group", "fp", "set")
+        return held.repartition("block").sortWithinPartitions("block").mapInArrow(_checker(similarity), "u long, v long")
+
+    sized = files.join(involved.select("node", (F.size("set") + _TEXT_COST).alias("cost")), "node")
+    cut = lambda *by: F.floor((F.sum("cost").over(W.partitionBy("file").orderBy(*by, "cost", "node").rowsBetween(W.unboundedPreceding, 0)) - F.col("cost")) / CHUNK_SHINGLES)
+    whole = sized.groupBy("file").agg(F.sum("cost").alias("all"), F.min("node").alias("pivot"))
+    large = scratch.materialize(whole.where(F.col("all") > CHUNK_SHINGLES), "near-large")
+    small = sized.join(large, "file", "left_anti").select(F.col("file").alias("block"), "node", F.col("node").alias("group"))
+    links = scratch.materialize(check(small), "near-links")
+    if not large.isEmpty():
+        chunked = sized.join(large, "file").withColumn("chunk", cut())
+        named = lambda *by: F.xxhash64("file", *by)
+        pivots = chunked.select("file", "chunk", F.col("pivot").alias("node")).distinct()
+        blocks = chunked.select("file", "chunk", "node").unionAll(pivots).distinct().select(named("chunk").alias("block"), "node", F.col("node").alias("group"))
+        links = scratch.materialize(links.unionAll(check(blocks)), "near-links")
+        members = connected_components(links).withColumnRenamed("component", "group")
+        grouped = sized.join(large, "file", "left_semi").join(members, "node", "left").withColumn("group", F.coalesce("group", "node"))
+        grouped = scratch.materialize(grouped.withColumn("chunk", cut("group")), "near-chunks")
+        chunks = grouped.groupBy("file", "chunk").agg(F.min("group").alias("low"), F.max("group").alias("high"))
+        other = chunks.select("file", F.col("chunk").alias("after"), F.col("low").alias("low_"), F.col("high").alias("high_"))
+        undecided = chunks.join(other, "file").where((F.col("chunk") <= F.col("after")) & (F.least("low", "low_") < F.greatest("high", "high_")))
+        undecided = undecided.select("file", named("chunk", "after").alias("block"), F.explode(F.array_distinct(F.array("chunk", "after"))).alias("chunk"))
+        links = scratch.materialize(links.unionAll(check(grouped.join(undecided, ["file", "chunk"]).select("block", "node", "group"))), "near-links")
+    members = connected_components(links)
     members = members.unionAll(members.select(F.col("component").alias("node"), "component").distinct())
     return members.join(involved.select("node", "id"), "node").select("node", "id", "component")

@@ -161,6 +161,68 @@ def test_near_duplicates_recall_is_that_of_brute_force(spark):
     assert found == expected
 
 
+def _true_groups(texts, width=5):
+    sets = [{tuple(t[k : k + width]) for k in range(len(t) - width + 1)} for t in texts]
+    return _groups(list(range(len(sets))), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+
+
+def _near_groups(spark, texts):
+    """The smallest index of each text's group, as found."""
+    found = list(range(len(texts)))
+    members = collections.defaultdict(list)
+    for r in collect(S.near_duplicates(frame(spark, [(i, " ".join(t), "", "") for i, t in enumerate(texts)]))):
+        members[r["component"]].append(r["id"])
+    for ids in members.values():
+        for i in ids:
+            found[i] = min(ids)
+    return found
+
+
+def _template(pairs, singles):
+    """Texts of 100 shingles that share 85 or so: planted pairs above 0.8, all others below."""
+    import random
+
+    rng = random.Random(pairs)
+    shared = [f"s{k}" for k in range(89)]
+    own = lambda: [f"o{rng.randrange(10**9)}" for _ in range(15)]
+    out = []
+    for _ in range(pairs):
+        tail = own()
+        out += [shared + tail, shared + tail[:5] + own()[:10]]
+    out += [shared + own() for _ in range(singles)]
+    rng.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("pairs, singles", [(20, 10), (150, 50)])
+def test_near_duplicates_of_a_template_match_brute_force(spark, pairs, singles):
+    """Most pairs of a file fail the exact check; none may keep another from being checked."""
+    texts = _template(pairs, singles)
+    expected = _true_groups(texts)
+    assert len(set(expected)) == pairs + singles
+    assert _near_groups(spark, texts) == expected
+
+
+def test_near_duplicates_in_chunks_match_brute_force(spark, monkeypatch):
+    """A file beyond one chunk is decided as a whole, also between its chunks."""
+    texts = _template(30, 10) + [[f"c{k}" for k in range(100)] + [f"x{j}"] for j in range(40)]
+    monkeypatch.setattr(S, "CHUNK_SHINGLES", 1000)
+    assert _near_groups(spark, texts) == _true_groups(texts)
+
+
+def test_similar_links_connect_what_brute_force_connects():
+    rng = np.random.default_rng(1)
+    for n in (2, 3, 40):
+        sets = [np.unique(rng.integers(0, 30, rng.integers(0, 30))) for _ in range(n)]
+        group = rng.integers(0, n, n)
+        near = lambda i, j: len(np.intersect1d(sets[i], sets[j])) >= 0.5 * len(np.union1d(sets[i], sets[j]))
+        links = S.similar_links(sets, group, 0.5, np.zeros(n, dtype="<u8"))
+        assert all(near(i, j) for i, j in links)
+        linked = {(min(p), max(p)) for p in links}
+        whole = _groups(list(range(n)), lambda i, j: near(i, j) or group[i] == group[j])
+        assert _groups(list(range(n)), lambda i, j: (min(i, j), max(i, j)) in linked or group[i] == group[j]) == whole
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(0, 50)] + [(1000, 1000 + k) for k in range(1, 60)] + [(5, 5)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
