@@ -258,8 +258,6 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 #: Min-wise files for pairs beyond the fingerprint radius: bands, and minima joined in one band's key.
 BANDS, ROWS = 20, 5
-#: Fingerprint distance up to which two texts of one min-wise file are checked for their similarity.
-WIDE_RADIUS = 20
 #: Shingles of one chunk of a min-wise file; a worker holds two chunks.
 CHUNK_SHINGLES = 2_000_000
 #: What a text counts for beside its shingles.
@@ -335,14 +333,14 @@ def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(name.view("<i8")[run[several]]), pa.array(node[several])], names=["file", "node"])
 
 
-def similar_links(sets: list[np.ndarray], group: np.ndarray, similarity: float, fps: np.ndarray) -> list[tuple[int, int]]:
+def similar_links(sets: list[np.ndarray], group: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     """Pairs of ``similarity`` or more that join everything which such pairs (and equal groups) connect.
 
     Every pair is decided: it is compared, or its sets already hang together, or their sizes exclude it.
     """
     links: list[tuple[int, int]] = []
     order = np.argsort([len(s) for s in sets], kind="stable")
-    sets, group, fps = [sets[k] for k in order], np.unique(group[order], return_inverse=True)[1], fps[order]
+    sets, group = [sets[k] for k in order], np.unique(group[order], return_inverse=True)[1]
     size = np.array([len(s) for s in sets], dtype=np.int64)
     values, flat = np.unique(np.concatenate(sets), return_inverse=True)
     ends = np.concatenate([[0], np.cumsum(size)])
@@ -372,7 +370,6 @@ def similar_links(sets: list[np.ndarray], group: np.ndarray, similarity: float,
             other, bounds = rest[a:b], at[a : b + 1] - at[a]
             common = found[bounds[1:]] - found[bounds[:-1]]
             good = common >= similarity * (size[i] + size[other] - common)
-            good &= np.bitwise_count(fps[i] ^ fps[other]) <= WIDE_RADIUS
             if good.any():
                 groups, first = np.unique(group[other[good]], return_index=True)
                 links += [(int(order[i]), int(order[j])) for j in other[good][first]]
@@ -381,17 +378,17 @@ def similar_links(sets: list[np.ndarray], group: np.ndarray, similarity: float,
 
 
 def _checker(similarity: float):
-    """Links of every block from rows ``block, node, group, fp, set`` sorted by block."""
+    """Links of every block from rows ``block, node, group, set`` sorted by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
 
-        for block, node, group, fp, sets in _runs(batches, 1, _BLOCK_ROWS):
+        for block, node, group, sets in _runs(batches, 1, _BLOCK_ROWS):
             links: list[tuple[int, int]] = []
             cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if b - a > 1:
-                    links += [(node[a + i], node[a + j]) for i, j in similar_links(list(sets[a:b]), group[a:b], similarity, fp[a:b].view("<u8"))]
+                    links += [(node[a + i], node[a + j]) for i, j in similar_links(list(sets[a:b]), group[a:b], similarity)]
             found = np.array(links, dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
 
@@ -403,8 +400,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts are linked when the Jaccard similarity of their sets of ``width``-word shingles is at least
     ``similarity``.  Candidates share one of :data:`BANDS` min-wise keys (two texts at 0.8 do so with
-    probability 0.9996) and lie within :data:`WIDE_RADIUS` bits of SimHash.  Every pair of a file is
-    decided exactly unless checked pairs already join its texts.  A file beyond
+    probability 0.9996).  Every pair of a file is decided exactly on the sets unless checked pairs
+    already join its texts; no fingerprint distance drops one.  A file beyond
     :data:`CHUNK_SHINGLES` is first checked by chunks, each with the same one text of the file; then the
     chunks that hold different groups are checked against each other.
 
@@ -427,16 +424,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         import pyarrow as pa
 
         for batch in batches:
-            hashes = [shingle_hashes(t, width) for t in batch.column(2).to_pylist()]
-            fps = pa.array(np.array([simhash(h) for h in hashes], dtype="<u8").view("<i8"))
-            hashes = [np.unique(h).view("<i8") for h in hashes]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps, pa.array(hashes, pa.list_(pa.int64()))], names=["node", "id", "fp", "set"])
+            hashes = [np.unique(shingle_hashes(t, width)).view("<i8") for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hashes, pa.list_(pa.int64()))], names=["node", "id", "set"])
 
     involved = rows.join(files.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    involved = scratch.materialize(involved.select("node", "id", "text").mapInArrow(sets, "node long, id long, fp long, set array<long>"), "near-sets")
+    involved = scratch.materialize(involved.select("node", "id", "text").mapInArrow(sets, "node long, id long, set array<long>"), "near-sets")
 
     def check(blocks: DataFrame) -> DataFrame:
-        held = blocks.join(involved.select("node", "fp", "set"), "node").select("block", "node", "group", "fp", "set")
+        held = blocks.join(involved.select("node", "set"), "node").select("block", "node", "group", "set")
         return held.repartition("block").sortWithinPartitions("block").mapInArrow(_checker(similarity), "u long, v long")
 
     sized = files.join(involved.select("node", (F.size("set") + _TEXT_COST).alias("cost")), "node")

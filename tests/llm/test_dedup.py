@@ -203,6 +203,15 @@ def test_near_duplicates_of_a_template_match_brute_force(spark, pairs, singles):
     assert _near_groups(spark, texts) == expected
 
 
+def test_near_duplicates_that_repeat_a_passage(spark):
+    """Equal sets of shingles are linked however often a text repeats a passage."""
+    texts = []
+    for k in range(20):
+        words, passage = [f"a{k}_{j}" for j in range(200)], [f"p{k}_{j}" for j in range(5)]
+        texts += [words + passage * 2, words + passage * 1000]
+    assert _near_groups(spark, texts) == _true_groups(texts) == [k - k % 2 for k in range(40)]
+
+
 def test_near_duplicates_in_chunks_match_brute_force(spark, monkeypatch):
     """A file beyond one chunk is decided as a whole, also between its chunks."""
     texts = _template(30, 10) + [[f"c{k}" for k in range(100)] + [f"x{j}"] for j in range(40)]
@@ -216,7 +225,7 @@ def test_similar_links_connect_what_brute_force_connects():
         sets = [np.unique(rng.integers(0, 30, rng.integers(0, 30))) for _ in range(n)]
         group = rng.integers(0, n, n)
         near = lambda i, j: len(np.intersect1d(sets[i], sets[j])) >= 0.5 * len(np.union1d(sets[i], sets[j]))
-        links = S.similar_links(sets, group, 0.5, np.zeros(n, dtype="<u8"))
+        links = S.similar_links(sets, group, 0.5)
         assert all(near(i, j) for i, j in links)
         linked = {(min(p), max(p)) for p in links}
         whole = _groups(list(range(n)), lambda i, j: near(i, j) or group[i] == group[j])
