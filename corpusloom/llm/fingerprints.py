@@ -4,10 +4,12 @@ A text's terms are its five-word shingles, weighted by how often they occur.  Fo
 S, with r and c from a Gamma(2, 1) distribution and b uniform, all fixed by the term, the sample is
 t = floor(ln S / r + b), and its rank ln c - r (t - b) - r; the term and t of the smallest rank
 are kept.  Two weighted sets keep the same sample with the probability of their generalised Jaccard
-similarity.  The terms are divided by hash into strata and one sample is drawn in each, so a term
-costs one draw, and the share of strata that agree estimates the similarity.  Strata count alike,
-so for texts with far fewer terms than strata and unequal weights the estimate leans towards the
-mean of the terms' own similarities; terms of weight 1, as shingles mostly are, have no such bias.
+similarity.  Each of a term's occurrences is dealt by hash of term and number to one of the strata,
+so that a stratum holds a part of the weight of each term, and one sample is drawn in each stratum.
+The occurrences that two texts share are the same in both, so every stratum with terms agrees with
+the expected probability of the generalised Jaccard similarity of the whole texts, whatever the
+weights, and the share of strata that agree estimates it.  A text costs one draw at most for each
+of its occurrences, as opposed to one for each term and stratum.
 """
 
 from __future__ import annotations
@@ -43,8 +45,18 @@ def _draw(term: Column, weight: Column) -> Column:
     digest = F.when(once | (t == 0), term).otherwise(F.xxhash64(term, t)).bitwiseAND(F.lit((1 << 24) - 1))
     # Ranks beyond the range would be astronomically rare and only tie.
     place = ((F.greatest(F.least(rank, F.lit(250.0)), F.lit(-250.0)) + 256.0) * 4194304.0).cast("long")
-    stratum = F.shiftrightunsigned(F.xxhash64(term, F.lit(3)), 57).bitwiseAND(F.lit(STRATA - 1))
-    return F.shiftleft(stratum, 56).bitwiseOR(F.shiftleft(place, 24)).bitwiseOR(digest)
+    return F.shiftleft(_stratum(term), 56).bitwiseOR(F.shiftleft(place, 24)).bitwiseOR(digest)
+
+
+def _dealt(term: Column, number: Column) -> Column:
+    """Term within its stratum, which is the highest bits, for the occurrence of that number."""
+    stratum = F.xxhash64(term, F.lit(3), number).bitwiseAND(F.lit(STRATA - 1))
+    bits = STRATA.bit_length() - 1
+    return F.shiftleft(stratum, 64 - bits).bitwiseOR(F.shiftrightunsigned(F.xxhash64(term, F.lit(4), stratum), bits))
+
+
+def _stratum(dealt: Column) -> Column:
+    return F.shiftrightunsigned(dealt, 64 - (STRATA.bit_length() - 1))
 
 
 def with_signature(df: DataFrame, text: str, out: str, width: int = WIDTH) -> DataFrame:
@@ -63,7 +75,11 @@ def with_signature(df: DataFrame, text: str, out: str, width: int = WIDTH) -> Da
     df = df.withColumn(c("sorted"), F.sort_array(terms)).drop(c("hashes"))
     starts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
     df = df.withColumn(c("starts"), starts)
-    draws = F.transform(p, lambda at, j: _draw(F.get(s, at), F.coalesce(F.get(p, j + 1), F.size(s)) - at))
+    count = lambda at, j: F.coalesce(F.get(p, j + 1), F.size(s)) - at
+    dealt = F.flatten(F.transform(p, lambda at, j: F.transform(F.sequence(F.lit(0), count(at, j) - 1), lambda k: _dealt(F.get(s, at), k))))
+    df = df.withColumn(c("dealt"), F.sort_array(dealt)).drop(c("sorted"), c("starts"))
+    df = df.withColumnRenamed(c("dealt"), c("sorted")).withColumn(c("starts"), starts)
+    draws = F.transform(p, lambda at, j: _draw(F.get(s, at), count(at, j)))
     df = df.withColumn(c("draws"), F.sort_array(draws)).drop(c("sorted"), c("starts"))
     d = F.col(c("draws"))
     first = F.filter(d, lambda x, i: (i == 0) | (F.shiftright(x, 56) != F.shiftright(F.get(d, i - 1), 56)))

@@ -205,6 +205,19 @@ def test_collision_rate_is_weighted_jaccard(spark):
     assert abs(np.mean(got) - np.mean(true)) < 0.03
 
 
+def test_collision_rate_of_few_heavy_terms(spark):
+    """Heavy terms count by their weight, not as one stratum each: 0.14 here, where the unweighted mean is near 1."""
+    rows = []
+    for k in range(20):
+        shared = [f"s{k}_{j}" for j in range(640)]
+        rows.append((k, *(" ".join(shared + [f"{side}{k}_{j}" for j in range(10) for _ in range(200)]) for side in "ab")))
+    true = _jaccard(collections.Counter(rows[0][1].split()[640:]) + collections.Counter(range(640)), collections.Counter(rows[0][2].split()[640:]) + collections.Counter(range(640)))
+    df = spark.createDataFrame(rows, "k long, a string, b string")
+    df = fingerprints.with_signature(fingerprints.with_signature(df, "a", "sa", width=1), "b", "sb", width=1)
+    got = [r.s for r in df.select(fingerprints.likeness("sa", "sb").alias("s")).collect()]
+    assert true < 0.14 < true + 0.01 and abs(np.mean(got) - true) < 0.04
+
+
 # --- secrets -----------------------------------------------------------------------------------
 
 SECRETS = [
