@@ -27,13 +27,19 @@ def final_ema(rows: DataFrame, key: str, order: tuple[str, ...], value: str, bet
     return ranked.join(counts, key).groupBy(key).agg(F.max("n").alias("n"), F.sum(F.col(value) * weight).alias("ema"))
 
 
-def ema(rows: DataFrame, key: str, order: tuple[str, ...], value: str, beta: float = BETA, seeds: dict | None = None) -> DataFrame:
+def ema(rows: DataFrame, key: str, order: tuple[str, ...], value: str, beta: float = BETA, seeds: dict | DataFrame | None = None) -> DataFrame:
     """Every step of the average as column ``ema``; ``seeds`` resumes keys from an earlier average.
 
-    Sorted partitions are streamed with one number of state, so a key of any length fits.
+    Sorted partitions are streamed with one number of state, so a key of any length fits.  Seeds
+    for many keys are a table of the key and ``ema`` and are joined to the rows.
     """
-    seeds = dict(seeds or {})
     columns = [*dict.fromkeys([key, *order, value])]
+    dealt = rows.select(*columns).withColumn(value, F.col(value).cast("double"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields)
+    if isinstance(seeds, DataFrame):
+        dealt, seeds = dealt.join(seeds.select(key, F.col("ema").alias("_seed")), key, "left").select(*columns, "_seed"), None
+    else:
+        dealt, seeds = dealt.withColumn("_seed", F.lit(None).cast("double")), dict(seeds or {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
@@ -42,17 +48,15 @@ def ema(rows: DataFrame, key: str, order: tuple[str, ...], value: str, beta: flo
         at, what = columns.index(key), columns.index(value)
         for batch in batches:
             out = []
-            for k, x in zip(batch.column(at).to_pylist(), batch.column(what).to_pylist()):
+            for k, x, seed in zip(batch.column(at).to_pylist(), batch.column(what).to_pylist(), batch.column(len(columns)).to_pylist()):
                 if k != current:
-                    current, state = k, seeds.get(k)
+                    current, state = k, seed if seeds is None else seeds.get(k)
                 if x is not None:
                     state = x if state is None else beta * state + (1 - beta) * x
                 out.append(state)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*columns, "ema"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(out, pa.float64())], names=[*columns, "ema"])
 
-    dealt = rows.select(*columns).withColumn(value, F.col(value).cast("double")).repartition(key).sortWithinPartitions(key, *order)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields)
-    return dealt.mapInArrow(run, schema + ", ema double")
+    return dealt.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema + ", ema double")
 
 
 def running_mean(rows: DataFrame, key: str, order: tuple[str, ...], value: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import vectors as V
@@ -136,12 +137,19 @@ def ema_steps(spark, sf):
     return telemetry.ema(rows, "user_id", ("event_id",), "value").select("event_id", _steady("ema", "ema"))
 
 
+def resumed_ema_all(spark, sf):
+    """The average of the later half of each user's events, resumed from that of the earlier; equal to the uninterrupted one."""
+    user = W.partitionBy("user_id")
+    rows = table(spark, sf, "events").select("user_id", "event_id", "value")
+    rows = rows.withColumn("late", F.row_number().over(user.orderBy("event_id")) > F.floor(F.count("*").over(user) / 2))
+    early = telemetry.final_ema(rows.where("not late"), "user_id", ("event_id",), "value")
+    late = telemetry.ema(rows.where("late"), "user_id", ("event_id",), "value", seeds=early)
+    return late.groupBy("user_id").agg(F.max_by("ema", "event_id").alias("ema"), F.max("event_id").alias("last")).select("user_id", _steady("ema", "ema"), "last")
+
+
 def resumed_ema(spark, sf):
-    """The average of the later half of the events, resumed from that of the earlier; equal to the uninterrupted one."""
-    rows = table(spark, sf, "events").where("user_id < 50").select("user_id", "ts", "event_id", "value")
-    early = telemetry.final_ema(rows.where("event_id % 1000 < 500 and event_id < 500"), "user_id", ("ts", "event_id"), "value")
-    late = telemetry.ema(rows.where("event_id >= 500"), "user_id", ("event_id",), "value", seeds={r.user_id: r.ema for r in early.collect()})  # a row for each of fifty users
-    return late.groupBy("user_id").agg(F.max_by("ema", "event_id").alias("ema")).select("user_id", _steady("ema", "ema"))
+    """Of :func:`resumed_ema_all` the users that the SQL lists."""
+    return resumed_ema_all(spark, sf).where("user_id < 50 and last >= 500").drop("last")
 
 
 def running_metrics(spark, sf):
@@ -406,6 +414,10 @@ QUERIES = {
         resumed_ema,
         "WITH r AS (SELECT event_id, user_id, CAST(value AS DOUBLE) AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE user_id < 50) SELECT user_id, " + _steady_sql("sum(value * pow(CAST(0.99 AS DOUBLE), n - i) * CASE WHEN i = 1 THEN CAST(1 AS DOUBLE) ELSE CAST(1 AS DOUBLE) - CAST(0.99 AS DOUBLE) END)") + " FROM r GROUP BY user_id HAVING max(event_id) >= 500",
     ),
+    "resumed_ema_all": (
+        resumed_ema_all,
+        "WITH r AS (SELECT event_id, user_id, CAST(value AS DOUBLE) AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT user_id, " + _steady_sql("sum(value * pow(CAST(0.99 AS DOUBLE), n - i) * CASE WHEN i = 1 THEN CAST(1 AS DOUBLE) ELSE CAST(1 AS DOUBLE) - CAST(0.99 AS DOUBLE) END)") + ", max(event_id) AS last FROM r GROUP BY user_id",
+    ),
     "running_metrics": (running_metrics, "SELECT event_id, row_number() OVER w AS step, avg(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS mean FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)"),
     "checkpoint_steps": (checkpoint_steps, "SELECT event_id, user_id FROM events WHERE event_id % 100 = 0 AND event_id > 0"),
     "lr_schedule_abs": (
