@@ -125,3 +125,13 @@ def test_generation():
     assert [e["type"] for e in events] == ["token"] * 10 + ["end"] and len(events[-1]["new_ids"]) == 4
     assert "".join(e["text"] for e in events[:-1]) == "".join(map(str, events[-1]["generated_ids"]))
     assert list(generate(model, [1], 10, 4, set(range(9)), str))[0]["generated_ids"] == []
+
+
+def test_training_goes_over_the_whole_epoch(spark, tmp_path):
+    from corpusloom.plans import numeric_queries
+
+    rng = np.random.default_rng(2)
+    rows = [(k, int(k % 10), rng.normal(size=64).tolist()) for k in range(1100)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = numeric_queries.train_steps(spark, str(tmp_path)).collect()
+    assert [r.step for r in got] == [0, 1, 2, 3, 4]  # 4 batches of 256 and one of 76
