@@ -262,17 +262,17 @@ def _repeats(rows, length, keep_first):
     return out
 
 
-@pytest.mark.parametrize("owned", [R.OWNED, 0])
-def test_repeats_match_brute_force(spark, owned):
+@pytest.mark.parametrize("owner_bytes", [R.OWNER_BYTES, 400, 0])
+def test_repeats_match_brute_force(spark, owner_bytes):
     rows = [r for r in documents() if r[0] not in (20,)]
-    got = collect(R.remove_repeats(frame(spark, rows), length=60, keep_first=False, owned=owned))
+    got = collect(R.remove_repeats(frame(spark, rows), length=60, keep_first=False, owner_bytes=owner_bytes))
     assert collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == _repeats(rows, 60, False)
 
 
-@pytest.mark.parametrize("owned", [R.OWNED, 0])
-def test_repeats_keep_the_first(spark, owned):
+@pytest.mark.parametrize("owner_bytes", [R.OWNER_BYTES, 400, 0])
+def test_repeats_keep_the_first(spark, owner_bytes):
     rows = [r for r in documents() if r[0] not in (14, 20, 21)]
-    got = collect(R.remove_repeats(frame(spark, rows), length=60, keep_first=True, owned=owned))
+    got = collect(R.remove_repeats(frame(spark, rows), length=60, keep_first=True, owner_bytes=owner_bytes))
     assert collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == _repeats(rows, 60, True)
 
 
@@ -283,13 +283,45 @@ def test_repeats_very_long_and_empty(spark):
     assert collect(R.remove_repeats(frame(spark, []))) == []
 
 
-def test_longest_previous_factors():
-    text = b"abaabab"
-    suffixes = [text[k:] for k in range(len(text))]
-    common = lambda a, b: max(k for k in range(min(len(a), len(b)) + 1) if a[:k] == b[:k])
-    order = R.suffix_order(suffixes)
-    got = R.longest_previous_factors(order, [common(suffixes[a], suffixes[b]) for a, b in zip(order, order[1:])])
-    assert got == [max((common(suffixes[i], suffixes[j]) for j in range(i)), default=0) for i in range(len(text))]
+def test_repeats_of_a_passage_that_very_many_texts_share(spark):
+    """One anchor with more than 20,000 places and as many distinct pieces, split by longer grams."""
+    rng = np.random.default_rng(5)
+    passage = "".join(chr(c) for c in rng.integers(97, 123, 230))
+    around = lambda: "".join(chr(c) for c in rng.integers(97, 123, 30))
+    rows = [(k, around() + passage + around(), "en", "a") for k in range(20_500)]
+    got = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    got = R.remove_repeats(got, keep_first=False, owner_bytes=1 << 18)
+    expected = _repeats(rows, 200, False)
+    assert collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in collect(got)) == expected
+
+
+def _shared(a, b, most):
+    return next((k for k in range(most) if a[k] != b[k]), most)
+
+
+@pytest.mark.parametrize("length", [40, 60, 200])
+def test_suffix_arrays_and_factors_match_brute_force(length):
+    rng = np.random.default_rng(length)
+    pieces = [bytes(rng.integers(97, 99, rng.integers(length, length + 60), dtype=np.uint8)) for _ in range(12)]
+    pieces = list(dict.fromkeys([*pieces, pieces[0][3:] + b"x" * 3, pieces[1][:length], pieces[2][-length:]]))
+    suffixes = [p[k : k + length] for p in pieces for k in range(len(p) - length + 1)]
+    order, shared = R.suffix_array(pieces, length)
+    expected = sorted(range(len(suffixes)), key=lambda k: (suffixes[k], k))
+    assert order.tolist() == expected
+    assert shared.tolist() == [_shared(suffixes[a], suffixes[b], length) for a, b in zip(expected, expected[1:])]
+    factors = R.longest_previous_factors(order.tolist(), shared.tolist())
+    assert all(factors[i] == max((_shared(suffixes[i], suffixes[j], length) for j in range(i)), default=0) for i in range(len(suffixes)))
+    for keep_first in (False, True):
+        flags = np.concatenate(R.repeated_starts(pieces, length, keep_first)).tolist()
+        assert flags == [(s in suffixes[:k]) if keep_first else suffixes.count(s) > 1 for k, s in enumerate(suffixes)]
+
+
+@pytest.mark.parametrize("gram", [32, 117, 200])
+def test_gram_hashes_depend_on_the_gram_only(gram):
+    data = bytes(np.random.default_rng(gram).integers(97, 99, 400, dtype=np.uint8)) * 2
+    hashes = R._gram_hashes(np.frombuffer(data, np.uint8), gram).tolist()
+    assert len(hashes) == len(data) - gram + 1
+    assert len(set(zip(hashes, (data[k : k + gram] for k in range(len(hashes)))))) == len(set(hashes)) < len(hashes)
 
 
 def test_anchors_cover_every_start_and_depend_on_content_only(monkeypatch):
