@@ -5,8 +5,9 @@ permuted by their place, by multiplication; a text bundles the vectors of its tr
 a language's prototype bundles those of all its training texts.  A text's language is that of the
 prototype with the largest cosine.
 
-Letters are filed under a fixed number of codes, so there is a fixed number of trigrams and a text
-is summed up by their counts; the vectors are only touched once per distinct trigram of a text.
+A letter's vector is drawn from its code point, so there is no table of letters and no limit to the
+scripts.  A text is summed up by the counts of its trigrams, and the vectors are touched once per
+distinct trigram of a batch.
 """
 
 from __future__ import annotations
@@ -22,132 +23,170 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import scratch
 
-DIMENSIONS = 512
-#: Letter codes; code 0 is the gap between words.
-CODES = 48
-TRIGRAMS = CODES**3
+DIMENSIONS = 1024
 UNKNOWN = "und"
-_SEED = 7
+#: Share of the cosine that a text of a learned language is expected to reach, below which a text is of none.
+LEAST_LIKENESS = 0.2
+_SEED = np.uint64(0x9E3779B97F4A7C15)
 _STRETCH = 1 << 20
+_POINT_BITS = 21
+#: Trigrams whose vectors are held at once.
+_HELD = 1 << 14
 
 
 @lru_cache(1)
-def _letter_codes() -> np.ndarray:
-    """Code of each code point: a-z in order, other letters spread over the remaining codes, all else 0."""
-    codes = np.zeros(0x110000, dtype=np.int32)
+def _letters() -> np.ndarray:
+    """The lower-case letter of each code point that is one, else 0, the gap between words."""
+    out = np.zeros(0x110000, dtype=np.int64)
     for point in range(0x110000):
         c = chr(point)
         if c.isalpha():
-            low = ord(c.lower()[0])
-            codes[point] = low - 96 if 97 <= low <= 122 else 27 + (low * 2654435761 >> 7) % (CODES - 27)
-    return codes
+            out[point] = ord(c.lower()[0])
+    return out
 
 
-@lru_cache(1)
-def trigram_vectors() -> np.ndarray:
-    """(trigrams, dimensions) of +1 and -1 as int8."""
-    letters = np.random.default_rng(_SEED).choice(np.array([-1, 1], dtype=np.int8), (CODES, DIMENSIONS))
-    first, second = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1)
-    return (first[:, None, None] * second[None, :, None] * letters[None, None, :]).reshape(TRIGRAMS, DIMENSIONS)
+def letter_vectors(points: np.ndarray) -> np.ndarray:
+    """(points, dimensions) of +1 and -1 as int8, from a mixing function of the code point alone."""
+    words = points.astype(np.uint64)[:, None] * np.uint64(DIMENSIONS) + np.arange(DIMENSIONS // 64, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        x = (words + np.uint64(1)) * _SEED
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+    bits = np.unpackbits(x.astype("<u8").view(np.uint8), axis=1, bitorder="little")
+    return (bits * np.int8(2) - np.int8(1)).astype(np.int8)
+
+
+def trigram_vectors(grams: np.ndarray) -> np.ndarray:
+    """(trigrams, dimensions): the letters' vectors, turned by their place, multiplied."""
+    mask = (1 << _POINT_BITS) - 1
+    letters, place = np.unique(np.concatenate([grams >> 2 * _POINT_BITS, grams >> _POINT_BITS & mask, grams & mask]), return_inverse=True)
+    last = letter_vectors(letters)
+    first, second = np.roll(last, 2, axis=1), np.roll(last, 1, axis=1)
+    a, b, c = np.split(place, 3)
+    return first[a] * second[b] * last[c]
 
 
 def trigram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct trigrams of ``text`` that hold a letter, and how often each occurs."""
-    total = None
+    found: list[tuple[np.ndarray, np.ndarray]] = []
     text = text or ""
     for k in range(0, len(text), _STRETCH):  # stretches overlap by two places, so no trigram is lost
         part = text[max(0, k - 2) : k + _STRETCH]
-        points = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-        codes = _letter_codes()[points]
+        codes = _letters()[np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype="<u4")]
         if k == 0:
             codes = np.concatenate([[0], codes])
         if k + _STRETCH >= len(text):
             codes = np.concatenate([codes, [0]])
         if len(codes) < 3:
             continue
-        grams = (codes[:-2] * CODES + codes[1:-1]) * CODES + codes[2:]
-        ids, counts = np.unique(grams[grams > 0], return_counts=True)
-        if total is None and k + _STRETCH >= len(text):
-            return ids, counts
-        total = np.zeros(TRIGRAMS, dtype=np.int64) if total is None else total
-        total[ids] += counts
-    if total is None:
+        grams = (codes[:-2] << 2 * _POINT_BITS) | (codes[1:-1] << _POINT_BITS) | codes[2:]
+        found.append(np.unique(grams[grams > 0], return_counts=True))
+    if len(found) == 1:
+        return found[0]
+    if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    ids = np.flatnonzero(total)
-    return ids, total[ids]
+    ids, place = np.unique(np.concatenate([i for i, _ in found]), return_inverse=True)
+    return ids, np.bincount(place, weights=np.concatenate([n for _, n in found])).astype(np.int64)
 
 
-def _bundle(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    # Square roots keep a repeated line from outweighing the rest of a text.
-    return np.sqrt(counts).astype(np.float32) @ trigram_vectors()[ids].astype(np.float32)
+def bundles(counted: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """(texts, dimensions): for each text the sum of its trigrams' vectors, each as often as it occurs."""
+    out = np.zeros((len(counted), DIMENSIONS), dtype=np.float32)
+    all_ids = np.unique(np.concatenate([i for i, _ in counted])) if counted else np.empty(0, np.int64)
+    for k in range(0, len(all_ids), _HELD):
+        held = all_ids[k : k + _HELD]
+        table = trigram_vectors(held)
+        for row, (ids, counts) in enumerate(counted):
+            a, b = np.searchsorted(ids, [held[0], held[-1] + 1])
+            if a < b:
+                out[row] += counts[a:b].astype(np.float32) @ table[np.searchsorted(held, ids[a:b])].astype(np.float32)
+    return out
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Trigram counts by language over one partition: at most TRIGRAMS numbers a language."""
+    """Bundles by language over one partition: a number for each language and dimension, and one for the trigrams."""
     import pyarrow as pa
 
     totals: dict[str, np.ndarray] = {}
     for batch in batches:
+        by_lang: dict[str, list] = {}
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ids, counts = trigram_counts(text)
-            if len(ids):
-                totals.setdefault(lang, np.zeros(TRIGRAMS, dtype=np.int64))[ids] += counts
+            by_lang.setdefault(lang, []).append(trigram_counts(text))
+        for lang, counted in by_lang.items():
+            ids, place = np.unique(np.concatenate([i for i, _ in counted]), return_inverse=True)
+            counts = np.bincount(place, weights=np.concatenate([n for _, n in counted]), minlength=len(ids))
+            total = totals.setdefault(lang, np.zeros(DIMENSIONS + 1, dtype=np.int64))
+            total[DIMENSIONS] += int(counts.sum())
+            for k in range(0, len(ids), _HELD):
+                total[:DIMENSIONS] += np.rint(counts[k : k + _HELD] @ trigram_vectors(ids[k : k + _HELD])).astype(np.int64)
     for lang, total in totals.items():
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(ids)), pa.array(ids), pa.array(total[ids])], names=["lang", "gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(total)), pa.array(np.arange(len(total))), pa.array(total)], names=["lang", "place", "n"])
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", training: Column | None = None) -> dict[str, np.ndarray]:
-    """Unit prototypes by language from all rows of ``training`` with a language.
+    """Prototypes by language, each the bundle of all its texts divided by their trigrams.
 
-    The driver gets at most one number per language and trigram, however many texts there are.
+    All rows of ``training`` with a text and a language count.  The driver gets DIMENSIONS + 1 numbers
+    a language, however many texts there are; languages are few.
     """
     scratch.prepare(docs.sparkSession)
     rows = docs if training is None else docs.where(training)
-    rows = rows.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    counts = rows.mapInArrow(_tally, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    if counts.empty:
-        return {}
-    grams = np.zeros((counts.lang.nunique(), TRIGRAMS))
-    langs = sorted(counts.lang.unique())
-    for k, lang in enumerate(langs):
-        own = counts[counts.lang == lang]
-        grams[k, own.gram] = own.n
-    share = grams / grams.sum(axis=1, keepdims=True)
-    # A trigram that all languages share tells nothing, so prototypes hold what exceeds the mean share.
-    excess = share - share.mean(axis=0) if len(langs) > 1 else share
-    vectors = np.zeros((len(langs), DIMENSIONS), dtype=np.float64)
-    table = trigram_vectors()
-    for k in range(0, TRIGRAMS, 8192):
-        vectors += (np.sign(excess) * np.sqrt(np.abs(excess)))[:, k : k + 8192] @ table[k : k + 8192].astype(np.float64)
-    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-    return {lang: v.astype(np.float32) for lang, v in zip(langs, vectors / np.where(norms == 0, 1, norms))}
-
-
-def classify(text: str | None, langs: list[str], prototypes: np.ndarray) -> tuple[str, float]:
-    """Most similar language and its cosine, 0 at least; ``und`` for a text without a letter."""
-    ids, counts = trigram_counts(text)
-    if not len(ids) or not langs:
-        return UNKNOWN, 0.0
-    vector = _bundle(ids, counts)
-    cosines = prototypes @ vector / max(float(np.linalg.norm(vector)), 1e-12)
-    best = int(np.argmax(cosines))
-    return langs[best], float(min(1.0, max(0.0, cosines[best])))
+    rows = rows.select(rows[text_col].cast("string").alias("text"), rows[lang_col].cast("string").alias("lang")).where("text is not null and lang is not null")
+    sums = rows.mapInArrow(_tally, "lang string, place long, n long").groupBy("lang", "place").agg(F.sum("n").alias("n")).collect()
+    totals: dict[str, np.ndarray] = {}
+    for r in sums:
+        totals.setdefault(r.lang, np.zeros(DIMENSIONS + 1))[r.place] = r.n
+    return {lang: (t[:DIMENSIONS] / t[DIMENSIONS]).astype(np.float32) for lang, t in sorted(totals.items()) if t[DIMENSIONS]}
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` appended (columns of these names are replaced).
+def classify(texts: list[str | None], prototypes: dict[str, np.ndarray]) -> list[tuple[str, float, float]]:
+    """Most similar language, its cosine (0 at least), and the likeness of each text; ``und`` for one without a letter.
 
-    Only the text is an input.  Null, empty and letter-less texts give ``und`` with score 0, as does
-    every text when nothing was learned.  Equal texts get equal results; ties of the cosine go to
-    the language that sorts first.
+    The likeness divides the cosine by what a text of that language with as many trigrams is expected
+    to reach: of T trigrams drawn from a language in which two are equal with probability q, the bundle
+    has the cosine sqrt(T q / (1 + T q)) with the prototype.
     """
-    scratch.prepare(docs.sparkSession)
     langs = sorted(prototypes)
-    matrix = np.stack([prototypes[x] for x in langs]) if langs else np.empty((0, DIMENSIONS), np.float32)
-    @F.pandas_udf("lang_pred string, score double")
+    counted = [trigram_counts(t) for t in texts]
+    if not langs:
+        return [(UNKNOWN, 0.0, 0.0)] * len(counted)
+    matrix = np.stack([prototypes[x] for x in langs])
+    norms = np.maximum(np.linalg.norm(matrix, axis=1), 1e-12)
+    equal = norms**2 / DIMENSIONS
+    sums = bundles(counted)
+    cosines = sums @ matrix.T / norms / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+    out = []
+    for (ids, counts), row in zip(counted, cosines):
+        if not len(ids):
+            out.append((UNKNOWN, 0.0, 0.0))
+            continue
+        best = int(np.argmax(row))
+        score = float(min(1.0, max(0.0, row[best])))
+        spread = float(counts.sum()) ** 2 / float((counts.astype(float) ** 2).sum()) * equal[best]
+        out.append((langs[best], score, score / float(np.sqrt(spread / (1 + spread)))))
+    return out
+
+
+def verdict(text: Column, prototypes: dict[str, np.ndarray]) -> Column:
+    """``lang_pred, score, likeness`` of a text column."""
+
+    @F.pandas_udf("lang_pred string, score double, likeness double")
     def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([classify(t, langs, matrix) for t in texts], columns=["lang_pred", "score"])
+        return pd.DataFrame(classify(texts.tolist(), prototypes), columns=["lang_pred", "score", "likeness"])
+
+    return run(text.cast("string"))
+
 
-    others = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    return docs.select(*others, run(F.col(text_col).cast("string")).alias("_language")).select(*others, "_language.lang_pred", "_language.score")
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred``, ``score`` and ``likeness`` appended (columns of these names are replaced).
+
+    Only the text is an input, and all of it, however long.  Null, empty and letter-less texts give
+    ``und`` with score 0, as does every text when nothing was learned.  Equal texts get equal results;
+    ties of the cosine go to the language that sorts first.  An empty table gives an empty result.
+    """
+    scratch.prepare(docs.sparkSession)
+    own = ("lang_pred", "score", "likeness")
+    name = next(n for k in range(len(docs.columns) + 1) if (n := f"_verdict_{k}") not in docs.columns)
+    others = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in own]
+    return docs.select(*others, verdict(docs[text_col], prototypes).alias(name)).select(*others, *[F.col(f"{name}.{c}") for c in own])
