@@ -1,10 +1,11 @@
 """Secret scanning with corpus-wide ownership frequency, in DataFrame and SQL functions only.
 
 Three base patterns and one for random-looking tokens propose candidates.  Each candidate value is
-hashed, and over the whole corpus the distinct owners that hold it are counted.  A value that
-several owners hold has been copied around, as examples from documentation are; a random-looking
-value that one or two owners hold looks like a live credential.  The verdict is added as a span of
-its own over the value, beside the base spans.
+hashed, and over the whole corpus the distinct repositories and owners that hold it are counted.  A
+value that several owners hold, or two of them in many repositories, has been copied around, as
+examples from documentation are.  Any other value belongs to its owner, in however many repositories
+that owner repeats it: if it looks live, that is random and no placeholder, it is taken for a
+credential in use.  The verdict is added as a span of its own over the value, beside the base spans.
 """
 
 from __future__ import annotations
@@ -24,10 +25,14 @@ PATTERNS = (
 )
 #: Added by the method: long runs that mix letters and digits.
 RANDOM = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{32,}"
-#: A value that so many owners hold counts as an example.
-SHARED_OWNERS = 3
+#: A value that so many owners hold, or two owners in so many repositories, counts as an example.
+SHARED_OWNERS, SHARED_REPOSITORIES = 3, 20
+#: Bits of entropy per character, characters, and classes of characters that a live-looking value has at least.
+LIVE_ENTROPY, LIVE_CHARS, LIVE_CLASSES = 2.5, 8, 2
+# What stands in values that are there to be replaced.
+PLACEHOLDERS = "changeme change_me example sample placeholder dummy redacted undefined yourpassword your_ your- password passwd secret xxxx ****".split()
 #: Kinds in the order in which spans of one start are listed.
-KINDS = ("assign", "access", "hex", "random", "live", "example")
+KINDS = ("assign", "access", "hex", "random", "live", "example", "placeholder")
 
 
 #: Matches summed at once where the places of a text's matches are added up.
@@ -77,32 +82,76 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", shared_owners: int = SHARED_OWNERS) -> DataFrame:
-    """``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, rid, text_hash`` for every row.
+def may_match(text: Column) -> Column:
+    """Whether any pattern matches somewhere in ``text``."""
+    found = text.rlike(RANDOM)
+    for _, pattern, _, _ in PATTERNS:
+        found = found | text.rlike(pattern)
+    return found
+
+
+def entropy(value: Column) -> Column:
+    """Bits per character of a value by how often each of its characters occurs in it."""
+    n = F.char_length(value)
+    letters = F.array_distinct(F.regexp_extract_all(value, F.lit("(?s)."), F.lit(0)))
+
+    def share(letter: Column) -> Column:
+        return (n - F.char_length(F.replace(value, letter, F.lit("")))) / n
+
+    return F.aggregate(letters, F.lit(0.0), lambda bits, letter: bits - share(letter) * F.log2(share(letter)))
+
+
+def looks_live(value: Column) -> Column:
+    """Whether a value is long and mixed enough to be random, and no placeholder."""
+    low = F.lower(value)
+    classes = sum((value.rlike(c).cast("int") for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")), F.lit(0))
+    named = F.lit(False)
+    for word in PLACEHOLDERS:
+        named = named | low.contains(word)
+    return (F.char_length(value) >= LIVE_CHARS) & (classes >= LIVE_CLASSES) & ~named & (entropy(value) >= LIVE_ENTROPY)
+
+
+def ownership(candidates: DataFrame, shared_owners: int = SHARED_OWNERS, shared_repositories: int = SHARED_REPOSITORIES) -> DataFrame:
+    """``hash, owners, repositories, kind`` of values from ``hash, owner, repository, live``.
+
+    A value that a third of all rows hold is counted in parts: by repository, then by owner, then as a
+    whole, each reduced before it is dealt out.
+    """
+    by_repository = candidates.groupBy("hash", "owner", "repository").agg(F.max("live").alias("live"))
+    by_owner = by_repository.groupBy("hash", "owner").agg(F.count("*").alias("repositories"), F.max("live").alias("live"))
+    counted = by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.max("live").alias("live"))
+    copied = (F.col("owners") >= shared_owners) | ((F.col("owners") >= 2) & (F.col("repositories") >= shared_repositories))
+    kind = F.when(copied, KINDS.index("example")).when(F.col("live"), KINDS.index("live")).otherwise(KINDS.index("placeholder"))
+    return counted.select("hash", "owners", "repositories", kind.alias("kind"))
+
+
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str | None = None, shared_owners: int = SHARED_OWNERS, shared_repositories: int = SHARED_REPOSITORIES) -> DataFrame:
+    """``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, n_placeholder, rid, text_hash`` for every row.
 
     Positions are code points, ends exclusive.  ``spans`` lists the base spans and what the method
     adds: ``random`` for long mixed runs that no base value covers, and over each candidate value
-    ``example`` if at least ``shared_owners`` distinct owners hold it, else ``live``.
+    ``example`` if it is widely copied (:func:`ownership`), else ``live`` or ``placeholder`` by
+    :func:`looks_live`.  Without ``repository_col`` each id is a repository of its owner.
 
-    Null and empty texts have no spans.  A null owner counts as one owner.  Rows that repeat are
-    rows of their own.  Other columns are ignored, whatever their names.  An empty table gives an
-    empty result.  A value held by many rows is reduced to one row per owner before it is counted.
+    Null and empty texts have no spans; texts are scanned whole, however long.  A null owner or
+    repository counts as one.  Rows that repeat are rows of their own, of one repository.  Other columns
+    are ignored, whatever their names.  An empty table gives an empty result.
     """
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     owner = F.coalesce(docs[owner_col].cast("string"), F.lit("")) if owner_col in docs.columns else F.lit("")
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), docs[id_col].cast("long").alias("id"), owner.alias("owner"), text.alias("text"))
+    repository = F.coalesce(docs[repository_col or id_col].cast("string"), F.lit(""))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), docs[id_col].cast("long").alias("id"), owner.alias("owner"), repository.alias("repository"), text.alias("text"))
     base = F.concat(*[_spans(F.col("text"), *p) for p in PATTERNS])
     extra = _spans(F.col("text"), "random", RANDOM, 0, 32)
-    scanned = rows.select("rid", "id", "owner", F.xxhash64("text").alias("text_hash"), base.alias("base"), extra.alias("extra"))
+    scanned = rows.select("rid", "id", "owner", "repository", F.xxhash64("text").alias("text_hash"), base.alias("base"), extra.alias("extra"))
     # A random run inside a base value adds nothing.
     fresh = F.filter("extra", lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]") & ~F.exists("base", lambda b: (b["value_start"] <= x["start"]) & (x["end"] <= b["end"])))
     scanned = scratch.materialize(scanned.withColumn("extra", fresh), "secret-spans")
-    values = F.array_distinct(F.transform(F.concat("base", "extra"), lambda s: F.struct(s["value_start"].alias("start"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("hash"))))
-    candidates = scanned.select("rid", "owner", F.explode(values).alias("c")).select("rid", "owner", "c.start", "c.end", "c.hash")
-    owners = candidates.select("hash", "owner").distinct().groupBy("hash").agg(F.count("*").alias("owners"))
-    live, example = KINDS.index("live"), KINDS.index("example")
-    kind = F.when(F.col("owners") >= shared_owners, example).otherwise(live)
-    verdicts = candidates.join(owners, "hash").groupBy("rid").agg(F.collect_list(F.struct(F.col("start"), kind.alias("kind"), F.col("end"))).alias("verdicts"))
+    values = F.array_distinct(F.transform(F.concat("base", "extra"), lambda s: F.struct(s["value_start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))))
+    found = scanned.select("rid", "owner", "repository", F.explode(values).alias("c"))
+    candidates = found.select("rid", "owner", "repository", "c.start", "c.end", F.sha2("c.value", 256).alias("hash"), looks_live(F.col("c.value")).alias("live"))
+    kinds = ownership(candidates, shared_owners, shared_repositories).select("hash", "kind")
+    verdicts = candidates.select("rid", "start", "end", "hash").join(kinds, "hash").groupBy("rid").agg(F.collect_list(F.struct("start", "kind", "end")).alias("verdicts"))
     lean = lambda a: F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     number = lambda a, k: F.size(F.filter(a, lambda s: s["kind"] == KINDS.index(k))).cast("long")
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
@@ -114,6 +163,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         _listed(F.concat(lean("base"), lean("extra"), "verdicts")).alias("spans"),
         number("verdicts", "live").alias("n_live"),
         number("verdicts", "example").alias("n_example"),
+        number("verdicts", "placeholder").alias("n_placeholder"),
         "rid",
         "text_hash",
     )
