@@ -10,8 +10,16 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import bpe, exact_dedup, fingerprints, html_extract, language, packing, repeats, secrets, simhash, warc
 
-#: Folder of the public tokenizer files, the same on every executor.
-TOKENIZERS = os.environ.get("CORPUSLOOM_TOKENIZERS", "/opt/tokenizers")
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer file, the same on every executor; ``CORPUSLOOM_TOKENIZERS`` names another folder."""
+    folder = os.environ.get("CORPUSLOOM_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +36,7 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokenizer = f"{TOKENIZERS}/byte_bpe_50k.json"
+    tokenizer = tokenizer_path("byte_bpe_50k.json")
     tokens = bpe.detokenize(bpe.tokenize(_table(spark, sf_dir, "documents"), tokenizer), tokenizer)
     return tokens.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
@@ -46,7 +54,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,30 +14,58 @@ from corpusloom.session import ship
 #: Bounds on one Arrow batch handed to a Python worker: rows (long texts make rows large) and bytes.
 BATCH_ROWS = 256
 BATCH_BYTES = 16 << 20
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _own: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
 
 
 def prepare(spark: SparkSession) -> None:
-    """Make the package known to the Python workers and bound what one of them holds at once (session settings)."""
+    """Make the package known to the Python workers and bound what one of them holds at once.
+
+    Lazy results run under these session settings too, so they stay; smaller ones of the caller are kept.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    if not 0 < int(spark.conf.get(_ROWS)) <= BATCH_ROWS:
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BYTES)) > BATCH_BYTES:
+        spark.conf.set(_BYTES, str(BATCH_BYTES))
+
+
+@contextmanager
+def short_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Batches of many short rows, for what is written inside."""
+    before = spark.conf.get(_ROWS)
+    spark.conf.set(_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ROWS, before)
 
 
 def base_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where that is unset (local tests) a temporary folder."""
+    """The session's ``spark.checkpoint.dir``, or the folder set on its context.
+
+    Only a local session, whose one machine sees all files, falls back to a temporary folder.
+    """
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
+    if not set_by_cluster:
+        folder = spark.sparkContext._jsc.sc().getCheckpointDir()
+        set_by_cluster = folder.get() if folder.isDefined() else None
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
-    app = spark.sparkContext.applicationId
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
     return _own[app]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{base_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
+    path = f"{base_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -51,8 +81,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every intermediate table below the shared folder; results that are not yet written are lost."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{base_dir(spark)}/corpusloom")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def made(spark: SparkSession) -> list[str]:
+    """Paths of this session's tables, in the order in which they were made."""
+    return list(_made.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, paths: Iterable[str] | None = None) -> None:
+    """Delete tables, all of this session's if none are named; results that read them and are not yet written are lost."""
+    jvm, known = spark.sparkContext._jvm, _made.get(spark.sparkContext.applicationId, [])
+    for p in list(known if paths is None else paths):
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if p in known:
+            known.remove(p)

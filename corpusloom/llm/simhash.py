@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -246,9 +246,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
     filed = classes.select("fp", "cls", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "masked"))
     filed = filed.repartition("t", "masked").sortWithinPartitions("t", "masked", "fp").select("t", "masked", "fp", "cls")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(1 << 16))  # four longs a row
-    edges = scratch.materialize(filed.mapInArrow(_linker(radius), "u long, v long"), "simhash-links")
-    scratch.prepare(spark)
+    with scratch.short_rows(spark, 1 << 16):  # four longs a row
+        edges = scratch.materialize(filed.mapInArrow(_linker(radius), "u long, v long"), "simhash-links")
     members = connected_components(edges)
     labelled = classes.join(members.withColumnRenamed("node", "cls"), "cls", "left").select("fp", "least_id", F.coalesce("component", "cls").alias("group"))
     least = labelled.groupBy("group").agg(F.min("least_id").alias("component_id"))
@@ -395,8 +394,13 @@ def _checker(similarity: float):
     return run
 
 
+def identity(id_: Column, text: Column) -> tuple[Column, Column]:
+    """Two 64-bit hashes of id and text that tell rows apart."""
+    return F.xxhash64(id_, text), F.xxhash64(F.lit(1), id_, text)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``node, id, component`` of every row that is linked to another; ``node`` is xxhash64 of id and text.
+    """``k1, k2, id, component, node`` of every row that is linked to another; ``k1, k2`` are its :func:`identity`.
 
     Texts are linked when the Jaccard similarity of their sets of ``width``-word shingles is at least
     ``similarity``.  Candidates share one of :data:`BANDS` min-wise keys (two texts at 0.8 do so with
@@ -406,29 +410,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chunks that hold different groups are checked against each other.
 
     Null counts as empty; word-less texts are equal to each other and form one group.  Rows that
-    repeat id and text are one node.  Other columns are ignored; an empty table gives an empty result.
+    repeat id and text are one node.  Texts of any length are read whole.  Other columns are ignored,
+    whatever their names; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch.prepare(spark)
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     id_ = docs[id_col].cast("long")
-    rows = docs.select(F.xxhash64(id_, text).alias("node"), id_.alias("id"), text.alias("text"))
-    sketches = scratch.materialize(rows.select("node", "text").mapInArrow(_sketcher(width), "node long, keys array<long>"), "near-sketches")
+    k1, k2 = identity(id_, text)
+    rows = docs.select(k1.alias("k1"), k2.alias("k2"), id_.alias("id"), text.alias("text"))
+    sketches = scratch.materialize(rows.select("k1", "text").mapInArrow(_sketcher(width), "node long, keys array<long>"), "near-sketches")
     filed = sketches.select("node", F.posexplode("keys").alias("t", "masked"))
     filed = filed.repartition("t", "masked").sortWithinPartitions("t", "masked", "node").select("t", "masked", "node")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(1 << 16))  # three longs a row
-    files = scratch.materialize(filed.mapInArrow(_files, "file long, node long").distinct(), "near-files")
-    scratch.prepare(spark)
+    with scratch.short_rows(spark, 1 << 16):  # three longs a row
+        files = scratch.materialize(filed.mapInArrow(_files, "file long, node long").distinct(), "near-files")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
 
         for batch in batches:
-            hashes = [np.unique(shingle_hashes(t, width)).view("<i8") for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hashes, pa.list_(pa.int64()))], names=["node", "id", "set"])
+            hashes = [np.unique(shingle_hashes(t, width)).view("<i8") for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(hashes, pa.list_(pa.int64()))], names=["k1", "k2", "id", "set"])
 
-    involved = rows.join(files.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    involved = scratch.materialize(involved.select("node", "id", "text").mapInArrow(sets, "node long, id long, set array<long>"), "near-sets")
+    # Files name texts by one hash; texts that share it all take part, so a collision only adds candidates.
+    wanted = files.select(F.col("node").alias("k1")).distinct()
+    involved = rows.join(wanted.hint("merge"), "k1", "left_semi").dropDuplicates(["k1", "k2"]).select("k1", "k2", "id", "text")
+    involved = involved.mapInArrow(sets, "k1 long, k2 long, id long, set array<long>")
+    involved = scratch.materialize(involved.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "id", "set"), "near-sets")
+    files = files.select("file", F.col("node").alias("k1")).join(involved.select("k1", "node"), "k1").select("file", "node")
 
     def check(blocks: DataFrame) -> DataFrame:
         held = blocks.join(involved.select("node", "set"), "node").select("block", "node", "group", "set")
@@ -456,4 +465,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = scratch.materialize(links.unionAll(check(grouped.join(undecided, ["file", "chunk"]).select("block", "node", "group"))), "near-links")
     members = connected_components(links)
     members = members.unionAll(members.select(F.col("component").alias("node"), "component").distinct())
-    return members.join(involved.select("node", "id"), "node").select("node", "id", "component")
+    return members.join(involved.select("node", "k1", "k2", "id"), "node").select("k1", "k2", "id", "component", "node")

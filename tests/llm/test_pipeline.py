@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline as P
 from corpusloom.llm import exact_dedup
-from corpusloom.llm.queries import TOKENIZERS
+from corpusloom.llm.queries import tokenizer_path
 from tests.llm.cases import prose
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -29,11 +29,47 @@ def _docs():
     return [(i, t, lang, s, None if t is None else len(t)) for i, t, lang, s in rows]
 
 
-def _run(spark, stage, rows):
-    out = stage(spark, spark.createDataFrame(rows, SCHEMA).repartition(3, "source"), "")
+#: Columns besides the documents' own, with names that the stages use inside.
+CLASHING = "_own_0 string, _own_1 long, _text_hash string, _node long, spans string, k1 long, id string, text_hash long, `a.b` string, kept boolean"
+_OTHERS = ("o", 1, "h", 2, "s", 3, "i", 4, "d", True)
+
+
+def _run(spark, stage, rows, clash=False):
+    wide = [(*r, *_OTHERS) for r in rows] if clash else rows
+    docs = spark.createDataFrame(wide, f"{SCHEMA}, {CLASHING}" if clash else SCHEMA)
+    out = stage(spark, docs.repartition(3, "source"), "")
     return out.columns, [tuple(r) for r in out.collect()]
 
 
+@pytest.mark.parametrize("name, stage", P.STAGES)
+def test_stages_keep_columns_whatever_their_names(spark, name, stage):
+    rng = random.Random(3)
+    rows = [*_docs(), (60, prose(rng, 60_000), "en", "s1", None), (None, prose(rng, 30), None, None, None), (61, "token=0a1b2c3d4e5f6071 " * 400, "en", "s2", 1)]
+    columns, plain = _run(spark, stage, rows)
+    wide_columns, wide = _run(spark, stage, rows, clash=True)
+    if name == "packing":
+        assert wide_columns == columns and collections.Counter(r[:5] for r in wide) == collections.Counter(r[:5] for r in plain)
+    else:
+        assert wide_columns == columns + [c.split()[0].strip("`") for c in CLASHING.split(", ")]
+        assert collections.Counter(wide) == collections.Counter((*r, *_OTHERS) for r in plain)
+
+
+def test_language_stage_drops_what_is_of_no_language(spark):
+    rng = random.Random(8)
+    noise = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(n))
+    rows = [(k, prose(rng, 60), "en", "a", 1) for k in range(100)]
+    odd = [(200 + k, noise("qxzjkwvbp", n), None, "a", 1) for k, n in enumerate((20, 50, 300))] + [(210, noise("абвгдежзиклмн", 80), None, "a", 1)]
+    _, got = _run(spark, P.identify_language, rows + odd)
+    assert sorted(r[0] for r in got) == list(range(100))
+
+
+def test_near_stage_keeps_one_of_rows_that_repeat(spark):
+    rng = random.Random(4)
+    rows = [(7, prose(rng, 50), "en", "s1", 1)] * 3 + [(8, prose(rng, 50), "en", "s1", 1)]
+    _, got = _run(spark, P.drop_near_copies, rows)
+    assert sorted(r[0] for r in got) == [7, 8]
+
+
 def test_language_stage_drops_only_texts_without_a_language(spark):
     columns, got = _run(spark, P.identify_language, _docs())
     assert columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
@@ -60,7 +96,7 @@ def test_near_stage_keeps_one_of_each_group(spark):
 
 
 def test_secret_stage_masks_live_values_only(spark):
-    rows = [r for r in _docs() if r[0] not in (6,)][:-1]
+    rows = [r for r in _docs() if r[0] not in (6,)][:-1] + [(70 + k, f"password = {word}", "en", "s1", 20) for k, word in enumerate(("changeme", "undefined", "yourpassword"))]
     _, got = _run(spark, P.mask_secrets, rows)
     before, after = {r[0]: r for r in rows}, {r[0]: r for r in got}
     assert after.keys() == before.keys()
@@ -73,7 +109,7 @@ def test_packing_stage_packs_every_id(spark):
     from tokenizers import Tokenizer
 
     _, got = _run(spark, P.pack_sequences, _docs())
-    tokenizer = Tokenizer.from_file(f"{TOKENIZERS}/word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
     expected = collections.Counter()
     for i, t, *_ in _docs():
         ids = np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [2], "<u4")

@@ -10,10 +10,10 @@ import numpy as np
 import pytest
 
 from corpusloom.llm import bpe, dom, fingerprints, html_extract, language, packing, sample_pages, secrets, warc
-from corpusloom.llm.queries import TOKENIZERS
+from corpusloom.llm.queries import tokenizer_path
 from tests.llm.cases import collect, documents, frame
 
-BYTE, WORD = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/word_bpe_49k.json"
+BYTE, WORD = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("word_bpe_49k.json")
 ODD = ["", "  ", "a<|endoftext|>b <|endoftext|>", "a  b   c\n d \n e\n\n  f ", "\n a", "é ́x", "x" * 9000, "ab" * 4000 + " " + "the" * 3000, "日本語 テスト😀👍🏽 x\x1cd\x85e　y", "don't we'll 'S 123", "!" * 900 + " " * 500 + "z\n\n", " x", "ΑΣ İI ﬁ 각", "<|startoftext|> x"]
 
 
@@ -247,6 +247,51 @@ def _base(text):
     return sorted(spans)
 
 
+def _verdicts(rows):
+    """Spans of verdicts by brute force: owners and repositories of each value, entropy, placeholders."""
+    held, spans = collections.defaultdict(set), []
+    for i, t, _, owner in rows:
+        found = set()
+        for start, _, end, kind in _base(t):
+            m = re.search(r"[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)$", t[start:end]) if kind == "assign" else None
+            size = len(m[1]) if m else end - start
+            if kind == "assign":
+                key = re.match(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?", t[start:end])
+                size = end - start - key.end()
+            found.add((end - size, end))
+        base = set(found)
+        for m in re.finditer(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{32,}", t or ""):
+            if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and not any(a <= m.start() and m.end() <= b for a, b in base):
+                found.add((m.start(), m.end()))
+        for a, b in found:
+            held[t[a:b]].add((owner or "", "" if i is None else str(i)))
+            spans.append((i, a, b, t[a:b]))
+    out = collections.Counter()
+    for i, a, b, value in spans:
+        owners, repositories = len({o for o, _ in held[value]}), len(held[value])
+        shares = [n / len(value) for n in collections.Counter(value).values()]
+        live = len(value) >= 8 and sum(bool(re.search(c, value)) for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")) >= 2
+        live = live and -sum(p * math.log2(p) for p in shares) >= 2.5 and not any(w in value.lower() for w in secrets.PLACEHOLDERS)
+        kind = "example" if owners >= 3 or owners == 2 and repositories >= 20 else "live" if live else "placeholder"
+        out[i, f"{kind}:{a}:{b}"] += 1
+    return out
+
+
+def test_verdicts_by_owners_and_repositories(spark):
+    value = lambda k: f"token={'0123456789abcdef'[k]}f8b62c07d9e4a135"
+    rows = [(k, value(0), "en", "one") for k in range(40)]  # one owner, many repositories
+    rows += [(100 + k, value(1), "en", f"o{k % 2}") for k in range(20)]  # two owners, twenty repositories
+    rows += [(200 + k, value(2), "en", f"o{k % 2}") for k in range(19)]
+    rows += [(300 + k, value(3), "en", f"o{k}") for k in range(3)]  # three owners
+    rows += [(400, value(4), "en", "o1")] * 30  # one repository
+    rows += [(500 + k, f"password = {w}", "en", "o1") for k, w in enumerate(("changeme", "undefined", "yourpassword", "aaaaaaaa1", "Correct-horse7", "letmein"))]
+    got = collections.Counter((r["doc_id"], s) for r in collect(secrets.scan_secrets(frame(spark, rows))) for s in r["spans"].split(",") if s.split(":")[0] in ("live", "example", "placeholder"))
+    assert got == _verdicts(rows)
+    kinds = {i: s.split(":")[0] for i, s in got}
+    assert [kinds[i] for i in (0, 100, 200, 300, 400)] == ["live", "example", "live", "example", "live"]
+    assert [kinds[500 + k] for k in range(6)] == ["placeholder"] * 4 + ["live", "placeholder"]
+
+
 def test_secret_spans_match_brute_force(spark):
     got = collect(secrets.scan_secrets(frame(spark, SECRETS)))
     assert len(got) == len(SECRETS)
@@ -259,6 +304,7 @@ def test_secret_spans_match_brute_force(spark):
         listed = r["spans"].split(",") if r["spans"] else []
         assert not collections.Counter(f"{k}:{a}:{b}" for a, _, b, k in base) - collections.Counter(listed)
     assert by_id[10]["n_example"] == 1 and by_id[10]["n_live"] == 0
+    assert _verdicts(SECRETS) == collections.Counter((r["doc_id"], s) for r in got for s in r["spans"].split(",") if s.split(":")[0] in ("live", "example", "placeholder"))
     assert by_id[1]["n_live"] == 2 and "random:41:86" in by_id[7]["spans"] and "random:0:40" not in by_id[7]["spans"]
     assert collect(secrets.scan_secrets(frame(spark, []))) == []
 
@@ -301,6 +347,44 @@ def test_language_edges(spark):
     assert collect(language.predict(frame(spark, []), prototypes)) == []
 
 
+def _cosines(texts, training):
+    """Plain bundles and cosines, one trigram after another."""
+
+    def bundle(text):
+        codes = [0, *(ord(c.lower()[0]) if c.isalpha() else 0 for c in text), 0]
+        total = np.zeros(language.DIMENSIONS)
+        for a, b, c in zip(codes, codes[1:], codes[2:]):
+            if a or b or c:
+                va, vb, vc = (language.letter_vectors(np.array([x]))[0].astype(float) for x in (a, b, c))
+                total += np.roll(va, 2) * np.roll(vb, 1) * vc
+        return total
+
+    prototypes = {lang: sum(bundle(t) for t in own) for lang, own in training.items()}
+    cosine = lambda a, b: a @ b / (np.linalg.norm(a) * np.linalg.norm(b))
+    return [{lang: cosine(bundle(t), p) for lang, p in prototypes.items()} for t in texts]
+
+
+def test_language_equals_plain_bundles(spark):
+    training = {"aa": ["the quick brown fox", "Jumps over THE lazy dog"], "bb": ["größe über ñandú", "schöne Grüße"], "cc": ["съешь ещё этих булок", "日本語"]}
+    texts = ["the dog", "über Größe", "этих булок", "fox 12 日本", "zzz", "q", "The The The the"]
+    rows = [(k, t, lang, "s") for k, (lang, t) in enumerate((lang, t) for lang, own in training.items() for t in own)]
+    prototypes = language.fit(frame(spark, rows))
+    got = collect(language.predict(frame(spark, [(k, t, None, None) for k, t in enumerate(texts)]), prototypes))
+    expected = _cosines(texts, training)
+    for r in got:
+        cosines = expected[r["doc_id"]]
+        assert r["score"] == pytest.approx(max(0.0, *cosines.values()), abs=1e-5)
+        assert cosines[r["lang_pred"]] == pytest.approx(max(cosines.values()), abs=1e-5)
+
+
+def test_bundles_do_not_depend_on_what_is_held(monkeypatch):
+    counted = [language.trigram_counts(t) for t in ("alpha beta gamma", "ОК 日本語 alpha", "x" * 50, "")]
+    whole = language.bundles(counted)
+    monkeypatch.setattr(language, "_HELD", 3)
+    assert np.array_equal(language.bundles(counted), whole) and not whole[3].any()
+    assert set(np.unique(language.trigram_vectors(counted[0][0]))) == {-1, 1}
+
+
 def test_trigram_counts_do_not_depend_on_stretches(monkeypatch):
     text = "The quick brown fox, 12 jumps; über den faulen Hund. " * 20
     whole = [x.tolist() for x in language.trigram_counts(text)]
