@@ -1,10 +1,12 @@
 """Byte-level BPE as a streaming transducer, and the way back as a state machine.
 
-A text is cut into words as byte-level tokenizers do it, and the merge list is applied to each word
-in the order of its ranks.  A word may be as long as the text, so merging works on a window: from
+A text streams through a transducer whose states are word boundaries (:class:`Stream`).  What lies
+before a boundary that no later character can move is stable and its tokens are emitted; what lies
+after is held.  A word may be as long as the text, so within a word merging works on a window: from
 the merge list follows how far to the right a token can depend on what comes next
 (:meth:`Merges.lookahead`), and tokens that end that far before the end of the window are final and
-are emitted.  Words met before are looked up.
+are emitted too.  So the transducer holds a bounded number of bytes, whatever the text.  What it has
+emitted for a word before is remembered, which changes how fast it is but not what it emits.
 """
 
 from __future__ import annotations
@@ -28,7 +30,9 @@ from corpusloom.llm import scratch
 # Fixed value: the pattern by which byte-level tokenizers cut a text into words.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Bytes merged at once beyond the lookahead.
-WINDOW = 256
+WINDOW = 4096
+#: Bytes up to which a word is remembered, and characters held back before a word is taken for a long one.
+SHORT, HELD = 256, 1024
 #: Words and pieces between spaces that a worker remembers, each.
 REMEMBERED = 400_000
 #: Characters of a text that are cut into words at once.
@@ -174,7 +178,7 @@ class Merges:
         return [i for i in ids if i >= 0]
 
 
-class Transducer:
+class Window:
     """Ids of one word from its bytes, a part at a time; holds at most lookahead + window + part bytes."""
 
     def __init__(self, merges: Merges, lookahead: int, window: int = WINDOW):
@@ -204,6 +208,88 @@ class Transducer:
         return out
 
 
+#: What goes on with a word that has begun with a letter, a number or something else; white space is apart.
+_RUNS = tuple(map(regex.compile, (r"\p{L}*", r"\p{N}*", r"[^\s\p{L}\p{N}]*")))
+_SPACE = regex.compile(r"\s*")
+
+
+class Stream:
+    """Ids of one text from its characters, a part at a time; between parts it holds a bounded number of them.
+
+    States: between words, with the characters held whose words the next part may still change; or
+    inside a long word of one kind, whose bytes go through a :class:`Window`.
+    """
+
+    def __init__(self, encoder: Encoder):
+        self._encoder = encoder
+        self._held = ""
+        self._inside: tuple[regex.Pattern, Window] | None = None
+
+    def held(self) -> int:
+        return len(self._held) + (len(self._inside[1]._held) if self._inside else 0)
+
+    def feed(self, part: str) -> Iterator[bytes]:
+        text = self._held + part
+        if self._inside:
+            text = yield from self._go_on(text)
+        if text:
+            end = self._encoder.boundary(text)
+            if end:
+                yield self._encoder.words(text[:end])
+                text = text[end:]
+            if len(text) > HELD:
+                text = yield from self._by_words(text)
+        self._held = text
+
+    def finish(self) -> Iterator[bytes]:
+        if self._inside:
+            if self._inside[0] is _SPACE:  # white space at the end of a text is one word
+                yield _packed(self._inside[1].feed(self._held.encode("utf-8")))
+                self._held = ""
+            yield _packed(self._inside[1].finish())
+            self._inside = None
+        if self._held:
+            yield self._encoder.words(self._held)
+            self._held = ""
+
+    def _go_on(self, text: str) -> Iterator[bytes]:
+        """Feed the open word; what is left of ``text`` where it ends."""
+        pattern, window = self._inside
+        end = pattern.match(text).end()
+        if pattern is _SPACE and end:
+            end -= 1  # the last white space may go with the next word, or be a word
+        for k in range(0, end, HELD):
+            yield _packed(window.feed(text[k : min(k + HELD, end)].encode("utf-8")))
+        rest = text[end:]
+        if len(rest) > (pattern is _SPACE and rest[:1].isspace()):
+            yield _packed(window.finish())
+            self._inside = None
+        return rest
+
+    def _by_words(self, text: str) -> Iterator[bytes]:
+        """Emit all words but those that the next characters may change; a long one that is left is opened."""
+        at = 0
+        for m in WORD.finditer(text):
+            if m.end() > len(text) - 2:  # a contraction takes up to two more
+                break
+            at = m.end()
+            yield self._encoder.word(m[0])
+        text = text[at:]
+        if len(text) > HELD:
+            first = text[1] if text[0] == " " and not text[1].isspace() else text[0]
+            kind = _SPACE if first.isspace() else next(p for p in _RUNS if p.match(first).end())
+            self._inside = kind, Window(self._encoder.merges, self._encoder.lookahead)
+            if text[0] == " " and kind is not _SPACE:
+                yield _packed(self._inside[1].feed(b" "))
+                text = text[1:]
+            text = yield from self._go_on(text)
+        return text
+
+
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, dtype="<u4").tobytes()
+
+
 class Encoder:
     """Ids of texts, with the words met so far remembered."""
 
@@ -214,28 +300,27 @@ class Encoder:
         self._words: dict[str, bytes] = {}
         self._pieces: dict[str, bytes] = {}  # what stands between two spaces -> ids of it with the space before
         special = sorted(self.merges.special, key=len, reverse=True)
-        self._special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
+        self._special = regex.compile("|".join(map(regex.escape, special))) if special else None
 
-    def _word(self, word: str) -> bytes:
+    def word(self, word: str) -> bytes:
+        """Ids of a word that is known to its end."""
+        if (known := self._words.get(word)) is not None:
+            return known
+        window = Window(self.merges, self.lookahead)
         data = word.encode("utf-8")
-        if len(data) < WINDOW:
-            out = np.array(self.merges.merge(data), dtype="<u4").tobytes()
+        out = _packed(window.feed(data) + window.finish())
+        if len(data) < SHORT:
             if len(self._words) >= self._remembered:
                 self._words.clear()
             self._words[word] = out
-            return out
-        machine, parts = Transducer(self.merges, self.lookahead), []
-        for k in range(0, len(data), WINDOW):
-            parts.append(np.array(machine.feed(data[k : k + WINDOW]), dtype="<u4").tobytes())
-        parts.append(np.array(machine.finish(), dtype="<u4").tobytes())
-        return b"".join(parts)
+        return out
 
     def _cut(self, text: str) -> bytes:
-        get, word = self._words.get, self._word
+        get, word = self._words.get, self.word
         return b"".join([get(w) or word(w) for w in WORD.findall(text)])
 
-    def _stretch(self, text: str) -> bytes:
-        """Ids of a stretch of text; words never span a space that follows something else than white space."""
+    def words(self, text: str) -> bytes:
+        """Ids of text that ends at a word boundary; words never span a space that follows something else than white space."""
         first, *pieces = text.split(" ")
         if not pieces or first[-1:].isspace():
             return self._cut(text)
@@ -255,7 +340,7 @@ class Encoder:
         return self._cut(first) + b"".join(found) + self._cut(" " + last)
 
     def learn(self, texts: Iterable[str | None]) -> None:
-        """Remember the pieces of many texts at once; changes how fast, not how they are encoded."""
+        """Remember the words of many texts at once, as the transducer would meet them; changes speed only."""
         pieces: set[str] = set()
         for text in texts:
             if text and len(text) <= STRETCH:
@@ -278,27 +363,25 @@ class Encoder:
     def encode(self, text: str | None) -> Iterator[bytes]:
         """Ids as little-endian unsigned 32-bit integers, a part at a time."""
         text = text or ""
-        for k, part in enumerate(self._special.split(text) if self._special else [text]):
-            if k % 2:
-                yield self.merges.special[part].to_bytes(4, "little")
-                continue
-            at = 0
-            while at < len(part):
-                end = self._end(part, at + STRETCH)
-                yield self._stretch(part[at:end])
-                at = end
+        at = 0
+        for m in [*(self._special.finditer(text) if self._special else ()), None]:
+            end = m.start() if m else len(text)
+            stream = Stream(self)
+            for k in range(at, end, STRETCH):
+                yield from stream.feed(text[k : min(k + STRETCH, end)])
+            yield from stream.finish()
+            if m:
+                yield self.merges.special[m[0]].to_bytes(4, "little")
+                at = m.end()
 
     @staticmethod
-    def _end(text: str, at: int) -> int:
-        """The first place from ``at`` on before a space that follows something else than white space."""
-        while at < len(text):
-            at = text.find(" ", at)
-            if at < 0:
-                return len(text)
+    def boundary(text: str) -> int:
+        """The last place before a space that follows something else than white space, which no later text can move; else 0."""
+        at = len(text)
+        while (at := text.rfind(" ", 1, at)) > 0:
             if not text[at - 1].isspace():
                 return at
-            at += 1
-        return len(text)
+        return 0
 
 
 class Decoder:
@@ -332,8 +415,9 @@ def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     """``doc_id, n_tokens, ids`` of every row; ``ids`` is binary, little-endian unsigned 32-bit integers.
 
     ``tokenizer`` is the path of a byte-level tokenizers file, the same on every executor.  Its
-    special tokens are recognised where their strings occur.  Null and empty texts have no ids.
-    Rows are independent, so repeated rows and null ids pass through.  Other columns are ignored.
+    special tokens are recognised where their strings occur.  Null and empty texts have no ids.  Texts
+    of any length stream through the transducer.  Rows are independent, so repeated rows and null ids
+    pass through.  Other columns are ignored, whatever their names.  An empty table gives an empty result.
     """
     scratch.prepare(docs.sparkSession)
 

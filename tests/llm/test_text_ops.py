@@ -50,13 +50,41 @@ def test_bpe_equals_the_library(encoder):
 def test_transducer_holds_a_bounded_window_and_emits_stable_tokens(encoder):
     rng = random.Random(5)
     data = "".join(rng.choice(["th", "e", "in", "g", "aa", "zz", "er"]) for _ in range(9000)).encode()
-    machine, out = bpe.Transducer(encoder.merges, encoder.lookahead), []
+    machine, out = bpe.Window(encoder.merges, encoder.lookahead), []
     for k in range(0, len(data), 100):
         out += machine.feed(data[k : k + 100])
         assert len(machine._held) < encoder.lookahead + bpe.WINDOW + 100
     assert out + machine.finish() == encoder.merges.merge(data)
 
 
+@pytest.mark.parametrize("step", [1, 7, 500])
+def test_stream_emits_the_same_whatever_the_parts(encoder, monkeypatch, step):
+    """Short bounds, so that words are opened, left and held at every kind of place."""
+    monkeypatch.setattr(bpe, "HELD", 6)
+    rng = random.Random(step)
+    parts = [" ", "  ", "\n", "aaaaaaaaaa", "the", "ing", "é", "123456789", "..........", "'s", "'re", "'", "\t\t\t\t\t\t\t\t", "😀", "\u2003"]
+    texts = [t for t in ODD if "<|" not in t] + ["".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(200)]
+    other = _reference(BYTE)
+    for text in texts:
+        stream, out = bpe.Stream(encoder), []
+        for k in range(0, len(text), step):
+            out += stream.feed(text[k : k + step])
+        out += stream.finish()
+        assert np.frombuffer(b"".join(out), "<u4").tolist() == other.encode(text, add_special_tokens=False).ids, text
+
+
+@pytest.mark.parametrize("letter", ["ab", "7", "!?", " ", "\n"])
+def test_stream_holds_little_of_a_text_without_boundaries(encoder, letter):
+    text = letter * (1_000_000 // len(letter)) + "x"
+    stream, size = bpe.Stream(encoder), 0
+    for k in range(0, len(text), bpe.STRETCH):
+        for part in stream.feed(text[k : k + bpe.STRETCH]):
+            size += len(part)
+        assert stream.held() < encoder.lookahead + bpe.WINDOW + 2 * bpe.HELD
+    size += sum(map(len, stream.finish()))
+    assert size == 4 * len(_reference(BYTE).encode(text, add_special_tokens=False).ids)
+
+
 def test_lookahead_suffices_on_every_prefix(encoder):
     """Tokens that end the lookahead before the end of a prefix are those of the whole."""
     rng = random.Random(6)
