@@ -25,6 +25,8 @@ WIDTH = 5
 STRATA = 64
 #: Bytes of text that a bucket of neighbouring documents should hold, and quantiles of the ids that bound them.
 BUCKET_BYTES, QUANTILES = 6 << 20, 128
+#: Numbers of neighbouring buckets that are put in order at once.
+_STRETCH = 4096
 
 
 def _uniforms(x: Column) -> tuple[Column, Column]:
@@ -49,10 +51,14 @@ def _draw(term: Column, weight: Column) -> Column:
 
 
 def _dealt(term: Column, number: Column) -> Column:
-    """Term within its stratum, which is the highest bits, for the occurrence of that number."""
+    """Term within its stratum, which is the highest bits, for the occurrence of that number.
+
+    The first occurrence, most often the only one, goes where the term's own highest bits say.
+    """
     stratum = F.xxhash64(term, F.lit(3), number).bitwiseAND(F.lit(STRATA - 1))
     bits = STRATA.bit_length() - 1
-    return F.shiftleft(stratum, 64 - bits).bitwiseOR(F.shiftrightunsigned(F.xxhash64(term, F.lit(4), stratum), bits))
+    other = F.shiftleft(stratum, 64 - bits).bitwiseOR(F.shiftrightunsigned(F.xxhash64(term, F.lit(4), stratum), bits))
+    return F.when((number == 0) | (stratum == F.shiftrightunsigned(term, 64 - bits)), term).otherwise(other)
 
 
 def _stratum(dealt: Column) -> Column:
@@ -129,8 +135,8 @@ def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: st
     first, or all if there are fewer.
 
     Null counts as empty.  Rows of one id follow each other by a hash of their texts, null ids come
-    last.  A single row is its own next.  Other columns are ignored.  An empty table gives an empty
-    result.
+    last.  A single row is its own next.  Texts are read whole, however long.  Other columns are ignored,
+    whatever their names.  An empty table gives an empty result.
     """
     scratch.prepare(docs.sparkSession)
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
@@ -138,13 +144,18 @@ def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: st
     bucket, _ = _buckets(rows)
     rows = rows.select("id", "text", bucket.alias("bucket"), F.xxhash64("text").alias("h"), F.col("id").isNull().alias("last"))
     # The first document of each bucket also stands at the end of the bucket before it.
-    firsts = rows.groupBy("bucket").agg(F.min(F.struct("last", "id", "h")).alias("first")).orderBy("bucket").collect()  # one row a bucket
-    if not firsts:
-        borders = rows.select("id", "text", "bucket", "h", "last", F.lit(1).alias("border")).limit(0)
-    else:
-        heads = [(before.bucket, int(k == 0), x.first["id"], x.first["h"]) for k, (x, before) in enumerate(zip(firsts, [firsts[-1], *firsts[:-1]]))]
-        heads = docs.sparkSession.createDataFrame([(b, 1 + wraps, i, h) for b, wraps, i, h in heads], "to long, border int, head_id long, head_h long")
-        borders = rows.drop("bucket").join(F.broadcast(heads), F.col("id").eqNullSafe(F.col("head_id")) & (F.col("h") == F.col("head_h"))).select("id", "text", F.col("to").alias("bucket"), "h", "last", "border")
+    firsts = scratch.materialize(rows.groupBy("bucket").agg(F.min(F.struct("last", "id", "h")).alias("first")), "fingerprint-firsts")
+    stretch = F.floor(F.col("bucket") / _STRETCH)
+    nearby = W.partitionBy("stretch").orderBy("bucket")
+    ordered = firsts.withColumn("stretch", stretch).withColumn("to", F.lag("bucket").over(nearby))
+    # Across stretches, each a row: the last bucket of the stretch before, and for the very first the last of all.
+    ends = ordered.groupBy("stretch").agg(F.max("bucket").alias("end"))
+    whole = W.orderBy("stretch")
+    ends = ends.select("stretch", F.lag("end").over(whole).alias("before"), F.last("end").over(whole.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("end"))
+    heads = ordered.join(ends, "stretch").select(
+        F.coalesce("to", "before", "end").alias("to"), F.when(F.coalesce("to", "before").isNull(), 2).otherwise(1).alias("border"), F.col("first.id").alias("head_id"), F.col("first.h").alias("head_h")
+    )
+    borders = rows.drop("bucket").join(heads, F.col("id").eqNullSafe(F.col("head_id")) & (F.col("h") == F.col("head_h"))).select("id", "text", F.col("to").alias("bucket"), "h", "last", "border")
     placed = rows.select("id", "text", "bucket", "h", "last", F.lit(0).alias("border")).unionAll(borders)
     signed = with_signature(placed, "text", "signature")
     order = W.partitionBy("bucket").orderBy("border", "last", "id", "h")

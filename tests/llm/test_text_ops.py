@@ -187,6 +187,7 @@ def _jaccard(a, b):
 
 def test_fingerprints_of_neighbours(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "BUCKET_BYTES", 2000)  # many buckets
+    monkeypatch.setattr(fingerprints, "_STRETCH", 5)
     rng = random.Random(8)
     words = [f"t{k}" for k in range(400)]
     rows = [(3 * k, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 300))), "en", "a") for k in range(120)] + [(500, None, None, None), (501, "", "", "")]
@@ -233,6 +234,21 @@ def test_collision_rate_is_weighted_jaccard(spark):
     assert abs(np.mean(got) - np.mean(true)) < 0.03
 
 
+@pytest.mark.parametrize("terms", [1, 5, 10, 1500])
+def test_collision_rate_has_the_expectation_of_weighted_jaccard(spark, terms):
+    """Few or many terms, of weights 1 to 20: no bias, whatever the number of strata that have terms."""
+    rng = random.Random(terms)
+    rows, true = [], []
+    for k in range(60 if terms > 100 else 800):
+        a, b = ({f"x{k}_{w}": rng.choice([1, 1, 2, 5, 20]) for w in range(terms) if terms == 1 or rng.random() < 0.8} for _ in "ab")
+        rows.append((k, *(" ".join(t for t, n in bag.items() for _ in range(n)) for bag in (a, b))))
+        true.append(_jaccard(collections.Counter(a), collections.Counter(b)))
+    df = spark.createDataFrame(rows, "k long, a string, b string").repartition(4)
+    df = fingerprints.with_signature(fingerprints.with_signature(df, "a", "sa", width=1), "b", "sb", width=1)
+    got = {r.k: r.s for r in df.select("k", fingerprints.likeness("sa", "sb").alias("s")).collect()}
+    assert abs(np.mean([got[k] - true[k] for k in range(len(rows))])) < 0.03
+
+
 def test_collision_rate_of_few_heavy_terms(spark):
     """Heavy terms count by their weight, not as one stratum each: 0.14 here, where the unweighted mean is near 1."""
     rows = []
