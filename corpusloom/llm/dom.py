@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 
 # Element categories of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math object select button datalist".split())
+# What scripts, styles, the head and forms' fields hold is no text of the page; everything else is for the trees to judge.
+RAW = frozenset("script style textarea title template iframe noembed noframes select datalist".split())
 BLOCK = frozenset(
-    "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup li main menu nav ol p pre section summary table caption tbody td tfoot th thead tr ul".split()
+    "html body address article aside blockquote button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup li main menu nav noscript ol p pre section summary table caption tbody td tfoot th thead tr ul".split()
 )
-CLOSES_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"} | {"hr"}
+CLOSES_P = BLOCK - {"button", "noscript", "html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"} | {"hr"}
 #: Start tag -> open elements that it ends, looked for up to the nearest of the second set.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -62,10 +65,17 @@ def _tokens(attributes: str) -> tuple[frozenset[str], bool]:
 
 
 def parse(page: str) -> list[Node]:
-    """Block elements in page order; the first is the root.  Text of raw elements, scripts and forms' controls is left out."""
+    """Block elements in page order; the first is the root.  What raw elements hold is left out.
+
+    Open elements are counted by tag, inline ones for each block, so that an end tag without a start
+    costs nothing and a page takes time in proportion to its length, however broken it is.
+    """
     nodes = [Node("html", -1, 0, 0)]
     children = [0]
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements, inline ones too, and the block each is in
+    blocks: list[int] = [0]  # places of blocks in the stack
+    inline: list[dict[str, int]] = [{}]  # inline elements open within each of them
+    open_blocks: dict[str, int] = {"html": 1}
     at, place, anchors = 0, 0, 0
     fresh = True  # the next text begins a new run
 
@@ -88,11 +98,16 @@ def parse(page: str) -> list[Node]:
     def pop_to(size: int) -> None:
         nonlocal anchors, fresh
         while len(stack) > size:
-            tag, block = stack.pop()
+            tag, _ = stack.pop()
             if tag == "a":
                 anchors -= 1
             if tag in BLOCK:
                 fresh = True
+                blocks.pop()
+                inline.pop()
+                open_blocks[tag] -= 1
+            else:
+                inline[-1][tag] -= 1
 
     while (m := _TOKEN.search(page, at)) is not None:
         text(page[at : m.start()])
@@ -102,40 +117,34 @@ def parse(page: str) -> list[Node]:
             continue
         tag = tag.lower()
         if close:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    pop_to(k)
-                    break
-                if stack[k][0] in BLOCK and tag not in BLOCK:
-                    break  # an inline end tag does not reach over a block
+            # An inline end tag does not reach over a block.
+            if (open_blocks.get(tag, 0) if tag in BLOCK else inline[-1].get(tag, 0)) and tag != "html":
+                places = reversed(blocks) if tag in BLOCK else range(len(stack) - 1, 0, -1)
+                pop_to(next(k for k in places if stack[k][0] == tag))
             continue
         if tag in RAW:
             if not attributes.endswith("/") or tag in ("script", "style", "title", "textarea"):
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
             continue
-        if tag == "html" or tag == "body" and any(t == "body" for t, _ in stack):
+        if tag == "html" or tag == "body" and open_blocks.get("body"):
             continue
         if tag == "head":
             end = re.compile(r"</head\s*>|<body\b", re.I).search(page, at)
             if end:
                 at = end.end() if end[0][1] == "/" else end.start()
             continue
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    pop_to(k)
-                    break
-                if stack[k][0] in BLOCK:
-                    break
+        if tag in CLOSES_P and stack[blocks[-1]][0] == "p":
+            pop_to(blocks[-1])
         if tag in IMPLIED:
             ends, within = IMPLIED[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in ends:
-                    pop_to(k)
-                    break
-                if stack[k][0] in within:
-                    break
+            if any(open_blocks.get(t) for t in ends):
+                for k in reversed(blocks):
+                    if stack[k][0] in ends:
+                        pop_to(k)
+                        break
+                    if stack[k][0] in within:
+                        break
         if tag in ("br", "hr"):
             if tag == "hr":
                 fresh = True
@@ -158,6 +167,12 @@ def parse(page: str) -> list[Node]:
             anchors += 1
             nodes[block].links += 1
         if not attributes.endswith("/") or tag in BLOCK:
+            if tag in BLOCK:
+                blocks.append(len(stack))
+                inline.append({})
+                open_blocks[tag] = open_blocks.get(tag, 0) + 1
+            else:
+                inline[-1][tag] = inline[-1].get(tag, 0) + 1
             stack.append((tag, block))
         elif tag == "a":
             anchors -= 1
@@ -171,28 +186,21 @@ def run_text(pieces: list[str]) -> str:
 
 
 #: Tag groups, in the order of their features.
-TAGS = ("p", "h1 h2 h3 h4 h5 h6 hgroup", "li dt dd", "ul ol dl menu dir", "div center", "section main", "article", "nav", "header", "footer", "aside", "form fieldset", "table tbody thead tfoot tr td th caption", "blockquote pre figure figcaption address details summary", "html body")
-#: Attribute tokens by what they speak for.
-TOKENS = (
-    "article content post entry main story body text prose copy",
-    "nav navigation menu breadcrumb breadcrumbs tabs toc pagination pager submenu navbar links",
-    "ad ads advert advertisement sponsor sponsored promo promotion banner adsense",
-    "footer foot bottom copyright legal colophon contentinfo",
-    "header masthead logo brand top topbar site",
-    "sidebar side aside widget related rail recommend recommended popular trending complementary more",
-    "cookie cookies consent notice gdpr alert popup modal overlay subscribe newsletter privacy dialog warning",
-    "comment comments reply replies response responses respond disqus discussion reader readers feedback",
-    "form login search signup contact register",
-    "share social follow sharing",
-)
+TAGS = ("p", "h1 h2 h3 h4 h5 h6 hgroup", "li dt dd", "ul ol dl menu dir", "div center", "section main", "article", "nav", "header", "footer", "aside", "form fieldset button", "table tbody thead tfoot tr td th caption", "blockquote pre figure figcaption address details summary", "html body")
+#: Attribute tokens are hashed into so many features; the trees learn what they speak for.
+TOKENS = 64
 _TAG_OF = {t: k for k, group in enumerate(TAGS) for t in group.split()}
-_TOKEN_SETS = tuple(frozenset(group.split()) for group in TOKENS)
 _STOPS = re.compile(r"[.!?;:,…。！？]")
 #: Tags and attribute tokens of a node, then the same of what it stands in.
-_NAMES = len(TAGS) + len(TOKENS)
+_NAMES = len(TAGS) + TOKENS
 WIDTH = 2 * _NAMES + 24
 
 
+@lru_cache(1 << 16)
+def _feature(token: str) -> int:
+    return zlib.crc32(token.encode("utf-8")) % TOKENS
+
+
 def features(nodes: list[Node]) -> np.ndarray:
     """A row for each node: tag, attribute tokens, depth, and statistics of its subtree and its siblings."""
     n = len(nodes)
@@ -207,10 +215,8 @@ def features(nodes: list[Node]) -> np.ndarray:
         own[k, 1], own[k, 3], own[k, 4], own[k, 5] = v.link_chars, 1, v.tag == "p", v.links
         if (g := _TAG_OF.get(v.tag)) is not None:
             out[k, g] = 1
-        if v.tokens:
-            for j, group in enumerate(_TOKEN_SETS):
-                if v.tokens & group:
-                    out[k, len(TAGS) + j] = 1
+        for token in v.tokens:
+            out[k, len(TAGS) + _feature(token)] = 1
     before[1:] = np.cumsum(own[:, 0])[:-1]
     sub = own.copy()
     for k in range(n - 1, 0, -1):

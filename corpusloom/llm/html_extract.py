@@ -18,7 +18,7 @@ from corpusloom.llm import boosting, scratch
 from corpusloom.llm.dom import Node, features, parse, run_text
 
 #: Generated pages the trees are trained on.
-TRAINING_PAGES = 500
+TRAINING_PAGES = 1200
 
 
 @lru_cache(1)
@@ -76,8 +76,9 @@ def extract(pages: list[str | None], trees: boosting.Trees) -> list[str]:
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` for every row.
 
-    Null, empty and text-less pages give the empty text.  Rows are independent, so repeated rows and
-    null ids pass through.  Other columns are ignored.
+    Null, empty and text-less pages give the empty text.  Pages are read whole, in time proportional to
+    their length.  Rows are independent, so repeated rows and null ids pass through.  Other columns are
+    ignored, whatever their names.  An empty table gives an empty result.
     """
     scratch.prepare(pages.sparkSession)
     trees = model()

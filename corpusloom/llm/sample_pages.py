@@ -2,7 +2,8 @@
 
 Words are random syllables, so that the model can only learn from structure.  Pages vary in
 whether they use sectioning elements or classes, in which furniture surrounds the article or stands
-inside it, in nesting, in lengths, and in closing their tags.
+inside it, in nesting, in lengths, and in closing their tags.  Names of boxes are joined with words
+that say nothing, and some pages name their boxes by syllables alone.
 """
 
 from __future__ import annotations
@@ -16,13 +17,15 @@ _SYLLABLES = "ba ko ri tem lu sa den mo vi fa gre pol ny esh tar ul in ok wé ß
 class _Writer:
     def __init__(self, rng: random.Random):
         self.rng, self.main = rng, []
+        self.nameless = rng.random() < 0.1  # a page whose names tell nothing
+        self.lengths = (1, 4) if rng.random() < 0.15 else (4, 18)  # words of a sentence
 
     def words(self, n: int) -> str:
         r = self.rng
         return " ".join("".join(r.choice(_SYLLABLES) for _ in range(r.randint(1, 4))) for _ in range(n))
 
     def sentence(self) -> str:
-        text = self.words(self.rng.randint(4, 18)).capitalize()
+        text = self.words(self.rng.randint(*self.lengths)).capitalize()
         return text + self.rng.choice([".", ".", ".", "?", "!", ",", " &amp;", "%%%", "!!"])
 
     def prose(self, least: int = 1, most: int = 8) -> str:
@@ -37,8 +40,10 @@ class _Writer:
 
     def attribute(self, words: str) -> str:
         r = self.rng
+        if self.nameless:
+            return f' class="{"".join(r.choice(_SYLLABLES) for _ in range(3))}"'
         word = r.choice(words.split())
-        extra = r.choice(["", "", "-wrap", "_box", " block", " col-3", "Area"])
+        extra = r.choice(["", "", "", "-wrap", "_box", " block", " col-3", "Area", "-content", "-text", "-inner", " item"])
         return f' {r.choice(["class", "class", "id"])}="{word}{extra}"'
 
     def box(self, tags: str, names: str, body: str) -> str:
@@ -73,12 +78,13 @@ class _Writer:
 
     def advert(self) -> str:
         r = self.rng
-        body = self.prose(1, 2) if r.random() < 0.7 else f"<p>{self.prose(1, 4)}</p><a href=x>{self.words(2)}</a>"
+        x = r.random()
+        body = self.prose(1, 2) if x < 0.6 else f"<p>{self.prose(1, 4)}</p><a href=x>{self.words(2)}</a>" if x < 0.85 else f"<p>{self.prose(1, 2)}</p><p>{self.prose(1, 2)}</p>"
         return self.box("", "ad ads advert sponsored promo banner ad-slot advertisement", body)
 
     def side(self) -> str:
         r = self.rng
-        body = f"<h3>{self.words(2)}</h3>" + (self.links() if r.random() < 0.6 else f"<p>{self.prose(1, 5)}</p>")
+        body = f"<h3>{self.words(2)}</h3>" * (r.random() < 0.7) + (self.links() if r.random() < 0.5 else "".join(f"<p>{self.prose(1, 5)}</p>" for _ in range(r.choice([1, 1, 2, 3]))))
         return self.box("aside", "sidebar side widget related rail popular recommended", body)
 
     def notice(self) -> str:
@@ -98,7 +104,7 @@ class _Writer:
 
     def paragraph(self) -> str:
         r = self.rng
-        text = self.keep(self.prose(1, r.choice([1, 3, 8, 12])))
+        text = self.keep(self.prose(1, r.choice([1, 1, 3, 8, 12])))
         if r.random() < 0.15:
             words = text.split(" ")
             k = r.randrange(len(words))

@@ -468,6 +468,36 @@ def test_extraction_decodes_and_normalises():
     assert html_extract.extract([PAGE], html_extract.model()) == ["My title\nFirst paragraph & link, which goes on for a while.\nSecond one here to read."]
 
 
+_STORY = "<p>The river rose in the night, and by the morning the lower streets were under water.</p><p>People carried what they could to the upper floors, and waited there for the boats.</p><p>In the evening the rain stopped at last.</p>"
+_LINES = ["Flood", "The river rose in the night, and by the morning the lower streets were under water.", "People carried what they could to the upper floors, and waited there for the boats.", "In the evening the rain stopped at last."]
+
+
+@pytest.mark.parametrize(
+    "page, more",
+    [
+        (f"<body><div class='xq1'><a href=a>Home</a> <a href=b>News</a> <a href=c>About</a></div><div class='zz9'><h1>Flood</h1>{_STORY}</div><div class='qq3'>Copyright 2020 by the Town Times.</div>", []),
+        (f"<body><article><h1>Flood</h1>{_STORY}<div class='related-content'><p>More on the weather of this spring.</p><p>Our readers' pictures of the flood.</p></div></article>", []),
+        (f"<body><article><h1>Flood</h1>{_STORY}<p>The level <math><mi>h</mi><mo>=</mo><mn>3</mn></math> was a <object>high</object> <svg><text>record</text></svg>.</p></article>", ["The level h=3 was a high record."]),
+    ],
+)
+def test_extraction_without_known_names_and_with_rich_content(page, more):
+    assert html_extract.extract([page], html_extract.model()) == ["\n".join(_LINES + more)]
+
+
+def test_parsing_takes_time_in_proportion_to_the_page():
+    import time
+
+    def seconds(page):
+        began = time.process_time()
+        dom.parse(page)
+        return time.process_time() - began
+
+    for start, unit in (("", "<b>{}</i>"), ("<i><div>", "<b>{}</i>"), ("", "<div>{}<dt></dt>"), ("", "<p><b>{}</i>")):
+        first, second = unit.split("{}")
+        sizes = [min(seconds(start + first * n + second * n) for _ in range(2)) for n in (4000, 16000)]
+        assert sizes[1] < 10 * sizes[0] + 0.2
+
+
 def test_extraction_edges(spark):
     deep = "<div>" * 3000 + "<p>text</p>"
     pages = [None, "", "<", "<p", "<!--", "<article></article>", "</p></div>", "<p title='a>b", deep, "plain", "<br><br>", "&#0;&#xD800;&bogus;", "<table><tr><td>a<td>b<tr><td>c"]
