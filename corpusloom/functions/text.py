@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -38,6 +39,30 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
 
 
+#: White space other than the space and the line end that may be left once control characters are gone.
+_ODD_SPACE = r"[\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body refers to it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _trimmed_lines(text: Column) -> Column:
+    """Lines trimmed and blank lines limited, for text in which spaces are single; plain searches where no odd space occurs."""
+    plain = F.replace(F.replace(text, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
+    plain = F.btrim(F.regexp_replace(plain, r"\n{3,}", "\n\n"), F.lit(" \n"))
+    odd = F.regexp_replace(text, r"(?Umd)^[\s&&[^\n]]+|[\s&&[^\n]]+$", "")
+    odd = strip(F.regexp_replace(odd, r"\n{3,}", "\n\n"))
+    return F.when(text.rlike(_ODD_SPACE), odd).otherwise(plain)
+
+
+def _cut(text: Column, most: int) -> Column:
+    head = F.substring(text, 1, most)
+    at_word = F.when(head.contains(" "), F.regexp_replace(head, r"(?s) [^ ]*\z", "")).otherwise(head)
+    return F.when(F.char_length(text) > most, strip(at_word)).otherwise(text)
+
+
 def clean_text(text: Column, most: int = TEXT_CHARS[1], normalise: bool = True) -> Column:
     """Normalised, without control characters, lines trimmed, blank lines limited, cut at a word to ``most`` characters.
 
@@ -47,13 +72,9 @@ def clean_text(text: Column, most: int = TEXT_CHARS[1], normalise: bool = True)
     text = F.coalesce(text.cast("string"), F.lit(""))
     if normalise:
         text = compatibility_form(text)
-    text = F.regexp_replace(text, r"[\x00-\x08\x0B-\x1F]", "")
-    text = F.regexp_replace(text, r"[ \t]+", " ")
-    text = F.regexp_replace(text, r"(?Umd)^[\s&&[^\n]]+|[\s&&[^\n]]+$", "")
-    text = strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
-    head = F.substring(text, 1, most)
-    at_word = F.when(head.contains(" "), F.regexp_replace(head, r"(?s) [^ ]*\z", "")).otherwise(head)
-    return F.when(F.char_length(text) > most, strip(at_word)).otherwise(text)
+    text = F.regexp_replace(text, r"[\x00-\x08\x0B-\x1F]+", "")
+    text = F.regexp_replace(text, r"\t[ \t]*| [ \t]+", " ")
+    return let(let(text, _trimmed_lines), lambda t: _cut(t, most))
 
 
 def words(text: Column) -> Column:
@@ -62,12 +83,11 @@ def words(text: Column) -> Column:
 
 
 def letters(text: Column) -> Column:
-    return F.char_length(F.regexp_replace(text, r"[^\p{L}]", ""))
+    return F.char_length(F.regexp_replace(text, r"[^\p{L}]+", ""))
 
 
 def junk_hits(text: Column) -> Column:
-    low = F.lower(text)
-    return sum((low.contains(p).cast("int") for p in JUNK_PHRASES[1:]), low.contains(JUNK_PHRASES[0]).cast("int"))
+    return let(F.lower(text), lambda low: sum((low.contains(p).cast("int") for p in JUNK_PHRASES[1:]), low.contains(JUNK_PHRASES[0]).cast("int")))
 
 
 def quality_reason(text: Column, split: Column, least_chars: int = TEXT_CHARS[0]) -> Column:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import let
 
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
@@ -30,7 +31,7 @@ def mean(v: Column) -> Column:
 
 def variance(v: Column) -> Column:
     """Over the population."""
-    return total(F.transform(v, lambda x: (x - mean(v)) * (x - mean(v)))) / F.size(v)
+    return let(mean(v), lambda m: total(F.transform(v, lambda x: (x - m) * (x - m)))) / F.size(v)
 
 
 def argmax(v: Column) -> Column:
@@ -39,14 +40,12 @@ def argmax(v: Column) -> Column:
 
 
 def softmax(v: Column, temperature: float = 1.0) -> Column:
-    top = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp((x - top) / temperature))
-    return F.transform(e, lambda x: x / total(e))
+    e = let(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp((x - top) / temperature)))
+    return let(e, lambda e: let(total(e), lambda z: F.transform(e, lambda x: x / z)))
 
 
 def logsumexp(v: Column) -> Column:
-    top = F.array_max(v)
-    return top + F.ln(total(F.transform(v, lambda x: F.exp(x - top))))
+    return let(F.array_max(v), lambda top: top + F.ln(total(F.transform(v, lambda x: F.exp(x - top)))))
 
 
 def one_hot(label: Column, classes: int) -> Column:
@@ -75,13 +74,11 @@ def activation(name: str, derivative: bool = False):
 
 
 def layer_norm(v: Column, epsilon: float = 1e-5) -> Column:
-    m, s = mean(v), F.sqrt(variance(v) + epsilon)
-    return F.transform(v, lambda x: (x - m) / s)
+    return let(F.struct(mean(v).alias("m"), F.sqrt(variance(v) + epsilon).alias("s")), lambda p: F.transform(v, lambda x: (x - p["m"]) / p["s"]))
 
 
 def rms_norm(v: Column, epsilon: float = 1e-5) -> Column:
-    s = F.sqrt(dot(v, v) / F.size(v) + epsilon)
-    return F.transform(v, lambda x: x / s)
+    return let(F.sqrt(dot(v, v) / F.size(v) + epsilon), lambda s: F.transform(v, lambda x: x / s))
 
 
 def rotate(v: Column, position: Column, width: int, base: float = 10000.0) -> Column:
@@ -115,8 +112,7 @@ def softmax_gradient(y: Column, p: Column, rows: Column | float = 1.0) -> Column
 
 
 def clip_by_norm(g: Column, most: float, epsilon: float = 1e-6) -> Column:
-    scale = F.least(F.lit(1.0), most / (norm(g) + epsilon))
-    return F.transform(g, lambda x: x * scale)
+    return let(F.least(F.lit(1.0), most / (norm(g) + epsilon)), lambda scale: F.transform(g, lambda x: x * scale))
 
 
 def sgd(params: Column, grads: Column, rate: float = 0.01) -> Column:

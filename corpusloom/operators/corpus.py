@@ -39,7 +39,8 @@ def conversation_pairs(turns: DataFrame) -> DataFrame:
     ordered = clean.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
 
     def step(s: Column, m: Column) -> Column:
-        system = F.when(s["used"], F.lit("")).otherwise(F.array_join(s["system"], "\n\n"))
+        # The gathered text is cut to the limit as a whole; its parts are clean.
+        system = F.when(s["used"], F.lit("")).otherwise(T.clean_text(F.array_join(s["system"], "\n\n"), T.CHAT_CHARS[1], normalise=False))
         pair = T.render_pair(s["user"], m["text"], system)
         answers = (m["role"] == "assistant") & (s["user"] != "")
         good = answers & (pair != "")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Ranges at least.
 RANGES = 64
 
 
@@ -24,21 +25,41 @@ def uniform(seed: int, *ids: str) -> Column:
     return shuffle_key(seed, *ids) / float(1 << 52)
 
 
-def with_ranges(df: DataFrame, key: str, ranges: int = RANGES) -> DataFrame:
-    """``df`` with ``_range``, which never falls as ``key`` grows; null keys come last."""
+def ranges_of(df: DataFrame) -> int:
+    """As many ranges as a shuffle of the session has partitions."""
+    return max(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def with_ranges(df: DataFrame, key: str, ranges: int, ties: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with ``_range`` and ``_part``, which in this order never fall as ``key`` and then the first of ``ties`` grow.
+
+    Null keys come last.  Where one key fills several ranges, its rows are dealt over as many parts by
+    the quantiles of the first tie, if that is a number; without one its rows are of one part.
+    """
     bounds = df.agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0] or []
-    cuts = F.array(*[F.lit(b) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<bigint>")
-    return df.withColumn("_range", F.when(F.col(key).isNull(), F.lit(ranges)).otherwise(F.size(F.filter(cuts, lambda b: b < F.col(key)))))
+    distinct = sorted(set(bounds))
+    cuts = F.array(*[F.lit(b) for b in distinct]) if bounds else F.array().cast("array<bigint>")
+    dealt = df.withColumn("_range", F.when(F.col(key).isNull(), F.lit(ranges)).otherwise(F.size(F.filter(cuts, lambda b: b < F.col(key)))))
+    part = F.lit(0)
+    numeric = {f.name for f in df.schema.fields if f.dataType.typeName() in ("byte", "short", "integer", "long", "float", "double", "date", "timestamp")}
+    if ties and ties[0] in numeric and (hot := [b for b in distinct if bounds.count(b) > 1]):
+        # Quantiles of the tie within each key that fills ranges: at most as many numbers as ranges.
+        spread = {r[0]: r[1] for r in dealt.where(F.col(key).isin(hot)).groupBy(F.col(key)).agg(F.percentile_approx(ties[0], [k / ranges for k in range(1, ranges)], 20 * ranges)).collect()}
+        for b in hot:
+            own = sorted(set((spread.get(b) or [])[:: max(1, ranges // bounds.count(b))]))
+            steps = F.size(F.filter(F.array(*[F.lit(x) for x in own]), lambda x: x < F.col(ties[0]))) if own else F.lit(0)
+            # Smaller keys of the same range come before all parts, so these count from 1.
+            part = F.when(F.col(key) == b, F.when(F.col(ties[0]).isNull(), 1).otherwise(1 + steps)).otherwise(part)
+    return dealt.withColumn("_part", part)
 
 
-def running(df: DataFrame, key: str, value: Column | None = None, ties: tuple[str, ...] = (), ranges: int = RANGES) -> DataFrame:
+def running(df: DataFrame, key: str, value: Column | None = None, ties: tuple[str, ...] = (), ranges: int | None = None) -> DataFrame:
     """``df`` with ``pos``, its place from 0 in the order of ``key`` and ``ties``, and ``before``, the sum of ``value`` over all earlier rows."""
-    dealt = with_ranges(df, key, ranges).withColumn("_value", value if value is not None else F.lit(0))
-    order = W.orderBy(F.col("_range"))
-    sums = dealt.groupBy("_range").agg(F.count("*").alias("_n"), F.sum("_value").alias("_sum"))  # one row a range
-    upto = order.rowsBetween(W.unboundedPreceding, -1)
-    offsets = sums.select("_range", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_rows_before"), F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_sum_before"))
-    inside = W.partitionBy("_range").orderBy(F.col(key).asc_nulls_last(), *ties)
+    dealt = with_ranges(df, key, ranges or ranges_of(df), ties).withColumn("_value", value if value is not None else F.lit(0))
+    sums = dealt.groupBy("_range", "_part").agg(F.count("*").alias("_n"), F.sum("_value").alias("_sum"))  # one row a range and part
+    upto = W.orderBy("_range", "_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select("_range", "_part", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_rows_before"), F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_sum_before"))
+    inside = W.partitionBy("_range", "_part").orderBy(F.col(key).asc_nulls_last(), *ties)
     placed = dealt.withColumns({"_row": F.row_number().over(inside), "_upto": F.sum("_value").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow))})
-    joined = placed.join(F.broadcast(offsets), "_range")  # at most ranges + 1 rows
+    joined = placed.join(F.broadcast(offsets), ["_range", "_part"])  # at most twice as many rows as ranges
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_rows_before") + F.col("_row") - 1).alias("pos"), (F.col("_sum_before") + F.col("_upto") - F.col("_value")).alias("before"))

@@ -27,22 +27,28 @@ def words_to_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``id, piece, n``: words from the most frequent on, ids from 0."""
+    """``id, piece, n``: words from the most frequent on, then by a hash, ids from 0."""
     counts = docs.select(F.explode(T.words(F.coalesce(F.col(text_col), F.lit("")))).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
-    ranked = running(counts.withColumn("_order", -F.col("n")), "_order", ties=("piece",))
+    # Words that occur once are most of the table, so the hash that orders them also deals them out.
+    ranked = running(counts.withColumns({"_order": -F.col("n"), "_hash": F.xxhash64("piece")}), "_order", ties=("_hash", "piece"))
     return ranked.select(F.col("pos").cast("int").alias("id"), "piece", "n")
 
 
 def encode(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, place, id`` of each word by an equi-join with the vocabulary; unknown words have no id."""
-    placed = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(T.words(F.coalesce(F.col(text_col), F.lit("")))).alias("place", "piece"))
-    empty = docs.where(F.size(T.words(F.coalesce(F.col(text_col), F.lit("")))) == 0).select(F.col(id_col).alias("doc_id"), F.lit(None).cast("int").alias("place"), F.lit(None).cast("int").alias("id"))
-    return placed.join(vocab.select("piece", "id"), "piece", "left").select("doc_id", "place", "id").unionAll(empty)
+    """``doc_id, id, places``: each distinct word of a document with all its places; unknown words have no id.
+
+    A word meets the vocabulary once a document, however often it occurs there.  A document without
+    words is one row without id and places.  Ids of documents tell them apart.
+    """
+    split = T.words(F.coalesce(F.col(text_col), F.lit("")))
+    placed = docs.select(F.col(id_col).alias("doc_id"), F.explode_outer(F.transform(split, lambda w, i: F.struct(w.alias("piece"), i.alias("place")))).alias("w"))
+    held = placed.groupBy("doc_id", F.col("w.piece").alias("piece")).agg(F.array_sort(F.collect_list("w.place")).alias("places"))
+    return held.join(vocab.select("piece", "id"), "piece", "left").select("doc_id", "id", "places")
 
 
 def decode(ids: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``doc_id, decoded``: the words of each document's ids, joined by spaces; one document fits a row."""
-    named = ids.join(vocab.select("id", "piece"), "id", "left")
+    """``doc_id, decoded``: the words of each document's ids in their places, joined by spaces; one document fits a row."""
+    named = ids.join(vocab.select("id", "piece"), "id", "left").select("doc_id", F.explode_outer("places").alias("place"), "piece")
     gathered = named.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("place", "piece")))).alias("pieces"))
     return gathered.select("doc_id", F.array_join(F.col("pieces.piece"), " ").alias("decoded"))
 
@@ -64,26 +70,39 @@ def tail(tokens: Column, most: int) -> Column:
     return F.slice(tokens, F.greatest(F.size(tokens) - most + 1, F.lit(1)), most)
 
 
-def train_sentencepiece(docs: DataFrame, vocab_size: int = 12_000, kind: str = "bpe", coverage: float = 0.9995, most_rows: int = 200_000, most_chars: int = 100_000_000, text_col: str = "text", small: bool = False) -> bytes:
-    """A SentencePiece model from at most ``most_rows`` rows and ``most_chars`` characters, on the driver.
+#: Rows from which the small variant trains.
+SMALL_ROWS = 200_000
+
 
-    Special symbols must come out as one piece each.  ``small`` leaves the library's other options
-    at their defaults.
+def train_sentencepiece(docs: DataFrame, vocab_size: int = 12_000, kind: str = "bpe", coverage: float = 0.9995, text_col: str = "text", small: bool = False) -> bytes:
+    """A SentencePiece model of ``kind`` bpe or unigram, trained on the driver from all texts.
+
+    What training reads is every distinct word of the corpus with the number of times it occurs, counted
+    over the executors; none is left out.  Special symbols must come out as one piece each.  ``small``
+    leaves the library's other options at their defaults and reads lines of :data:`SMALL_ROWS` random rows
+    instead, which is what that variant is.
     """
+    import tempfile
+
     import sentencepiece
 
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"))
-    # Where there are more rows, a share of them by a hash of the text; rows come one partition at a time.
-    few = int(min(1.0, most_rows / max(1, texts.count())) * (1 << 62))
-    lines, size = [], 0
-    for row in texts.where(F.xxhash64("t").bitwiseAND(F.lit((1 << 62) - 1)) <= few).limit(most_rows).toLocalIterator():
-        size += len(row.t)
-        if size > most_chars:
-            break
-        lines += [line for line in row.t.split("\n") if line.strip()]
     options = {} if small else {"character_coverage": coverage, "byte_fallback": True, "normalization_rule_name": "identity", "add_dummy_prefix": False, "user_defined_symbols": list(SYMBOLS), **IDS}
-    out = io.BytesIO()
-    sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(lines), model_writer=out, model_type=kind, vocab_size=vocab_size, hard_vocab_limit=False, minloglevel=2, **options)
+    with tempfile.TemporaryDirectory() as folder:  # on the driver, where the library reads and writes
+        path = f"{folder}/input"
+        if small:
+            few = int(min(1.0, SMALL_ROWS / max(1, texts.count())) * (1 << 62))
+            some = texts.where(F.xxhash64("t").bitwiseAND(F.lit((1 << 62) - 1)) <= few).limit(SMALL_ROWS)
+            lines = (line for row in some.toLocalIterator() for line in row.t.split("\n") if line.strip())
+        else:
+            # The space before a word belongs to it; the library writes that space as U+2581.
+            counts = texts.select(F.explode(F.regexp_extract_all("t", F.lit(r" ?[^ \n\t]+"), F.lit(0))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+            lines = (f"{row.w.replace(' ', chr(0x2581))}\t{row.n}" for row in counts.orderBy(F.desc("n"), "w").toLocalIterator())
+            options["input_format"] = "tsv"
+        with open(path, "w", encoding="utf-8") as f:
+            f.writelines(f"{line}\n" for line in lines)
+        out = io.BytesIO()
+        sentencepiece.SentencePieceTrainer.train(input=path, model_writer=out, model_type=kind, vocab_size=vocab_size, hard_vocab_limit=False, minloglevel=2, **options)
     model = out.getvalue()
     if not small:
         check_symbols(model)
@@ -120,3 +139,17 @@ def metadata(dataset: str, model: bytes, tokens: int) -> str:
     encoder = sentencepiece.SentencePieceProcessor(model_proto=model)
     record = {"dataset": dataset, "vocab_size": encoder.vocab_size(), "special_tokens": list(SYMBOLS), "special_token_ids": {s: encoder.piece_to_id(s) for s in SYMBOLS}, "tokens": tokens, "model_sha256": hashlib.sha256(model).hexdigest()}
     return json.dumps(record, sort_keys=True)
+
+
+def decode_lines(ids: DataFrame, model: bytes) -> DataFrame:
+    """``doc_id, decoded``: the text of each document's ids; line ends left no ids, so lines run together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+        import sentencepiece
+
+        decoder = sentencepiece.SentencePieceProcessor(model_proto=model)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([decoder.decode(t or []) for t in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "decoded"])
+
+    return ids.select("doc_id", "tokens").mapInArrow(run, "doc_id long, decoded string")

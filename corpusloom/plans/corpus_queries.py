@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import corpus, telemetry, tokens
 from corpusloom.operators.ordered import running, shuffle_key, uniform
+from corpusloom.sources import files
 
 WEIGHTS = {"src0": 0.65, "src1": 0.35}
 
@@ -222,15 +225,39 @@ def context_tail(spark, sf):
 
 def decoded_words(spark, sf):
     docs = table(spark, sf, "documents")
-    vocabulary = tokens.vocabulary(docs)
+    vocabulary = files.written(tokens.vocabulary(docs))
     return tokens.decode(tokens.encode(docs, vocabulary), vocabulary)
 
 
-def sentencepiece_ids(spark, sf):
+def _pieces(spark, sf, **options):
+    """A model trained on all documents and the ids it gives them."""
     docs = table(spark, sf, "documents")
-    model = tokens.train_sentencepiece(docs.where("lang = 'en'"), vocab_size=500, most_rows=200, most_chars=1_000_000)
-    ids = tokens.encode_lines(docs.select("doc_id", "text"), model)
-    return ids.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"))
+    model = tokens.train_sentencepiece(docs, vocab_size=1000, **options)
+    return model, tokens.encode_lines(docs.select("doc_id", "text"), model)
+
+
+def sentencepiece_ids(spark, sf):
+    return _pieces(spark, sf)[1].select("doc_id", F.size("tokens").cast("long").alias("n_tokens"))
+
+
+def sentencepiece_decoded(spark, sf):
+    """What decoding makes of the ids: the text without its line ends."""
+    model, ids = _pieces(spark, sf)
+    return tokens.decode_lines(ids, model)
+
+
+def sentencepiece_unigram(spark, sf):
+    """The same round trip with the other kind of model."""
+    model, ids = _pieces(spark, sf, kind="unigram")
+    return tokens.decode_lines(ids, model)
+
+
+def sentencepiece_metadata(spark, sf):
+    """The record of a tokenised set: symbols, their ids, and the number of tokens against that of the table."""
+    model, ids = _pieces(spark, sf)
+    record = json.loads(tokens.metadata("documents", model, ids.agg(F.sum(F.size("tokens"))).first()[0]))
+    rows = [(s, i, record["dataset"], record["tokens"] > 0) for s, i in record["special_token_ids"].items()]
+    return spark.createDataFrame(rows, "symbol string, id int, dataset string, has_tokens boolean")
 
 
 def manifest(spark, sf):
@@ -335,5 +362,11 @@ QUERIES = {
     "context_tail": (context_tail, f"SELECT doc_id, array_to_string(list_slice(ids, greatest(len(ids) - 7, 1), len(ids)), ' ') AS tail FROM (SELECT doc_id, {_IDS} AS ids FROM documents)"),
     "decoded_words": (decoded_words, f"SELECT doc_id, array_to_string({_WORDS}, ' ') AS decoded FROM documents"),
     "sentencepiece_ids": (sentencepiece_ids, None),
+    "sentencepiece_decoded": (sentencepiece_decoded, "SELECT doc_id, coalesce(replace(text, chr(10), ''), '') AS decoded FROM documents"),
+    "sentencepiece_unigram": (sentencepiece_unigram, "SELECT doc_id, coalesce(replace(text, chr(10), ''), '') AS decoded FROM documents"),
+    "sentencepiece_metadata": (
+        sentencepiece_metadata,
+        "SELECT symbol, CAST(row_number() OVER () + 3 AS INT) AS id, 'documents' AS dataset, true AS has_tokens FROM (VALUES ('<|document|>'), ('<|endoftext|>'), ('[INST]'), ('[/INST]'), ('<<SYS>>'), ('<</SYS>>')) t(symbol)",
+    ),
     "manifest": (manifest, f"SELECT source, '{{\"samples\":' || count(*) || ',\"chars\":' || CAST(sum({_STRIPPED}) AS BIGINT) || '}}' AS stats FROM documents GROUP BY source"),
 }

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -15,9 +14,7 @@ from corpusloom.streaming import streams
 
 
 def _scratch(spark) -> str:
-    """A new path in the shared folder of the cluster, or in a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-    return f"{base.rstrip('/')}/corpusloom/files-{uuid.uuid4().hex}"
+    return files.shared_path(spark, "files")
 
 
 def csv_roundtrip(spark, sf):

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import time
-from collections.abc import Callable, Iterable
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +30,27 @@ CHAT_WEIGHTS = (0.90, 0.0)
 PRETRAIN_TOKENS, CHAT_TOKENS = 120_000_000, 8_000_000
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; only a local session may do without one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        folder = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = folder.get() if folder.isDefined() else None
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
+    return f"{base.rstrip('/')}/corpusloom/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again, so that what refers to it twice computes it once."""
+    path = shared_path(df.sparkSession, "written")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def active(sources: Iterable[Source]) -> list[Source]:
     return [s for s in sources if s.weight > 0]
 
@@ -125,3 +148,26 @@ def with_retries(action: Callable[[], object], most: int = 8, base_seconds: floa
             if failures > most:
                 raise RuntimeError(f"failed after {most} retries") from error
             sleep(base_seconds * min(8, 2 ** (failures - 1)))
+
+
+def reopened(open_source: Callable[[], Iterable], take: Callable[[object], None], most: int = 8, base_seconds: float = 5.0, sleep: Callable[[float], None] = time.sleep) -> int:
+    """Hand every item of a source to ``take``; after a failure the source is opened again and goes on behind what was taken.
+
+    Waits like :func:`with_retries`.  An item that gets through sets the count of failures back, so only
+    ``most`` failures in a row end it.  Returns the number of items.
+    """
+    taken, failures = 0, 0
+    while True:
+        try:
+            items: Iterator = iter(open_source())
+            for _ in range(taken):
+                next(items)
+            for item in items:
+                take(item)
+                taken, failures = taken + 1, 0
+            return taken
+        except Exception as error:
+            failures += 1
+            if failures > most:
+                raise RuntimeError(f"failed after {most} retries") from error
+            sleep(base_seconds * min(8, 2 ** (failures - 1)))
