@@ -13,7 +13,8 @@ from corpusloom.operators import corpus, telemetry, tokens
 from corpusloom.operators.ordered import running, shuffle_key, uniform
 from corpusloom.sources import files
 
-WEIGHTS = {"src0": 0.65, "src1": 0.35}
+#: Weights of all sources; every fifth is switched off.
+WEIGHTS = {f"src{k}": (k % 5) * 0.25 for k in range(20)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -300,8 +301,9 @@ QUERIES = {
         s AS (SELECT a.conv_id, a.turn, a.text, (SELECT max(b.turn) FROM g b WHERE b.conv_id = a.conv_id AND b.role = 'assistant' AND b.turn < a.turn) AS last_answer,
           (SELECT max(b.turn) FROM g b WHERE b.conv_id = a.conv_id AND b.role = 'user' AND b.turn < a.turn) AS ask,
           (SELECT string_agg(b.text, chr(10) || chr(10) ORDER BY b.turn) FROM g b WHERE b.conv_id = a.conv_id AND b.role = 'system' AND b.turn < a.turn) AS sys FROM g a WHERE a.role = 'assistant'),
+        k AS (SELECT conv_id, turn, text, last_answer, ask, CASE WHEN sys IS NULL THEN NULL ELSE {_clean('sys', 12000)} END AS sys FROM s),
         c AS (SELECT s.conv_id, s.turn, '[INST] ' || u.text || ' [/INST] ' || s.text AS plain, '[INST] ' || CASE WHEN sys IS NULL THEN '' ELSE '<<SYS>>' || chr(10) || sys || chr(10) || '<</SYS>>' || chr(10) || chr(10) END || u.text || ' [/INST] ' || s.text AS full_text
-          FROM s JOIN g u ON u.conv_id = s.conv_id AND u.turn = s.ask WHERE s.ask > coalesce(s.last_answer, -1)),
+          FROM k s JOIN g u ON u.conv_id = s.conv_id AND u.turn = s.ask WHERE s.ask > coalesce(s.last_answer, -1)),
         f AS (SELECT conv_id, min(turn) AS first FROM c WHERE length(full_text) BETWEEN 40 AND 12000 GROUP BY conv_id),
         p AS (SELECT c.conv_id, c.turn, CASE WHEN c.turn = f.first THEN c.full_text ELSE c.plain END AS pair FROM c JOIN f ON c.conv_id = f.conv_id AND c.turn >= f.first),
         r AS (SELECT conv_id, string_agg(pair, chr(10) ORDER BY turn) || chr(10) || '<|endoftext|>' || chr(10) AS rendered FROM p WHERE length(pair) BETWEEN 40 AND 12000 GROUP BY conv_id)
@@ -324,7 +326,7 @@ QUERIES = {
     "stage_summary": (stage_summary, f"SELECT count(*) AS samples, CAST(sum({_STRIPPED}) AS BIGINT) AS actual_chars, CAST(480000000 AS BIGINT) AS target_chars, sum({_STRIPPED}) >= 480000000 AS reached FROM documents"),
     "mix_sources": (
         mix_sources,
-        f"""WITH d AS (SELECT doc_id, source, CASE source WHEN 'src0' THEN CAST(0.65 AS DOUBLE) ELSE CAST(0.35 AS DOUBLE) END AS w, {_KEY.format("'1:' || doc_id")} AS k FROM documents WHERE source IN ('src0', 'src1')),
+        f"""WITH d AS (SELECT doc_id, source, CAST((CAST(substring(source, 4) AS INT) % 5) * 0.25 AS DOUBLE) AS w, {_KEY.format("'1:' || doc_id")} AS k FROM documents WHERE CAST(substring(source, 4) AS INT) % 5 > 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY k, doc_id) / w AS stride FROM d)
         SELECT row_number() OVER (ORDER BY stride, source) - 1 AS pos, doc_id, source FROM r""",
     ),

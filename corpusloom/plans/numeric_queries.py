@@ -12,8 +12,11 @@ from corpusloom.nn.model import Model, Optimizer, generate
 from corpusloom.operators import corpus, telemetry
 from corpusloom.operators.ordered import uniform
 from corpusloom.plans.corpus_queries import _uniform, table
+from corpusloom.sources import files
 
 _SCALE = 1e5
+#: Factor of the attention products: beyond 1 / sqrt(64), so that without taking off the largest the exponential would overflow.
+_SHARP = 2000.0
 
 
 def _vectors(spark, sf):
@@ -72,25 +75,26 @@ def size_grid(spark, sf):
 
 
 def argmax_accuracy(spark, sf):
-    p = V.softmax(F.slice("v", 1, 10))
+    p = V.softmax(F.col("v"))
     return _vectors(spark, sf).select((V.argmax(p) == F.col("label")).cast("int").alias("right")).agg(F.count("*").alias("n"), F.sum("right").alias("correct"), F.round(F.avg("right"), 9).alias("accuracy"))
 
 
 def softmax_ranking(spark, sf):
-    rows = _vectors(spark, sf).withColumn("p", V.softmax(F.slice("v", 1, 10)))
+    rows = _vectors(spark, sf).withColumn("p", V.softmax(F.col("v")))
     ranked = F.array_sort(F.transform("p", lambda x, i: F.struct((-F.round(x, 9)).alias("d"), i.alias("class"))))
-    return rows.select("vec_id", F.posexplode(ranked).alias("place", "c")).select("vec_id", "place", F.col("c.class").alias("class"), F.round(-F.col("c.d"), 6).alias("confidence"))
+    return rows.select("vec_id", F.posexplode(ranked).alias("place", "c")).select("vec_id", "place", F.col("c.class").alias("class"), (-F.col("c.d")).alias("confidence"))
 
 
 def label_names(spark, sf):
+    # The names of the classes.
     names = spark.createDataFrame([(i, n) for i, n in enumerate("airplane automobile bird cat deer dog frog horse ship truck".split())], "label int, name string")
     return table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("int").alias("label")).join(F.broadcast(names), "label").select("vec_id", "name")
 
 
 def embedding_gather(spark, sf):
-    vectors = _vectors(spark, sf).select(F.col("vec_id").alias("token"), F.get("v", F.lit(0)).alias("first"), F.get("v", F.lit(63)).alias("last"))
+    vectors = _vectors(spark, sf).select(F.col("vec_id").alias("token"), F.get("v", F.lit(0)).alias("first"), F.get("v", F.lit(63)).alias("last"), V.total(F.col("v")).alias("total"))
     ids = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 500).alias("token"))
-    return ids.join(vectors, "token").select("l_orderkey", "l_linenumber", "token", F.round("first", 6).alias("first"), F.round("last", 6).alias("last"))
+    return ids.join(vectors, "token").select("l_orderkey", "l_linenumber", "token", F.round("first", 6).alias("first"), F.round("last", 6).alias("last"), F.round("total", 6).alias("total"))
 
 
 def epoch_metrics(spark, sf):
@@ -137,7 +141,7 @@ def ema_steps(spark, sf):
     return telemetry.ema(rows, "user_id", ("event_id",), "value").select("event_id", _steady("ema", "ema"))
 
 
-def resumed_ema_all(spark, sf):
+def resumed_ema(spark, sf):
     """The average of the later half of each user's events, resumed from that of the earlier; equal to the uninterrupted one."""
     user = W.partitionBy("user_id")
     rows = table(spark, sf, "events").select("user_id", "event_id", "value")
@@ -147,11 +151,6 @@ def resumed_ema_all(spark, sf):
     return late.groupBy("user_id").agg(F.max_by("ema", "event_id").alias("ema"), F.max("event_id").alias("last")).select("user_id", _steady("ema", "ema"), "last")
 
 
-def resumed_ema(spark, sf):
-    """Of :func:`resumed_ema_all` the users that the SQL lists."""
-    return resumed_ema_all(spark, sf).where("user_id < 50 and last >= 500").drop("last")
-
-
 def running_metrics(spark, sf):
     cents = table(spark, sf, "events").withColumn("cents", F.round(F.col("value") * 100).cast("long"))  # exact in any order of adding
     ran = telemetry.running_mean(cents, "user_id", ("event_id",), "cents")
@@ -171,12 +170,12 @@ def lr_schedule_mult(spark, sf):
 
 
 def activations(spark, sf):
-    x = F.get("v", F.lit(0))
-    return _vectors(spark, sf).select("vec_id", *[F.round(V.activation(n)(x), 6).alias(n) for n in V.ACTIVATIONS], *[F.round(V.activation(n, True)(x), 6).alias(f"{n}_slope") for n in V.ACTIVATIONS])
+    x = F.col("x")
+    return _vectors(spark, sf).select("vec_id", F.posexplode("v").alias("place", "x")).select("vec_id", "place", *[F.round(V.activation(n)(x), 6).alias(n) for n in V.ACTIVATIONS], *[F.round(V.activation(n, True)(x), 6).alias(f"{n}_slope") for n in V.ACTIVATIONS])
 
 
 def softmax_rows(spark, sf):
-    return _vectors(spark, sf).select("vec_id", _out("p", V.softmax(F.slice("v", 1, 10))))
+    return _vectors(spark, sf).select("vec_id", _out("p", V.softmax(F.col("v"))))
 
 
 def one_hot_labels(spark, sf):
@@ -184,7 +183,7 @@ def one_hot_labels(spark, sf):
 
 
 def pixels(spark, sf):
-    scaled = F.transform(F.slice("v", 1, 8), lambda x: F.round(x, 3))
+    scaled = F.transform("v", lambda x: F.round(x, 3))
     return _vectors(spark, sf).select("vec_id", F.array_join(V.to_pixels(scaled).cast("array<string>"), " ").alias("pixels"))
 
 
@@ -194,34 +193,34 @@ def greedy_tokens(spark, sf):
 
 def sampled_tokens(spark, sf):
     """A token drawn at temperature 0.8 by inverting the cumulative distribution at a repeatable number."""
-    rows = _vectors(spark, sf).select("vec_id", V.softmax(F.slice("v", 1, 10), 0.8).alias("p"), uniform(9, "vec_id").alias("u"))
-    below = F.size(F.filter(F.sequence(F.lit(1), F.lit(9)), lambda i: V.total(F.slice("p", F.lit(1), i)) <= F.col("u")))
+    rows = _vectors(spark, sf).select("vec_id", V.softmax(F.col("v"), 0.8).alias("p"), uniform(9, "vec_id").alias("u"))
+    below = F.size(F.filter(F.sequence(F.lit(1), F.lit(63)), lambda i: V.total(F.slice("p", F.lit(1), i)) <= F.col("u")))
     return rows.select("vec_id", below.alias("token"))
 
 
 def dropout_mask(spark, sf):
-    rows = _vectors(spark, sf).select("vec_id", F.posexplode(F.slice("v", 1, 8)).alias("place", "x")).withColumn("u", uniform(13, "vec_id", "place"))
+    rows = _vectors(spark, sf).select("vec_id", F.posexplode("v").alias("place", "x")).withColumn("u", uniform(13, "vec_id", "place"))
     return rows.select("vec_id", "place", F.round(F.when(F.col("u") < 0.75, F.col("x") / 0.75).otherwise(0.0), 6).alias("x"))
 
 
 def squared_errors(spark, sf):
-    y, p = V.one_hot(F.col("label"), 10), V.softmax(F.slice("v", 1, 10))
+    y, p = V.one_hot(F.col("label"), 64), V.softmax(F.col("v"))
     return _vectors(spark, sf).select("vec_id", F.round(V.squared_error(y, p), 6).alias("mse"), _out("gradient", V.squared_error_gradient(y, p)))
 
 
 def cross_entropies(spark, sf):
-    logits, y = F.slice("v", 1, 10), V.one_hot(F.col("label"), 10)
+    logits, y = F.col("v"), V.one_hot(F.col("label"), 64)
     rows = _vectors(spark, sf).select(V.cross_entropy(y, V.softmax(logits)).alias("dense"), V.sparse_cross_entropy(F.col("label"), logits).alias("sparse"))
     return rows.agg(F.round(F.avg("dense"), 6).alias("dense"), F.round(F.avg("sparse"), 6).alias("sparse"))
 
 
 def entropy_gradients(spark, sf):
-    return _vectors(spark, sf).select("vec_id", _out("gradient", V.softmax_gradient(V.one_hot(F.col("label"), 10), V.softmax(F.slice("v", 1, 10)), 4.0)))
+    return _vectors(spark, sf).select("vec_id", _out("gradient", V.softmax_gradient(V.one_hot(F.col("label"), 64), V.softmax(F.col("v")), 4.0)))
 
 
 def _step(spark, sf):
-    zeros = F.transform(F.slice("v", 1, 8), lambda x: F.lit(0.0))
-    return _vectors(spark, sf).select("vec_id", F.slice("v", 1, 8).alias("p"), F.slice("v", 9, 8).alias("g"), zeros.alias("zero"))
+    zeros = F.transform("v", lambda x: F.lit(0.0))
+    return _vectors(spark, sf).select("vec_id", F.col("v").alias("p"), F.reverse("v").alias("g"), zeros.alias("zero"))
 
 
 def sgd_step(spark, sf):
@@ -247,29 +246,29 @@ def causal_mask(spark, sf):
 
 
 def layer_norms(spark, sf):
-    return _vectors(spark, sf).select("vec_id", _out("normed", V.layer_norm(F.slice("v", 1, 8)), 5))
+    return _vectors(spark, sf).select("vec_id", _out("normed", V.layer_norm(F.col("v")), 5))
 
 
 def rms_norms(spark, sf):
-    return _vectors(spark, sf).select("vec_id", _out("normed", V.rms_norm(F.slice("v", 1, 8)), 5))
+    return _vectors(spark, sf).select("vec_id", _out("normed", V.rms_norm(F.col("v")), 5))
 
 
 def rotary(spark, sf):
-    return _vectors(spark, sf).select("vec_id", _out("turned", V.rotate(F.slice("v", 1, 8), F.col("vec_id") % 32, 8), 5))
+    return _vectors(spark, sf).select("vec_id", _out("turned", V.rotate(F.col("v"), F.col("vec_id") % 32, 64), 5))
 
 
 def sliding_windows(spark, sf):
-    return _vectors(spark, sf).select("vec_id", F.posexplode(V.windows(F.slice("v", 1, 16), 4, 2)).alias("place", "w")).select("vec_id", "place", F.round(V.total(F.col("w")), 6).alias("total"))
+    return _vectors(spark, sf).select("vec_id", F.posexplode(V.windows(F.col("v"), 4, 2)).alias("place", "w")).select("vec_id", "place", F.round(V.total(F.col("w")), 6).alias("total"))
 
 
 def convolution_1d(spark, sf):
     kernel = F.array(*[F.lit(x) for x in (0.25, 0.5, -0.25)])
-    return _vectors(spark, sf).select("vec_id", _out("y", F.transform(V.windows(F.slice("v", 1, 16), 3), lambda w: V.dot(w, kernel)), 5))
+    return _vectors(spark, sf).select("vec_id", _out("y", F.transform(V.windows(F.col("v"), 3), lambda w: V.dot(w, kernel)), 5))
 
 
 def pooled(spark, sf):
     v = F.col("v")
-    return _vectors(spark, sf).select("vec_id", _out("most", V.max_pool(F.slice(v, 1, 16), 4)), F.round(V.mean(v), 6).alias("mean"))
+    return _vectors(spark, sf).select("vec_id", _out("most", V.max_pool(v, 4)), F.round(V.mean(v), 6).alias("mean"))
 
 
 def _weights(rows: int, units: int):
@@ -278,27 +277,29 @@ def _weights(rows: int, units: int):
 
 
 def dense_forward(spark, sf):
-    units = [F.greatest(V.dot(F.slice("v", 1, 8), F.array(*[F.lit(w) for w in row])), F.lit(0.0)) for row in _weights(8, 4)]
+    units = [F.greatest(V.dot(F.col("v"), F.array(*[F.lit(w) for w in row])), F.lit(0.0)) for row in _weights(64, 4)]
     return _vectors(spark, sf).select("vec_id", _out("y", F.array(*units), 5))
 
 
 def attention_scores(spark, sf):
-    """Causal softmax of scaled products within groups of eight vectors."""
-    rows = _vectors(spark, sf).select((F.floor(F.col("vec_id") / 8)).alias("seq"), (F.col("vec_id") % 8).alias("place"), F.slice("v", 1, 16).alias("v"))
+    """Causal softmax of scaled products within groups of eight vectors, the largest taken off before the exponential."""
+    rows = _vectors(spark, sf).select((F.floor(F.col("vec_id") / 8)).alias("seq"), (F.col("vec_id") % 8).alias("place"), "v")
     keys = rows.select("seq", F.col("place").alias("key"), F.col("v").alias("k"))
-    scored = rows.join(keys, "seq").where("key <= place").select("seq", "place", "key", (V.dot(F.col("v"), F.col("k")) / 4.0).alias("s"))
-    weights = scored.groupBy("seq", "place").agg(F.sum(F.exp("s")).alias("z"))
-    return scored.join(weights, ["seq", "place"]).select("seq", "place", "key", F.round(F.exp("s") / F.col("z"), 6).alias("weight"))
+    scored = rows.join(keys, "seq").where("key <= place").select("seq", "place", "key", (V.dot(F.col("v"), F.col("k")) * _SHARP).alias("s"))
+    tops = scored.groupBy("seq", "place").agg(F.max("s").alias("top"))
+    raised = scored.join(tops, ["seq", "place"]).withColumn("e", F.exp(F.col("s") - F.col("top")))
+    total = F.sum("e").over(W.partitionBy("seq", "place"))  # at most eight rows
+    return raised.select("seq", "place", "key", F.round(F.col("e") / total, 6).alias("weight"))
 
 
 def residual_sum(spark, sf):
-    x = F.slice("v", 1, 8)
+    x = F.col("v")
     return _vectors(spark, sf).select("vec_id", _out("y", F.zip_with(x, V.layer_norm(x), lambda a, b: a + b), 5))
 
 
 def embedding_gradient(spark, sf):
     """Gradients added up by token, as the table of an embedding receives them."""
-    rows = _vectors(spark, sf).select((F.col("vec_id") % 7).alias("token"), F.posexplode(F.slice("v", 1, 4)).alias("place", "g"))
+    rows = _vectors(spark, sf).select((F.col("vec_id") % 7).alias("token"), F.posexplode("v").alias("place", "g"))
     return rows.groupBy("token", "place").agg(F.round(F.sum("g"), 5).alias("g"))
 
 
@@ -331,8 +332,40 @@ def train_steps(spark, sf):
     return spark.createDataFrame([(m["step"], float(m["loss"]), float(m["ema_loss"]), float(m["accuracy"])) for m in metrics], "step long, loss double, ema_loss double, accuracy double")
 
 
+def _fixed_model() -> Model:
+    """Two dense layers whose weights are sines of their places."""
+    model = Model((64,), L.Dense(16, "relu"), L.Dense(10, "linear"), seed=1)
+    places = lambda rows, columns: np.sin(np.arange(rows * columns).reshape(rows, columns) + 1.0)
+    model.set({path: places(*p.shape) if p.ndim == 2 else np.zeros_like(p) for path, p in model.get().items()})
+    return model
+
+
 def predictions(spark, sf):
-    return _model().transform(_vectors(spark, sf), "v").select("vec_id", V.argmax(F.col("prediction")).alias("class"))
+    out = _fixed_model().transform(_vectors(spark, sf), "v")
+    return out.select("vec_id", V.argmax(F.col("prediction")).alias("class"), _out("logits", F.col("prediction"), 5))
+
+
+def loaded_predictions(spark, sf):
+    """The same by a model of other weights that has read the saved ones."""
+    path = files.shared_path(spark, "model")
+    _fixed_model().save(spark, path)
+    model = Model((64,), L.Dense(16, "relu"), L.Dense(10, "linear"), seed=7)
+    model.load(spark, path)
+    out = model.transform(_vectors(spark, sf), "v")
+    return out.select("vec_id", V.argmax(F.col("prediction")).alias("class"), _out("logits", F.col("prediction"), 5))
+
+
+def image_layers(spark, sf):
+    """Embeddings as 8 x 8 images through the 2-D layers: reshape, padded convolution, largest of 2 x 2, flatten."""
+    model = Model((64,), L.Reshape((1, 8, 8)), L.Convolution(1, 3, padding=1, act="relu"), L.MaxPooling(2), L.Flatten())
+    model.set({path: np.array(_KERNEL).reshape(p.shape) if p.ndim == 4 else np.zeros_like(p) for path, p in model.get().items()})
+    return model.transform(_vectors(spark, sf), "v").select("vec_id", _out("y", F.col("prediction"), 5))
+
+
+def pooled_images(spark, sf):
+    """The mean of each image by the layer that averages."""
+    model = Model((64,), L.Reshape((1, 8, 8)), L.GlobalAveragePooling())
+    return model.transform(_vectors(spark, sf), "v").select("vec_id", F.round(F.get("prediction", F.lit(0)), 6).alias("mean"))
 
 
 def size_sweep(spark, sf):
@@ -358,7 +391,7 @@ def generated_tokens(spark, sf):
 
 _V = "(SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)"
 _FMT = "array_to_string(list_transform({0}, lambda x: printf('%.{1}f', round(x, {1}) + 0.0)), ' ')"
-_P = "(SELECT vec_id, label, list_transform(e, lambda x: x / list_sum(e)) AS p FROM (SELECT vec_id, label, list_transform(w, lambda x: exp(x - list_max(w))) AS e FROM (SELECT vec_id, label, list_slice(v, 1, 10) AS w FROM {0})))".format(_V)
+_P = "(SELECT vec_id, label, list_transform(e, lambda x: x / list_sum(e)) AS p FROM (SELECT vec_id, label, list_transform(w, lambda x: exp(x - list_max(w))) AS e FROM (SELECT vec_id, label, v AS w FROM {0})))".format(_V)
 _Y = "list_transform(range(10), lambda i: CASE WHEN i = label THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)"
 
 
@@ -368,9 +401,15 @@ def _fmt(column, digits=6):
 
 _FIT = """(SELECT count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_r2(y, x) AS r2, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy FROM (SELECT l_extendedprice / 100000 AS x, l_quantity AS y FROM lineitem))"""
 _LINE = "(SELECT regr_slope(l_extendedprice, l_quantity) AS m, regr_intercept(l_extendedprice, l_quantity) AS b FROM lineitem)"
-_STEP = f"(SELECT vec_id, list_slice(v, 1, 8) AS p, list_slice(v, 9, 16) AS g FROM {_V})"
+_STEP = f"(SELECT vec_id, v AS p, list_reverse(v) AS g FROM {_V})"
 _ADAM = "(({0} * CAST(0.1 AS DOUBLE)) / (1 - CAST(0.9 AS DOUBLE))) / (sqrt((CAST(1 - 0.999 AS DOUBLE) * {0} * {0}) / (CAST(1 - 0.999 AS DOUBLE))) + 1e-8)"
-_X8 = f"(SELECT vec_id, w, list_sum(w) / 8 AS m, list_sum(list_transform(w, lambda x: x * x)) / 8 AS q FROM (SELECT vec_id, list_slice(v, 1, 8) AS w FROM {_V}))"
+_X8 = f"(SELECT vec_id, w, list_sum(w) / 64 AS m, list_sum(list_transform(w, lambda x: x * x)) / 64 AS q FROM (SELECT vec_id, v AS w FROM {_V}))"
+
+#: Weights of the 3 x 3 convolution.
+_KERNEL = [0.5, -0.25, 0.125, 1.0, -0.5, 0.25, -1.0, 0.75, 0.375]
+_LOGITS = f"""WITH h AS (SELECT vec_id, list_transform(range(16), lambda j: greatest(CAST(0 AS DOUBLE), list_sum(list_transform(range(64), lambda i: v[i + 1] * sin(CAST(i * 16 + j + 1 AS DOUBLE)))))) AS h FROM {_V}),
+    o AS (SELECT vec_id, list_transform(range(10), lambda k: list_sum(list_transform(range(16), lambda j: h[j + 1] * sin(CAST(j * 10 + k + 1 AS DOUBLE))))) AS o FROM h)
+    SELECT vec_id, CAST(list_position(o, list_max(o)) - 1 AS INT) AS class, {_fmt('o', 5)} AS logits FROM o"""
 
 QUERIES = {
     "regression_fit": (
@@ -391,10 +430,10 @@ QUERIES = {
     "argmax_accuracy": (argmax_accuracy, f"SELECT count(*) AS n, CAST(sum(r) AS BIGINT) AS correct, round(avg(r), 9) AS accuracy FROM (SELECT CASE WHEN list_position(p, list_max(p)) - 1 = label THEN 1 ELSE 0 END AS r FROM {_P})"),
     "softmax_ranking": (
         softmax_ranking,
-        f"SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY round(x, 9) DESC, class) - 1 AS INT) AS place, class, round(round(x, 9), 6) AS confidence FROM (SELECT vec_id, CAST(r.range AS INT) AS class, p[r.range + 1] AS x FROM {_P}, range(10) r)",
+        f"SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY round(x, 9) DESC, class) - 1 AS INT) AS place, class, round(x, 9) AS confidence FROM (SELECT vec_id, CAST(r.range AS INT) AS class, p[r.range + 1] AS x FROM {_P}, range(64) r)",
     ),
     "label_names": (label_names, "SELECT vec_id, (['airplane', 'automobile', 'bird', 'cat', 'deer', 'dog', 'frog', 'horse', 'ship', 'truck'])[label + 1] AS name FROM embeddings"),
-    "embedding_gather": (embedding_gather, "SELECT l_orderkey, l_linenumber, l_partkey % 500 AS token, round(CAST(embedding[1] AS DOUBLE), 6) AS first, round(CAST(embedding[64] AS DOUBLE), 6) AS last FROM lineitem JOIN embeddings ON vec_id = l_partkey % 500"),
+    "embedding_gather": (embedding_gather, "SELECT l_orderkey, l_linenumber, l_partkey % 500 AS token, round(CAST(embedding[1] AS DOUBLE), 6) AS first, round(CAST(embedding[64] AS DOUBLE), 6) AS last, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total FROM lineitem JOIN embeddings ON vec_id = l_partkey % 500"),
     "epoch_metrics": (epoch_metrics, "SELECT event_id % 50 AS epoch, round(sum(value * (event_id % 32 + 1)) / sum(event_id % 32 + 1), 6) AS loss, CAST(sum(event_id % 32 + 1) AS BIGINT) AS rows FROM events GROUP BY 1"),
     "heldout_loss": (heldout_loss, f"SELECT count(*) AS batches, round(avg(value), 6) AS loss FROM events WHERE {_uniform("'5:' || event_id")} < 0.1"),
     "generalisation_gap": (
@@ -420,10 +459,6 @@ QUERIES = {
     ),
     "resumed_ema": (
         resumed_ema,
-        "WITH r AS (SELECT event_id, user_id, CAST(value AS DOUBLE) AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE user_id < 50) SELECT user_id, " + _steady_sql("sum(value * pow(CAST(0.99 AS DOUBLE), n - i) * CASE WHEN i = 1 THEN CAST(1 AS DOUBLE) ELSE CAST(1 AS DOUBLE) - CAST(0.99 AS DOUBLE) END)") + " FROM r GROUP BY user_id HAVING max(event_id) >= 500",
-    ),
-    "resumed_ema_all": (
-        resumed_ema_all,
         "WITH r AS (SELECT event_id, user_id, CAST(value AS DOUBLE) AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT user_id, " + _steady_sql("sum(value * pow(CAST(0.99 AS DOUBLE), n - i) * CASE WHEN i = 1 THEN CAST(1 AS DOUBLE) ELSE CAST(1 AS DOUBLE) - CAST(0.99 AS DOUBLE) END)") + ", max(event_id) AS last FROM r GROUP BY user_id",
     ),
     "running_metrics": (running_metrics, "SELECT event_id, row_number() OVER w AS step, avg(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS mean FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)"),
@@ -435,50 +470,63 @@ QUERIES = {
     "lr_schedule_mult": (lr_schedule_mult, "SELECT range AS step, round(CASE WHEN range < 20 THEN CAST(range AS DOUBLE) / 20 ELSE 0.05 + CAST(0.95 AS DOUBLE) * 0.5 * (1 + cos(pi() * (range - 20) / 1980)) END, 8) AS rate FROM range(0, 2200, 7)"),
     "activations": (
         activations,
-        f"WITH x AS (SELECT vec_id, v[1] AS x, sqrt(CAST(2 AS DOUBLE) / pi()) AS k FROM {_V}), g AS (SELECT *, tanh(x) AS th, tanh(k * (x + CAST(0.044715 AS DOUBLE) * x * x * x)) AS t, 1 / (1 + exp(-x)) AS s FROM x) SELECT vec_id, round(x, 6) AS linear, round(s, 6) AS sigmoid, round(greatest(x, 0), 6) AS relu, round(th, 6) AS tanh, round(0.5 * x * (1 + t), 6) AS gelu, CAST(1 AS DOUBLE) AS linear_slope, round(s * (1 - s), 6) AS sigmoid_slope, CASE WHEN x > 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS relu_slope, round(1 - th * th, 6) AS tanh_slope, round(0.5 * (1 + t) + 0.5 * x * (1 - t * t) * k * (1 + 3 * CAST(0.044715 AS DOUBLE) * x * x), 6) AS gelu_slope FROM g",
+        f"WITH x AS (SELECT vec_id, CAST(r.range AS INT) AS place, v[r.range + 1] AS x, sqrt(CAST(2 AS DOUBLE) / pi()) AS k FROM {_V}, range(64) r), g AS (SELECT *, tanh(x) AS th, tanh(k * (x + CAST(0.044715 AS DOUBLE) * x * x * x)) AS t, 1 / (1 + exp(-x)) AS s FROM x) SELECT vec_id, place, round(x, 6) AS linear, round(s, 6) AS sigmoid, round(greatest(x, 0), 6) AS relu, round(th, 6) AS tanh, round(0.5 * x * (1 + t), 6) AS gelu, CAST(1 AS DOUBLE) AS linear_slope, round(s * (1 - s), 6) AS sigmoid_slope, CASE WHEN x > 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS relu_slope, round(1 - th * th, 6) AS tanh_slope, round(0.5 * (1 + t) + 0.5 * x * (1 - t * t) * k * (1 + 3 * CAST(0.044715 AS DOUBLE) * x * x), 6) AS gelu_slope FROM g",
     ),
     "softmax_rows": (softmax_rows, f"SELECT vec_id, {_fmt('p')} AS p FROM {_P}"),
     "one_hot_labels": (one_hot_labels, "SELECT vec_id, array_to_string(list_transform(range(10), lambda i: CASE WHEN i = label THEN '1' ELSE '0' END), '') AS bits FROM embeddings"),
-    "pixels": (pixels, f"SELECT vec_id, array_to_string(list_transform(list_slice(v, 1, 8), lambda x: CAST(CAST(floor(greatest(CAST(0 AS DOUBLE), least(CAST(255 AS DOUBLE), round(x, 3) * 255))) AS INT) AS VARCHAR)), ' ') AS pixels FROM {_V}"),
+    "pixels": (pixels, f"SELECT vec_id, array_to_string(list_transform(v, lambda x: CAST(CAST(floor(greatest(CAST(0 AS DOUBLE), least(CAST(255 AS DOUBLE), round(x, 3) * 255))) AS INT) AS VARCHAR)), ' ') AS pixels FROM {_V}"),
     "greedy_tokens": (greedy_tokens, f"SELECT vec_id, CAST(list_position(v, list_max(v)) - 1 AS INT) AS token FROM {_V}"),
     "sampled_tokens": (
         sampled_tokens,
-        f"WITH e AS (SELECT vec_id, list_transform(w, lambda x: exp((x - list_max(w)) / CAST(0.8 AS DOUBLE))) AS e FROM (SELECT vec_id, list_slice(v, 1, 10) AS w FROM {_V})) SELECT vec_id, CAST(len(list_filter(range(1, 10), lambda i: list_sum(list_slice(e, 1, i)) / list_sum(e) <= {_uniform("'9:' || vec_id")})) AS INT) AS token FROM e",
+        f"WITH e AS (SELECT vec_id, list_transform(w, lambda x: exp((x - list_max(w)) / CAST(0.8 AS DOUBLE))) AS e FROM (SELECT vec_id, v AS w FROM {_V})) SELECT vec_id, CAST(len(list_filter(range(1, 64), lambda i: list_sum(list_slice(e, 1, i)) / list_sum(e) <= {_uniform("'9:' || vec_id")})) AS INT) AS token FROM e",
     ),
-    "dropout_mask": (dropout_mask, f"SELECT vec_id, CAST(r.range AS INT) AS place, round(CASE WHEN {_uniform("'13:' || vec_id || ':' || r.range")} < 0.75 THEN v[r.range + 1] / CAST(0.75 AS DOUBLE) ELSE 0 END, 6) AS x FROM {_V}, range(8) r"),
+    "dropout_mask": (dropout_mask, f"SELECT vec_id, CAST(r.range AS INT) AS place, round(CASE WHEN {_uniform("'13:' || vec_id || ':' || r.range")} < 0.75 THEN v[r.range + 1] / CAST(0.75 AS DOUBLE) ELSE 0 END, 6) AS x FROM {_V}, range(64) r"),
     "squared_errors": (
         squared_errors,
-        f"SELECT vec_id, round(list_sum(list_transform(d, lambda x: x * x)) / 10, 6) AS mse, {_fmt('list_transform(d, lambda x: 2 * x)')} AS gradient FROM (SELECT vec_id, list_transform(range(10), lambda i: p[i + 1] - CASE WHEN i = label THEN 1 ELSE 0 END) AS d FROM {_P})",
+        f"SELECT vec_id, round(list_sum(list_transform(d, lambda x: x * x)) / 64, 6) AS mse, {_fmt('list_transform(d, lambda x: 2 * x)')} AS gradient FROM (SELECT vec_id, list_transform(range(64), lambda i: p[i + 1] - CASE WHEN i = label THEN 1 ELSE 0 END) AS d FROM {_P})",
     ),
     "cross_entropies": (
         cross_entropies,
         f"SELECT round(avg(-ln(p[label + 1])), 6) AS dense, round(avg(-ln(p[label + 1])), 6) AS sparse FROM {_P}",
     ),
-    "entropy_gradients": (entropy_gradients, f"SELECT vec_id, {_fmt('list_transform(range(10), lambda i: (p[i + 1] - CASE WHEN i = label THEN 1 ELSE 0 END) / 4)')} AS gradient FROM {_P}"),
-    "sgd_step": (sgd_step, f"SELECT vec_id, {_fmt('list_transform(range(1, 9), lambda i: p[i] - CAST(0.1 AS DOUBLE) * g[i])')} AS p FROM {_STEP}"),
-    "adam_step": (adam_step, f"SELECT vec_id, {_fmt('list_transform(range(1, 9), lambda i: p[i] - CAST(0.01 AS DOUBLE) * ' + _ADAM.format('g[i]') + ')')} AS p FROM {_STEP}"),
-    "adamw_step": (adamw_step, f"SELECT vec_id, {_fmt('list_transform(range(1, 9), lambda i: p[i] * CAST(0.999 AS DOUBLE) - CAST(0.01 AS DOUBLE) * ' + _ADAM.format('g[i]') + ')')} AS p FROM {_STEP}"),
+    "entropy_gradients": (entropy_gradients, f"SELECT vec_id, {_fmt('list_transform(range(64), lambda i: (p[i + 1] - CASE WHEN i = label THEN 1 ELSE 0 END) / 4)')} AS gradient FROM {_P}"),
+    "sgd_step": (sgd_step, f"SELECT vec_id, {_fmt('list_transform(range(1, 65), lambda i: p[i] - CAST(0.1 AS DOUBLE) * g[i])')} AS p FROM {_STEP}"),
+    "adam_step": (adam_step, f"SELECT vec_id, {_fmt('list_transform(range(1, 65), lambda i: p[i] - CAST(0.01 AS DOUBLE) * ' + _ADAM.format('g[i]') + ')')} AS p FROM {_STEP}"),
+    "adamw_step": (adamw_step, f"SELECT vec_id, {_fmt('list_transform(range(1, 65), lambda i: p[i] * CAST(0.999 AS DOUBLE) - CAST(0.01 AS DOUBLE) * ' + _ADAM.format('g[i]') + ')')} AS p FROM {_STEP}"),
     "clipped_gradients": (clipped_gradients, f"SELECT vec_id, {_fmt('list_transform(g, lambda x: x * least(CAST(1 AS DOUBLE), 1 / (n + 1e-6)))')} AS g FROM (SELECT vec_id, g, sqrt(list_sum(list_transform(g, lambda x: x * x))) AS n FROM {_STEP})"),
     "causal_mask": (causal_mask, "SELECT range AS row, repeat('1', CAST(range + 1 AS INT)) || repeat('0', CAST(15 - range AS INT)) AS mask FROM range(16)"),
-    "layer_norms": (layer_norms, f"SELECT vec_id, {_fmt('list_transform(w, lambda x: (x - m) / sqrt(s + 1e-5))', 5)} AS normed FROM (SELECT *, list_sum(list_transform(w, lambda x: (x - m) * (x - m))) / 8 AS s FROM {_X8})"),
+    "layer_norms": (layer_norms, f"SELECT vec_id, {_fmt('list_transform(w, lambda x: (x - m) / sqrt(s + 1e-5))', 5)} AS normed FROM (SELECT *, list_sum(list_transform(w, lambda x: (x - m) * (x - m))) / 64 AS s FROM {_X8})"),
     "rms_norms": (rms_norms, f"SELECT vec_id, {_fmt('list_transform(w, lambda x: x / sqrt(q + 1e-5))', 5)} AS normed FROM {_X8}"),
     "rotary": (
         rotary,
-        f"SELECT vec_id, {_fmt('list_transform(range(8), lambda i: CASE WHEN i % 2 = 0 THEN w[i + 1] * cos((vec_id % 32) / pow(CAST(10000 AS DOUBLE), 2 * (i // 2) / CAST(8 AS DOUBLE))) - w[i + 2] * sin((vec_id % 32) / pow(CAST(10000 AS DOUBLE), 2 * (i // 2) / CAST(8 AS DOUBLE))) ELSE w[i + 1] * cos((vec_id % 32) / pow(CAST(10000 AS DOUBLE), 2 * (i // 2) / CAST(8 AS DOUBLE))) + w[i] * sin((vec_id % 32) / pow(CAST(10000 AS DOUBLE), 2 * (i // 2) / CAST(8 AS DOUBLE))) END)', 5)} AS turned FROM {_X8}",
+        f"SELECT vec_id, {_fmt('list_transform(range(64), lambda i: CASE WHEN i % 2 = 0 THEN w[i + 1] * cos((vec_id % 32) / pow(CAST(10000 AS DOUBLE), 2 * (i // 2) / CAST(64 AS DOUBLE))) - w[i + 2] * sin((vec_id % 32) / pow(CAST(10000 AS DOUBLE), 2 * (i // 2) / CAST(64 AS DOUBLE))) ELSE w[i + 1] * cos((vec_id % 32) / pow(CAST(10000 AS DOUBLE), 2 * (i // 2) / CAST(64 AS DOUBLE))) + w[i] * sin((vec_id % 32) / pow(CAST(10000 AS DOUBLE), 2 * (i // 2) / CAST(64 AS DOUBLE))) END)', 5)} AS turned FROM {_X8}",
     ),
-    "sliding_windows": (sliding_windows, f"SELECT vec_id, CAST(r.range AS INT) AS place, round(v[2 * r.range + 1] + v[2 * r.range + 2] + v[2 * r.range + 3] + v[2 * r.range + 4], 6) AS total FROM {_V}, range(7) r"),
-    "convolution_1d": (convolution_1d, f"SELECT vec_id, {_fmt('list_transform(range(1, 15), lambda i: CAST(0.25 AS DOUBLE) * v[i] + CAST(0.5 AS DOUBLE) * v[i + 1] - CAST(0.25 AS DOUBLE) * v[i + 2])', 5)} AS y FROM {_V}"),
-    "pooled": (pooled, f"SELECT vec_id, {_fmt('list_transform(range(4), lambda i: list_max(list_slice(v, 4 * i + 1, 4 * i + 4)))')} AS most, round(list_sum(v) / 64, 6) AS mean FROM {_V}"),
-    "dense_forward": (dense_forward, f"SELECT vec_id, {_fmt('list_transform(range(4), lambda j: greatest(CAST(0 AS DOUBLE), list_sum(list_transform(range(8), lambda i: w[i + 1] * sin(CAST(i * 4 + j + 1 AS DOUBLE))))))', 5)} AS y FROM {_X8}"),
+    "sliding_windows": (sliding_windows, f"SELECT vec_id, CAST(r.range AS INT) AS place, round(v[2 * r.range + 1] + v[2 * r.range + 2] + v[2 * r.range + 3] + v[2 * r.range + 4], 6) AS total FROM {_V}, range(31) r"),
+    "convolution_1d": (convolution_1d, f"SELECT vec_id, {_fmt('list_transform(range(1, 63), lambda i: CAST(0.25 AS DOUBLE) * v[i] + CAST(0.5 AS DOUBLE) * v[i + 1] - CAST(0.25 AS DOUBLE) * v[i + 2])', 5)} AS y FROM {_V}"),
+    "pooled": (pooled, f"SELECT vec_id, {_fmt('list_transform(range(16), lambda i: list_max(list_slice(v, 4 * i + 1, 4 * i + 4)))')} AS most, round(list_sum(v) / 64, 6) AS mean FROM {_V}"),
+    "dense_forward": (dense_forward, f"SELECT vec_id, {_fmt('list_transform(range(4), lambda j: greatest(CAST(0 AS DOUBLE), list_sum(list_transform(range(64), lambda i: w[i + 1] * sin(CAST(i * 4 + j + 1 AS DOUBLE))))))', 5)} AS y FROM {_X8}"),
     "attention_scores": (
         attention_scores,
-        f"WITH r AS (SELECT vec_id // 8 AS seq, vec_id % 8 AS place, list_slice(v, 1, 16) AS v FROM {_V}), s AS (SELECT a.seq, a.place, b.place AS key, exp(list_sum(list_transform(range(1, 17), lambda i: a.v[i] * b.v[i])) / 4) AS e FROM r a JOIN r b ON a.seq = b.seq AND b.place <= a.place) SELECT seq, place, key, round(e / sum(e) OVER (PARTITION BY seq, place), 6) AS weight FROM s",
+        f"WITH r AS (SELECT vec_id // 8 AS seq, vec_id % 8 AS place, v FROM {_V}), s AS (SELECT a.seq, a.place, b.place AS key, list_sum(list_transform(range(1, 65), lambda i: a.v[i] * b.v[i])) * {_SHARP} AS s FROM r a JOIN r b ON a.seq = b.seq AND b.place <= a.place), e AS (SELECT seq, place, key, exp(s - max(s) OVER (PARTITION BY seq, place)) AS e FROM s) SELECT seq, place, key, round(e / sum(e) OVER (PARTITION BY seq, place), 6) AS weight FROM e",
+    ),
+    "residual_sum": (residual_sum, f"SELECT vec_id, {_fmt('list_transform(w, lambda x: x + (x - m) / sqrt(s + 1e-5))', 5)} AS y FROM (SELECT *, list_sum(list_transform(w, lambda x: (x - m) * (x - m))) / 64 AS s FROM {_X8})"),
+    "embedding_gradient": (embedding_gradient, f"SELECT vec_id % 7 AS token, CAST(r.range AS INT) AS place, round(sum(v[r.range + 1]), 5) AS g FROM {_V}, range(64) r GROUP BY 1, 2"),
+    "augmented_images": (
+        augmented_images,
+        f"""WITH r AS (SELECT vec_id, v, {_uniform("'21:' || vec_id")} < 0.5 AS flip, CAST(floor({_uniform("'22:' || vec_id")} * 5) AS BIGINT) AS top, CAST(floor({_uniform("'23:' || vec_id")} * 5) AS BIGINT) AS "left" FROM {_V}),
+        p AS (SELECT vec_id, flip, top, "left", v, i.range // 8 + top - 2 AS y, CASE WHEN flip THEN 7 - (i.range % 8 + "left" - 2) ELSE i.range % 8 + "left" - 2 END AS x FROM r, range(64) i)
+        SELECT vec_id, flip, top, "left", round(sum(CASE WHEN x BETWEEN 0 AND 7 AND y BETWEEN 0 AND 7 THEN v[y * 8 + x + 1] ELSE 0 END), 5) AS total FROM p GROUP BY ALL""",
     ),
-    "residual_sum": (residual_sum, f"SELECT vec_id, {_fmt('list_transform(w, lambda x: x + (x - m) / sqrt(s + 1e-5))', 5)} AS y FROM (SELECT *, list_sum(list_transform(w, lambda x: (x - m) * (x - m))) / 8 AS s FROM {_X8})"),
-    "embedding_gradient": (embedding_gradient, f"SELECT vec_id % 7 AS token, CAST(r.range AS INT) AS place, round(sum(v[r.range + 1]), 5) AS g FROM {_V}, range(4) r GROUP BY 1, 2"),
-    "augmented_images": (augmented_images, None),
     "train_steps": (train_steps, None),
-    "predictions": (predictions, None),
+    "predictions": (predictions, _LOGITS),
+    "loaded_predictions": (loaded_predictions, _LOGITS),
+    "image_layers": (
+        image_layers,
+        f"""WITH p AS (SELECT vec_id, o.range // 8 AS y, o.range % 8 AS x, greatest(CAST(0 AS DOUBLE), list_sum(list_transform(range(9), lambda k: {_KERNEL}[k + 1] * CASE WHEN o.range // 8 + k // 3 - 1 BETWEEN 0 AND 7 AND o.range % 8 + k % 3 - 1 BETWEEN 0 AND 7
+        THEN v[(o.range // 8 + k // 3 - 1) * 8 + o.range % 8 + k % 3 - 1 + 1] ELSE 0 END))) AS z FROM {_V}, range(64) o),
+        m AS (SELECT vec_id, y // 2 AS y, x // 2 AS x, max(z) AS z FROM p GROUP BY ALL) SELECT vec_id, {_fmt('list(z ORDER BY y, x)', 5)} AS y FROM m GROUP BY vec_id""",
+    ),
+    "pooled_images": (pooled_images, f"SELECT vec_id, round(list_sum(v) / 64, 6) AS mean FROM {_V}"),
     "size_sweep": (size_sweep, None),
     "generated_tokens": (generated_tokens, None),
 }

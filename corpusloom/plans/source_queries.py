@@ -26,7 +26,7 @@ def csv_roundtrip(spark, sf):
 def token_store_roundtrip(spark, sf):
     path = _scratch(spark)
     files.write_tokens(tokens.words_to_ids(table(spark, sf, "documents")), path)
-    return files.read_tokens(spark, path).select("doc_id", F.size("tokens").cast("long").alias("n"), F.concat_ws(" ", F.slice("tokens", 1, 4).cast("array<string>")).alias("head"))
+    return files.read_tokens(spark, path).select("doc_id", F.size("tokens").cast("long").alias("n"), F.sha2(F.concat_ws(" ", F.col("tokens").cast("array<string>")), 256).alias("tokens_sha256"))
 
 
 def corpus_roundtrip(spark, sf):
@@ -43,6 +43,34 @@ def manifest_record(spark, sf):
     return spark.createDataFrame([(r["train_samples"], r["val_samples"], r["actual_chars"], len(r["sources"]))], "train_samples long, val_samples long, actual_chars long, sources long")
 
 
+def reopened_rows(spark, sf):
+    """A source that breaks off twice before every eighth item, opened again each time; what it waited and how often it was opened."""
+    openings, waits, taken, broken = [], [], [], {}
+
+    def source():
+        openings.append(1)
+        for k in range(25):
+            if k and k % 8 == 0 and broken.get(k, 0) < 2:
+                broken[k] = broken.get(k, 0) + 1
+                raise OSError("broken off")
+            yield k
+
+    items = files.reopened(source, taken.append, sleep=waits.append)
+    if taken != list(range(25)):
+        raise ValueError("items were lost or repeated")
+    return spark.createDataFrame([(items, len(openings), " ".join(map(str, waits)))], "items int, openings int, waits string")
+
+
+def hashed_files(spark, sf):
+    """Two written files and whether the hash of each whole file is that of its text."""
+    path = _scratch(spark)
+    rows = spark.createDataFrame([("a", "first\n\nsecond"), ("b", "third")], "split string, value string")
+    rows.coalesce(1).write.partitionBy("split").text(path)
+    found = files.file_hashes(spark, path).withColumn("split", F.regexp_extract("path", "split=([a-z])", 1))
+    joined = found.join(rows, "split").select("split", (F.col("sha256") == F.sha2(F.concat("value", F.lit("\n")), 256)).alias("same"))
+    return joined.groupBy("split").agg(F.count("*").alias("files"), F.min("same").alias("same"))
+
+
 def existing_inputs(spark, sf):
     found, missing = files.existing(spark, [f"{sf}/documents.parquet", f"{sf}/nothing-here"])
     return spark.createDataFrame([(p.rsplit("/", 1)[-1], ok) for ps, ok in ((found, True), (missing, False)) for p in ps], "name string, found boolean")
@@ -75,13 +103,21 @@ def streamed_ema(spark, sf):
 
 QUERIES = {
     "csv_roundtrip": (csv_roundtrip, "SELECT event_id, user_id, event_type, value FROM events"),
-    "token_store_roundtrip": (token_store_roundtrip, f"SELECT doc_id, len(ids) AS n, array_to_string(list_slice(ids, 1, 4), ' ') AS head FROM (SELECT doc_id, {_IDS} AS ids FROM documents)"),
-    "corpus_roundtrip": (corpus_roundtrip, None),
+    "token_store_roundtrip": (token_store_roundtrip, f"SELECT doc_id, len(ids) AS n, sha256(array_to_string(ids, ' ')) AS tokens_sha256 FROM (SELECT doc_id, {_IDS} AS ids FROM documents)"),
+    "corpus_roundtrip": (
+        corpus_roundtrip,
+        corpus_queries._JUDGED + f"SELECT split, count(*) AS samples, CAST(sum(length(t)) AS BIGINT) AS chars FROM (SELECT CASE WHEN {_uniform("'42:' || doc_id")} < 0.1 THEN 'val' ELSE 'train' END AS split, regexp_replace(clean, '\\n+', chr(10), 'g') AS t FROM j WHERE reason = 'keep') GROUP BY split",
+    ),
     "manifest_record": (
         manifest_record,
         f"SELECT count(*) FILTER (WHERE u >= 0.01) AS train_samples, count(*) FILTER (WHERE u < 0.01) AS val_samples, CAST(sum(n) AS BIGINT) AS actual_chars, count(DISTINCT source) AS sources FROM (SELECT source, {_uniform("'42:' || doc_id")} AS u, {_STRIPPED} AS n FROM documents)",
     ),
     "existing_inputs": (existing_inputs, "SELECT * FROM (VALUES ('documents.parquet', true), ('nothing-here', false)) t(name, found)"),
     "streamed_documents": (streamed_documents, corpus_queries.QUERIES["quality_kept"][1]),
-    "streamed_ema": (streamed_ema, None),
+    "streamed_ema": (
+        streamed_ema,
+        "SELECT user_id, n, round(sum(value * pow(CAST(0.99 AS DOUBLE), n - i) * CASE WHEN i = 1 THEN CAST(1 AS DOUBLE) ELSE CAST(1 AS DOUBLE) - CAST(0.99 AS DOUBLE) END), 5) AS ema FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) GROUP BY user_id, n",
+    ),
+    "reopened_rows": (reopened_rows, "SELECT 25 AS items, 7 AS openings, CAST('5.0 10.0 5.0 10.0 5.0 10.0' AS VARCHAR) AS waits"),
+    "hashed_files": (hashed_files, "SELECT split, count(*) AS files, true AS same FROM (VALUES ('a'), ('b')) t(split) GROUP BY split"),
 }

@@ -97,6 +97,27 @@ def test_conversations(spark):
     assert _chat(spark, [("user", LONG), ("assistant", "x" * 13000)]) is None or len(_chat(spark, [("user", LONG), ("assistant", "x" * 13000)])) <= 12000
 
 
+def test_gathered_system_text_is_cut_as_a_whole(spark):
+    first, second = "w " * 3999 + "ww", "x" * 7001
+    expected = f"[INST] <<SYS>>\n{first[: first.rfind(' ')]}\n<</SYS>>\n\n{LONG} [/INST] {LONG}\n<|endoftext|>\n"
+    assert _chat(spark, [("system", first), ("system", second), ("user", LONG), ("assistant", LONG)]) == expected
+
+
+def test_running_totals_with_one_hot_key(spark):
+    """Four of five rows share a key; they are dealt over ranges by the tie."""
+    from corpusloom.operators import ordered
+
+    rows = [(0 if k % 5 else 1 + k, k, k % 7) for k in range(20_000)]
+    df = spark.createDataFrame(rows, "key long, tie long, n long").repartition(4)
+    got = {r.tie: (r.pos, r.before) for r in ordered.running(df, "key", F.col("n"), ties=("tie",)).collect()}
+    before = 0
+    for pos, (_, tie, n) in enumerate(sorted(rows)):
+        assert got[tie] == (pos, before)
+        before += n
+    sizes = sorted(r["count"] for r in ordered.with_ranges(df, "key", 64, ("tie",)).groupBy("_range", "_part").count().collect())
+    assert sizes[-1] <= 3 * sizes[len(sizes) // 2]
+
+
 def test_reply_pairs(spark):
     schema = "pos long, message_id string, parent_id string, role string, text string, lang string, deleted boolean, review_result boolean, rank string"
     rows = [
