@@ -82,11 +82,14 @@ def with_signature(df: DataFrame, text: str, out: str, width: int = WIDTH) -> Da
     starts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
     df = df.withColumn(c("starts"), starts)
     count = lambda at, j: F.coalesce(F.get(p, j + 1), F.size(s)) - at
+    # Where no term repeats, every term is dealt as it is and has weight 1.
+    df = df.withColumn(c("single"), F.size(p) == F.size(s))
+    single = F.col(c("single"))
     dealt = F.flatten(F.transform(p, lambda at, j: F.transform(F.sequence(F.lit(0), count(at, j) - 1), lambda k: _dealt(F.get(s, at), k))))
-    df = df.withColumn(c("dealt"), F.sort_array(dealt)).drop(c("sorted"), c("starts"))
-    df = df.withColumnRenamed(c("dealt"), c("sorted")).withColumn(c("starts"), starts)
-    draws = F.transform(p, lambda at, j: _draw(F.get(s, at), count(at, j)))
-    df = df.withColumn(c("draws"), F.sort_array(draws)).drop(c("sorted"), c("starts"))
+    df = df.withColumn(c("dealt"), F.when(single, s).otherwise(F.sort_array(dealt))).drop(c("sorted"), c("starts"))
+    df = df.withColumnRenamed(c("dealt"), c("sorted")).withColumn(c("starts"), F.when(single, F.lit(None)).otherwise(starts))
+    draws = F.when(single, F.transform(s, lambda x: _draw(x, F.lit(1)))).otherwise(F.transform(p, lambda at, j: _draw(F.get(s, at), count(at, j))))
+    df = df.withColumn(c("draws"), F.sort_array(draws)).drop(c("sorted"), c("starts"), c("single"))
     d = F.col(c("draws"))
     first = F.filter(d, lambda x, i: (i == 0) | (F.shiftright(x, 56) != F.shiftright(F.get(d, i - 1), 56)))
     return df.withColumn(out, first).drop(c("draws"))
