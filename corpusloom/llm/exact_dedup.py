@@ -4,9 +4,10 @@ The index is a Parquet table in the shared folder plus a directory of bucket add
 write one *member* entry per row and one *text* entry per distinct text of a bounded stretch of
 their input, so a text that a third of all rows repeat reaches its owner only a few times per
 mapper.  The directory starts with one bucket and doubles until no bucket holds more than
-``bucket_bytes`` (or the address bits are used up).  Owner tasks then stream their buckets in key
-order: entries with one key form a chain, and within a chain texts are compared byte by byte, so
-colliding keys never merge different texts.
+``bucket_bytes``.  Beyond 16 address bits, where a flat directory would outgrow the driver, an
+overfull address has a directory of its own, of which only the depth has to be known.  Owner tasks
+then stream their buckets in key order: entries with one key form a chain, and within a chain texts
+are compared byte by byte, so colliding keys never merge different texts.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from corpusloom.llm import scratch
 
 #: Characters that do not count when texts are compared.
 IGNORED = "\x20\x09\x0a\x0b\x0c\x0d"
-#: Address bits of the histogram from which the directory is built; at most this many doublings.
+#: Address bits of the histogram from which the directory is built; doublings beyond go on below each address.
 ADDRESS_BITS = 16
+#: Most doublings below one address.
+FURTHER_BITS = 31
 #: A mapper forgets the texts it has already sent beyond so many bytes.
 MAPPER_BYTES = 32 << 20
 
@@ -35,7 +38,7 @@ def build_directory(histogram: dict[int, int], bits: int, capacity: int) -> tupl
 
     ``histogram`` gives bytes per address of ``bits`` leading key bits.  Returns the global depth,
     the directory (bucket number for each of ``2 ** depth`` addresses) and the buckets as
-    (first address bits, local depth).  A bucket whose load sits on one address cannot be split.
+    (first address bits, local depth).  An address with too much load is left to :func:`further_depths`.
     """
     load = np.zeros(1 << bits, dtype=np.int64)
     for address, size in histogram.items():
@@ -58,15 +61,32 @@ def build_directory(histogram: dict[int, int], bits: int, capacity: int) -> tupl
     return depth, directory, done
 
 
-_INDEX = "kind byte, bucket int, key long, sha binary, rid long, id long, n long, tag long, members long, norm binary"
+def further_depths(histogram: dict[int, int], bits: int, capacity: int) -> np.ndarray:
+    """How many more key bits split each address of ``bits`` bits so that its load fits ``capacity`` on average."""
+    depths = np.zeros(1 << bits, dtype=np.int8)
+    for address, size in histogram.items():
+        depths[address] = min(FURTHER_BITS, (max(size - 1, 0) // capacity).bit_length())
+    return depths
+
+
+def bucket_of(key: int, depth: int, directory: np.ndarray, further: np.ndarray) -> int:
+    """The bucket of a signed 64-bit key: its number in the directory, and above that its place below the address."""
+    key &= 0xFFFFFFFFFFFFFFFF
+    bits = len(further).bit_length() - 1
+    number = int(directory[key >> (64 - depth)]) if depth else 0
+    deeper = int(further[key >> (64 - bits)]) if depth == bits else 0
+    return (((key << bits) & 0xFFFFFFFFFFFFFFFF) >> (64 - deeper)) << 32 | number if deeper else number
+
+
+_INDEX = "kind byte, bucket long, key long, sha binary, rid long, id long, n long, tag long, members long, norm binary"
 
 
-def _mapper(depth: int, directory: np.ndarray):
+def _mapper(depth: int, directory: np.ndarray, further: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
 
         names = ["kind", "bucket", "key", "sha", "rid", "id", "n", "tag", "members", "norm"]
-        types = [pa.int8(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        types = [pa.int8(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
         def pack(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
@@ -88,7 +108,7 @@ def _mapper(depth: int, directory: np.ndarray):
         for batch in batches:
             rows = []
             for rid, id_, n, tag, key, sha, norm in zip(*(batch.column(i).to_pylist() for i in range(7))):
-                bucket = int(directory[(key & 0xFFFFFFFFFFFFFFFF) >> (64 - depth)]) if depth else 0
+                bucket = bucket_of(key, depth, directory, further)
                 rows.append((_MEMBER, bucket, key, sha, rid, id_, n, tag, 1, None))
                 rank = (-n, id_ is None, id_, rid)
                 entry = seen.get((key, norm))
@@ -160,9 +180,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     address = F.shiftrightunsigned(key, 64 - ADDRESS_BITS).alias("address")
     # Repeats count here too, so the directory may be finer than needed, never coarser.
     sizes = rows.groupBy(address).agg(F.sum(F.octet_length("norm") + 64).alias("size")).collect()  # at most 2 ** ADDRESS_BITS rows
-    depth, directory, buckets = build_directory({r.address: r["size"] for r in sizes}, ADDRESS_BITS, bucket_bytes)
+    histogram = {r.address: r["size"] for r in sizes}
+    depth, directory, _ = build_directory(histogram, ADDRESS_BITS, bucket_bytes)
+    further = further_depths(histogram, ADDRESS_BITS, bucket_bytes)
     keyed = rows.select("rid", "id", "n", "tag", key.alias("key"), F.unhex(F.sha2("norm", 256)).alias("sha"), F.col("norm").cast("binary").alias("norm"))
-    index = scratch.materialize(keyed.mapInArrow(_mapper(depth, directory), _INDEX), "exact-index")
+    index = scratch.materialize(keyed.mapInArrow(_mapper(depth, directory, further), _INDEX), "exact-index")
     members = index.where(F.col("kind") == _MEMBER).select("rid", "id", "tag", "key", "sha")
     texts = index.where(F.col("kind") == _TEXT).select("bucket", "key", "sha", "rid", "id", "n", "members", "norm")
     owned = texts.repartition("bucket").sortWithinPartitions("key").select("key", "sha", "rid", "id", "n", "members", "norm")

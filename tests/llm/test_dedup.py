@@ -49,6 +49,26 @@ def test_directory_doubles_only_where_needed():
     assert E.build_directory({}, 4, 10)[0] == 0
 
 
+def test_addresses_go_on_splitting_below_the_directory():
+    histogram = {0: 10, 1: 11, 2: 41, 3: 0}
+    depth, directory, _ = E.build_directory(histogram, 2, 10)
+    further = E.further_depths(histogram, 2, 10)
+    assert depth == 2 and further.tolist() == [0, 1, 3, 0]
+    key = lambda address, below: (address << 62 | below << 59) - (1 << 64 if address > 1 else 0)
+    places = {a: [E.bucket_of(key(a, b), depth, directory, further) for b in range(8)] for a in range(4)}
+    assert [len(set(places[a])) for a in range(4)] == [1, 2, 8, 1]
+    assert len({p for a in range(4) for p in places[a]}) == 12
+    assert places[1] == sorted(places[1]) and places[2] == sorted(places[2])
+
+
+def test_exact_groups_with_few_address_bits(spark, monkeypatch):
+    rows = [(i, f"text {i % 60} " + "y" * (i % 7 == 0), "en", "s") for i in range(240)]
+    docs = frame(spark, rows)
+    whole = sorted(map(str, collect(E.exact_dedup(docs))))
+    monkeypatch.setattr(E, "ADDRESS_BITS", 2)
+    assert sorted(map(str, collect(E.exact_dedup(docs, bucket_bytes=200)))) == whole
+
+
 # --- simhash -----------------------------------------------------------------------------------
 
 
