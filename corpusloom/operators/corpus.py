@@ -82,24 +82,29 @@ def reply_pairs(messages: DataFrame, max_rank: int = 0) -> DataFrame:
     return latest.select("pos", T.render_pair(F.col("prompt"), F.col("text"), end=True).alias("rendered")).where("rendered <> ''")
 
 
-def mix(docs: DataFrame, weights: dict[str, float], source_col: str = "source", id_col: str = "doc_id", seed: int = 1) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float], source_col: str = "source", id_col: str = "doc_id", seed: int = 1, random: bool = False) -> DataFrame:
     """Documents of weighted sources in one order, ``pos`` from 0.
 
     Within a source the order is random but repeatable; the k-th document of a source stands at
     k / weight, so sources keep their shares and one that ends leaves the rest to the others.
+    With ``random`` the gaps between a source's documents are exponential instead of 1: as these have
+    no memory, each place then goes to one of the sources that are left with a chance of its weight,
+    as if it were drawn document by document.
     Sources with a weight of 0 or less, or with none, are left out.
     """
     known = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
     weighted = docs.withColumn("weight", F.element_at(known, F.col(source_col))).where("weight > 0").withColumn("key", shuffle_key(seed, id_col))
     # A source may hold any share of the rows: its ranks come from ranges of the shuffled order.
     slots = 64
-    dealt = weighted.withColumn("slot", F.floor(F.col("key") / float(1 << 52) * slots).cast("int"))
-    counts = dealt.groupBy(source_col, "slot").agg(F.count("*").alias("n"))  # sources x slots rows
+    # Whole numbers, so that their sums do not depend on the order of adding.
+    gap = F.floor(-F.log1p(-uniform(seed + 1, id_col)) * float(1 << 20)) + 1 if random else F.lit(1)
+    dealt = weighted.withColumn("slot", F.floor(F.col("key") / float(1 << 52) * slots).cast("int")).withColumn("gap", gap.cast("long"))
+    counts = dealt.groupBy(source_col, "slot").agg(F.sum("gap").alias("n"))  # sources x slots rows
     upto = W.partitionBy(source_col).orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(source_col, "slot", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("earlier"))
-    inside = W.partitionBy(source_col, "slot").orderBy("key", id_col)
-    ranked = dealt.withColumn("row", F.row_number().over(inside)).join(offsets, [source_col, "slot"])
-    strided = ranked.withColumn("stride", (F.col("earlier") + F.col("row")) / F.col("weight")).drop("row", "earlier", "slot", "key", "weight")
+    inside = W.partitionBy(source_col, "slot").orderBy("key", id_col).rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = dealt.withColumn("row", F.sum("gap").over(inside)).join(offsets, [source_col, "slot"])
+    strided = ranked.withColumn("stride", (F.col("earlier") + F.col("row")) / F.col("weight")).drop("row", "earlier", "slot", "gap", "key", "weight")
     return running(strided, "stride", ties=(source_col,)).drop("before", "stride")
 
 

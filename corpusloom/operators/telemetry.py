@@ -136,3 +136,10 @@ def interpolate(points: DataFrame, targets: DataFrame, x: str, y: str, at: str)
 def latest_by_key(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of ``new``, and those of ``old`` whose key it lacks."""
     return new.unionByName(old.join(new.select(key), key, "left_anti"))
+
+
+def clipped_together(rows: DataFrame, gradient: str, most: float, epsilon: float = 1e-6) -> DataFrame:
+    """Vectors of all rows scaled down by one factor, so that their common norm is at most ``most``; one number reaches the driver."""
+    square = rows.agg(F.sum(F.aggregate(gradient, F.lit(0.0), lambda s, x: s + x * x))).first()[0] or 0.0
+    factor = min(1.0, most / (square**0.5 + epsilon))
+    return rows.withColumn(gradient, F.transform(gradient, lambda x: x * factor))

@@ -139,6 +139,10 @@ def mix_sources(spark, sf):
     return corpus.mix(table(spark, sf, "documents").select("doc_id", "source"), WEIGHTS).select("pos", "doc_id", "source")
 
 
+def random_mix(spark, sf):
+    return corpus.mix(table(spark, sf, "documents").select("doc_id", "source"), WEIGHTS, random=True).select("pos", "doc_id", "source")
+
+
 def budget_cut(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.col("doc_id").alias("pos"), corpus.sample_chars(F.col("text")).cast("long").alias("chars"))
     return corpus.budget(docs, 500_000, F.col("chars")).select("doc_id", "chars", "chars_before")
@@ -330,6 +334,12 @@ QUERIES = {
         r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY k, doc_id) / w AS stride FROM d)
         SELECT row_number() OVER (ORDER BY stride, source) - 1 AS pos, doc_id, source FROM r""",
     ),
+    "random_mix": (
+        random_mix,
+        f"""WITH d AS (SELECT doc_id, source, CAST((CAST(substring(source, 4) AS INT) % 5) * 0.25 AS DOUBLE) AS w, {_KEY.format("'1:' || doc_id")} AS k, CAST(floor(-ln(1 - {_uniform("'2:' || doc_id")}) * 1048576) AS BIGINT) + 1 AS gap FROM documents WHERE CAST(substring(source, 4) AS INT) % 5 > 0),
+        r AS (SELECT *, CAST(sum(gap) OVER (PARTITION BY source ORDER BY k, doc_id) AS DOUBLE) / w AS stride FROM d)
+        SELECT row_number() OVER (ORDER BY stride, source) - 1 AS pos, doc_id, source FROM r""",
+    ),
     "budget_cut": (
         budget_cut,
         f"SELECT doc_id, chars, chars_before FROM (SELECT doc_id, chars, CAST(sum(chars) OVER (ORDER BY doc_id) - chars AS BIGINT) AS chars_before FROM (SELECT doc_id, {_STRIPPED} AS chars FROM documents)) WHERE chars_before < 500000",

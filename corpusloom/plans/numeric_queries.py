@@ -241,6 +241,10 @@ def clipped_gradients(spark, sf):
     return _step(spark, sf).select("vec_id", _out("g", V.clip_by_norm(F.col("g"), 1.0)))
 
 
+def clipped_together(spark, sf):
+    return telemetry.clipped_together(_step(spark, sf), "g", 5.0).select("vec_id", _out("g", F.col("g"), 9))
+
+
 def causal_mask(spark, sf):
     return spark.range(16).select(F.col("id").alias("row"), F.array_join(V.causal_row(F.col("id"), 16).cast("array<string>"), "").alias("mask"))
 
@@ -368,6 +372,45 @@ def pooled_images(spark, sf):
     return model.transform(_vectors(spark, sf), "v").select("vec_id", F.round(F.get("prediction", F.lit(0)), 6).alias("mean"))
 
 
+def _sines(model: Model) -> Model:
+    """Weights set to sines of their places, those of the k-th matrix moved on by 100 k; vectors to zero."""
+    values, k = {}, 0
+    for path, p in model.get().items():
+        values[path] = np.sin(np.arange(p.size) + 1.0 + 100 * k).reshape(p.shape) if p.ndim == 2 else np.zeros_like(p)
+        k += p.ndim == 2
+    model.set(values)
+    return model
+
+
+def attention_outputs(spark, sf):
+    """Embeddings as eight steps of eight values through causal attention of two heads."""
+    model = _sines(Model((8, 8), L.MultiHeadAttention(2)))
+    return model.transform(_vectors(spark, sf), "v").select("vec_id", _out("y", F.col("prediction"), 5))
+
+
+def perceptron_outputs(spark, sf):
+    """Steps with their places added, through the perceptron and a dense layer of each step."""
+    model = _sines(Model((8, 8), L.PositionalEmbedding(16), L.MultilayerPerceptron(16), L.TimeDistributedDense(4)))
+    return model.transform(_vectors(spark, sf), "v").select("vec_id", _out("y", F.col("prediction"), 5))
+
+
+def tied_logits(spark, sf):
+    """Labels as tokens, embedded and compared with the same table."""
+    words = L.TokenEmbedding(10, 4)
+    model = _sines(Model((1,), words, L.TiedDense(words)))
+    rows = table(spark, sf, "embeddings").select("vec_id", F.array(F.col("label").cast("double")).alias("ids"))
+    return model.transform(rows, "ids").select("vec_id", _out("y", F.col("prediction"), 5))
+
+
+def gradient_step(spark, sf):
+    """Weights and biases (the last place) of a linear classifier after one step of descent on all rows."""
+    model = _sines(Model((64,), L.Dense(10))).compile("sparse_softmax_crossentropy", Optimizer("sgd", 0.1))
+    model.step(_vectors(spark, sf), "v", "label")
+    stacked = np.vstack(list(model.get().values()))
+    rows = [(i, k, round(float(w), 6)) for i, row in enumerate(stacked) for k, w in enumerate(row)]
+    return spark.createDataFrame(rows, "place int, class int, weight double")
+
+
 def size_sweep(spark, sf):
     """Accuracy on both splits and their difference for several hidden widths, one step each."""
     rows = _vectors(spark, sf).withColumn("split", corpus.split_name("vec_id", fraction=0.2))
@@ -411,6 +454,13 @@ _LOGITS = f"""WITH h AS (SELECT vec_id, list_transform(range(16), lambda j: grea
     o AS (SELECT vec_id, list_transform(range(10), lambda k: list_sum(list_transform(range(16), lambda j: h[j + 1] * sin(CAST(j * 10 + k + 1 AS DOUBLE))))) AS o FROM h)
     SELECT vec_id, CAST(list_position(o, list_max(o)) - 1 AS INT) AS class, {_fmt('o', 5)} AS logits FROM o"""
 
+
+
+def _product(values, rows, columns, matrix=0):
+    """A row of ``values`` times a matrix of :func:`_sines`."""
+    return f"list_transform(range({columns}), lambda j: list_sum(list_transform(range({rows}), lambda i: {values}[i + 1] * sin(CAST(i * {columns} + j + {1 + 100 * matrix} AS DOUBLE)))))"
+
+
 QUERIES = {
     "regression_fit": (
         regression_fit,
@@ -494,6 +544,7 @@ QUERIES = {
     "adam_step": (adam_step, f"SELECT vec_id, {_fmt('list_transform(range(1, 65), lambda i: p[i] - CAST(0.01 AS DOUBLE) * ' + _ADAM.format('g[i]') + ')')} AS p FROM {_STEP}"),
     "adamw_step": (adamw_step, f"SELECT vec_id, {_fmt('list_transform(range(1, 65), lambda i: p[i] * CAST(0.999 AS DOUBLE) - CAST(0.01 AS DOUBLE) * ' + _ADAM.format('g[i]') + ')')} AS p FROM {_STEP}"),
     "clipped_gradients": (clipped_gradients, f"SELECT vec_id, {_fmt('list_transform(g, lambda x: x * least(CAST(1 AS DOUBLE), 1 / (n + 1e-6)))')} AS g FROM (SELECT vec_id, g, sqrt(list_sum(list_transform(g, lambda x: x * x))) AS n FROM {_STEP})"),
+    "clipped_together": (clipped_together, f"SELECT vec_id, {_fmt('list_transform(g, lambda x: x * least(CAST(1 AS DOUBLE), 5 / (n + 1e-6)))', 9)} AS g FROM {_STEP}, (SELECT sqrt(sum(list_sum(list_transform(v, lambda x: x * x)))) AS n FROM {_V})"),
     "causal_mask": (causal_mask, "SELECT range AS row, repeat('1', CAST(range + 1 AS INT)) || repeat('0', CAST(15 - range AS INT)) AS mask FROM range(16)"),
     "layer_norms": (layer_norms, f"SELECT vec_id, {_fmt('list_transform(w, lambda x: (x - m) / sqrt(s + 1e-5))', 5)} AS normed FROM (SELECT *, list_sum(list_transform(w, lambda x: (x - m) * (x - m))) / 64 AS s FROM {_X8})"),
     "rms_norms": (rms_norms, f"SELECT vec_id, {_fmt('list_transform(w, lambda x: x / sqrt(q + 1e-5))', 5)} AS normed FROM {_X8}"),
@@ -527,6 +578,34 @@ QUERIES = {
         m AS (SELECT vec_id, y // 2 AS y, x // 2 AS x, max(z) AS z FROM p GROUP BY ALL) SELECT vec_id, {_fmt('list(z ORDER BY y, x)', 5)} AS y FROM m GROUP BY vec_id""",
     ),
     "pooled_images": (pooled_images, f"SELECT vec_id, round(list_sum(v) / 64, 6) AS mean FROM {_V}"),
+    "attention_outputs": (
+        attention_outputs,
+        f"""WITH x AS (SELECT vec_id, s.range AS t, list_slice(v, 8 * s.range + 1, 8 * s.range + 8) AS x FROM {_V}, range(8) s),
+        p AS (SELECT vec_id, t, {_product('x', 8, 8)} AS q, {_product('x', 8, 8, 1)} AS k, {_product('x', 8, 8, 2)} AS w FROM x),
+        s AS (SELECT a.vec_id, a.t, h.range AS h, list_sum(list_transform(range(1, 5), lambda i: a.q[4 * h.range + i] * b.k[4 * h.range + i])) / 2 AS s, b.w FROM p a JOIN p b ON a.vec_id = b.vec_id AND b.t <= a.t, range(2) h),
+        e AS (SELECT vec_id, t, h, w, exp(s - max(s) OVER (PARTITION BY vec_id, t, h)) AS e FROM s),
+        m AS (SELECT vec_id, t, h, c.range AS c, sum(e * w[4 * h + c.range + 1]) / sum(e) AS m FROM e, range(4) c GROUP BY ALL),
+        j AS (SELECT vec_id, t, list(m ORDER BY h, c) AS m FROM m GROUP BY vec_id, t),
+        o AS (SELECT vec_id, t, {_product('m', 8, 8, 3)} AS o FROM j)
+        SELECT vec_id, {_fmt('flatten(list(o ORDER BY t))', 5)} AS y FROM o GROUP BY vec_id""",
+    ),
+    "perceptron_outputs": (
+        perceptron_outputs,
+        f"""WITH x AS (SELECT vec_id, s.range AS t, list_transform(range(8), lambda i: v[8 * s.range + i + 1] + sin(CAST(8 * s.range + i + 1 AS DOUBLE))) AS x FROM {_V}, range(8) s),
+        z AS (SELECT vec_id, t, {_product('x', 8, 16, 1)} AS z FROM x),
+        h AS (SELECT vec_id, t, list_transform(z, lambda a: 0.5 * a * (1 + tanh(sqrt(CAST(2 AS DOUBLE) / pi()) * (a + CAST(0.044715 AS DOUBLE) * a * a * a)))) AS h FROM z),
+        d AS (SELECT vec_id, t, {_product('h', 16, 8, 2)} AS d FROM h),
+        o AS (SELECT vec_id, t, {_product('d', 8, 4, 3)} AS o FROM d)
+        SELECT vec_id, {_fmt('flatten(list(o ORDER BY t))', 5)} AS y FROM o GROUP BY vec_id""",
+    ),
+    "tied_logits": (tied_logits, f"SELECT vec_id, {_fmt('list_transform(range(10), lambda k: list_sum(list_transform(range(4), lambda i: sin(CAST(label * 4 + i + 1 AS DOUBLE)) * sin(CAST(k * 4 + i + 1 AS DOUBLE)))))', 5)} AS y FROM embeddings"),
+    "gradient_step": (
+        gradient_step,
+        f"""WITH z AS (SELECT label, v, {_product('v', 64, 10)} AS z FROM {_V}), e AS (SELECT label, v, list_transform(z, lambda a: exp(a - list_max(z))) AS e FROM z),
+        d AS (SELECT list_append(v, CAST(1 AS DOUBLE)) AS v, list_transform(range(10), lambda k: e[k + 1] / list_sum(e) - CASE WHEN k = label THEN 1 ELSE 0 END) AS d FROM e)
+        SELECT CAST(i.range AS INT) AS place, CAST(k.range AS INT) AS class, round(CASE WHEN i.range < 64 THEN sin(CAST(i.range * 10 + k.range + 1 AS DOUBLE)) ELSE 0 END - CAST(0.1 AS DOUBLE) * avg(v[i.range + 1] * d[k.range + 1]), 6) AS weight
+        FROM d, range(65) i, range(10) k GROUP BY i.range, k.range""",
+    ),
     "size_sweep": (size_sweep, None),
     "generated_tokens": (generated_tokens, None),
 }
