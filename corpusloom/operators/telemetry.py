@@ -2,67 +2,50 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from corpusloom.functions.stats import t_quantile, t_upper
+from corpusloom.operators import segments
 
 BETA = 0.99
 
 
 def final_ema(rows: DataFrame, key: str, order: tuple[str, ...], value: str, beta: float = BETA) -> DataFrame:
-    """``key, n, ema``: the average after each key's last value, the first value being its seed.
-
-    The recurrence is written out as a weighted sum, so any number of rows of a key is summed in
-    parts; only the row numbers need the key's order.
-    """
-    ranked = rows.withColumn("_i", F.row_number().over(W.partitionBy(key).orderBy(*order)))
-    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
-    weight = F.pow(F.lit(beta), F.col("n") - F.col("_i")) * F.when(F.col("_i") == 1, 1.0).otherwise(1 - beta)
-    return ranked.join(counts, key).groupBy(key).agg(F.max("n").alias("n"), F.sum(F.col(value) * weight).alias("ema"))
+    """``key, n, ema``: the average after each key's last value, the first value being its seed; null values are passed over."""
+    steps = ema(rows, key, order, value, beta)
+    return steps.groupBy(key).agg(F.count("*").alias("n"), F.max_by("ema", F.struct(*order)).alias("ema"))
 
 
 def ema(rows: DataFrame, key: str, order: tuple[str, ...], value: str, beta: float = BETA, seeds: dict | DataFrame | None = None) -> DataFrame:
     """Every step of the average as column ``ema``; ``seeds`` resumes keys from an earlier average.
 
-    Sorted partitions are streamed with one number of state, so a key of any length fits.  Seeds
-    for many keys are a table of the key and ``ema`` and are joined to the rows.
+    The steps are maps s -> beta s + (1 - beta) x, composed range by range (:mod:`corpusloom.operators.segments`), so
+    a key of any length is spread over tasks.  Seeds for many keys are a table of the key and ``ema`` and are joined to the rows.
     """
     columns = [*dict.fromkeys([key, *order, value])]
     dealt = rows.select(*columns).withColumn(value, F.col(value).cast("double"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields)
-    if isinstance(seeds, DataFrame):
-        dealt, seeds = dealt.join(seeds.select(key, F.col("ema").alias("_seed")), key, "left").select(*columns, "_seed"), None
+    composed = segments.scan(dealt, [key], order, segments.affine(value, beta))
+    if seeds is None or (isinstance(seeds, dict) and not seeds):
+        start = F.col("first")
     else:
-        dealt, seeds = dealt.withColumn("_seed", F.lit(None).cast("double")), dict(seeds or {})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow as pa
-
-        current, state = object(), None
-        at, what = columns.index(key), columns.index(value)
-        for batch in batches:
-            out = []
-            for k, x, seed in zip(batch.column(at).to_pylist(), batch.column(what).to_pylist(), batch.column(len(columns)).to_pylist()):
-                if k != current:
-                    current, state = k, seed if seeds is None else seeds.get(k)
-                if x is not None:
-                    state = x if state is None else beta * state + (1 - beta) * x
-                out.append(state)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(out, pa.float64())], names=[*columns, "ema"])
-
-    return dealt.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema + ", ema double")
+        table = seeds if isinstance(seeds, DataFrame) else rows.sparkSession.createDataFrame(list(seeds.items()), ST.StructType([rows.schema[key], ST.StructField("ema", ST.DoubleType())]))
+        composed = composed.join(table.select(key, F.col("ema").alias("_seed")), key, "left")
+        start = F.coalesce("_seed", "first")
+    return composed.select(*columns, (F.col("decay") * start + F.col("shift")).alias("ema"))
 
 
 def running_mean(rows: DataFrame, key: str, order: tuple[str, ...], value: str) -> DataFrame:
-    """Mean of a key's values up to each row, as ``mean``, with the row's ``step`` from 1."""
-    upto = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return rows.withColumns({"step": F.row_number().over(W.partitionBy(key).orderBy(*order)), "mean": F.avg(value).over(upto)})
+    """Mean of a key's values up to each row, as ``mean``, with the row's ``step`` from 1; whole numbers are added exactly."""
+    exact = isinstance(rows.schema[value].dataType, ST.IntegralType)
+    marked = rows.withColumns({"_one": F.lit(1), "_there": F.col(value).isNotNull().cast("long")})
+    counted = segments.scan(marked, [key], order, segments.sums({"step": "_one", "_n": "_there", **({"_sum": value} if exact else {})}))
+    if not exact:
+        counted = segments.scan(counted.withColumn("_x", F.col(value).cast("double")), [key], order, segments.double_sums({"_sum": "_x"}))
+    return counted.withColumn("mean", F.try_divide("_sum", "_n")).select(*[F.col(f"`{c}`") for c in rows.columns], "step", "mean")
 
 
 def checkpoints(rows: DataFrame, step: str, every: int) -> DataFrame:
