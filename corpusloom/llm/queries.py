@@ -8,8 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, exact_dedup, fingerprints, html_extract, language, packing, repeats, secrets, simhash, warc
-
+from corpusloom.llm import bpe, exact_dedup, fingerprints, html_extract, language, packing, prefix_trie, repeats, secrets, simhash, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -75,6 +74,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents")).drop("rid")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.numbered_turns(_table(spark, sf_dir, "conversations"))
+    conv = F.col("conv_id")
+    lengths, rebuilt = prefix_trie.shared_heads(turns, base=conv - conv % 5, taken=F.crc32(conv.cast("string").cast("binary")) % 9, most=8)
+    return prefix_trie.prefix_trie(lengths, rebuilt).drop("k1", "k2")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
     "op2_bpe": op2_bpe,
@@ -86,14 +92,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_language_id": op9_language_id,
     "op10_simhash": op10_simhash,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _NORMAL = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')"
 
+#: CRC-32 of the decimal form of conv_id, byte by byte through the table of its polynomial.
+_CRC_TABLE = "list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))"
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1])), 4294967295)"
+
 #: For the operators that SQL can express; the tests hold the others against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": f"""SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size, row_number() OVER w = 1 AS kept, sha256(norm) AS text_sha256
         FROM (SELECT doc_id, length(coalesce(text, '')) AS n, {_NORMAL} AS norm FROM documents) WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id)""",
     "op5_warc": """SELECT page_id, b AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN b >= 1000 AND page_id <> m THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN b >= 1000 AND page_id <> m THEN m END AS refers_to
         FROM (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS b, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS m FROM pages)""",
+    "op13_prefix_trie": f"""WITH tab AS (SELECT {_CRC_TABLE} AS crc),
+        turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, dg) - 1 AS pos, dg, b
+            FROM (SELECT conv_id, turn, substr(sha256(length(r) || ':' || r || x), 1, 32) AS dg, octet_length(encode(x)) AS b
+                FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL))),
+        conv AS (SELECT conv_id, n, {_CRC} % 9 AS h, conv_id - conv_id % 5 AS base FROM (SELECT conv_id, count(*) AS n FROM turns GROUP BY conv_id), tab),
+        plan AS (SELECT c.conv_id, c.base, c.h, least(c.h, coalesce(b.n, 0)) AS m FROM conv c LEFT JOIN conv b ON b.conv_id = c.base),
+        steps AS (SELECT p.conv_id, pos, dg, b FROM plan p JOIN turns t ON t.conv_id = p.base AND pos < m UNION ALL SELECT p.conv_id, m + pos - h, dg, b FROM plan p JOIN turns t ON t.conv_id = p.conv_id AND pos >= h),
+        seqs AS (SELECT conv_id, list(dg ORDER BY pos) AS l, list(b ORDER BY pos) AS bs FROM steps GROUP BY conv_id UNION ALL SELECT conv_id, [], [] FROM plan WHERE conv_id NOT IN (SELECT conv_id FROM steps)),
+        rows AS (SELECT conv_id, d, array_to_string(l[1:d], ',') AS k, CASE WHEN d > 0 THEN array_to_string(l[1:d - 1], ',') END AS pk, coalesce(bs[d], 0) AS b, len(l) = d AS ends FROM seqs, unnest(range(0, len(l) + 1)) u(d)),
+        node AS (SELECT k, d, any_value(pk) AS pk, any_value(b) AS b, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ids FROM rows GROUP BY k, d),
+        kids AS (SELECT pk, d - 1 AS d, count(*) AS n FROM node WHERE d > 0 GROUP BY pk, d),
+        known AS (SELECT node.*, coalesce(n, 0) AS n_children FROM node LEFT JOIN kids ON kids.pk = k AND kids.d = node.d),
+        sums AS (SELECT r.k, r.d, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * w.b) AS saved FROM known w JOIN rows r ON r.conv_id = w.conv_id AND r.d <= w.d GROUP BY r.k, r.d)
+        SELECT v.conv_id, v.d AS depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(v.ids) AS ends_sha256
+        FROM known v JOIN sums s ON s.k = v.k AND s.d = v.d LEFT JOIN node p ON p.k = v.pk AND p.d = v.d - 1""",
 }
