@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, exact_dedup, fingerprints, html_extract, language, packing, prefix_trie, repeats, secrets, simhash, warc
+from corpusloom.llm import bpe, exact_dedup, fingerprints, html_extract, language, packing, prefix_trie, quality, repeats, secrets, simhash, vector_codes, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -74,6 +74,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents")).drop("rid")
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"), training=F.coalesce(fold() != 2, F.lit(True)))
+    return quality.score(docs, model).select("doc_id", F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+    return vector_codes.code_digest(coded, books)
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = prefix_trie.numbered_turns(_table(spark, sf_dir, "conversations"))
     conv = F.col("conv_id")
@@ -92,11 +103,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_language_id": op9_language_id,
     "op10_simhash": op10_simhash,
+    "op11_quality": op11_quality,
+    "op12_vector_codes": op12_vector_codes,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
 _NORMAL = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')"
 
+
+
+def _code_sql(parts: int = vector_codes.PARTS, entries: int = vector_codes.ENTRIES, rounds: int = vector_codes.ROUNDS, scale: int = vector_codes.SCALE) -> str:
+    """The plain rounds, each an assignment of all parts to all entries."""
+    best = "SELECT rid, part, min({d} * {n} + e) AS m FROM part JOIN c{r} USING (part) GROUP BY rid, part"
+    d = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    steps = [
+        f"""kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * {scale})::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"part AS MATERIALIZED (SELECT rid, vec_id, part, v[part * (len(v) // {parts}) + 1:(part + 1) * (len(v) // {parts})] AS x FROM kept, unnest(range({parts})) u(part))",
+        f"c0 AS MATERIALIZED (SELECT part, e, x AS c FROM (SELECT part, x, row_number() OVER (PARTITION BY part ORDER BY vec_id, v) - 1 AS e FROM part JOIN (SELECT rid, v FROM kept) USING (rid)) WHERE e < {entries})",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED ({best.format(d=d, n=entries, r=r)})")
+        if r < rounds:
+            sums = f"SELECT a.part, a.m % {entries} AS e, place, sum(x[place])::BIGINT AS s, count(*) AS n FROM a{r} a JOIN part p ON p.rid = a.rid AND p.part = a.part, unnest(range(1, len(x) + 1)) u(place) GROUP BY ALL"
+            means = f"SELECT part, e, list((s - ((s % n) + n) % n) // n ORDER BY place) AS c FROM ({sums}) GROUP BY ALL"
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT o.part, o.e, coalesce(w.c, o.c) AS c FROM c{r} o LEFT JOIN ({means}) w USING (part, e))")
+    return f"""WITH {", ".join(steps)},
+        coded AS (SELECT rid, string_agg(printf('%02x', m % {entries}), '' ORDER BY part) AS code, sum(m // {entries})::BIGINT AS error FROM a{rounds} GROUP BY rid)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, e)) FROM c{rounds}) AS codebooks_sha256 FROM coded JOIN kept USING (rid)"""
+
+
 #: CRC-32 of the decimal form of conv_id, byte by byte through the table of its polynomial.
 _CRC_TABLE = "list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))"
 _CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1])), 4294967295)"
@@ -107,6 +142,7 @@ ORACLE_SQL: dict[str, str] = {
         FROM (SELECT doc_id, length(coalesce(text, '')) AS n, {_NORMAL} AS norm FROM documents) WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id)""",
     "op5_warc": """SELECT page_id, b AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN b >= 1000 AND page_id <> m THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN b >= 1000 AND page_id <> m THEN m END AS refers_to
         FROM (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS b, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS m FROM pages)""",
+    "op12_vector_codes": _code_sql(),
     "op13_prefix_trie": f"""WITH tab AS (SELECT {_CRC_TABLE} AS crc),
         turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, dg) - 1 AS pos, dg, b
             FROM (SELECT conv_id, turn, substr(sha256(length(r) || ':' || r || x), 1, 32) AS dg, octet_length(encode(x)) AS b
