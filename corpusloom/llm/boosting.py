@@ -27,7 +27,7 @@ class Trees:
         return total
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, depth: int = 4, rate: float = 0.3, bins: int = 32, ridge: float = 2.0, tried: float = 0.2, rows: float = 0.35, seed: int = 3) -> Trees:
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 180, depth: int = 5, rate: float = 0.3, bins: int = 32, ridge: float = 2.0, tried: float = 0.2, rows: float = 0.3, seed: int = 3) -> Trees:
     """Second-order boosting of the logistic loss on binned features; each tree tries a random share of them, on a random share of the rows."""
     n, all_columns = x.shape
     rng = np.random.default_rng(seed)

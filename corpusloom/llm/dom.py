@@ -48,6 +48,7 @@ class Node:
     runs: list[tuple[int, list[str]]] = field(default_factory=list)  # (place in the page, pieces of text)
     link_chars: int = 0
     links: int = 0
+    led: bool = False  # its text begins in an inline element
 
 
 def _tokens(attributes: str) -> tuple[frozenset[str], bool]:
@@ -88,6 +89,8 @@ def parse(page: str) -> list[Node]:
         if fresh or not node.runs:
             if value.isspace():
                 return
+            if not node.runs:
+                node.led = stack[-1][0] not in BLOCK
             node.runs.append((place, []))
             place += 1
             fresh = False
@@ -186,14 +189,14 @@ def run_text(pieces: list[str]) -> str:
 
 
 #: Tag groups, in the order of their features.
-TAGS = ("p", "h1 h2 h3 h4 h5 h6 hgroup", "li dt dd", "ul ol dl menu dir", "div center", "section main", "article", "nav", "header", "footer", "aside", "form fieldset button", "table tbody thead tfoot tr td th caption", "blockquote pre figure figcaption address details summary", "html body")
+TAGS = ("p", "h1 hgroup", "h2 h3 h4 h5 h6", "li dt dd", "ul ol dl menu dir", "div center", "section main", "article", "nav", "header", "footer", "aside", "form fieldset button", "table tbody thead tfoot tr td th caption", "blockquote pre figure figcaption address details summary", "html body")
 #: Attribute tokens are hashed into so many features; the trees learn what they speak for.
 TOKENS = 64
 _TAG_OF = {t: k for k, group in enumerate(TAGS) for t in group.split()}
 _STOPS = re.compile(r"[.!?;:,…。！？]")
 #: Tags and attribute tokens of a node, then the same of what it stands in.
 _NAMES = len(TAGS) + TOKENS
-WIDTH = 2 * _NAMES + 24
+WIDTH = 2 * _NAMES + 37
 
 
 @lru_cache(1 << 16)
@@ -230,6 +233,28 @@ def features(nodes: list[Node]) -> np.ndarray:
     for v in nodes[1:]:
         same[v.parent, v.tag] = same.get((v.parent, v.tag), 0) + 1
     up = np.maximum(parent, 0)
+    # Nothing in a hidden element is seen.  What stands before a node, and whether numbers or inline elements lead its text.
+    hidden, previous, last = np.zeros(n), np.zeros(n, dtype=np.int64), {}
+    led, texts, digits, heading = (np.zeros(n) for _ in range(4))
+    for k, v in enumerate(nodes):
+        hidden[k] = v.hidden or (k > 0 and hidden[v.parent])
+        previous[k] = last.get(v.parent, -1)
+        last[v.parent] = k
+        led[k], texts[k], heading[k] = v.led, bool(v.runs), _TAG_OF.get(v.tag) in (1, 2)
+        digits[k] = bool(v.runs) and own[k, 0] < 200 and any(c.isdigit() for _, p in v.runs for x in p for c in x)
+    sub_led, sub_texts = led.copy(), texts.copy()
+    headings_before = np.cumsum(heading) - heading
+    for k in range(n - 1, 0, -1):
+        sub_led[parent[k]] += sub_led[k]
+        sub_texts[parent[k]] += sub_texts[k]
+    named = np.array([bool(v.tokens) for v in nodes], dtype=float)
+    named_above = np.zeros(n)
+    for k in range(1, n):
+        named_above[k] = max(named[parent[k]], named_above[parent[k]])
+    there = previous >= 0
+    following = np.full(n, -1)
+    following[previous[there]] = np.flatnonzero(there)
+    after = following >= 0
     chars = np.maximum(sub[:, 0], 1)
     for k in range(1, n):  # whatever a node stands in, at any height
         np.maximum(out[parent[k], :_NAMES], out[parent[k], _NAMES : 2 * _NAMES], out=out[k, _NAMES : 2 * _NAMES])
@@ -253,12 +278,25 @@ def features(nodes: list[Node]) -> np.ndarray:
         sub[:, 0] / np.maximum(sibling_chars[up], 1),
         before / total,
         np.log1p(siblings),
-        [v.hidden for v in nodes],
+        hidden,
         own[:, 0] / chars,
         np.log1p(sub[up, 0]),
         sub[up, 2] / chars[up] * 100,
         np.log1p(sub[up, 4]),
         np.minimum(sub[up, 1] / chars[up], 1),
+        led,
+        sub_led / np.maximum(sub_texts, 1),
+        sub_led[up] / np.maximum(sub_texts[up], 1),
+        digits,
+        there & (heading[previous] > 0),
+        there & (digits[previous] > 0),
+        np.minimum(headings_before, 4),
+        there * np.log1p(sub[previous, 0]),
+        after * np.log1p(sub[following, 0]),
+        after * np.minimum(sub[following, 1] / np.maximum(sub[following, 0], 1), 1),
+        after * (own[following, 4] > 0),
+        named,
+        named_above,
     )
     out[:, c:] = np.stack([np.asarray(x, dtype=np.float32) for x in columns], axis=1)
     return out

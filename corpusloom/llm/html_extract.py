@@ -18,7 +18,7 @@ from corpusloom.llm import boosting, scratch
 from corpusloom.llm.dom import Node, features, parse, run_text
 
 #: Generated pages the trees are trained on.
-TRAINING_PAGES = 1200
+TRAINING_PAGES = 3000
 
 
 @lru_cache(1)

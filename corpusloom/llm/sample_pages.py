@@ -17,12 +17,14 @@ _SYLLABLES = "ba ko ri tem lu sa den mo vi fa gre pol ny esh tar ul in ok wé ß
 class _Writer:
     def __init__(self, rng: random.Random):
         self.rng, self.main = rng, []
-        self.nameless = rng.random() < 0.1  # a page whose names tell nothing
-        self.lengths = (1, 4) if rng.random() < 0.15 else (4, 18)  # words of a sentence
+        self.plain = rng.random() < 0.4  # hardly anything but some paragraphs
+        self.nameless = rng.random() < (0.5 if self.plain else 0.2)  # a page whose names tell nothing
+        self.lengths = (1, 2) if self.plain and rng.random() < 0.15 else (1, 4) if rng.random() < 0.15 else (4, 18)  # words of a sentence
 
     def words(self, n: int) -> str:
         r = self.rng
-        return " ".join("".join(r.choice(_SYLLABLES) for _ in range(r.randint(1, 4))) for _ in range(n))
+        one = lambda: "".join(r.choice(_SYLLABLES) for _ in range(r.randint(1, 4))) + (str(r.randint(0, 2030)) if r.random() < 0.01 else "")
+        return " ".join(str(r.randint(0, 2030)) if r.random() < 0.02 else one() for _ in range(n))
 
     def sentence(self) -> str:
         text = self.words(self.rng.randint(*self.lengths)).capitalize()
@@ -79,8 +81,8 @@ class _Writer:
     def advert(self) -> str:
         r = self.rng
         x = r.random()
-        body = self.prose(1, 2) if x < 0.6 else f"<p>{self.prose(1, 4)}</p><a href=x>{self.words(2)}</a>" if x < 0.85 else f"<p>{self.prose(1, 2)}</p><p>{self.prose(1, 2)}</p>"
-        return self.box("", "ad ads advert sponsored promo banner ad-slot advertisement", body)
+        body = self.words(r.randint(1, 6)) + r.choice(["", ".", "!"]) if x < 0.2 else self.prose(1, 2) if x < 0.6 else f"<p>{self.prose(1, 4)}</p><a href=x>{self.words(2)}</a>" if x < 0.85 else f"<p>{self.prose(1, 2)}</p><p>{self.prose(1, 2)}</p>"
+        return self.box("", "ad ad ad ads ads advert adverts sponsored promo banner ad-slot ad-unit advertisement", body)
 
     def side(self) -> str:
         r = self.rng
@@ -92,15 +94,31 @@ class _Writer:
 
     def form(self) -> str:
         r = self.rng
-        return self.box("form form", "search login signup contact form", f"<label>{self.words(2)}</label><input name=q>" + (f"<p>{self.sentence()}</p>" if r.random() < 0.5 else "") + "<button>go</button>")
+        return self.box("form form", "search login signup contact form", r.choice(["<label>{}</label>", "<p>{}</p>", "<p>{}</p>", "<h3>{}</h3>", "{}"]).format(self.words(2)) + "<input name=q>" + (f"<p>{self.sentence()}</p>" if r.random() < 0.5 else "") + "<button>go</button>")
+
+    def unseen(self) -> str:
+        """Text that is there but not shown."""
+        r = self.rng
+        how = r.choice(["hidden", 'style="display:none"', "style='color:red; display: none'"])
+        return r.choice(["<p {}>{}</p>", "<div {}>{}</div>", "<div {}><p>{}</p></div>", "<section {}><h2>x</h2><p>{}</p></section>"]).format(how, self.prose(1, 8))
 
     def share(self) -> str:
         return self.box("", "share social follow sharing", self.links(2, 4))
 
     def comments(self) -> str:
         r = self.rng
-        one = lambda: r.choice(["<li>{}</li>", '<div class="comment">{}</div>', "<article>{}</article>"]).format(f"<b>{self.words(1)}</b> <p>{self.prose(1, 5)}</p>")
-        return self.box("", "comments comment-list responses discussion disqus reader-comments replies", f"<h3>{self.words(2)}</h3>" + "".join(one() for _ in range(r.randint(1, 6))) + (self.form() if r.random() < 0.4 else ""))
+        count = r.randint(1, 6)
+        x = r.random()
+        who = (lambda: f"<b>{self.words(1)}</b>{r.choice([' ', ': ', '<br>'])}") if x < 0.5 else (lambda: f"<strong>{self.words(2)}</strong> ") if x < 0.7 else (lambda: f"<a href=u>{self.words(1)}</a> {r.randint(1, 28)}.{r.randint(1, 12)}. ") if x < 0.85 else (lambda: "")
+        shape = r.choice(["<li>{}<p>{}</p></li>", "<li>{}{}</li>", "<div>{}<p>{}</p></div>", "<p>{}{}</p>", "<article>{} <p>{}</p></article>"] if x < 0.85 else ['<div class="comment">{}{}</div>', "<li>{}<p>{}</p></li>"])
+        items = "".join(shape.format(who(), self.prose(1, 4)) for _ in range(count))
+        if "<li>" in shape:
+            items = f"<{r.choice(['ul', 'ol'])}>{items}</ul>"
+        title = r.choice([self.words(1), f"{self.words(1)} ({count})", f"{count} {self.words(1)}"])
+        body = r.choice(["<h3>{}</h3>", "<h2>{}</h2>", "<h4>{}</h4>", "<h3>{}</h3>", "<div>{}</div>"]).format(title) + items + (self.form() if r.random() < 0.3 else "")
+        if x < 0.7 and r.random() < 0.6:  # a heading with a number and lines that begin with names tell enough
+            return f"<div>{r.choice(['<h3>', '<h2>'])}{self.words(1)} ({count})</h3>{items}</div>"
+        return self.box("", "comments comment-list responses discussion disqus reader-comments replies", body)
 
     def paragraph(self) -> str:
         r = self.rng
@@ -115,41 +133,45 @@ class _Writer:
     def article(self) -> str:
         r = self.rng
         parts = []
-        if r.random() < 0.85:
+        sections = r.choice(["section", "section", "div"]) if r.random() < (0.25 if self.plain else 0.05) else ""
+        if r.random() < (0.4 if self.plain else 0.85):
             title = f"<h1>{self.keep(self.words(r.randint(2, 12)))}</h1>"
             parts.append(f"<header>{title}</header>" if r.random() < 0.15 else title)
         if r.random() < 0.2:
             parts.append(f"<p class='byline'>{self.keep(self.words(3))}</p>")
-        for _ in range(r.choice([1, 1, 2, 3, 5, 8, 14])):
-            x = r.random()
-            if x < 0.72:
+        for _ in range(r.choice([1, 2, 2, 2, 3, 3, 4] if self.plain else [1, 1, 2, 3, 5, 8, 14])):
+            x = r.random() * (0.72 if self.plain and r.random() < 0.75 else 1)
+            if sections and x < 0.79:
+                title = f"<h2>{self.keep(self.words(r.randint(1, 4)))}</h2>" if r.random() < 0.6 else ""
+                parts.append(f"<{sections}>{title}{''.join(self.paragraph() for _ in range(r.choice([1, 1, 2])))}</{sections}>")
+            elif x < 0.72:
                 parts.append(self.paragraph())
             elif x < 0.79:
                 parts.append(f"<h2>{self.keep(self.words(r.randint(1, 6)))}</h2>")
             elif x < 0.85:
                 parts.append("<ul>" + "".join(f"<li>{self.keep(self.sentence())}</li>" for _ in range(r.randint(2, 6))) + "</ul>")
-            elif x < 0.88:
+            elif x < 0.87:
                 parts.append(f"<blockquote><p>{self.keep(self.prose(1, 4))}</p></blockquote>")
-            elif x < 0.90:
+            elif x < 0.885:
                 parts.append("<table>" + "".join("<tr>" + "".join(f"<td>{self.keep(self.words(r.randint(1, 4)))}</td>" for _ in range(3)) + "</tr>" for _ in range(r.randint(1, 4))) + "</table>")
-            elif x < 0.92:
+            elif x < 0.9:
                 parts.append(f"<figure><img src=z><figcaption>{self.keep(self.sentence())}</figcaption></figure>")
             else:
-                parts.append(r.choice([self.advert, self.side, self.share, self.notice, self.form])())
+                parts.append(r.choice([self.advert, self.advert, self.side, self.share, self.notice, self.form, self.unseen, self.unseen])())
         if not self.main:
             parts.append(self.paragraph())
         if r.random() < 0.1:
             parts.append(self.share())
         body = "".join(parts)
-        x = r.random()
+        x = r.random() * (0.4 if self.plain and r.random() < 0.2 else 1) + (0.5 if self.plain and r.random() < 0.7 else 0)
         if x < 0.5:
             body = f"<article{self.attribute('post entry article story') if r.random() < 0.3 else ''}>{body}</article>"
         elif x < 0.75:
             body = f"<div{self.attribute('content article post entry story post-body main-content text')}>{body}</div>"
         elif x < 0.85:
             body = f"<main>{body}</main>"
-        elif x < 0.92:
-            body = f"<div>{body}</div>"
+        elif x < 0.92 or self.plain and x < 1.05:
+            body = f"<div{self.attribute('inhalt corpo zone box1 main-col text') if r.random() < 0.3 else ''}>{body}</div>"
         return body
 
     def page(self) -> str:
@@ -158,8 +180,10 @@ class _Writer:
         before = [maybe(self.head, 0.45), maybe(self.menu, 0.6), maybe(self.notice, 0.2), maybe(self.advert, 0.4), maybe(self.form, 0.15)]
         after = [maybe(self.comments, 0.3), maybe(self.side, 0.35), maybe(self.advert, 0.2), maybe(self.share, 0.15), maybe(self.foot, 0.75), maybe(self.notice, 0.15)]
         r.shuffle(before)
-        if r.random() < 0.06:  # nothing but the article
+        after += [maybe(self.unseen, 0.06)]
+        if self.plain:  # at most one thing besides the article
             before, after = [], []
+            (before if r.random() < 0.3 else after).append(r.choice([lambda: "", lambda: "", self.foot, self.foot, self.foot, self.menu, self.comments, self.comments, self.comments, self.comments, self.advert, self.unseen])())
         middle = self.article()
         if r.random() < 0.25:
             middle = f"<div{self.attribute('wrapper container page row')}>{maybe(self.side, 0.4)}{middle}{maybe(self.comments, 0.25)}{maybe(self.side, 0.3)}</div>"
