@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from corpusloom.operators import corpus, tokens
@@ -76,14 +74,6 @@ def existing_inputs(spark, sf):
     return spark.createDataFrame([(p.rsplit("/", 1)[-1], ok) for ps, ok in ((found, True), (missing, False)) for p in ps], "name string, found boolean")
 
 
-def stream_to_table(stream, mode: str):
-    """Drive a stream over what is there to its end, into memory."""
-    name = f"s{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
-
-
 def _folder(spark, sf, name):
     """A stream over the files of one table."""
     static = table(spark, sf, name)
@@ -93,15 +83,86 @@ def _folder(spark, sf, name):
 
 
 def streamed_documents(spark, sf):
-    return stream_to_table(streams.documents(_folder(spark, sf, "documents")).select("doc_id", "rendered"), "append")
+    return streams.to_table(streams.documents(_folder(spark, sf, "documents")).select("doc_id", "rendered"), "append").drop("batch")
 
 
 def streamed_ema(spark, sf):
-    out = stream_to_table(streams.ema(_folder(spark, sf, "events"), "user_id", "event_id", "value"), "update")
+    out = streams.to_table(streams.ema(_folder(spark, sf, "events"), "user_id", "event_id", "value"), "update")
     return out.groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("ema", "n"), 5).alias("ema"))
 
 
+#: Batches in which events arrive, the session's gap, the windows' width and the watermark's delay.
+_BATCHES, _GAP, _WIDTH, _DELAY = 12, "6 hours", "1 hour", "3 days"
+_GAP_US, _WIDTH_US, _DELAY_US = 6 * 3_600_000_000, 3_600_000_000, 72 * 3_600_000_000
+
+
+def _arriving(spark, sf):
+    """Events in batches of equal spans of time; every twentieth comes a batch late, and every twentieth of the earlier half five batches late."""
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    events = table(spark, sf, "events").select("event_id", "user_id", "event_type", micros.alias("us"), F.round(F.col("value") * 100).cast("long").alias("cents"))
+    ends = events.agg(F.min("us").alias("low"), F.max("us").alias("high")).first()
+    span = F.expr(f"(us - {ends.low}) * {_BATCHES} div {ends.high - ends.low + 1}")
+    late = F.when((F.col("event_id") % 20 == 3) & (span < _BATCHES - 1), 1).when((F.col("event_id") % 20 == 7) & (span <= _BATCHES - 6), 5).otherwise(0)
+    return events.withColumns({"batch": (span + late).cast("int"), "at": F.timestamp_micros("us")})
+
+
+def streamed_sessions(spark, sf):
+    stream = streams.replayed(spark, _arriving(spark, sf), "batch")
+    out = streams.to_table(streams.sessions(stream, "user_id", "at", "cents", _GAP, _DELAY), "append")
+    return out.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n", F.col("total").alias("cents"))
+
+
+def streamed_windows(spark, sf):
+    stream = streams.replayed(spark, _arriving(spark, sf), "batch")
+    out = streams.to_table(streams.hourly(stream, "at", "event_type", "cents", _WIDTH, _DELAY), "append")
+    return out.select("event_type", F.unix_micros("start").alias("start_us"), "n", F.col("total").alias("cents"))
+
+
+def recovered_stream(spark, sf):
+    """A stream over all documents that breaks off before, within and after the writing of a batch, and goes on from its checkpoint."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    stream = streams.replayed(spark, docs.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(6)).cast("int")), "batch")
+    rows = stream.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    out, tried = streams.Table(spark, rows.schema), {}
+
+    def write(batch, number):
+        tried[number] = tried.get(number, 0) + 1
+        if number == 1 and tried[number] <= 2:
+            raise OSError("broken off before anything was written")
+        if number == 3 and tried[number] == 1:
+            out.write(batch.limit(1), number)
+            raise OSError("broken off half way")
+        out.write(batch, number)
+        if number == 4 and tried[number] == 1:
+            raise OSError("broken off before the batch was marked as done")
+
+    waits = []
+    starts = streams.recovered(lambda: out.start(rows, "append", write), sleep=waits.append)
+    return out.rows().select("doc_id", "text_sha256", F.lit(starts).alias("starts"), F.lit(" ".join(f"{w:g}" for w in waits)).alias("waits"))
+
+
+#: Events with their batch and the watermark by which rows are late in it, that of the batch before: the latest time of the batches before
+#: that one, in whole milliseconds, less the delay.
+_ARRIVED = f"""WITH e AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS us, CAST(round(value * 100) AS BIGINT) AS cents FROM events),
+    s AS (SELECT *, (us - (SELECT min(us) FROM e)) * {_BATCHES} // (SELECT max(us) - min(us) + 1 FROM e) AS span FROM e),
+    b AS (SELECT *, span + CASE WHEN event_id % 20 = 3 AND span < {_BATCHES - 1} THEN 1 WHEN event_id % 20 = 7 AND span <= {_BATCHES - 6} THEN 5 ELSE 0 END AS batch FROM s),
+    marks AS (SELECT batch, max(max(us)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) // 1000 * 1000 - {_DELAY_US} AS mark FROM b GROUP BY batch),
+    a AS (SELECT b.*, coalesce(mark, 0) AS mark, (SELECT max(us) // 1000 * 1000 - {_DELAY_US} FROM e) AS last_mark FROM b JOIN marks USING (batch))"""
+
 QUERIES = {
+    "streamed_sessions": (
+        streamed_sessions,
+        f"""{_ARRIVED},
+        kept AS (SELECT *, lag(us) OVER (PARTITION BY user_id ORDER BY us, event_id) AS before FROM a WHERE us + {_GAP_US} > mark),
+        cut AS (SELECT *, sum(CASE WHEN before IS NULL OR us > before + {_GAP_US} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY us, event_id) AS nth FROM kept)
+        SELECT user_id, min(us) AS start_us, max(us) + {_GAP_US} AS end_us, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM cut GROUP BY user_id, nth, last_mark HAVING max(us) + {_GAP_US} <= last_mark""",
+    ),
+    "streamed_windows": (
+        streamed_windows,
+        f"""{_ARRIVED} SELECT event_type, us // {_WIDTH_US} * {_WIDTH_US} AS start_us, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM a
+        WHERE us // {_WIDTH_US} * {_WIDTH_US} + {_WIDTH_US} > mark AND us // {_WIDTH_US} * {_WIDTH_US} + {_WIDTH_US} <= last_mark GROUP BY event_type, us // {_WIDTH_US}""",
+    ),
+    "recovered_stream": (recovered_stream, "SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, 5 AS starts, '5 10 5 5' AS waits FROM documents"),
     "csv_roundtrip": (csv_roundtrip, "SELECT event_id, user_id, event_type, value FROM events"),
     "token_store_roundtrip": (token_store_roundtrip, f"SELECT doc_id, len(ids) AS n, sha256(array_to_string(ids, ' ')) AS tokens_sha256 FROM (SELECT doc_id, {_IDS} AS ids FROM documents)"),
     "corpus_roundtrip": (
