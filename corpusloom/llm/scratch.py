@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusloom.session import ship
 
@@ -81,6 +82,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of keys, of at most some 100 bytes each, that are sent to every task.
+FEW_ROWS = 500_000
+
+
+def few_or_merged(keys: DataFrame, rows: int = FEW_ROWS) -> DataFrame:
+    """A written table of keys, marked to be sent to every task if it has few rows, else to be merged with the other side."""
+    return F.broadcast(keys) if keys.limit(rows + 1).count() <= rows else keys.hint("merge")
+
+
 def made(spark: SparkSession) -> list[str]:
     """Paths of this session's tables, in the order in which they were made."""
     return list(_made.get(spark.sparkContext.applicationId, []))

@@ -27,10 +27,10 @@ PATTERNS = (
 RANDOM = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{32,}"
 #: A value that so many owners hold, or two owners in so many repositories, counts as an example.
 SHARED_OWNERS, SHARED_REPOSITORIES = 3, 20
-#: Bits of entropy per character, characters, and classes of characters that a live-looking value has at least.
-LIVE_ENTROPY, LIVE_CHARS, LIVE_CLASSES = 2.5, 8, 2
-# What stands in values that are there to be replaced.
-PLACEHOLDERS = "changeme change_me example sample placeholder dummy redacted undefined yourpassword your_ your- password passwd secret xxxx ****".split()
+#: Bits of entropy per character and characters that a live-looking value has at least, and runs in one of its parts, or else classes of characters.
+LIVE_ENTROPY, LIVE_CHARS, LIVE_RUNS, LIVE_CLASSES = 2.5, 8, 4, 3
+# Words of values that are there to be replaced.
+PLACEHOLDERS = "change changeme example sample placeholder dummy redacted undefined your yourpassword xxxx xxxxx xxxxxx xxxxxxxx test".split()
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "random", "live", "example", "placeholder")
 
@@ -102,13 +102,20 @@ def entropy(value: Column) -> Column:
 
 
 def looks_live(value: Column) -> Column:
-    """Whether a value is long and mixed enough to be random, and no placeholder."""
-    low = F.lower(value)
+    """Whether a value is long and mixed enough to be random, and no placeholder.
+
+    A value is cut at its signs.  In a part, letters that read as words (several of one case, a capital before them or not) are one run, as are
+    neighbouring digits; every other letter is a run of its own.  Names, paths and variables have few runs
+    (``process.env.TOKEN`` one a part, ``user2name`` three), random strings many.  A value with few runs is live only if it mixes
+    three classes of characters and is no name or path of names.  A value is a placeholder if one of its
+    words, whole, is listed; letters within a longer run do not count.
+    """
+    parts = F.split(value, "[^A-Za-z0-9]+")
+    runs = F.transform(parts, lambda p: F.char_length(F.regexp_replace(F.regexp_replace(p, "([A-Z]?[a-z]{2,}|[A-Z]{2,}(?![a-z]))+", "w"), "[0-9]+", "d")))
+    words = F.split(F.lower(value), "[^a-z]+")
     classes = sum((value.rlike(c).cast("int") for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")), F.lit(0))
-    named = F.lit(False)
-    for word in PLACEHOLDERS:
-        named = named | low.contains(word)
-    return (F.char_length(value) >= LIVE_CHARS) & (classes >= LIVE_CLASSES) & ~named & (entropy(value) >= LIVE_ENTROPY)
+    mixed = (F.array_max(runs) >= LIVE_RUNS) | ((classes >= LIVE_CLASSES) & ~value.rlike(r"\A[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)*\z"))
+    return (F.char_length(value) >= LIVE_CHARS) & mixed & ~F.arrays_overlap(words, F.array(*[F.lit(w) for w in PLACEHOLDERS])) & (entropy(value) >= LIVE_ENTROPY)
 
 
 def ownership(candidates: DataFrame, shared_owners: int = SHARED_OWNERS, shared_repositories: int = SHARED_REPOSITORIES) -> DataFrame:

@@ -433,8 +433,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(hashes, pa.list_(pa.int64()))], names=["k1", "k2", "id", "set"])
 
     # Files name texts by one hash; texts that share it all take part, so a collision only adds candidates.
-    wanted = files.select(F.col("node").alias("k1")).distinct()
-    involved = rows.join(wanted.hint("merge"), "k1", "left_semi").dropDuplicates(["k1", "k2"]).select("k1", "k2", "id", "text")
+    wanted = scratch.materialize(files.select(F.col("node").alias("k1")).distinct(), "near-wanted")
+    involved = rows.join(scratch.few_or_merged(wanted), "k1", "left_semi").dropDuplicates(["k1", "k2"]).select("k1", "k2", "id", "text")
     involved = involved.mapInArrow(sets, "k1 long, k2 long, id long, set array<long>")
     involved = scratch.materialize(involved.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "id", "set"), "near-sets")
     files = files.select("file", F.col("node").alias("k1")).join(involved.select("k1", "node"), "k1").select("file", "node")
