@@ -112,7 +112,7 @@ def looks_live(value: Column) -> Column:
     """
     parts = F.split(value, "[^A-Za-z0-9]+")
     runs = F.transform(parts, lambda p: F.char_length(F.regexp_replace(F.regexp_replace(p, "([A-Z]?[a-z]{2,}|[A-Z]{2,}(?![a-z]))+", "w"), "[0-9]+", "d")))
-    words = F.split(F.lower(value), "[^a-z]+")
+    words = F.split(F.lower(value), "[^a-z0-9]+")
     classes = sum((value.rlike(c).cast("int") for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")), F.lit(0))
     mixed = (F.array_max(runs) >= LIVE_RUNS) | ((classes >= LIVE_CLASSES) & ~value.rlike(r"\A[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)*\z"))
     return (F.char_length(value) >= LIVE_CHARS) & mixed & ~F.arrays_overlap(words, F.array(*[F.lit(w) for w in PLACEHOLDERS])) & (entropy(value) >= LIVE_ENTROPY)

@@ -317,7 +317,7 @@ def _verdicts(rows):
         runs = max(len(re.findall(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}(?![a-z]))+|[0-9]+|[A-Za-z]", p)) for p in re.split("[^A-Za-z0-9]+", value))
         classes = sum(bool(re.search(c, value)) for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
         live = len(value) >= 8 and (runs >= 4 or classes >= 3 and not re.fullmatch(r"[A-Za-z_]\w*(\.[A-Za-z_]\w*)*", value, re.A))
-        live = live and -sum(p * math.log2(p) for p in shares) >= 2.5 and not set(re.split("[^a-z]+", value.lower())) & set(secrets.PLACEHOLDERS)
+        live = live and -sum(p * math.log2(p) for p in shares) >= 2.5 and not set(re.split("[^a-z0-9]+", value.lower())) & set(secrets.PLACEHOLDERS)
         kind = "example" if owners >= 3 or owners == 2 and repositories >= 20 else "live" if live else "placeholder"
         out[i, f"{kind}:{a}:{b}"] += 1
     return out
