@@ -211,3 +211,80 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time:
     both = rows["left"].unionAll(rows["right"])
     found = scan(both, by, ["_time", "_side", *tie], latest("_right", both.schema["_right"].dataType), ranges, keep)
     return found.where(F.col("_side") == sides["left"]).select("_left.*", F.col("latest").alias(name))
+
+
+def ranks(value: str, kind: ST.DataType) -> Scan:
+    """``place`` from 1 in the order of ``value``, and ``tie``, the place among the rows of equal value (nulls are equal)."""
+
+    def local(batch: pa.RecordBatch, starts: np.ndarray, before: list[pa.Array] | None) -> list[pa.Array]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        at = batch.schema.names.index(value)
+        x, n = batch.column(at), batch.num_rows
+        place, new = np.empty(n, dtype=np.int64), starts | _starts(batch, [at], None)
+        whole = np.zeros(n, dtype=bool)  # all rows of the run so far have this value
+        if not starts[0]:
+            new[0] = not pc.fill_null(pc.equal(x.slice(0, 1), before[3]), bool(x[0].as_py() is None and before[3][0].as_py() is None))[0].as_py()
+        held = 0 if starts[0] else before[0][0].as_py()
+        for a, b in runs(starts):
+            place[a:b] = np.arange(1, b - a + 1) + (held if a == 0 else 0)
+        begun = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+        tie = np.arange(n) - begun + 1
+        on = begun < 0  # goes on with the value of the batch before
+        tie[on] = np.arange(1, int(on.sum()) + 1) + (before[1][0].as_py() if on.any() else 0)
+        values = np.cumsum(new) - (np.cumsum(new) - new)[np.maximum.accumulate(np.where(starts, np.arange(n), 0))]
+        whole = np.where(np.maximum.accumulate(starts), values == 1, (values == 0) & bool(before[2][0].as_py() if before else False))
+        return [pa.array(place), pa.array(tie), pa.array(whole), x]
+
+    def join(left: Sequence[Any], right: Sequence[Any]) -> Sequence[Any]:
+        on = right[2] and left[3] == right[3]
+        return left[0] + right[0], right[1] + (left[1] if on else 0), left[2] and on, right[3]
+
+    def apply(left: list[Column], right: list[Column]) -> list[Column]:
+        on = right[2] & left[3].eqNullSafe(right[3])
+        return [left[0] + right[0], right[1] + F.when(on, left[1]).otherwise(0), left[2] & on, right[3]]
+
+    return Scan({"place": ST.LongType(), "tie": ST.LongType(), "whole": ST.BooleanType(), "_value": kind}, local, join, apply)
+
+
+def ranked(rows: DataFrame, keys: Sequence[str], value: str, ties: Sequence[str] = (), tiles: int = 4, ranges: int | None = None, keep: Callable[[DataFrame], DataFrame] = files.written) -> DataFrame:
+    """``rows`` with ``row_number, rank, percent_rank, cume_dist`` and ``ntile`` in the order of ``value`` (nulls first) within ``keys``, which may be none.
+
+    ``ties`` orders rows of equal value where they are numbered.  No window runs over a key: positions come from ranges of (keys, value,
+    ties), and the sizes of keys and of ties from counts.
+    """
+    placed = scan(rows, keys, [value, *ties], ranks(value, rows.schema[value].dataType), ranges, keep)
+    by = [F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)]
+    counted = rows.groupBy(*by, F.col(f"`{value}`").alias("_v")).agg(F.count("*").alias("_same"))
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"))
+    if keys:
+        same = [F.col(f"`{k}`").eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+        placed = placed.join(sizes, same).drop(*[f"_k{i}" for i in range(len(keys))])
+    else:
+        placed = placed.withColumn("_n", F.lit(sizes.first()._n))  # one number
+        same = []
+    joined = placed.join(counted, [*same, F.col(f"`{value}`").eqNullSafe(F.col("_v"))])
+    rank, size, rest = F.col("place") - F.col("tie") + 1, F.floor(F.col("_n") / tiles), F.col("_n") % tiles
+    first = F.col("place") - 1
+    tile = F.when(first < rest * (size + 1), F.floor(first / (size + 1))).otherwise(rest + F.floor((first - rest * (size + 1)) / F.greatest(size, F.lit(1)))) + 1
+    return joined.select(
+        *[F.col(f"`{c}`") for c in rows.columns], F.col("place").alias("row_number"), rank.alias("rank"), F.when(F.col("_n") > 1, (rank - 1) / (F.col("_n") - 1)).otherwise(0.0).alias("percent_rank"),
+        ((rank - 1 + F.col("_same")) / F.col("_n")).alias("cume_dist"), tile.cast("int").alias("ntile"),
+    )
+
+
+def range_frames(rows: DataFrame, keys: Sequence[str], time: str, value: str, width: int, ranges: int | None = None, keep: Callable[[DataFrame], DataFrame] = files.written) -> DataFrame:
+    """``keys, time, n, total``: count and sum of whole-number ``value`` over the rows of the key from ``time - width`` to ``time``, both included.
+
+    The frame of RANGE BETWEEN width PRECEDING AND CURRENT ROW, which all rows of one time share: one row for each distinct key and time.  Rows of one
+    time are combined first.  Running sums of these, and those of the latest time before the frame, found by an as-of join, make up
+    the frame, however wide it is.  Rows with a null key or time are left out; null values are not counted.
+    """
+    own = rows.dropna(subset=[*keys, time])
+    times = own.groupBy(*keys, F.col(time).cast("long").alias("time")).agg(F.count(value).alias("one"), F.coalesce(F.sum(value), F.lit(0)).cast("long").alias("sum"))
+    running = keep(scan(times, keys, ["time"], sums({"n": "one", "total": "sum"}), ranges, keep))
+    frames = running.select(*keys, "time", "n", "total", (F.col("time") - F.lit(width)).alias("from"))
+    earlier = running.select(*keys, "time", F.col("n").alias("n0"), F.col("total").alias("total0"))
+    found = asof_join(frames, earlier, keys, "from", "time", ranges=ranges, keep=keep)
+    return found.select(*keys, "time", (F.col("n") - F.coalesce("match.n0", F.lit(0))).alias("n"), (F.col("total") - F.coalesce("match.total0", F.lit(0))).alias("total"))
