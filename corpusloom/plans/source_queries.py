@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import corpus, tokens
 from corpusloom.plans import corpus_queries
 from corpusloom.plans.corpus_queries import _IDS, _STRIPPED, _uniform, table
-from corpusloom.sources import files
+from corpusloom.sources import files, images
 from corpusloom.streaming import streams
 
 
@@ -91,6 +91,42 @@ def streamed_ema(spark, sf):
     return out.groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("ema", "n"), 5).alias("ema"))
 
 
+def _pictures(spark, sf):
+    """Embeddings as pictures of eight by eight bytes."""
+    byte = lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((x.cast("double") + 1) * 127.5))).cast("int")
+    return table(spark, sf, "embeddings").where("label is not null").select("label", F.transform("embedding", byte).alias("pixels"))
+
+
+def _by_label(read):
+    """Pictures of each label, their bytes added up, and added up by place, so that none can be lost or moved unseen."""
+    pixel = read.select("label", F.posexplode("pixels").alias("place", "x"))
+    return pixel.groupBy("label").agg(F.sum((F.col("place") == 0).cast("long")).alias("n"), F.sum("x").alias("total"), F.sum(F.col("x") * F.col("place")).alias("weighted"))
+
+
+def image_records(spark, sf):
+    """Pictures through the idx form."""
+    images.register(spark)
+    path = _scratch(spark)
+    _pictures(spark, sf).write.format("idx").option("height", 8).option("width", 8).mode("append").save(path)
+    return _by_label(spark.read.format("idx").schema("label int, pixels array<smallint>").load(path))
+
+
+def colour_records(spark, sf):
+    """Pictures, each repeated over three planes of 32 by 32, through the cifar form."""
+    images.register(spark)
+    path = _scratch(spark)
+    _pictures(spark, sf).withColumn("pixels", F.flatten(F.array_repeat("pixels", images.CIFAR_PIXELS // 64))).write.format("cifar").mode("append").save(path)
+    return _by_label(spark.read.format("cifar").schema("label int, pixels array<smallint>").load(path))
+
+
+def image_labels(spark, sf):
+    """The labels alone, which are read without a pixel."""
+    images.register(spark)
+    path = _scratch(spark)
+    _pictures(spark, sf).write.format("idx").option("height", 8).option("width", 8).mode("append").save(path)
+    return spark.read.format("idx").schema("label int").load(path).groupBy("label").agg(F.count("*").alias("n"))
+
+
 #: Batches in which events arrive, the session's gap, the windows' width and the watermark's delay.
 _BATCHES, _GAP, _WIDTH, _DELAY = 12, "6 hours", "1 hour", "3 days"
 _GAP_US, _WIDTH_US, _DELAY_US = 6 * 3_600_000_000, 3_600_000_000, 72 * 3_600_000_000
@@ -149,7 +185,16 @@ _ARRIVED = f"""WITH e AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS
     marks AS (SELECT batch, max(max(us)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) // 1000 * 1000 - {_DELAY_US} AS mark FROM b GROUP BY batch),
     a AS (SELECT b.*, coalesce(mark, 0) AS mark, (SELECT max(us) // 1000 * 1000 - {_DELAY_US} FROM e) AS last_mark FROM b JOIN marks USING (batch))"""
 
+def _picture_sql(copies: int) -> str:
+    """Sums over pictures of 64 bytes, repeated ``copies`` times; place is the place in the whole."""
+    return f"""SELECT label, count(*) FILTER (WHERE k = 1) AS n, CAST(sum(x) * {copies} AS BIGINT) AS total, CAST(sum(x * ({copies} * (k - 1) + 64 * {copies * (copies - 1) // 2})) AS BIGINT) AS weighted
+    FROM (SELECT label, k, least(255, greatest(0, CAST(floor((CAST(embedding[k] AS DOUBLE) + 1) * 127.5) AS BIGINT))) AS x FROM embeddings, unnest(range(1, 65)) u(k) WHERE label IS NOT NULL) GROUP BY label"""
+
+
 QUERIES = {
+    "image_records": (image_records, _picture_sql(1)),
+    "colour_records": (colour_records, _picture_sql(48)),
+    "image_labels": (image_labels, "SELECT label, count(*) AS n FROM embeddings WHERE label IS NOT NULL GROUP BY label"),
     "streamed_sessions": (
         streamed_sessions,
         f"""{_ARRIVED},
