@@ -3,19 +3,19 @@
 A document fills as many whole windows as it can; what remains is a shorter piece.  Only the
 histogram of remaining lengths decides how those are combined: combinations of a few lengths that
 fill a window are enumerated, the number of times each is used is the non-negative least-squares
-solution against the histogram, rounded and never above what is there, and what is left over is
-packed greedily.  The plan's size depends on the window, not on the corpus.
+solution against the histogram, rounded and never above what is there.  What is left over fills windows greedily, and where a
+window stays open and pieces are left, one of them is cut to close it, at a multiple of :data:`GRAIN` ids; its tail is packed
+like any other piece.  The plan's size depends on the window, not on the corpus.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_right
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +23,10 @@ from pyspark.sql import functions as F
 from corpusloom.llm import scratch
 
 WINDOW = 4096
+#: A remainder is cut at multiples of so many ids, at which the checksum of what comes before is kept.
+GRAIN = 32
+#: Pieces of one length above which they are planned by themselves, as often as that can be repeated.
+MANY = 16
 #: Words whose ids a worker remembers.
 CACHED_WORDS = 300_000
 
@@ -107,21 +111,40 @@ def _encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def marks(part: memoryview) -> bytes:
+    """Checksums of the first 0, GRAIN, 2 GRAIN and so on ids of a piece, four bytes each."""
+    out, crc = [0], 0
+    for k in range(0, len(part) - 4 * GRAIN, 4 * GRAIN):
+        crc = zlib.crc32(part[k : k + 4 * GRAIN], crc)
+        out.append(crc)
+    return np.array(out, dtype="<u4").tobytes()
+
+
+def crc_between(before: int, upto: int, ids: int) -> int:
+    """Checksum of the last ``ids`` ids of a run, from that of what comes before them and that of the whole run."""
+    zeros = bytes(4 * ids)
+    return upto ^ zlib.crc32(zeros, before) ^ zlib.crc32(zeros)
+
+
 def _cutter(path: str, end_id: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
 
         encode, end = _encoder(path).encode, end_id.to_bytes(4, "little")
-        names = ["id", "start", "length", "crc", "total"]
+        names = ["id", "start", "length", "crc", "total", "marks"]
         for batch in batches:
             rows = []
             for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = encode(text) + end
                 total = len(data) // 4
                 view = memoryview(data)
-                rows += [(id_, a, min(window, total - a), zlib.crc32(view[4 * a : 4 * (a + window)]), total) for a in range(0, total, window)]
+                for a in range(0, total, window):
+                    part = view[4 * a : 4 * (a + window)]
+                    whole = len(part) == 4 * window
+                    rows.append((id_, a, len(part) // 4, zlib.crc32(part), total, None if whole else marks(part)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
+                *numbers, kept = zip(*rows)
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in numbers], pa.array(kept, pa.binary())], names=names)
 
     return run
 
@@ -153,10 +176,11 @@ def fillings(lengths: np.ndarray, window: int, breadth: int = 24, depth: int = 4
     return sorted(found, reverse=True)
 
 
-def nonnegative_least_squares(columns: list[np.ndarray], target: np.ndarray, steps: int = 300) -> np.ndarray:
+def nonnegative_least_squares(columns: list[np.ndarray], target: np.ndarray, steps: int = 3000, tolerance: float = 1e-4) -> np.ndarray:
     """min |A x - target| over x >= 0, A given by the row numbers (with repeats) of each column's ones.
 
-    Accelerated projected gradient; A is sparse, so a step costs as much as its ones are many.
+    Accelerated projected gradient; A is sparse, so a step costs as much as its ones are many.  Ends when no entry moves by more than
+    ``tolerance`` of the largest, or a hundredth.
     """
     if not columns:
         return np.empty(0)
@@ -169,13 +193,15 @@ def nonnegative_least_squares(columns: list[np.ndarray], target: np.ndarray, ste
     for _ in range(steps):
         residual = np.bincount(rows, weights=y[cols], minlength=len(target)) - target
         new = np.maximum(0, y - np.bincount(cols, weights=residual[rows], minlength=n) / bound)
+        if np.abs(new - x).max() <= max(0.01, tolerance * new.max()):
+            return new
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y, x, t = new + (t - 1) / t_new * (new - x), new, t_new
     return x
 
 
-def plan(histogram: dict[int, int], window: int = WINDOW) -> list[tuple[tuple[int, ...], int]]:
-    """Combinations of lengths and how often each is used; uses every counted piece exactly once."""
+def plan(histogram: dict[int, int], window: int = WINDOW) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
+    """Combinations of lengths and how often each is used, and the pieces of each length that are left over."""
     left = {n: c for n, c in histogram.items() if c > 0}
     out: list[tuple[tuple[int, ...], int]] = []
     lengths = np.array(sorted(left), dtype=np.int64)
@@ -190,27 +216,82 @@ def plan(histogram: dict[int, int], window: int = WINDOW) -> list[tuple[tuple[in
             out.append((combo, times))
             for n in combo:
                 left[n] -= times
-    left = {n: c for n, c in left.items() if c}
-    have = sorted(left)
-    while have:  # the longest piece with the longest that still fit, as often as that can be repeated
-        rest, combo, used = window, [], {}
-        k = len(have) - 1
-        while k >= 0:
-            n = have[k]
-            if n <= rest and used.get(n, 0) < left[n]:
-                combo.append(n)
-                used[n] = used.get(n, 0) + 1
+    return out, {n: c for n, c in left.items() if c}
+
+
+class Slots:
+    """Where pieces go: the pieces of one length are ranked, and a row is (first rank, end, from, to, sequence of the first, offset).
+
+    Ids ``from`` to ``to`` of the ranks stand at ``offset`` of one sequence each.
+    """
+
+    def __init__(self, base: int) -> None:
+        self.rows: dict[int, list[tuple[int, int, int, int, int, int]]] = {}
+        self.base = base
+        self._open: dict[int, list[list[int]]] = {}  # what is left: length of what remains -> [length, from, first rank, end]
+
+    def add(self, length: int, start: int, first: int, end: int) -> None:
+        if end > first:
+            self._open.setdefault(length - start, []).append([length, start, first, end])
+
+    def count(self, remaining: int) -> int:
+        return sum(e[3] - e[2] for e in self._open.get(remaining, ()))
+
+    def take(self, remaining: int, times: int, offset: int, most: int | None = None) -> None:
+        """``times`` pieces with so much remaining, one a sequence from the base on, cut after ``most`` ids if that is given."""
+        sequence, entries = self.base, self._open[remaining]
+        while times:
+            length, start, first, end = entry = entries[-1]
+            n = min(times, end - first)
+            upto = length if most is None else start + most
+            self.rows.setdefault(length, []).append((first, first + n, start, upto, sequence, offset))
+            if upto < length:
+                self.add(length, upto, first, first + n)
+            entry[2] += n
+            if entry[2] == end:
+                entries.pop()
+            times, sequence = times - n, sequence + n
+
+    def lengths(self) -> list[int]:
+        return sorted(n for n in self._open if self.count(n))
+
+    def fill(self, window: int, grain: int = GRAIN, many: int = MANY) -> None:
+        """Fill sequences with all that is open.  Cutting one length at least halves the number of its pieces each time."""
+        for remaining in range(window, 0, -1):  # tails are shorter than what they are cut from
+            count = self.count(remaining)
+            if count < many:
+                continue
+            copies = window // remaining
+            rest = (window - copies * remaining) // grain * grain
+            times = count // (copies + (rest > 0))
+            for k in range(copies):
+                self.take(remaining, times, k * remaining)
+            if rest:
+                self.take(remaining, times, copies * remaining, rest)
+            self.base += times
+        have = self.lengths()
+        counts = {n: self.count(n) for n in have}
+
+        def use(n: int, offset: int, most: int | None = None) -> None:
+            self.take(n, 1, offset, most)
+            counts[n] -= 1
+            if not counts[n]:
+                del counts[n], have[bisect_right(have, n) - 1]
+            if most is not None:
+                tail = n - most
+                if tail not in counts:
+                    insort(have, tail)
+                counts[tail] = counts.get(tail, 0) + 1
+
+        while have:
+            rest = window
+            while rest and (k := bisect_right(have, rest)):  # the longest that still fits
+                n = have[k - 1]
+                use(n, window - rest)
                 rest -= n
-                k = bisect_right(have, rest) - 1 if rest < n else k
-            else:
-                k = min(k, bisect_right(have, rest)) - 1
-        times = min(left[n] // c for n, c in used.items())
-        out.append((tuple(combo), times))
-        for n, c in used.items():
-            left[n] -= times * c
-            if not left[n]:
-                del have[bisect_right(have, n) - 1]
-    return out
+            if have and rest >= grain:  # what is left is longer: the longest gives a part
+                use(have[-1], window - rest, rest // grain * grain)
+            self.base += 1
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, window: int = WINDOW) -> DataFrame:
@@ -219,14 +300,15 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     ``tokenizer`` is the path of a tokenizers file, the same on every executor, whose tokens do not
     span ASCII white space.  Sequences are numbered from 0 and filled from offset 0 without gaps.
 
-    A null or empty text is the single id ``end_id``.  Null ids are kept as null.  Repeated rows are
+    A null or empty text is the single id ``end_id``.  Long texts fill whole windows first, and what remains of a text may be
+    cut again.  Null ids are kept as null.  Repeated rows are
     packed each on their own.  Other columns are ignored.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch.prepare(spark)
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     # Written first: dealing by ranges reads its input twice, and tokenising is the costly part.
-    pieces = scratch.materialize(rows.mapInArrow(_cutter(tokenizer, end_id, window), "id long, start long, length long, crc long, total long"), "cut")
+    pieces = scratch.materialize(rows.mapInArrow(_cutter(tokenizer, end_id, window), "id long, start long, length long, crc long, total long, marks binary"), "cut")
     # Ranges of (length, id, start) put equal lengths side by side, split over tasks where they are many.
     placed = pieces.repartitionByRange("length", "id", "start").sortWithinPartitions("length", "id", "start")
     numbered = scratch.materialize(placed.withColumn("place", F.monotonically_increasing_id()), "pieces")
@@ -240,29 +322,56 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         before[r.part, r.length] = histogram.get(r.length, 0) - r.first
         histogram[r.length] = histogram.get(r.length, 0) + r.n
     whole = histogram.pop(window, 0)
-    base = whole
-    slots: dict[int, list[tuple[int, int, int]]] = {window: [(0, 0, 0)]}  # length: first rank, sequence of that rank, offset
+    combos, left = plan(histogram, window)
+    slots = Slots(whole)
+    slots.rows[window] = [(0, whole, 0, window, 0, 0)]
     taken: dict[int, int] = {}
-    for combo, times in plan(histogram, window):
+    for combo, times in combos:
         offset = 0
         for n in combo:
-            slots.setdefault(n, []).append((taken.get(n, 0), base, offset))
-            taken[n] = taken.get(n, 0) + times
+            first = taken.get(n, 0)
+            slots.rows.setdefault(n, []).append((first, first + times, 0, n, slots.base, offset))
+            taken[n] = first + times
             offset += n
-        base += times
-    tables = {n: tuple(np.array(c, dtype=np.int64) for c in zip(*s)) for n, s in slots.items()}
-
-    @F.pandas_udf("sequence_id long, offset long")
-    def place(parts: pd.Series, lengths: pd.Series, places: pd.Series) -> pd.DataFrame:
-        out = np.empty((len(lengths), 2), dtype=np.int64)
-        pairs = pd.DataFrame({"p": parts, "n": lengths, "at": places})
-        for (p, n), rows_ in pairs.groupby(["p", "n"], sort=False).indices.items():
-            rank = pairs["at"].to_numpy()[rows_] + before[p, n]
-            first, sequence, offset = tables[n]
-            k = np.searchsorted(first, rank, side="right") - 1
-            out[rows_, 0], out[rows_, 1] = sequence[k] + rank - first[k], offset[k]
-        return pd.DataFrame(out, columns=["sequence_id", "offset"])
-
-    return numbered.select("*", place(part, F.col("length"), F.col("place")).alias("at")).select(
-        F.col("id").alias("doc_id"), "start", "length", F.col("crc").alias("ids_crc32"), F.col("total").alias("doc_tokens"), "at.sequence_id", "at.offset"
-    )
+        slots.base += times
+    for n in left:
+        slots.add(n, 0, taken.get(n, 0), histogram[n])
+    slots.fill(window)
+    # By length and place of the cut: ranks in order.
+    tables: dict[int, list[np.ndarray]] = {}
+    for n, rows_ in slots.rows.items():
+        by_start: dict[int, list] = {}
+        for row in sorted(rows_):
+            by_start.setdefault(row[2], []).append(row)
+        tables[n] = [np.array(r, dtype=np.int64).T for _, r in sorted(by_start.items())]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            id_, start, length, crc, total, kept, at = batch.columns
+            n, places, crcs = length.to_numpy(), at.to_numpy(), crc.to_numpy()
+            found = []
+            for p, m in {(int(p), int(m)) for p, m in zip(places >> 33, n)}:
+                own = np.flatnonzero((n == m) & (places >> 33 == p))
+                rank = places[own] + before[p, m]
+                for first, end, low, high, sequence, offset in tables[m]:
+                    k = np.maximum(np.searchsorted(first, rank, side="right") - 1, 0)
+                    there = (first[k] <= rank) & (rank < end[k])
+                    k, rows_ = k[there], own[there]
+                    found.append(np.stack([rows_, low[k], high[k], sequence[k] + rank[there] - first[k], offset[k]]))
+            rows_, low, high, sequence, offset = np.concatenate(found, axis=1)
+            sums = crcs[rows_]
+            for j in np.flatnonzero((low > 0) | (high < n[rows_])).tolist():
+                known = np.frombuffer(kept[int(rows_[j])].as_py(), dtype="<u4")
+                a, b = int(low[j]), int(high[j])
+                sums[j] = crc_between(int(known[a // GRAIN]), int(crcs[rows_[j]]) if b == n[rows_[j]] else int(known[b // GRAIN]), b - a)
+            pick = pa.array(rows_)
+            yield pa.RecordBatch.from_arrays(
+                [id_.take(pick), pa.array(start.to_numpy()[rows_] + low), pa.array(high - low), pa.array(sums), total.take(pick), pa.array(sequence), pa.array(offset)],
+                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+            )
+
+    return numbered.select("id", "start", "length", "crc", "total", "marks", "place").mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -114,6 +114,7 @@ def test_packing_stage_packs_every_id(spark):
     for i, t, *_ in _docs():
         ids = np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
         expected[i, 0, len(ids), zlib.crc32(ids.tobytes()), len(ids)] += 1
+    # Nothing has to be cut here: all fits into one sequence, or the texts are short.
     assert collections.Counter(r[:5] for r in got) == expected
 
 

@@ -126,47 +126,104 @@ def test_word_encoder_equals_the_library():
     assert mine.encode(None) == b""
 
 
-def test_packing_covers_every_id_once(spark):
-    rows = documents()
-    got = collect(packing.pack(frame(spark, rows), WORD, window=512))
-    other = _reference(WORD)
-    pieces = collections.Counter()
-    for i, t, *_ in rows:
-        ids = np.array(other.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
-        for a in range(0, len(ids), 512):
-            part = ids[a : a + 512]
-            pieces[i, a, len(part), zlib.crc32(part.tobytes()), len(ids)] += 1
-    assert collections.Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got) == pieces
-    sequences = collections.defaultdict(list)
+def _check_packed(got, documents, window):
+    """Every id lies in one piece, sequences are gapless, checksums are right; returns the share of padding."""
+    by_doc, sequences = collections.defaultdict(list), collections.defaultdict(list)
     for r in got:
+        by_doc[r["doc_id"], r["doc_tokens"]].append((r["start"], r["length"], r["ids_crc32"]))
         sequences[r["sequence_id"]].append((r["offset"], r["length"]))
     assert sorted(sequences) == list(range(len(sequences)))
     for parts in sequences.values():
         at = 0
         for offset, length in sorted(parts):
-            assert offset == at
+            assert offset == at and length > 0
             at += length
-        assert at <= 512
+        assert at <= window
+    assert sum(n for parts in by_doc.values() for _, n, _ in parts) == sum(len(ids) for _, ids in documents)
+    expected = collections.defaultdict(list)
+    for i, ids in documents:
+        expected[i, len(ids)].append(ids)
+    assert by_doc.keys() == expected.keys()
+    for key, copies in expected.items():
+        starts = collections.Counter(x for x, _, _ in by_doc[key])
+        assert starts[0] == len(copies)
+        for start, n, crc in by_doc[key]:
+            assert crc in {zlib.crc32(ids[start : start + n].tobytes()) for ids in copies}
+        if len(copies) == 1:
+            at = 0
+            for start, n, _ in sorted(by_doc[key]):
+                assert start == at
+                at += n
+    return 1 - sum(len(ids) for _, ids in documents) / (window * len(sequences)) if sequences else 0.0
+
+
+@pytest.mark.parametrize("window", [512, 4096, 64])
+def test_packing_covers_every_id_once(spark, window):
+    rows = documents()
+    other = _reference(WORD)
+    ids = [(i, np.array(other.encode(t or "", add_special_tokens=False).ids + [2], "<u4")) for i, t, *_ in rows]
+    got = collect(packing.pack(frame(spark, rows), WORD, window=window))
+    assert _check_packed(got, ids, window) < (0.04 if window == 512 else 0.3)
     assert collect(packing.pack(frame(spark, []), WORD)) == []
 
 
-def test_plan_uses_each_piece_once_and_fills_windows():
-    rng = random.Random(1)
-    histogram = collections.Counter(min(4095, int(rng.lognormvariate(6, 1)) + 1) for _ in range(30_000))
-    plan = packing.plan(dict(histogram))
-    used = collections.Counter()
-    for combo, times in plan:
-        assert times > 0 and sum(combo) <= 4096
+def test_remainders_are_cut_to_fill_windows(spark):
+    rng = random.Random(9)
+    rows = [(k, " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.randint(270, 400))), "en", "a") for k in range(120)]
+    other = _reference(WORD)
+    ids = [(i, np.array(other.encode(t, add_special_tokens=False).ids + [2], "<u4")) for i, t, *_ in rows]
+    got = collect(packing.pack(frame(spark, rows), WORD, window=512))
+    assert len(got) > len(rows) and _check_packed(got, ids, 512) < 0.04
+
+
+def _planned(histogram, window=4096):
+    """Windows of a plan, after a check that each rank's parts make up its piece and each window is gapless."""
+    combos, left = packing.plan(dict(histogram), window)
+    slots, taken, rows = packing.Slots(0), collections.Counter(), []
+    for combo, times in combos:
+        offset = 0
         for n in combo:
-            used[n] += times
-    assert used == histogram
-    windows = sum(times for _, times in plan)
-    assert 1 - sum(n * c for n, c in histogram.items()) / (4096 * windows) < 0.002
-    assert packing.plan({}) == [] and packing.plan({4095: 2}) == [((4095,), 2)]
+            rows += [(n, taken[n] + t, 0, n, slots.base + t, offset) for t in range(times)]
+            taken[n] += times
+            offset += n
+        slots.base += times
+    for n in left:
+        slots.add(n, 0, taken[n], histogram[n])
+    slots.fill(window)
+    for n, own in slots.rows.items():
+        rows += [(n, first + t, low, high, sequence + t, offset) for first, end, low, high, sequence, offset in own for t in range(end - first)]
+    pieces, windows = collections.defaultdict(list), collections.defaultdict(list)
+    for n, rank, low, high, sequence, offset in rows:
+        pieces[n, rank].append((low, high))
+        windows[sequence].append((offset, offset + high - low))
+    assert collections.Counter(n for n, _ in pieces) == collections.Counter(histogram) and set(windows) == set(range(slots.base))
+    for (n, rank), parts in pieces.items():
+        assert [x for p in sorted(parts) for x in p] == [0, *[x for p in sorted(parts)[:-1] for x in (p[1], p[1])], n] and rank < histogram[n]
+        assert all(a % packing.GRAIN == 0 for a, _ in parts)
+    for parts in windows.values():
+        at = 0
+        for a, b in sorted(parts):
+            assert a == at < b <= window
+            at = b
+    return slots.base
+
+
+@pytest.mark.parametrize("lengths", [
+    lambda r: min(4095, int(r.lognormvariate(6, 1)) + 1), lambda r: r.randint(2050, 3000), lambda r: r.randint(800, 830), lambda r: 2500, lambda r: r.choice([3, 4095, 2049]), lambda r: r.randint(4000, 4095),
+])
+def test_plan_uses_each_piece_once_and_fills_windows(lengths):
+    rng = random.Random(1)
+    histogram = collections.Counter(lengths(rng) for _ in range(20_000))
+    total = sum(n * c for n, c in histogram.items())
+    assert 1 - total / (4096 * _planned(histogram)) < 0.01
+
+
+def test_small_plans():
+    assert _planned({}) == 0 and _planned({4095: 2}) == 2 and _planned({2500: 1}) == 1 and _planned({2500: 2}) == 2 and _planned({10: 5, 4090: 1}) == 2
 
 
 def test_nonnegative_least_squares():
-    x = packing.nonnegative_least_squares([np.array([0, 1]), np.array([1]), np.array([0, 0])], np.array([10.0, 4.0]), 2000)
+    x = packing.nonnegative_least_squares([np.array([0, 1]), np.array([1]), np.array([0, 0])], np.array([10.0, 4.0]), 2000, 1e-6)
     a = np.array([[1, 0, 2], [1, 1, 0]])
     assert (x >= 0).all() and np.allclose(a @ x, [10, 4], atol=0.05)
 
