@@ -138,7 +138,8 @@ class Model:
                 yield pd.DataFrame({"sums": [total.tolist()]})
 
         parts = rows.select(x, y).mapInPandas(run, "sums array<double>").rdd.map(lambda r: np.array(r.sums))
-        total = parts.treeReduce(np.add) if not rows.isEmpty() else None
+        add = lambda a, b: b if a is None else a if b is None else a + b
+        total = parts.treeAggregate(None, add, add)
         if total is None:
             return 0.0, 0.0
         loss, right, n = total[:3]

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators.ordered import running, shuffle_key, uniform
+from corpusloom.operators.ordered import ranges_of, running, shuffle_key, uniform
 
 
 def cleaned(docs: DataFrame, text_col: str = "text", most: int = T.TEXT_CHARS[1]) -> DataFrame:
@@ -95,7 +95,7 @@ def mix(docs: DataFrame, weights: dict[str, float], source_col: str = "source",
     known = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
     weighted = docs.withColumn("weight", F.element_at(known, F.col(source_col))).where("weight > 0").withColumn("key", shuffle_key(seed, id_col))
     # A source may hold any share of the rows: its ranks come from ranges of the shuffled order.
-    slots = 64
+    slots = ranges_of(docs)
     # Whole numbers, so that their sums do not depend on the order of adding.
     gap = F.floor(-F.log1p(-uniform(seed + 1, id_col)) * float(1 << 20)) + 1 if random else F.lit(1)
     dealt = weighted.withColumn("slot", F.floor(F.col("key") / float(1 << 52) * slots).cast("int")).withColumn("gap", gap.cast("long"))
@@ -137,7 +137,7 @@ def stratified(rows: DataFrame, label: str, per_class: int, id_col: str, seed: i
     The smallest random keys are found slot by slot before the class is ranked as a whole, so
     that no task sorts more than one slot of a class.
     """
-    keyed = rows.withColumn("_key", shuffle_key(seed, id_col)).withColumn("_slot", F.col("_key") % 16)
+    keyed = rows.withColumn("_key", shuffle_key(seed, id_col)).withColumn("_slot", F.col("_key") % ranges_of(rows))
     few = keyed.withColumn("_rank", F.row_number().over(W.partitionBy(label, "_slot").orderBy("_key", id_col))).where(F.col("_rank") <= per_class)
     return few.withColumn("_rank", F.row_number().over(W.partitionBy(label).orderBy("_key", id_col))).where(F.col("_rank") <= per_class).drop("_rank", "_slot", "_key")
 

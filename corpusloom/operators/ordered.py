@@ -6,6 +6,8 @@ before a range is added from a table with one row per range.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,20 +36,28 @@ def with_ranges(df: DataFrame, key: str, ranges: int, ties: tuple[str, ...] = ()
     """``df`` with ``_range`` and ``_part``, which in this order never fall as ``key`` and then the first of ``ties`` grow.
 
     Null keys come last.  Where one key fills several ranges, its rows are dealt over as many parts by
-    the quantiles of the first tie, if that is a number; without one its rows are of one part.
+    the quantiles of the first tie, if that is a number or text; of text, seven bytes behind what all ties of the
+    key begin with.  Without a tie a key's rows are of one part.
     """
     bounds = df.agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0] or []
     distinct = sorted(set(bounds))
     cuts = F.array(*[F.lit(b) for b in distinct]) if bounds else F.array().cast("array<bigint>")
     dealt = df.withColumn("_range", F.when(F.col(key).isNull(), F.lit(ranges)).otherwise(F.size(F.filter(cuts, lambda b: b < F.col(key)))))
     part = F.lit(0)
-    numeric = {f.name for f in df.schema.fields if f.dataType.typeName() in ("byte", "short", "integer", "long", "float", "double", "date", "timestamp")}
-    if ties and ties[0] in numeric and (hot := [b for b in distinct if bounds.count(b) > 1]):
+    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    text = bool(ties) and kinds[ties[0]] == "string"
+    if ties and (text or kinds[ties[0]] in ("byte", "short", "integer", "long", "float", "double", "date", "timestamp")) and (hot := [b for b in distinct if bounds.count(b) > 1]):
         # Quantiles of the tie within each key that fills ranges: at most as many numbers as ranges.
-        spread = {r[0]: r[1] for r in dealt.where(F.col(key).isin(hot)).groupBy(F.col(key)).agg(F.percentile_approx(ties[0], [k / ranges for k in range(1, ranges)], 20 * ranges)).collect()}
+        own_rows = dealt.where(F.col(key).isin(hot)).groupBy(F.col(key))
+        skipped = F.lit(0)
+        if text:
+            for r in own_rows.agg(F.min(ties[0]), F.max(ties[0])).collect():
+                skipped = F.when(F.col(key) == r[0], F.lit(len(os.path.commonprefix([(x or "").encode() for x in r[1:]])))).otherwise(skipped)
+        tie = F.conv(F.rpad(F.hex(F.substring(F.col(ties[0]).cast("binary"), skipped + 1, F.lit(7))), 14, "0"), 16, 10).cast("long") if text else F.col(ties[0])
+        spread = {r[0]: r[1] for r in own_rows.agg(F.percentile_approx(tie, [k / ranges for k in range(1, ranges)], 20 * ranges)).collect()}
         for b in hot:
             own = sorted(set((spread.get(b) or [])[:: max(1, ranges // bounds.count(b))]))
-            steps = F.size(F.filter(F.array(*[F.lit(x) for x in own]), lambda x: x < F.col(ties[0]))) if own else F.lit(0)
+            steps = F.size(F.filter(F.array(*[F.lit(x) for x in own]), lambda x: x < tie)) if own else F.lit(0)
             # Smaller keys of the same range come before all parts, so these count from 1.
             part = F.when(F.col(key) == b, F.when(F.col(ties[0]).isNull(), 1).otherwise(1 + steps)).otherwise(part)
     return dealt.withColumn("_part", part)

@@ -321,15 +321,13 @@ def _model() -> Model:
     return Model((64,), L.Dense(16, "relu"), L.Dense(10, "linear"), seed=1).compile("sparse_softmax_crossentropy", Optimizer("adam", 0.01))
 
 
-#: Batches of an epoch at most: larger tables have larger batches instead, as each step is a job.
-_EPOCH_STEPS = 64
+#: Rows of a batch; each step is a job.
+_BATCH = 256
 
 
 def train_steps(spark, sf):
     """One whole epoch."""
-    vectors = _vectors(spark, sf)
-    size = max(256, -(-vectors.count() // _EPOCH_STEPS))
-    rows = corpus.epoch(vectors, "vec_id", size, 3).persist()
+    rows = corpus.epoch(_vectors(spark, sf), "vec_id", _BATCH, 3).persist()
     last = rows.agg(F.max("batch")).first()[0]
     metrics = _model().fit((rows.where(F.col("batch") == k) for k in range(0 if last is None else last + 1)), "v", "label")
     rows.unpersist()

@@ -7,10 +7,10 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import corpus_queries, group_queries, numeric_queries, source_queries, time_queries
+from corpusloom.plans import corpus_queries, group_queries, layer_queries, numeric_queries, source_queries, time_queries
 from corpusloom.session import ship
 
-_ALL = corpus_queries.QUERIES | group_queries.QUERIES | numeric_queries.QUERIES | source_queries.QUERIES | time_queries.QUERIES
+_ALL = corpus_queries.QUERIES | group_queries.QUERIES | numeric_queries.QUERIES | layer_queries.QUERIES | source_queries.QUERIES | time_queries.QUERIES
 
 
 def _ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

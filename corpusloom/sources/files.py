@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -60,6 +60,17 @@ def read_source(spark: SparkSession, source: Source) -> DataFrame:
     return spark.read.parquet(source.path).withColumn("source", F.lit(source.name))
 
 
+def switched(first: Source, other: Source, direct: bool) -> Source:
+    """Which of two inputs of the same form is read."""
+    return other if direct else first
+
+
+def arguments_json(**arguments: Column) -> Column:
+    """Named arguments as one line of JSON, in their order: all values as text, as on a command line, missing ones as null."""
+    texts = [value.cast("string").alias(name) for name, value in arguments.items()]
+    return F.to_json(F.struct(*texts), {"ignoreNullFields": "false"})
+
+
 def existing(spark: SparkSession, paths: Iterable[str]) -> tuple[list[str], list[str]]:
     """The paths that hold data, and the others; any file system that Spark reads."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -118,6 +118,20 @@ def test_running_totals_with_one_hot_key(spark):
     assert sizes[-1] <= 3 * sizes[len(sizes) // 2]
 
 
+def test_running_totals_with_a_hot_key_and_ties_of_text(spark):
+    from corpusloom.operators import ordered
+
+    rows = [(0 if k % 5 else 1 + k, f"document-{k * 7919 % 20_000:09d}", k % 7) for k in range(20_000)]
+    df = spark.createDataFrame(rows, "key long, tie string, n long").repartition(4)
+    got = {r.tie: (r.pos, r.before) for r in ordered.running(df, "key", F.col("n"), ties=("tie",)).collect()}
+    before = 0
+    for pos, (_, tie, n) in enumerate(sorted(rows)):
+        assert got[tie] == (pos, before)
+        before += n
+    sizes = sorted(r["count"] for r in ordered.with_ranges(df, "key", 64, ("tie",)).groupBy("_range", "_part").count().collect())
+    assert sizes[-1] <= 3 * sizes[len(sizes) // 2]
+
+
 def test_reply_pairs(spark):
     schema = "pos long, message_id string, parent_id string, role string, text string, lang string, deleted boolean, review_result boolean, rank string"
     rows = [
