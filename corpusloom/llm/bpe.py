@@ -5,8 +5,12 @@ before a boundary that no later character can move is stable and its tokens are
 after is held.  A word may be as long as the text, so within a word merging works on a window: from
 the merge list follows how far to the right a token can depend on what comes next
 (:meth:`Merges.lookahead`), and tokens that end that far before the end of the window are final and
-are emitted too.  So the transducer holds a bounded number of bytes, whatever the text.  What it has
-emitted for a word before is remembered, which changes how fast it is but not what it emits.
+are emitted too.  So the transducer holds a bounded number of bytes, whatever the text.
+
+No token spans a word boundary, so at a boundary the sufficient lookahead is zero: all tokens of a finished word are stable, and
+finishing a word is what emits nearly all tokens of ordinary text.  The window's lookahead decides in words longer than
+:data:`HELD`.  What was emitted for a word before is remembered; :meth:`Encoder.learn` makes the transitions of many new
+words at once, with the same merges, before their texts stream through.  Both change speed only.
 """
 
 from __future__ import annotations

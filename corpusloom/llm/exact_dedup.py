@@ -167,6 +167,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null text counts as empty; empty texts form one group.  A null id ranks after all others and is
     returned as null.  Rows that repeat an id and a text are separate rows of which one is kept.
+    Texts of any length are compared whole; a task holds one batch of them and the open chain.
     Other columns are ignored, whatever their names.  An empty table gives an empty result.
     ``key_bits`` below 64 weakens the key, which tests use to force chains.
     """

@@ -233,7 +233,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Null and word-less texts have fingerprint zero and are linked like any other.  A null id never
     becomes a component id unless no row of the component has one.  Repeated rows are in one
-    component.  Other columns are ignored.  An empty table gives an empty result.
+    component.  Texts of any length are read whole.  Other columns are ignored.  An empty table gives an empty result.
     """
     if not 0 <= radius <= RADIUS:
         raise ValueError(f"radius must lie between 0 and {RADIUS}")

@@ -117,7 +117,9 @@ def parse_record(data: bytes) -> dict:
     if not status.startswith("HTTP/"):
         raise WarcError("block is no HTTP response")
     payload = block[body:]
-    kind, declared = head["warc-type"], int(http.get("content-length", -1))
+    if not http.get("content-length", "").isdigit():
+        raise WarcError("block says no Content-Length")
+    kind, declared = head["warc-type"], int(http["content-length"])
     algorithm, _, digest = head.get("warc-payload-digest", "").partition(":")
     if algorithm != "sha1":
         raise WarcError("no SHA-1 payload digest")
@@ -205,7 +207,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     Of rows with equal payloads of at least ``least_revisit`` bytes that with the largest id is a
     response and the others revisit it.  Null html is an empty payload; rows with a null id revisit
     the largest id there is, and are responses if there is none.  Rows that repeat the largest id
-    and the payload are responses too.  Other columns are ignored.
+    and the payload are responses too.  Pages of any length are one frame each.  An empty table writes no
+    record.  Other columns are ignored.
     """
     spark = pages.sparkSession
     scratch.prepare(spark)
@@ -219,7 +222,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     dictionary = train_dictionary([r.html.encode("utf-8") for r in sample])
     large = F.octet_length("html") >= least_revisit
     repeated = keyed.where(large).groupBy("digest").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
-    joined = keyed.join(repeated, "digest", "left")
+    # Few repeated payloads go to every task, and no html is dealt out.
+    joined = keyed.join(scratch.few_or_merged(scratch.materialize(repeated, "repeated-payloads")), "digest", "left")
     refers_to = F.when(F.col("id").eqNullSafe(F.col("first")), F.lit(None)).otherwise(F.col("first"))
     frames = joined.select("id", "url", "html", refers_to.cast("long").alias("refers_to")).mapInArrow(_framer(dictionary), "frame binary")
     frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", EMPTY_FRAME).option("maxRecordsPerFile", FILE_ROWS).text(path)
@@ -228,7 +232,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Records of all archives below ``path``: ``page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to``.
 
-    Fails on the first record whose headers, lengths or digest are wrong.
+    Fails on the first record whose headers, lengths or digest are wrong.  Archives without a record give no rows.  A task reads one archive at a
+    time, of about 16 MB or one longer record, and decodes one record at a time.  Records that repeat are rows each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +259,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive_pages(pages: DataFrame, **columns: str) -> DataFrame:
-    """Write ``pages`` to archives in the shared folder and read them back."""
+    """Write ``pages`` to archives in the shared folder and read them back: one row for each page, repeated ones too.
+
+    Null html is an empty payload of 0 bytes; null ids and addresses come back as null; pages of any length come back whole.  An empty table gives
+    an empty result.  ``columns`` name the columns as in :func:`write_archives`.
+    """
     path = scratch.new_path(pages.sparkSession, "warc")
     write_archives(pages, path, **columns)
     return read_archives(pages.sparkSession, path)
