@@ -30,9 +30,9 @@ def token_store_roundtrip(spark, sf):
 def corpus_roundtrip(spark, sf):
     path = _scratch(spark)
     docs = corpus.documents(table(spark, sf, "documents")).withColumn("split", corpus.split_name("doc_id", fraction=0.1))
-    files.write_corpus(docs.select(F.regexp_replace("clean", "\n+", "\n").alias("text"), "split"), path)
-    read = files.read_corpus(spark, path)
-    return read.groupBy("split").agg(F.count("*").alias("samples"), F.sum(F.char_length("text")).alias("chars"))
+    files.write_corpus(docs.select(F.col("clean").alias("text"), "split"), path, escaped=True)
+    read = files.read_corpus(spark, path, escaped=True)
+    return read.groupBy("split").agg(F.count("*").alias("samples"), F.sum(F.char_length("text")).alias("chars"), F.sum(F.size(F.split("text", "\n")).cast("long")).alias("lines"))
 
 
 def manifest_record(spark, sf):
@@ -212,7 +212,7 @@ QUERIES = {
     "token_store_roundtrip": (token_store_roundtrip, f"SELECT doc_id, len(ids) AS n, sha256(array_to_string(ids, ' ')) AS tokens_sha256 FROM (SELECT doc_id, {_IDS} AS ids FROM documents)"),
     "corpus_roundtrip": (
         corpus_roundtrip,
-        corpus_queries._JUDGED + f"SELECT split, count(*) AS samples, CAST(sum(length(t)) AS BIGINT) AS chars FROM (SELECT CASE WHEN {_uniform("'42:' || doc_id")} < 0.1 THEN 'val' ELSE 'train' END AS split, regexp_replace(clean, '\\n+', chr(10), 'g') AS t FROM j WHERE reason = 'keep') GROUP BY split",
+        corpus_queries._JUDGED + f"SELECT split, count(*) AS samples, CAST(sum(length(clean)) AS BIGINT) AS chars, CAST(sum(len(string_split(clean, chr(10)))) AS BIGINT) AS lines FROM (SELECT CASE WHEN {_uniform("'42:' || doc_id")} < 0.1 THEN 'val' ELSE 'train' END AS split, clean FROM j WHERE reason = 'keep') GROUP BY split",
     ),
     "manifest_record": (
         manifest_record,

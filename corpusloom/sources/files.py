@@ -97,15 +97,24 @@ def read_ndjson_or_empty(spark: SparkSession, path: str, schema: str) -> DataFra
     return spark.read.schema(schema).json(path) if existing(spark, [path])[0] else spark.createDataFrame([], schema)
 
 
-def write_corpus(samples: DataFrame, path: str, text_col: str = "text", split_col: str = "split") -> None:
-    """Text files by split, samples stripped and each followed by a blank line."""
-    lines = samples.select(split_col, F.concat(T.strip(F.col(text_col)), F.lit("\n")).alias("value"))
+def write_corpus(samples: DataFrame, path: str, text_col: str = "text", split_col: str = "split", escaped: bool = False) -> None:
+    """Text files by split, samples stripped and each followed by a blank line.
+
+    A blank line within a sample ends it for a reader.  With ``escaped`` it is written as a backslash, and a line of backslashes with one more.
+    """
+    text = T.strip(F.col(text_col))
+    if escaped:
+        text = F.regexp_replace(text, r"(?dm)^(\\*)$", r"$1\\")
+    lines = samples.select(split_col, F.concat(text, F.lit("\n")).alias("value"))
     lines.write.partitionBy(split_col).text(path)
 
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
+def read_corpus(spark: SparkSession, path: str, escaped: bool = False) -> DataFrame:
     """The samples of :func:`write_corpus` with their split."""
-    return spark.read.option("lineSep", "\n\n").text(path).select(T.strip(F.col("value")).alias("text"), "split").where("text <> ''")
+    text = T.strip(F.col("value"))
+    if escaped:
+        text = F.regexp_replace(text, r"(?dm)^(\\*)\\$", "$1")
+    return spark.read.option("lineSep", "\n\n").text(path).where(T.strip(F.col("value")) != "").select(text.alias("text"), "split").where("text <> ''")
 
 
 def write_tokens(ids: DataFrame, path: str, overwrite: bool = False) -> None:

@@ -76,3 +76,9 @@ def test_switch_and_arguments(spark):
     assert files.switched(a, b, False) is a and files.switched(a, b, True) is b
     row = spark.createDataFrame([(1, 'q"\\', None)], "n int, t string, m double").select(files.arguments_json(n=F.col("n"), text=F.col("t"), none=F.col("m")).alias("j")).first()
     assert row.j == '{"n":"1","text":"q\\"\\\\","none":null}'
+
+
+def test_corpus_with_blank_lines_comes_back(spark, tmp_path):
+    texts = ["a\n\nb", "a\n\\\nb\n\n\n\\\\\nc", "plain", "\\", "x\\\n\ny\\", "one\u2028\n\ntwo"]
+    files.write_corpus(spark.createDataFrame([(t, "train") for t in texts], "text string, split string"), f"{tmp_path}/c", escaped=True)
+    assert sorted(r.text for r in files.read_corpus(spark, f"{tmp_path}/c", escaped=True).collect()) == sorted(texts)

@@ -11,6 +11,7 @@ from corpusloom.sources import files
 
 
 def test_line_through_five_points(spark):
+    # The points of the example and its line.
     df = spark.createDataFrame(list(zip([0.011, 0.045, 0.117, 0.161, 0.203], [0.20, 0.40, 1.20, 1.60, 2.00])), "x double, y double")
     for fit in (telemetry.projection_fit(df, "x", "y").first(), telemetry.regression(df, "x", "y").first()):
         assert fit.slope == pytest.approx(9.6571139369) and fit.intercept == pytest.approx(0.0428259632)
