@@ -200,7 +200,11 @@ def text_hashes(spark, sf):
 
 
 def retry_schedule(spark, sf):
-    return spark.range(1, 9).select(F.col("id").alias("attempt"), (F.lit(5.0) * F.least(F.lit(8.0), F.pow(F.lit(2.0), F.col("id") - 1))).alias("wait"))
+    """The waits that the errors of each user would cause, each run of errors (no other event between) starting anew."""
+    by = W.partitionBy("user_id").orderBy("event_id")
+    marked = table(spark, sf, "events").withColumn("run", F.sum((F.col("event_type") != "error").cast("int")).over(by))
+    failures = marked.where("event_type = 'error'").withColumn("attempt", F.row_number().over(W.partitionBy("user_id", "run").orderBy("event_id")))
+    return failures.select("event_id", F.col("attempt").cast("long").alias("attempt"), (F.lit(5.0) * F.least(F.lit(8.0), F.pow(F.lit(2.0), F.col("attempt") - 1))).alias("wait"))
 
 
 def token_counts(spark, sf):
@@ -361,7 +365,7 @@ QUERIES = {
         """WITH r AS (SELECT l_orderkey AS k, l_quantity AS value, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_quantity DESC) AS n FROM lineitem) SELECT k, value FROM r WHERE n = 1""",
     ),
     "text_hashes": (text_hashes, "SELECT doc_id, sha256(text) AS sha256 FROM documents"),
-    "retry_schedule": (retry_schedule, "SELECT range AS attempt, CAST(5 * least(8, pow(2, range - 1)) AS DOUBLE) AS wait FROM range(1, 9)"),
+    "retry_schedule": (retry_schedule, "SELECT event_id, attempt, CAST(5 * least(8, pow(2, attempt - 1)) AS DOUBLE) AS wait FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, run ORDER BY event_id) AS attempt FROM (SELECT event_id, user_id, event_type, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM events) WHERE event_type = 'error')"),
     "token_counts": (token_counts, f"SELECT CAST(sum(len({_WORDS})) AS BIGINT) AS tokens, count(*) AS documents FROM documents"),
     "token_offsets": (token_offsets, f"SELECT doc_id, n, CAST(sum(n) OVER (ORDER BY doc_id) - n AS BIGINT) AS start FROM (SELECT doc_id, len({_WORDS}) AS n FROM documents)"),
     "ids_with_end": (ids_with_end, f"SELECT doc_id, array_to_string(list_append({_IDS}, 1), ' ') AS ids FROM documents"),

@@ -161,12 +161,17 @@ def checkpoint_steps(spark, sf):
     return telemetry.checkpoints(table(spark, sf, "events"), "event_id", 100).select("event_id", "user_id")
 
 
+def _steps(spark, sf):
+    return table(spark, sf, "events").select(F.col("event_id").alias("step"))
+
+
 def lr_schedule_abs(spark, sf):
-    return spark.range(0, 2200, 7).select(F.col("id").alias("step"), F.round(V.rate_absolute(F.col("id"), 2000, 3e-4, 100, 0.05), 10).alias("rate"))
+    """The rate at each event, events being the steps."""
+    return _steps(spark, sf).select("step", F.round(V.rate_absolute(F.col("step"), 2000, 3e-4, 100, 0.05), 10).alias("rate"))
 
 
 def lr_schedule_mult(spark, sf):
-    return spark.range(0, 2200, 7).select(F.col("id").alias("step"), F.round(V.rate_multiplier(F.col("id"), 2000, 20, 0.05), 8).alias("rate"))
+    return _steps(spark, sf).select("step", F.round(V.rate_multiplier(F.col("step"), 2000, 20, 0.05), 8).alias("rate"))
 
 
 def activations(spark, sf):
@@ -246,7 +251,8 @@ def clipped_together(spark, sf):
 
 
 def causal_mask(spark, sf):
-    return spark.range(16).select(F.col("id").alias("row"), F.array_join(V.causal_row(F.col("id"), 16).cast("array<string>"), "").alias("mask"))
+    """What each turn of a conversation may see of sixteen places."""
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(V.causal_row(F.col("turn"), 16).cast("array<string>"), "").alias("mask"))
 
 
 def layer_norms(spark, sf):
@@ -519,9 +525,9 @@ QUERIES = {
     "checkpoint_steps": (checkpoint_steps, "SELECT event_id, user_id FROM events WHERE event_id % 100 = 0 AND event_id > 0"),
     "lr_schedule_abs": (
         lr_schedule_abs,
-        "SELECT range AS step, round(CASE WHEN least(range, 1999) < 100 THEN CAST(3e-4 AS DOUBLE) * (least(range, 1999) + 1) / 100 ELSE CAST(3e-4 AS DOUBLE) * 0.05 + CAST(3e-4 AS DOUBLE) * 0.95 * 0.5 * (1 + cos(pi() * (least(range, 1999) - 100) / 1900)) END, 10) AS rate FROM range(0, 2200, 7)",
+        "SELECT event_id AS step, round(CASE WHEN least(event_id, 1999) < 100 THEN CAST(3e-4 AS DOUBLE) * (least(event_id, 1999) + 1) / 100 ELSE CAST(3e-4 AS DOUBLE) * 0.05 + CAST(3e-4 AS DOUBLE) * 0.95 * 0.5 * (1 + cos(pi() * (least(event_id, 1999) - 100) / 1900)) END, 10) AS rate FROM events",
     ),
-    "lr_schedule_mult": (lr_schedule_mult, "SELECT range AS step, round(CASE WHEN range < 20 THEN CAST(range AS DOUBLE) / 20 ELSE 0.05 + CAST(0.95 AS DOUBLE) * 0.5 * (1 + cos(pi() * (range - 20) / 1980)) END, 8) AS rate FROM range(0, 2200, 7)"),
+    "lr_schedule_mult": (lr_schedule_mult, "SELECT event_id AS step, round(CASE WHEN event_id < 20 THEN CAST(event_id AS DOUBLE) / 20 ELSE 0.05 + CAST(0.95 AS DOUBLE) * 0.5 * (1 + cos(pi() * (event_id - 20) / 1980)) END, 8) AS rate FROM events"),
     "activations": (
         activations,
         f"WITH x AS (SELECT vec_id, CAST(r.range AS INT) AS place, v[r.range + 1] AS x, sqrt(CAST(2 AS DOUBLE) / pi()) AS k FROM {_V}, range(64) r), g AS (SELECT *, tanh(x) AS th, tanh(k * (x + CAST(0.044715 AS DOUBLE) * x * x * x)) AS t, 1 / (1 + exp(-x)) AS s FROM x) SELECT vec_id, place, round(x, 6) AS linear, round(s, 6) AS sigmoid, round(greatest(x, 0), 6) AS relu, round(th, 6) AS tanh, round(0.5 * x * (1 + t), 6) AS gelu, CAST(1 AS DOUBLE) AS linear_slope, round(s * (1 - s), 6) AS sigmoid_slope, CASE WHEN x > 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS relu_slope, round(1 - th * th, 6) AS tanh_slope, round(0.5 * (1 + t) + 0.5 * x * (1 - t * t) * k * (1 + 3 * CAST(0.044715 AS DOUBLE) * x * x), 6) AS gelu_slope FROM g",
@@ -549,7 +555,7 @@ QUERIES = {
     "adamw_step": (adamw_step, f"SELECT vec_id, {_fmt('list_transform(range(1, 65), lambda i: p[i] * CAST(0.999 AS DOUBLE) - CAST(0.01 AS DOUBLE) * ' + _ADAM.format('g[i]') + ')')} AS p FROM {_STEP}"),
     "clipped_gradients": (clipped_gradients, f"SELECT vec_id, {_fmt('list_transform(g, lambda x: x * least(CAST(1 AS DOUBLE), 1 / (n + 1e-6)))')} AS g FROM (SELECT vec_id, g, sqrt(list_sum(list_transform(g, lambda x: x * x))) AS n FROM {_STEP})"),
     "clipped_together": (clipped_together, f"SELECT vec_id, {_fmt('list_transform(g, lambda x: x * least(CAST(1 AS DOUBLE), 5 / (n + 1e-6)))', 9)} AS g FROM {_STEP}, (SELECT sqrt(sum(list_sum(list_transform(v, lambda x: x * x)))) AS n FROM {_V})"),
-    "causal_mask": (causal_mask, "SELECT range AS row, repeat('1', CAST(range + 1 AS INT)) || repeat('0', CAST(15 - range AS INT)) AS mask FROM range(16)"),
+    "causal_mask": (causal_mask, "SELECT conv_id, turn, repeat('1', CAST(least(turn + 1, 16) AS INT)) || repeat('0', CAST(greatest(15 - turn, 0) AS INT)) AS mask FROM conversations"),
     "layer_norms": (layer_norms, f"SELECT vec_id, {_fmt('list_transform(w, lambda x: (x - m) / sqrt(s + 1e-5))', 5)} AS normed FROM (SELECT *, list_sum(list_transform(w, lambda x: (x - m) * (x - m))) / 64 AS s FROM {_X8})"),
     "rms_norms": (rms_norms, f"SELECT vec_id, {_fmt('list_transform(w, lambda x: x / sqrt(q + 1e-5))', 5)} AS normed FROM {_X8}"),
     "rotary": (

@@ -60,13 +60,12 @@ def reopened_rows(spark, sf):
 
 
 def hashed_files(spark, sf):
-    """Two written files and whether the hash of each whole file is that of its text."""
+    """Names of customers, a file for each segment in the order of their keys, and the hash of each whole file."""
     path = _scratch(spark)
-    rows = spark.createDataFrame([("a", "first\n\nsecond"), ("b", "third")], "split string, value string")
-    rows.coalesce(1).write.partitionBy("split").text(path)
-    found = files.file_hashes(spark, path).withColumn("split", F.regexp_extract("path", "split=([a-z])", 1))
-    joined = found.join(rows, "split").select("split", (F.col("sha256") == F.sha2(F.concat("value", F.lit("\n")), 256)).alias("same"))
-    return joined.groupBy("split").agg(F.count("*").alias("files"), F.min("same").alias("same"))
+    rows = table(spark, sf, "customer").select("c_mktsegment", "c_custkey", F.col("c_name").alias("value"))
+    rows.repartition("c_mktsegment").sortWithinPartitions("c_mktsegment", "c_custkey").select("c_mktsegment", "value").write.partitionBy("c_mktsegment").text(path)
+    found = files.file_hashes(spark, path)
+    return found.select(F.regexp_extract("path", "c_mktsegment=([^/]*)", 1).alias("segment"), F.col("length").cast("long").alias("bytes"), "sha256")
 
 
 def existing_inputs(spark, sf):
@@ -225,5 +224,5 @@ QUERIES = {
         "SELECT user_id, n, round(sum(value * pow(CAST(0.99 AS DOUBLE), n - i) * CASE WHEN i = 1 THEN CAST(1 AS DOUBLE) ELSE CAST(1 AS DOUBLE) - CAST(0.99 AS DOUBLE) END), 5) AS ema FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) GROUP BY user_id, n",
     ),
     "reopened_rows": (reopened_rows, "SELECT 25 AS items, 7 AS openings, CAST('5.0 10.0 5.0 10.0 5.0 10.0' AS VARCHAR) AS waits"),
-    "hashed_files": (hashed_files, "SELECT split, count(*) AS files, true AS same FROM (VALUES ('a'), ('b')) t(split) GROUP BY split"),
+    "hashed_files": (hashed_files, "SELECT c_mktsegment AS segment, octet_length(encode(t)) AS bytes, sha256(t) AS sha256 FROM (SELECT c_mktsegment, string_agg(c_name, chr(10) ORDER BY c_custkey) || chr(10) AS t FROM customer GROUP BY c_mktsegment)"),
 }
