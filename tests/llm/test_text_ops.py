@@ -640,6 +640,18 @@ def test_broken_records_are_refused(swap):
         warc.parse_record(_record(swap=[swap]))
 
 
+def test_revisits_say_how_long_their_payload_was():
+    data = warc.make_record(3, "http://a/", b"payload", 5)
+    assert warc.parse_record(data)["payload_bytes"] == 7
+    head, _, block = data.partition(b"\r\n\r\n")
+    line = b"Content-Length: 7\r\n"
+    assert line in block
+    size = len(block) - 4  # what follows a record
+    short = head.replace(b"Content-Length: %d" % size, b"Content-Length: %d" % (size - len(line))) + b"\r\n\r\n" + block.replace(line, b"")
+    with pytest.raises(warc.WarcError, match="no Content-Length"):
+        warc.parse_record(short)
+
+
 def test_broken_archives_are_refused():
     import zstandard
 
