@@ -220,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Which rows are taken is a matter of a hash of the id.  Labels other than 0 and 1 and null ids are left out, and of several labels of
     a document the largest holds.  The ids taken go to every task, and the indicators of their texts to the driver: both are bounded by
-    ``most``.  A document that repeats its id is taken each time, up to one row for each distinct text.
+    ``most``.  Of an id with several texts one is taken, by a hash, so that a frequent id adds no more than another.
     """
     spark = docs.sparkSession
     scratch.prepare(spark)
@@ -236,12 +236,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return pd.Series([indicators(t) for t in texts])
 
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).join(F.broadcast(taken), "id")  # about ``most`` short rows
-    once = rows.groupBy("id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.first("y").alias("y"))
-    table = once.select("id", "h", "y", buckets("text").alias("ids")).toArrow()
+    once = rows.groupBy("id").agg(F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text"), F.first("y").alias("y"))
+    table = once.select("id", "y", buckets("text").alias("ids")).toArrow()
     ids = table.column("ids").combine_chunks()
     offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
     # An order that does not depend on how rows arrived, nor on the ids' meaning.
-    order = np.lexsort((table.column("h").to_numpy(), table.column("id").to_numpy() * int(_MIX >> np.uint64(1)) % (1 << 61))) if len(table) else np.empty(0, np.int64)
+    order = np.argsort(table.column("id").to_numpy() * int(_MIX >> np.uint64(1)) % (1 << 61), kind="stable")
     return train([flat[offsets[k] : offsets[k + 1]] for k in order], table.column("y").to_numpy()[order])
 
 
