@@ -34,6 +34,18 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return ranked.select(F.col("pos").cast("int").alias("id"), "piece", "n")
 
 
+#: Words, the most frequent, that are sent to every task: some 100 bytes each.
+FREQUENT = 1 << 16
+
+
+def _named(rows: DataFrame, vocab: DataFrame, known: str, sought: str) -> DataFrame:
+    """``rows`` with ``sought`` for ``known`` (piece or id): frequent words where the rows are, so that only the others are dealt out."""
+    head = F.broadcast(vocab.where(F.col("id") < FREQUENT).select(known, sought))
+    first = rows.join(head, known, "left")
+    rest = first.where(F.col(sought).isNull()).drop(sought).join(vocab.where(F.col("id") >= FREQUENT).select(known, sought), known, "left")
+    return first.where(F.col(sought).isNotNull()).unionByName(rest)
+
+
 def encode(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, id, places``: each distinct word of a document with all its places; unknown words have no id.
 
@@ -43,12 +55,12 @@ def encode(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_col:
     split = T.words(F.coalesce(F.col(text_col), F.lit("")))
     placed = docs.select(F.col(id_col).alias("doc_id"), F.explode_outer(F.transform(split, lambda w, i: F.struct(w.alias("piece"), i.alias("place")))).alias("w"))
     held = placed.groupBy("doc_id", F.col("w.piece").alias("piece")).agg(F.array_sort(F.collect_list("w.place")).alias("places"))
-    return held.join(vocab.select("piece", "id"), "piece", "left").select("doc_id", "id", "places")
+    return _named(held, vocab, "piece", "id").select("doc_id", "id", "places")
 
 
 def decode(ids: DataFrame, vocab: DataFrame) -> DataFrame:
     """``doc_id, decoded``: the words of each document's ids in their places, joined by spaces; one document fits a row."""
-    named = ids.join(vocab.select("id", "piece"), "id", "left").select("doc_id", F.explode_outer("places").alias("place"), "piece")
+    named = _named(ids, vocab, "id", "piece").select("doc_id", F.explode_outer("places").alias("place"), "piece")
     gathered = named.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("place", "piece")))).alias("pieces"))
     return gathered.select("doc_id", F.array_join(F.col("pieces.piece"), " ").alias("decoded"))
 

@@ -153,6 +153,18 @@ def streamed_windows(spark, sf):
     return out.select("event_type", F.unix_micros("start").alias("start_us"), "n", F.col("total").alias("cents"))
 
 
+def streamed_replies(spark, sf):
+    """Answers joined to the turn before them as both arrive, a conversation an hour; every seventh answer comes an hour too late."""
+    turns = table(spark, sf, "conversations")
+    name = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
+    late = (F.lower("role") == "assistant") & (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(7)) == 3)
+    seconds = 86_400 + F.col("conv_id") * 3600 + F.col("turn") * 60 + F.when(late, 3660).otherwise(0)
+    high = turns.agg(F.max("conv_id")).first()[0] or 0
+    messages = turns.select(F.timestamp_seconds(seconds).alias("ts"), name(F.col("turn")).alias("message_id"), name(F.col("turn") - 1).alias("parent_id"), "role", "text", F.expr(f"cast(conv_id * 6 div {high + 1} as int)").alias("batch"))
+    out = streams.to_table(streams.replies(streams.replayed(spark, messages, "batch")), "append")
+    return out.select("message_id", "rendered")
+
+
 def recovered_stream(spark, sf):
     """A stream over all documents that breaks off before, within and after the writing of a batch, and goes on from its checkpoint."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -206,6 +218,13 @@ QUERIES = {
         f"""{_ARRIVED} SELECT event_type, us // {_WIDTH_US} * {_WIDTH_US} AS start_us, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM a
         WHERE us // {_WIDTH_US} * {_WIDTH_US} + {_WIDTH_US} > mark AND us // {_WIDTH_US} * {_WIDTH_US} + {_WIDTH_US} <= last_mark GROUP BY event_type, us // {_WIDTH_US}""",
     ),
+    "streamed_replies": (
+        streamed_replies,
+        f"""WITH m AS (SELECT conv_id, turn, lower(role) AS role, {corpus_queries._clean('text', 12000)} AS text FROM conversations),
+        r AS (SELECT a.conv_id || ':' || a.turn AS message_id, '[INST] ' || u.text || ' [/INST] ' || a.text || chr(10) || '<|endoftext|>' || chr(10) AS rendered FROM m a JOIN m u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1
+        WHERE u.role = 'user' AND a.role = 'assistant' AND (a.conv_id + a.turn) % 7 <> 3 AND u.text <> '' AND a.text <> '')
+        SELECT message_id, rendered FROM r WHERE length(rendered) BETWEEN 40 AND 12000""",
+    ),
     "recovered_stream": (recovered_stream, "SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, 5 AS starts, '5 10 5 5' AS waits FROM documents"),
     "csv_roundtrip": (csv_roundtrip, "SELECT event_id, user_id, event_type, value FROM events"),
     "token_store_roundtrip": (token_store_roundtrip, f"SELECT doc_id, len(ids) AS n, sha256(array_to_string(ids, ' ')) AS tokens_sha256 FROM (SELECT doc_id, {_IDS} AS ids FROM documents)"),
