@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from corpusloom.llm import exact_dedup
@@ -95,6 +96,16 @@ def test_near_stage_keeps_one_of_each_group(spark):
     assert sorted(r[0] for r in got) == sorted(set(sets) - gone)
 
 
+def test_stages_agree_where_keys_are_too_many_to_send(spark, monkeypatch):
+    few = [sorted(_run(spark, stage, _docs())[1], key=repr) for stage in (P.drop_exact_copies, P.drop_near_copies)]
+    monkeypatch.setattr(P.scratch, "few_or_merged", lambda keys: keys.hint("merge"))
+    assert [sorted(_run(spark, stage, _docs())[1], key=repr) for stage in (P.drop_exact_copies, P.drop_near_copies)] == few
+    monkeypatch.undo()
+    keys = P.scratch.materialize(spark.range(5).toDF("k"), "keys")
+    for most in (4, 5):
+        assert spark.range(9).join(P.scratch.few_or_merged(keys, most), F.col("id") == F.col("k"), "left_anti").count() == 4
+
+
 def test_secret_stage_masks_live_values_only(spark):
     rows = [r for r in _docs() if r[0] not in (6,)][:-1] + [(70 + k, f"password = {word}", "en", "s1", 20) for k, word in enumerate(("changeme", "undefined", "yourpassword"))]
     _, got = _run(spark, P.mask_secrets, rows)
