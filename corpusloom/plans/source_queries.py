@@ -160,7 +160,7 @@ def streamed_replies(spark, sf):
     late = (F.lower("role") == "assistant") & (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(7)) == 3)
     seconds = 86_400 + F.col("conv_id") * 3600 + F.col("turn") * 60 + F.when(late, 3660).otherwise(0)
     high = turns.agg(F.max("conv_id")).first()[0] or 0
-    messages = turns.select(F.timestamp_seconds(seconds).alias("ts"), name(F.col("turn")).alias("message_id"), name(F.col("turn") - 1).alias("parent_id"), "role", "text", F.expr(f"cast(conv_id * 6 div {high + 1} as int)").alias("batch"))
+    messages = turns.select(F.timestamp_seconds(seconds).alias("ts"), name(F.col("turn")).alias("message_id"), name(F.col("turn") - 1).alias("parent_id"), "role", "text", F.expr(f"cast(conv_id * 3 div {high + 1} as int)").alias("batch"))
     out = streams.to_table(streams.replies(streams.replayed(spark, messages, "batch")), "append")
     return out.select("message_id", "rendered")
 
