@@ -4,6 +4,7 @@ import math
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -16,13 +17,15 @@ def canonical(df):
     """Rows in an order that does not depend on the engine, floats to six digits."""
 
     def value(v):
-        if v is None or (isinstance(v, (float, np.floating)) and math.isnan(v)):
+        if v is None or v is pd.NA or (isinstance(v, (float, np.floating)) and math.isnan(v)):
             return None
         if isinstance(v, (bool, np.bool_)):
             return bool(v)
         if isinstance(v, (int, np.integer)):
             return int(v)
-        return round(float(v), 6) if isinstance(v, (float, np.floating)) else str(v)
+        if isinstance(v, (float, np.floating)):  # whole numbers beside nulls come as floats from one engine
+            return int(v) if float(v).is_integer() else round(float(v), 6)
+        return str(v)
 
     return sorted((tuple(map(value, row)) for row in df[sorted(df.columns)].itertuples(index=False)), key=repr)
 
