@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators import subwords
 from corpusloom.operators.ordered import running, uniform
 
 # Ids and symbols of the trained tokenizers.
@@ -75,38 +76,31 @@ SMALL_ROWS = 200_000
 
 
 def train_sentencepiece(docs: DataFrame, vocab_size: int = 12_000, kind: str = "bpe", coverage: float = 0.9995, text_col: str = "text", small: bool = False) -> bytes:
-    """A SentencePiece model of ``kind`` bpe or unigram, trained on the driver from all texts.
+    """A SentencePiece model of ``kind`` bpe or unigram, trained from all texts.
 
-    What training reads is every distinct word of the corpus with the number of times it occurs, counted
-    over the executors; none is left out.  Special symbols must come out as one piece each.  ``small``
-    leaves the library's other options at their defaults and reads lines of :data:`SMALL_ROWS` random rows
-    instead, which is what that variant is.
+    Training reads every distinct word of the corpus with the number of times it occurs, over the executors
+    (:mod:`corpusloom.operators.subwords`); none is left out, and the driver holds the pieces alone.  Special symbols must come out as
+    one piece each.  ``small`` leaves the library's options at their defaults and has it read lines of
+    :data:`SMALL_ROWS` random rows on the driver instead, which is what that variant is.
     """
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"))
+    if not small:
+        model = subwords.train(texts, "t", vocab_size, kind, coverage, SYMBOLS, IDS)
+        check_symbols(model)
+        return model
     import tempfile
 
     import sentencepiece
 
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"))
-    options = {} if small else {"character_coverage": coverage, "byte_fallback": True, "normalization_rule_name": "identity", "add_dummy_prefix": False, "user_defined_symbols": list(SYMBOLS), **IDS}
     with tempfile.TemporaryDirectory() as folder:  # on the driver, where the library reads and writes
         path = f"{folder}/input"
-        if small:
-            few = int(min(1.0, SMALL_ROWS / max(1, texts.count())) * (1 << 62))
-            some = texts.where(F.xxhash64("t").bitwiseAND(F.lit((1 << 62) - 1)) <= few).limit(SMALL_ROWS)
-            lines = (line for row in some.toLocalIterator() for line in row.t.split("\n") if line.strip())
-        else:
-            # The space before a word belongs to it; the library writes that space as U+2581.
-            counts = texts.select(F.explode(F.regexp_extract_all("t", F.lit(r" ?[^ \n\t]+"), F.lit(0))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-            lines = (f"{row.w.replace(' ', chr(0x2581))}\t{row.n}" for row in counts.orderBy(F.desc("n"), "w").toLocalIterator())
-            options["input_format"] = "tsv"
+        few = int(min(1.0, SMALL_ROWS / max(1, texts.count())) * (1 << 62))
+        some = texts.where(F.xxhash64("t").bitwiseAND(F.lit((1 << 62) - 1)) <= few).limit(SMALL_ROWS)
         with open(path, "w", encoding="utf-8") as f:
-            f.writelines(f"{line}\n" for line in lines)
+            f.writelines(f"{line}\n" for row in some.toLocalIterator() for line in row.t.split("\n") if line.strip())
         out = io.BytesIO()
-        sentencepiece.SentencePieceTrainer.train(input=path, model_writer=out, model_type=kind, vocab_size=vocab_size, hard_vocab_limit=False, minloglevel=2, **options)
-    model = out.getvalue()
-    if not small:
-        check_symbols(model)
-    return model
+        sentencepiece.SentencePieceTrainer.train(input=path, model_writer=out, model_type=kind, vocab_size=vocab_size, hard_vocab_limit=False, minloglevel=2)
+    return out.getvalue()
 
 
 def check_symbols(model: bytes, symbols: tuple[str, ...] = SYMBOLS) -> None:

@@ -105,3 +105,51 @@ def test_sentencepiece_symbols_are_single_pieces(spark):
     assert ids[0].tokens == joined[0].tokens + joined[1].tokens and ids[1].tokens == []
     with pytest.raises(ValueError):
         tokens.check_symbols(model, ("zzzzqqq",))
+
+
+@pytest.mark.parametrize("kind", ["bpe", "unigram"])
+def test_sentencepiece_trains_without_words_on_the_driver(spark, kind, monkeypatch):
+    """No table of words is fetched, every word counts, and texts come back whole; unknown characters too."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def fetched(*_, **__):
+        raise AssertionError("words reach the driver")
+
+    monkeypatch.setattr(DataFrame, "toLocalIterator", fetched)
+    monkeypatch.setattr(DataFrame, "toPandas", fetched)
+    texts = ["lower lowest slower " * 30 + "[INST] 2024 x1", "newer newest " * 50 + "wide", "aaaa aaa banana", None, "rare \u4e2d"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = tokens.train_sentencepiece(docs, vocab_size=320, kind=kind)
+    got = tokens.decode_lines(tokens.encode_lines(docs, model), model).orderBy("doc_id").collect()
+    assert [r.decoded for r in got] == [t or "" for t in texts]
+    import sentencepiece
+
+    pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
+    assert pieces.vocab_size() <= 320 and len(pieces.encode(" newest")) <= 2 and len(pieces.encode(" lower")) <= 2
+
+
+def test_pieces_merge_as_in_a_plain_loop(spark, monkeypatch):
+    """With one merge a round the pieces are those of byte-pair encoding word by word."""
+    from corpusloom.operators import subwords
+
+    monkeypatch.setattr(subwords, "SHARE", 1.0)
+    rng = np.random.default_rng(4)
+    words = {subwords.SPACE + "".join(rng.choice(list("abcd"), rng.integers(1, 7))): int(rng.integers(1, 1000)) for _ in range(60)}
+    df = spark.createDataFrame(list(words.items()), "w string, n long").repartition(3)
+    split, expected = {w: list(w) for w in words}, []
+    for _ in range(12):
+        counts = {}
+        for w, parts in split.items():
+            for pair in zip(parts, parts[1:]):
+                counts[pair] = counts.get(pair, 0) + words[w]
+        best = max(counts, key=counts.get)
+        expected.append("".join(best))
+        for w, parts in split.items():
+            out = []
+            while parts:
+                hit = tuple(parts[:2]) == best
+                out.append("".join(parts[: 2 if hit else 1]))
+                parts = parts[2 if hit else 1 :]
+            split[w] = out
+    found, chars = subwords.merges(df, 12 + 5, 1.0)
+    assert [p for p, _ in found] == expected and {c for c, _ in chars} == set("abcd" + subwords.SPACE)
