@@ -11,10 +11,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.nn.layers import Chain, Layer, TiedDense, softmax
+from corpusloom.session import ship
+
+#: Rows of one part of a batch, and parts of a partition of :meth:`Model.fit_dealt`.
+PART_ROWS, PARTS = 4096, 16
 
 _NO_DECAY = ("biases", "b_out", "scale", "shift", "table")
 
@@ -139,7 +144,10 @@ class Model:
 
         parts = rows.select(x, y).mapInPandas(run, "sums array<double>").rdd.map(lambda r: np.array(r.sums))
         add = lambda a, b: b if a is None else a if b is None else a + b
-        total = parts.treeAggregate(None, add, add)
+        return self._moved(parts.treeAggregate(None, add, add))
+
+    def _moved(self, total: np.ndarray | None) -> tuple[float, float]:
+        """Steps by the summed gradients behind loss, correct rows and rows; returns mean loss and accuracy."""
         if total is None:
             return 0.0, 0.0
         loss, right, n = total[:3]
@@ -150,6 +158,61 @@ class Model:
         self.set(self.optimizer.step(params, grads))
         return float(loss / n), float(right / n)
 
+    def fit_dealt(self, rows: DataFrame, batch: str, size: int, order: str, x: str, y: str, beta: float = 0.99) -> list[dict]:
+        """A step for each batch of ``rows``, numbered from 0 in ``batch`` and of ``size`` rows at most; the metrics of :meth:`fit`.
+
+        Rows are dealt once, so that a step's job runs on the partitions of its batch alone: parts of at most :data:`PART_ROWS` rows in the order of ``order``, of small batches
+        :data:`PARTS` to a partition, of large ones dealt over partitions.  What all steps read is thus the rows, a bounded number of times.
+        """
+        if self.loss is None:
+            raise RuntimeError("compile the model first")
+        ship(rows.sparkSession)
+        last = rows.agg(F.max(batch)).first()[0]
+        if last is None:
+            return []
+        parts = -(-size // PART_ROWS)
+        held = max(1, PARTS // parts)  # batches of one group of partitions
+        part = F.pmod(F.xxhash64(order), F.lit(parts)).cast("int")
+        dealt = rows.select((F.floor(F.col(batch) / held) * parts + part).cast("int").alias("place"), F.col(batch).cast("long").alias("batch"), order, x, y)
+        dealt = dealt.repartitionById((last // held + 1) * parts, F.col("place")).sortWithinPartitions("batch", order)
+
+        def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            def record(at: int, own: list[pd.DataFrame]) -> pd.DataFrame:
+                whole = pd.concat(own)
+                labels = np.array(whole[y].to_list(), dtype=float)
+                return pd.DataFrame({"batch": [at], "x": [np.stack(whole[x].to_list()).astype(float).tobytes()], "y": [labels.tobytes()], "n": [len(whole)], "single": [labels.ndim == 1]})
+
+            at, own = None, []
+            for some in batches:
+                for k, group in some.groupby("batch"):
+                    if at is not None and k != at:
+                        yield record(at, own)
+                        own = []
+                    at, own = k, [*own, group]
+            if own:
+                yield record(at, own)
+
+        records = dealt.mapInPandas(packed, "batch long, x binary, y binary, n long, single boolean").rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
+        context, metrics, ema = rows.sparkSession.sparkContext, [], None
+        try:
+            for k in range(last + 1):
+
+                def run(found: Iterator[tuple], k: int = k) -> Iterator[np.ndarray]:
+                    for at, xs, ys, n, single in found:
+                        if at == k:
+                            labels = np.frombuffer(ys)
+                            grads, loss, right, count = self.gradient(np.frombuffer(xs).reshape(n, *self.shape), labels if single else labels.reshape(n, -1))
+                            yield np.concatenate([[loss, right, count], *(g.ravel() for g in grads.values())])
+
+                group = k // held * parts
+                sums = context.runJob(records, run, list(range(group, group + parts)))
+                loss, accuracy = self._moved(np.sum(sums, axis=0) if sums else None)
+                ema = loss if ema is None else beta * ema + (1 - beta) * loss
+                metrics.append({"step": k, "loss": loss, "ema_loss": ema, "accuracy": accuracy, "learning_rate": self.optimizer.rate})
+        finally:
+            records.unpersist()
+        return metrics
+
     def fit(self, batches: Iterator[DataFrame], x: str, y: str, rate: Callable[[int], float] | None = None, augment: Callable[[DataFrame], DataFrame] | None = None, beta: float = 0.99, ema: float | None = None, on_step: Callable[[dict], None] | None = None) -> list[dict]:
         """A step for each batch, in order; returns ``step, loss, ema_loss, accuracy, learning_rate`` of each."""
         metrics = []

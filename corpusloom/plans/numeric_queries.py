@@ -333,10 +333,8 @@ _BATCH = 256
 
 def train_steps(spark, sf):
     """One whole epoch."""
-    rows = corpus.epoch(_vectors(spark, sf), "vec_id", _BATCH, 3).persist()
-    last = rows.agg(F.max("batch")).first()[0]
-    metrics = _model().fit((rows.where(F.col("batch") == k) for k in range(0 if last is None else last + 1)), "v", "label")
-    rows.unpersist()
+    rows = files.written(corpus.epoch(_vectors(spark, sf), "vec_id", _BATCH, 3))
+    metrics = _model().fit_dealt(rows, "batch", _BATCH, "vec_id", "v", "label")
     return spark.createDataFrame([(m["step"], float(m["loss"]), float(m["ema_loss"]), float(m["accuracy"])) for m in metrics], "step long, loss double, ema_loss double, accuracy double")
 
 

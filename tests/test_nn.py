@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.nn import layers as L
 from corpusloom.nn.model import LOSSES, Model, Optimizer, generate
@@ -135,3 +136,23 @@ def test_training_goes_over_the_whole_epoch(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = numeric_queries.train_steps(spark, str(tmp_path)).collect()
     assert [r.step for r in got] == [0, 1, 2, 3, 4]  # 4 batches of 256 and one of 76
+
+
+@pytest.mark.parametrize("part_rows", [4096, 100])
+def test_dealt_steps_are_those_of_whole_batches(spark, part_rows, monkeypatch):
+    """Each step reads the partitions of its batch alone and gives what a job over the whole table gives."""
+    from corpusloom.nn import model as M
+
+    monkeypatch.setattr(M, "PART_ROWS", part_rows)
+    monkeypatch.setattr(M, "PARTS", 2)
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(k, k * 7 % 1100 // 256, int(k % 10), rng.normal(size=8).tolist()) for k in range(1100)], "id long, batch long, label int, v array<double>").repartition(3).cache()
+    made = lambda: Model((8,), L.Dense(10, "linear"), seed=1).compile("sparse_softmax_crossentropy", Optimizer("adam", 0.01))
+    asked, run = [], type(spark.sparkContext).runJob
+    monkeypatch.setattr(type(spark.sparkContext), "runJob", lambda self, rdd, f, partitions=None, allowLocal=False: asked.append((list(partitions), rdd.getNumPartitions())) or run(self, rdd, f, partitions))
+    got = made().fit_dealt(rows, "batch", 256, "id", "v", "label")
+    parts = -(-256 // part_rows)
+    assert [len(p) for p, _ in asked] == [parts] * 5 and all(n > parts for _, n in asked)
+    expected = made().fit((rows.where(F.col("batch") == k) for k in range(5)), "v", "label")
+    for a, b in zip(got, expected, strict=True):
+        assert a.keys() == b.keys() and all(abs(a[c] - b[c]) < 1e-9 for c in a)
