@@ -225,6 +225,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return scratch.materialize(rows.mapInArrow(run, "rid long, id long, fp long"), "simhash")
 
 
+def fingerprint_groups(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``classes`` (``fp`` distinct, ``cls`` and other columns) with ``group``, the same for all that links within ``radius`` connect."""
+    spark = classes.sparkSession
+    masks = []
+    for a, b in combinations(range(len(BLOCKS)), 2):
+        mask = sum(((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in (BLOCKS[a], BLOCKS[b]))
+        masks.append(mask - (1 << 64) if mask >> 63 else mask)
+    filed = classes.select("fp", "cls", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "masked"))
+    filed = filed.repartition("t", "masked").sortWithinPartitions("t", "masked", "fp").select("t", "masked", "fp", "cls")
+    with scratch.short_rows(spark, 1 << 16):  # four longs a row
+        edges = scratch.materialize(filed.mapInArrow(_linker(radius), "u long, v long"), "simhash-links")
+    members = connected_components(edges)
+    return classes.join(members.withColumnRenamed("node", "cls"), "cls", "left").withColumn("group", F.coalesce("component", "cls")).drop("component")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = RADIUS) -> DataFrame:
     """``doc_id, fingerprint, component_id, rid`` for every row.
 
@@ -240,16 +255,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     fps = fingerprints(docs, id_col, text_col, width)
     classes = scratch.materialize(fps.groupBy("fp").agg(F.min("rid").alias("cls"), F.min("id").alias("least_id")), "simhash-classes")
-    masks = []
-    for a, b in combinations(range(len(BLOCKS)), 2):
-        mask = sum(((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in (BLOCKS[a], BLOCKS[b]))
-        masks.append(mask - (1 << 64) if mask >> 63 else mask)
-    filed = classes.select("fp", "cls", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "masked"))
-    filed = filed.repartition("t", "masked").sortWithinPartitions("t", "masked", "fp").select("t", "masked", "fp", "cls")
-    with scratch.short_rows(spark, 1 << 16):  # four longs a row
-        edges = scratch.materialize(filed.mapInArrow(_linker(radius), "u long, v long"), "simhash-links")
-    members = connected_components(edges)
-    labelled = classes.join(members.withColumnRenamed("node", "cls"), "cls", "left").select("fp", "least_id", F.coalesce("component", "cls").alias("group"))
+    labelled = fingerprint_groups(classes, radius)
     least = labelled.groupBy("group").agg(F.min("least_id").alias("component_id"))
     by_fp = labelled.join(least, "group").select("fp", "component_id")
     return fps.join(by_fp, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "rid")
@@ -274,9 +280,10 @@ def _sketcher(width: int):
         mul |= np.uint64(1)
         mix = np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
-            keys = []
+            keys, fps = [], []
             for text in batch.column(1).to_pylist():
                 h = shingle_hashes(text, width)
+                fps.append(simhash(h))
                 least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
                 for k in range(0, len(h), 2048):
                     x = h[k : k + 2048, None] * mul + add
@@ -288,7 +295,8 @@ def _sketcher(width: int):
                 keys.append(key.view(np.int64))
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
             offsets = np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=["node", "keys"])
+            fp = np.array(fps, dtype="<u8").view("<i8")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array(fp)], names=["node", "keys", "fp"])
 
     return run
 
@@ -403,8 +411,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``k1, k2, id, component, node`` of every row that is linked to another; ``k1, k2`` are its :func:`identity`.
 
     Texts are linked when the Jaccard similarity of their sets of ``width``-word shingles is at least
-    ``similarity``.  Candidates share one of :data:`BANDS` min-wise keys (two texts at 0.8 do so with
-    probability 0.9996).  Every pair of a file is decided exactly on the sets unless checked pairs
+    ``similarity``.  Candidates are the texts that links of SimHash fingerprints (:data:`RADIUS` bits or fewer) connect, and, beyond that radius,
+    those that share one of :data:`BANDS` min-wise keys (two texts at 0.8 do so with probability 0.9996).  Every pair of a file is decided exactly on the sets unless checked pairs
     already join its texts; no fingerprint distance drops one.  A file beyond
     :data:`CHUNK_SHINGLES` is first checked by chunks, each with the same one text of the file; then the
     chunks that hold different groups are checked against each other.
@@ -419,8 +427,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id_ = docs[id_col].cast("long")
     k1, k2 = identity(id_, text)
     rows = docs.select(k1.alias("k1"), k2.alias("k2"), id_.alias("id"), text.alias("text"))
-    sketches = scratch.materialize(rows.select("k1", "text").mapInArrow(_sketcher(width), "node long, keys array<long>"), "near-sketches")
-    filed = sketches.select("node", F.posexplode("keys").alias("t", "masked"))
+    sketches = scratch.materialize(rows.select("k1", "text").mapInArrow(_sketcher(width), "node long, keys array<long>, fp long"), "near-sketches")
+    classes = scratch.materialize(sketches.groupBy("fp").agg(F.min("node").alias("cls")), "near-classes")
+    groups = scratch.materialize(fingerprint_groups(classes).select("fp", "group"), "near-groups-of-fingerprints")
+    # Groups of fingerprints are files like those of the min-wise keys; the first hold what SimHash finds, the others what lies beyond its radius.
+    filed = sketches.join(groups, "fp").select("node", F.lit(BANDS).alias("t"), F.col("group").alias("masked"))
+    filed = filed.unionAll(sketches.select("node", F.posexplode("keys").alias("t", "masked")))
     filed = filed.repartition("t", "masked").sortWithinPartitions("t", "masked", "node").select("t", "masked", "node")
     with scratch.short_rows(spark, 1 << 16):  # three longs a row
         files = scratch.materialize(filed.mapInArrow(_files, "file long, node long").distinct(), "near-files")

@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from corpusloom.llm import exact_dedup as E
 from corpusloom.llm import repeats as R
@@ -353,3 +354,14 @@ def test_anchors_cover_every_start_and_depend_on_content_only(monkeypatch):
     monkeypatch.setattr(R, "_STRETCH", 256)
     assert by_start(R.anchors(data, 100)) == by_start(whole)
     assert by_start(R.anchors(b"xyz" + data[500:900], 100))[3:] == by_start(whole)[500:801]
+
+
+def test_near_duplicates_come_from_fingerprints_too(spark, monkeypatch):
+    """With min-wise keys that no two texts share, near copies are found by their SimHash fingerprints, and checked exactly."""
+    rng = np.random.default_rng(9)
+    base = [f"w{k}" for k in rng.integers(0, 10**6, 4000)]
+    texts = [base, [*base[:-1], "other"], ["first", *base[1:]], [f"w{k}" for k in rng.integers(0, 10**6, 4000)]]
+    rows = frame(spark, [(i, " ".join(t), "", "") for i, t in enumerate(texts)])
+    posexplode = F.posexplode
+    monkeypatch.setattr(S.F, "posexplode", lambda c: posexplode(F.array(F.xxhash64("node"))) if isinstance(c, str) else posexplode(c))
+    assert sorted(r["id"] for r in collect(S.near_duplicates(rows))) == [0, 1, 2]
