@@ -22,6 +22,8 @@ from pyspark.sql.types import StructType
 
 #: Images of one partition, and of one file that a task writes.
 RECORDS = 20_000
+#: Bytes of pictures that a writer holds, and pictures that are taken out of a batch or a file at once.
+FILE_BYTES, AT_ONCE = 16 << 20, 1000
 _LIST = "_committed"
 # Headers of the idx form (unsigned bytes; three dimensions, or one), and bytes of a picture of three planes.
 _PIXELS, _LABELS = 0x803, 0x801
@@ -89,22 +91,20 @@ class _Reader(DataSourceReader):
                 raise ValueError(f"{name} is shorter than its header says")
             return np.frombuffer(data, dtype=np.uint8)
 
-        want_pixels = "pixels" in self.columns
-        labels = pixels = None
-        if self.layout == "idx":
-            if "label" in self.columns or self.label is not None:
-                _checked(bytes_of(f"{part.name}-labels", 0, 8), _LABELS)
-                labels = bytes_of(f"{part.name}-labels", 8 + part.first, part.count)
-            if want_pixels:
-                _checked(bytes_of(f"{part.name}-images", 0, 8), _PIXELS)
-                pixels = bytes_of(f"{part.name}-images", 16 + part.first * size, part.count * size).reshape(-1, size)
-        else:
-            record = 1 + size
-            whole = bytes_of(f"{part.name}-batch", part.first * record, part.count * record).reshape(-1, record)
-            labels, pixels = whole[:, 0], whole[:, 1:]
-        kept = np.arange(part.count) if self.label is None else np.flatnonzero(labels == self.label)
-        for k in range(0, len(kept), 1000):
-            some = kept[k : k + 1000]
+        for k in range(part.first, part.first + part.count, AT_ONCE):
+            count = min(AT_ONCE, part.first + part.count - k)
+            labels = pixels = None
+            if self.layout == "idx":
+                if "label" in self.columns or self.label is not None:
+                    _checked(bytes_of(f"{part.name}-labels", 0, 8), _LABELS)
+                    labels = bytes_of(f"{part.name}-labels", 8 + k, count)
+                if "pixels" in self.columns:
+                    _checked(bytes_of(f"{part.name}-images", 0, 8), _PIXELS)
+                    pixels = bytes_of(f"{part.name}-images", 16 + k * size, count * size).reshape(-1, size)
+            else:
+                whole = bytes_of(f"{part.name}-batch", k * (1 + size), count * (1 + size)).reshape(-1, 1 + size)
+                labels, pixels = whole[:, 0], whole[:, 1:]
+            some = np.arange(count) if self.label is None else np.flatnonzero(labels == self.label)
             columns = {}
             for c in self.columns:
                 if c == "label":
@@ -121,13 +121,17 @@ class _Reader(DataSourceReader):
             yield pa.RecordBatch.from_pydict(columns)
 
 
+def _bytes(values: np.ndarray) -> bool:
+    return not len(values) or bool(values.min() >= 0 and values.max() < 256)
+
+
 def _checked(head: np.ndarray, magic: int) -> None:
     if struct.unpack(">I", head[:4].tobytes())[0] != magic:
         raise ValueError("this is no file of the idx form")
 
 
 class _Writer(DataSourceArrowWriter):
-    """Files of at most :data:`RECORDS` images; a set of names in the folder's list makes them count."""
+    """Files of at most :data:`RECORDS` images and :data:`FILE_BYTES`; a set of names in the folder's list makes them count."""
 
     def __init__(self, path: str, layout: str, shape: tuple[int, ...]) -> None:
         self.path, self.layout, self.shape = path, layout, shape
@@ -136,11 +140,12 @@ class _Writer(DataSourceArrowWriter):
         store, base = _open(self.path)
         store.create_dir(base, recursive=True)
         size, files, labels, pixels = int(np.prod(self.shape)), [], [], []
+        most = max(1, min(RECORDS, FILE_BYTES // size))
 
         def flush() -> None:
             if not labels:
                 return
-            name, y, x = uuid.uuid4().hex, np.array(labels, dtype=np.uint8), np.array(pixels, dtype=np.uint8)
+            name, y, x = uuid.uuid4().hex, np.concatenate(labels), np.concatenate(pixels)
             if self.layout == "idx":
                 with store.open_output_stream(f"{base}/{name}-labels") as f:
                     f.write(struct.pack(">II", _LABELS, len(y)) + y.tobytes())
@@ -153,15 +158,23 @@ class _Writer(DataSourceArrowWriter):
             labels.clear()
             pixels.clear()
 
+        held = 0
         for batch in batches:
-            at = {n: k for k, n in enumerate(batch.schema.names)}
-            for y, x in zip(batch.column(at["label"]).to_pylist(), batch.column(at["pixels"]).to_pylist()):
-                if y is None or x is None or len(x) != size or not 0 <= y < 256:
+            at, k = {n: k for k, n in enumerate(batch.schema.names)}, 0
+            while k < batch.num_rows:
+                some = batch.slice(k, min(AT_ONCE, most - held))
+                k += some.num_rows
+                y, x = some.column(at["label"]), some.column(at["pixels"])
+                flat = x.flatten()
+                sizes = np.diff(x.offsets.to_numpy())
+                if y.null_count or x.null_count or flat.null_count or (sizes != size).any() or not _bytes(y.to_numpy()) or not _bytes(flat.to_numpy()):
                     raise ValueError(f"an image needs a label from 0 to 255 and {size} pixels")
-                labels.append(y)
-                pixels.append(x)
-                if len(labels) >= RECORDS:
+                labels.append(y.to_numpy().astype(np.uint8))
+                pixels.append(flat.to_numpy().astype(np.uint8).reshape(-1, size))
+                held += some.num_rows
+                if held >= most:
                     flush()
+                    held = 0
         flush()
         return Written(files)
 
@@ -210,7 +223,10 @@ class Cifar(Idx):
 
 
 def register(spark: SparkSession) -> None:
-    """Make both forms known to the session."""
+    """Make both forms known to the session, and bound the batches of pictures that a worker gets."""
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size)) > FILE_BYTES:
+        spark.conf.set(size, str(FILE_BYTES))
     if not spark.conf.get("spark.sql.python.filterPushdown.enabled", None) == "true":
         spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(Idx)

@@ -67,3 +67,20 @@ def test_broken_and_uncommitted_files(spark, tmp_path):
         list(reader.read(images.Stretch("b", 0, 900, (1, 1))))
     with pytest.raises(Exception, match="an image needs"):
         spark.createDataFrame([(1, [1, 2, 3])], "label int, pixels array<int>").write.format("idx").option("height", 2).option("width", 2).mode("append").save(f"file://{tmp_path}/y")
+
+
+def test_a_writer_holds_and_a_reader_reads_a_bounded_number_of_bytes(tmp_path, monkeypatch):
+    """Files are cut by bytes, and pictures are read a few at a time."""
+    monkeypatch.setattr(images, "FILE_BYTES", 7 * 3072)
+    monkeypatch.setattr(images, "AT_ONCE", 3)
+    x = np.random.default_rng(1).integers(0, 256, (20, 3072))
+    form = images.Cifar({"path": str(tmp_path)})
+    writer = form.writer(None, False)
+    batch = images.pa.RecordBatch.from_pydict({"label": images.pa.array(np.arange(20) % 10, images.pa.int32()), "pixels": images.pa.array(x.tolist(), images.pa.list_(images.pa.int32()))})
+    done = writer.write(iter([batch.slice(0, 11), batch.slice(11)]))
+    writer.commit([done])
+    assert [f["count"] for f in done.files] == [7, 7, 6]
+    reader = form.reader(images.StructType().add("label", "integer").add("pixels", ArrayType(ShortType())))
+    got = [b for p in reader.partitions() for b in reader.read(p)]
+    assert max(b.num_rows for b in got) == 3
+    assert sorted((y, v) for b in got for y, v in zip(b["label"].to_pylist(), b["pixels"].to_pylist())) == sorted(zip((np.arange(20) % 10).tolist(), x.tolist()))
