@@ -75,13 +75,26 @@ def hourly(stream: DataFrame, time_col: str, group: str, value: str, width: str,
     return stamped.groupBy(group, F.window(time_col, width).alias("w")).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(group, "w.start", "n", "total")
 
 
-def replayed(spark: SparkSession, rows: DataFrame, batch: str, files_a_batch: int = 1) -> DataFrame:
-    """A stream of ``rows`` whose micro-batches are the values of ``batch`` (a small number of them), in their order."""
-    path = files.shared_path(spark, "replay")
-    kept = files.written(rows)
-    for b in [r[0] for r in kept.select(batch).distinct().orderBy(batch).collect()]:
-        kept.where(F.col(batch) == b).drop(batch).repartition(files_a_batch).write.mode("append").parquet(path)
-    return read(spark, path, rows.drop(batch).schema, files_a_batch)
+#: Rows of one file of a replayed batch, at least, where a batch is cut into several.
+FILE_ROWS = 500_000
+
+
+def replayed(spark: SparkSession, rows: DataFrame, batch: str, files_a_batch: int | None = None) -> DataFrame:
+    """A stream of ``rows`` whose micro-batches are the values of ``batch`` (a small number of them), in their order.
+
+    Each batch is as many files, by default one for each :data:`FILE_ROWS` rows of the smallest batch, so that tasks share it.  Rows are
+    kept by batch, and each is read once.
+    """
+    path, kept = files.shared_path(spark, "replay"), files.shared_path(spark, "batches")
+    rows.write.partitionBy(batch).parquet(kept)
+    own = ST.StructType([*[f for f in rows.schema.fields if f.name != batch], rows.schema[batch]])
+    parted = spark.read.schema(own).parquet(kept)
+    counts = {r[0]: r[1] for r in parted.groupBy(batch).count().collect()}
+    several = files_a_batch or max(1, min(counts.values(), default=0) // FILE_ROWS)
+    for b in sorted(counts):
+        # Rows are dealt in turn, so with this many in a batch no file stays empty.
+        parted.where(F.col(batch) == b).drop(batch).repartition(several).write.mode("append").parquet(path)
+    return read(spark, path, rows.drop(batch).schema, several)
 
 
 class Table:

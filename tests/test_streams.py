@@ -84,3 +84,17 @@ def test_recovery_gives_up(spark):
     with pytest.raises(RuntimeError, match="after 2 retries"):
         streams.recovered(lambda: table.start(stream, "append", write), most=2, sleep=waits.append)
     assert waits == [5, 10] and table.rows().count() == 0
+
+
+def test_large_batches_are_several_files(spark, monkeypatch):
+    """No task writes a whole batch, and a batch still arrives as one."""
+    monkeypatch.setattr(streams, "FILE_ROWS", 100)
+    stream = _stream(spark, [[("x", i, b)] * 350 for b, i in enumerate(range(3))])
+    table, seen = streams.Table(spark, stream.schema), []
+
+    def write(batch, number):
+        seen.append((number, batch.select(F.input_file_name()).distinct().count(), sorted({r.v for r in batch.select("v").distinct().collect()}), batch.count()))
+        table.write(batch, number)
+
+    table.start(stream, "append", write).awaitTermination()
+    assert seen == [(b, 3, [b], 350) for b in range(3)]
