@@ -21,6 +21,10 @@ from corpusloom.session import ship
 from corpusloom.sources import files
 
 
+#: Rows of one range of :func:`range_frames`, about.
+FRAME_ROWS = 500_000
+
+
 @dataclass(frozen=True)
 class Scan:
     """What is scanned.
@@ -282,7 +286,12 @@ def range_frames(rows: DataFrame, keys: Sequence[str], time: str, value: str, wi
     the frame, however wide it is.  Rows with a null key or time are left out; null values are not counted.
     """
     own = rows.dropna(subset=[*keys, time])
-    times = own.groupBy(*keys, F.col(time).cast("long").alias("time")).agg(F.count(value).alias("one"), F.coalesce(F.sum(value), F.lit(0)).cast("long").alias("sum"))
+    # Parts and ranges grow in number with the rows, not in size.
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, -(-own.count() // FRAME_ROWS))
+    dealt = own.select(*keys, F.col(time).cast("long").alias("time"), F.col(value).alias("_value")).repartition(parts, *keys, "time")
+    times = keep(dealt.groupBy(*keys, "time").agg(F.count("_value").alias("one"), F.coalesce(F.sum("_value"), F.lit(0)).cast("long").alias("sum")))
+    ranges = ranges or max(least, -(-2 * times.count() // FRAME_ROWS))  # the join has two rows for each time
     running = keep(scan(times, keys, ["time"], sums({"n": "one", "total": "sum"}), ranges, keep))
     frames = running.select(*keys, "time", "n", "total", (F.col("time") - F.lit(width)).alias("from"))
     earlier = running.select(*keys, "time", F.col("n").alias("n0"), F.col("total").alias("total0"))

@@ -88,3 +88,15 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([], "k long, t long, v double")
     assert telemetry.ema(df, "k", ("t",), "v").count() == 0
     assert segments.asof_join(df, df, ["k"], "t", "t").count() == 0
+
+
+def test_frames_have_more_ranges_for_more_rows(spark, monkeypatch):
+    """No range holds many more rows than asked for, and the frames are those of a loop."""
+    monkeypatch.setattr(segments, "FRAME_ROWS", 50)
+    rows = [(k % 3, k * 7 % 400, k) for k in range(600)]
+    sizes, scan = [], segments.scan
+    monkeypatch.setattr(segments, "scan", lambda table, keys, order, what, ranges=None, keep=None: sizes.append((table.count(), ranges)) or scan(table, keys, order, what, ranges))
+    got = {(r.k, r.time): (r.n, r.total) for r in segments.range_frames(spark.createDataFrame(rows, "k long, t long, v long"), ["k"], "t", "v", 30).collect()}
+    frame = lambda k, t: [v for a, b, v in rows if a == k and t - 30 <= b <= t]
+    assert got == {(k, t): (len(frame(k, t)), sum(frame(k, t))) for k, t, _ in rows}
+    assert len(sizes) == 2 and all(n / ranges <= 50 for n, ranges in sizes)
