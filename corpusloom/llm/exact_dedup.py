@@ -3,7 +3,7 @@
 The index is a Parquet table in the shared folder plus a directory of bucket addresses.  Mappers
 write one *member* entry per row and one *text* entry per distinct text of a bounded stretch of
 their input, so a text that a third of all rows repeat reaches its owner only a few times per
-mapper.  The directory starts with one bucket and doubles until no bucket holds more than
+mapper.  A mapper sends a text at once and then holds its SHA-256 alone; repeats follow as an entry without the text.  The directory starts with one bucket and doubles until no bucket holds more than
 ``bucket_bytes``.  Beyond 16 address bits, where a flat directory would outgrow the driver, an
 overfull address has a directory of its own, of which only the depth has to be known.  Owner tasks
 then stream their buckets in key order: entries with one key form a chain, and within a chain texts
@@ -29,6 +29,8 @@ ADDRESS_BITS = 16
 FURTHER_BITS = 31
 #: A mapper forgets the texts it has already sent beyond so many bytes.
 MAPPER_BYTES = 32 << 20
+#: What a mapper holds of a text that it has sent: its key, its digest and its best row.
+ENTRY_BYTES = 600
 
 _MEMBER, _TEXT = 0, 1
 
@@ -81,6 +83,11 @@ def bucket_of(key: int, depth: int, directory: np.ndarray, further: np.ndarray)
 _INDEX = "kind byte, bucket long, key long, sha binary, rid long, id long, n long, tag long, members long, norm binary"
 
 
+def _values(column: pa.Array) -> Iterator:
+    """The values of a column, one after another, so that of long texts few are held as Python objects."""
+    return (x.as_py() for k in range(0, len(column), 16) for x in column.slice(k, 16))
+
+
 def _mapper(depth: int, directory: np.ndarray, further: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
@@ -92,60 +99,66 @@ def _mapper(depth: int, directory: np.ndarray, further: np.ndarray):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
         seen: dict[tuple[int, bytes], list] = {}
-        held = 0
 
-        def texts():
-            rows, size = [], 0
-            for (key, norm), (bucket, sha, best, members) in seen.items():
-                rows.append((_TEXT, bucket, key, sha, best[3], best[2], -best[0], None, members, norm))
-                size += len(norm)
-                if size > 4 << 20:
-                    yield pack(rows)
-                    rows, size = [], 0
-            if rows:
-                yield pack(rows)
+        def repeats():
+            rows = [(_TEXT, bucket, key, sha, best[3], best[2], -best[0], None, members, None) for (key, sha), (bucket, best, members) in seen.items() if members]
+            for k in range(0, len(rows), 4096):
+                yield pack(rows[k : k + 4096])
 
         for batch in batches:
-            rows = []
-            for rid, id_, n, tag, key, sha, norm in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            rows, size = [], 0
+            for rid, id_, n, tag, key, sha, norm in zip(*map(_values, batch.columns)):
                 bucket = bucket_of(key, depth, directory, further)
                 rows.append((_MEMBER, bucket, key, sha, rid, id_, n, tag, 1, None))
-                rank = (-n, id_ is None, id_, rid)
-                entry = seen.get((key, norm))
+                entry = seen.get((key, sha))
                 if entry is None:
-                    seen[key, norm] = [bucket, sha, rank, 1]
-                    held += len(norm) + 200
+                    seen[key, sha] = [bucket, (-n, id_ is None, id_, rid), 0]
+                    rows.append((_TEXT, bucket, key, sha, rid, id_, n, None, 1, norm))
+                    size += len(norm)
+                    if size > 4 << 20:
+                        yield pack(rows)
+                        rows, size = [], 0
                 else:
-                    entry[3] += 1
-                    if rank < entry[2]:
-                        entry[2] = rank
+                    entry[2] += 1
+                    entry[1] = min(entry[1], (-n, id_ is None, id_, rid))
             if rows:
                 yield pack(rows)
-            if held > MAPPER_BYTES:
-                yield from texts()
-                seen, held = {}, 0
-        yield from texts()
+            if len(seen) * ENTRY_BYTES > MAPPER_BYTES:
+                yield from repeats()
+                seen = {}
+        yield from repeats()
 
     return run
 
 
 def _owner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chains of one key after another; only the open chain is held.  Emits texts with several members."""
+    """Chains of one key after another; only the open chain is held.  Emits texts with several members.
+
+    Entries without a text count for the text of the same key and SHA-256, which the same mapper sent.
+    """
     import pyarrow as pa
 
     names, types = ["key", "sha", "keep_rid", "keep_id", "size"], [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-    open_key, chain = None, {}
+    open_key, chain, repeats = None, {}, []
 
     def close():
+        by_sha = {entry[0]: entry for entry in chain.values()}
+        for sha, rank, members in repeats:
+            entry = by_sha[sha]
+            entry[2] += members
+            entry[1] = min(entry[1], rank)
         return [(open_key, sha, best[3], best[2], size) for sha, best, size in chain.values() if size > 1]
 
     for batch in batches:
         rows = []
-        for key, sha, rid, id_, n, members, norm in zip(*(batch.column(i).to_pylist() for i in range(7))):
+        for key, sha, rid, id_, n, members, norm in zip(*map(_values, batch.columns)):
             if key != open_key:
                 rows += close()
-                open_key, chain = key, {}
+                open_key, chain, repeats = key, {}, []
             rank = (-n, id_ is None, id_, rid)
+            if norm is None:
+                repeats.append((sha, rank, members))
+                continue
             entry = chain.get(norm)  # equal only if the bytes are equal
             if entry is None:
                 chain[norm] = [sha, rank, members]

@@ -15,6 +15,9 @@ from corpusloom.session import ship
 #: Bounds on one Arrow batch handed to a Python worker: rows (long texts make rows large) and bytes.
 BATCH_ROWS = 256
 BATCH_BYTES = 16 << 20
+#: Bytes of a row group of a written table: what a writer gathers and a reader holds of a file at once.
+GROUP_BYTES = 8 << 20
+_VECTORED = "parquet.hadoop.vectored.io.enabled"
 _ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _own: dict[str, str] = {}
@@ -22,7 +25,7 @@ _made: dict[str, list[str]] = {}
 
 
 def prepare(spark: SparkSession) -> None:
-    """Make the package known to the Python workers and bound what one of them holds at once.
+    """Make the package known to the Python workers and bound what one of them, and a reader of files, holds at once.
 
     Lazy results run under these session settings too, so they stay; smaller ones of the caller are kept.
     """
@@ -31,6 +34,8 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(_ROWS, str(BATCH_ROWS))
     if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BYTES)) > BATCH_BYTES:
         spark.conf.set(_BYTES, str(BATCH_BYTES))
+    # Vectored reads take whole column chunks into memory outside the heap, which each thread that reads then keeps.
+    spark.conf.set(_VECTORED, "false")
 
 
 @contextmanager
@@ -78,7 +83,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

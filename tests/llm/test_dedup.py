@@ -70,6 +70,34 @@ def test_exact_groups_with_few_address_bits(spark, monkeypatch):
     assert sorted(map(str, collect(E.exact_dedup(docs, bucket_bytes=200)))) == whole
 
 
+def test_mapper_sends_a_text_at_once_and_holds_no_text():
+    import pyarrow as pa
+
+    types = [pa.int64()] * 5 + [pa.binary(), pa.binary()]
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=list("abcdefg"))
+    row = lambda i, word: (i, i, 9 + i, 0, word, str(word).encode(), b"x" * 1000 + str(word).encode())
+    depth, directory, _ = E.build_directory({}, 2, 10)
+    sent = E._mapper(depth, directory, E.further_depths({}, 2, 10))(iter([batch([row(0, 5), row(1, 6)]), batch([row(2, 5), row(3, 5)])]))
+    first = next(sent).to_pylist()
+    assert [(r["rid"], r["norm"][-1:]) for r in first if r["kind"] == E._TEXT] == [(0, b"5"), (1, b"6")]
+    later = [r for b in sent for r in b.to_pylist()]
+    assert [(r["rid"], r["n"], r["members"], r["norm"]) for r in later if r["kind"] == E._TEXT] == [(3, 12, 2, None)]
+    assert [r["rid"] for r in first + later if r["kind"] == E._MEMBER] == [0, 1, 2, 3]
+
+
+def test_row_groups_of_written_tables_are_bounded(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    E.scratch.prepare(spark)
+    table = E.scratch.materialize(spark.range(0, 2_000_000, 1, 1).select(F.sha2(F.col("id").cast("string"), 256).alias("h")), "groups")
+    (path,) = glob.glob(table.inputFiles()[0].removeprefix("file://"))
+    meta = pq.ParquetFile(path).metadata
+    assert max(meta.row_group(k).total_byte_size for k in range(meta.num_row_groups)) < 2 * E.scratch.GROUP_BYTES and meta.num_rows == 2_000_000
+    assert spark.conf.get("parquet.hadoop.vectored.io.enabled") == "false"
+
+
 # --- simhash -----------------------------------------------------------------------------------
 
 
