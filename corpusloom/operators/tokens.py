@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import subwords
 from corpusloom.operators.ordered import running, uniform
+from corpusloom.session import ship
+from corpusloom.sources import files
 
 # Ids and symbols of the trained tokenizers.
 IDS = {"pad_id": 0, "bos_id": 1, "eos_id": 2, "unk_id": 3}
@@ -30,28 +32,101 @@ def words_to_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``id, piece, n``: words from the most frequent on, then by a hash, ids from 0."""
     counts = docs.select(F.explode(T.words(F.coalesce(F.col(text_col), F.lit("")))).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
+    counts = files.written(counts)  # the ranges below read them several times
     # Words that occur once are most of the table, so the hash that orders them also deals them out.
     ranked = running(counts.withColumns({"_order": -F.col("n"), "_hash": F.xxhash64("piece")}), "_order", ties=("_hash", "piece"))
     return ranked.select(F.col("pos").cast("int").alias("id"), "piece", "n")
 
 
-def encode(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, id, places``: each distinct word of a document with all its places; unknown words have no id.
+#: Bytes of text, at least, that share a table of their distinct words.
+CHUNK_BYTES = 16 << 20
 
-    A word meets the vocabulary once a document, however often it occurs there.  A document without
-    words is one row without id and places.  Ids of documents tell them apart.
-    """
-    split = T.words(F.coalesce(F.col(text_col), F.lit("")))
-    placed = docs.select(F.col(id_col).alias("doc_id"), F.explode_outer(F.transform(split, lambda w, i: F.struct(w.alias("piece"), i.alias("place")))).alias("w"))
-    held = placed.groupBy("doc_id", F.col("w.piece").alias("piece")).agg(F.array_sort(F.collect_list("w.place")).alias("places"))
-    return held.join(vocab.select("piece", "id"), "piece", "left").select("doc_id", "id", "places")
 
+def _coder(most: int):
+    """Documents in chunks of ``most`` bytes, each word as its place in a table of the chunk's distinct words; then that table."""
 
-def decode(ids: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``doc_id, decoded``: the words of each document's ids in their places, joined by spaces; one document fits a row."""
-    named = ids.join(vocab.select("id", "piece"), "id", "left").select("doc_id", F.explode_outer("places").alias("place"), "piece")
-    gathered = named.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("place", "piece")))).alias("pieces"))
-    return gathered.select("doc_id", F.array_join(F.col("pieces.piece"), " ").alias("decoded"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+
+        names, part = ["chunk", "doc_id", "codes", "code", "piece"], TaskContext.get().partitionId() << 32
+
+        def rows(n, **columns):
+            kinds = {"codes": pa.list_(pa.int32()), "code": pa.int32(), "piece": pa.string()}
+            held = {"chunk": pa.array(np.full(n, part, dtype=np.int64))} | columns
+            return pa.RecordBatch.from_arrays([held[c] if c in held else pa.nulls(n, kinds.get(c, doc_id)) for c in names], names=names)
+
+        def coded(table):
+            ids, lines = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in table.columns)
+            split = pc.split_pattern(lines, " ")
+            n = np.where(np.asarray(pc.binary_length(lines)) > 0, np.asarray(pc.list_value_length(split)), 0)
+            words = split.flatten()
+            words = words.filter(pc.not_equal(words, "")).dictionary_encode()
+            offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+            yield rows(len(ids), doc_id=ids, codes=pa.ListArray.from_arrays(offsets, words.indices))
+            yield rows(len(words.dictionary), code=pa.array(np.arange(len(words.dictionary), dtype=np.int32)), piece=words.dictionary)
+
+        held, size, doc_id = [], 0, None
+        for batch in batches:
+            doc_id = batch.column(0).type
+            upto, start = np.cumsum(np.asarray(pc.binary_length(batch.column(1)), dtype=np.int64)), 0
+            while start < batch.num_rows:
+                before = int(upto[start - 1]) if start else 0
+                end = min(batch.num_rows, int(np.searchsorted(upto, before + most - size)) + 1)
+                held.append(batch.slice(start, end - start))
+                size += int(upto[end - 1]) - before
+                start = end
+                if size >= most:
+                    yield from coded(pa.Table.from_batches(held))
+                    held, size, part = [], 0, part + 1
+        if held:
+            yield from coded(pa.Table.from_batches(held))
+
+    return run
+
+
+def encode(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``chunk, doc_id, codes`` and ``chunk, code, id``: the words of each document by their codes in its chunk, and the id of each code.
+
+    A word meets the vocabulary once a chunk of documents, however often it occurs there, and no text is moved.  Unknown words have
+    a null id; a document without words has no codes.  Rows that repeat are encoded each.  A task holds one chunk: ``CHUNK_BYTES``
+    of text and the rest of the last document.
+    """
+    line = F.array_join(T.words(F.coalesce(F.col(text_col), F.lit(""))), " ")  # no word holds a space
+    kind = docs.schema[id_col].dataType.simpleString()
+    coded = docs.select(F.col(id_col).alias("doc_id"), line.alias("line")).mapInArrow(_coder(chunk_bytes or CHUNK_BYTES), f"chunk long, doc_id {kind}, codes array<int>, code int, piece string")
+    coded = files.written(coded)
+    words = coded.where(F.col("code").isNotNull()).select("chunk", "code", "piece").join(vocab.select("piece", "id"), "piece", "left")
+    return coded.where(F.col("codes").isNotNull()).select("chunk", "doc_id", "codes"), words.select("chunk", "code", "id")
+
+
+def _decoder(left: pa.Table, right: pa.Table) -> pa.Table:
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    codes = left.column("codes").combine_chunks()
+    codes = pa.concat_arrays(codes.chunks) if isinstance(codes, pa.ChunkedArray) else codes
+    n, flat = np.asarray(pc.list_value_length(codes)), codes.flatten()
+    if right.num_rows:
+        found = pc.index_in(flat, value_set=right.column("code").combine_chunks())
+        words = right.column("piece").combine_chunks().take(found.drop_null())
+        known = np.concatenate([[0], np.cumsum(np.asarray(pc.is_valid(found)))])
+    else:
+        words, known = pa.array([], pa.string()), np.zeros(len(flat) + 1)
+    offsets = known[np.concatenate([[0], np.cumsum(n)])].astype(np.int32)
+    decoded = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), words), " ")
+    return pa.table({"doc_id": left.column("doc_id"), "decoded": decoded})
+
+
+def decode(docs: DataFrame, words: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``doc_id, decoded``: the words of each document, joined by spaces, from what :func:`encode` returns; unknown ones are left out."""
+    ship(docs.sparkSession)
+    named = words.join(vocab.select("id", "piece"), "id").select(F.col("chunk").alias("of"), "code", "piece")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.groupBy("chunk").cogroup(named.groupBy("of")).applyInArrow(_decoder, f"doc_id {kind}, decoded string")
 
 
 def windows(ids: DataFrame, size: int, draws: int, id_col: str, seed: int) -> DataFrame:

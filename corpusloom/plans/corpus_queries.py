@@ -235,7 +235,7 @@ def context_tail(spark, sf):
 def decoded_words(spark, sf):
     docs = table(spark, sf, "documents")
     vocabulary = files.written(tokens.vocabulary(docs))
-    return tokens.decode(tokens.encode(docs, vocabulary), vocabulary)
+    return tokens.decode(*tokens.encode(docs, vocabulary), vocabulary)
 
 
 def _pieces(spark, sf, **options):

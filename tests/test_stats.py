@@ -153,3 +153,23 @@ def test_pieces_merge_as_in_a_plain_loop(spark, monkeypatch):
             split[w] = out
     found, chars = subwords.merges(df, 12 + 5, 1.0)
     assert [p for p, _ in found] == expected and {c for c, _ in chars} == set("abcd" + subwords.SPACE)
+
+
+def test_words_are_decoded_over_chunks(spark):
+    texts = [None, "", " \n", "a b  a", "c", "b c\na", "z unknown a", *(f"w{i % 7} w{i} " * 5 for i in range(60))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    vocab = tokens.vocabulary(docs).where("piece <> 'unknown'").localCheckpoint()
+    rows, words = tokens.encode(docs, vocab, chunk_bytes=300)
+    rows, words = rows.localCheckpoint(), words.localCheckpoint()
+    assert rows.select("chunk").distinct().count() > 3
+    # Each distinct word is one row a chunk, not one a document.
+    split = {r.doc_id: r.chunk for r in rows.collect()}
+    expected = {(split[i], w) for i, t in enumerate(texts) for w in (t or "").split()}
+    assert words.count() == len(expected) < sum(len(set((t or "").split())) for t in texts)
+    assert [r.id for r in words.collect()].count(None) == 1
+    got = {r.doc_id: r.decoded for r in tokens.decode(rows, words, vocab).collect()}
+    assert got == {i: " ".join(w for w in (t or "").split() if w != "unknown") for i, t in enumerate(texts)}
+    none = docs.where("doc_id < 0")
+    assert tokens.decode(*tokens.encode(none, vocab), vocab).count() == 0
+    blank = docs.where("doc_id < 3")
+    assert [r.decoded for r in tokens.decode(*tokens.encode(blank, vocab), vocab).collect()] == ["", "", ""]
