@@ -33,6 +33,18 @@ def test_long_intervals_are_filed_twice_at_most(spark):
     assert intervals.filed(cuts, "a", "b", []).groupBy("interval.j").count().where("count > 2").count() == 0
 
 
+def test_few_levels_and_no_count_of_single_bins(spark, monkeypatch):
+    cuts = spark.createDataFrame([(j, 0, 2**j + 1) for j in range(62)], "j long, a long, b long")
+    filed = intervals.filed(cuts, "a", "b", []).localCheckpoint()
+    assert filed.select("_level").distinct().count() <= 22 and filed.where("shiftright(_end - 1 - _start, _level) > 0").isEmpty()
+    where = ["_level", "_bin"]
+    assert intervals._full_bins(filed, filed, where, 1_000_000) is None
+    monkeypatch.setattr(intervals, "GROUPS", 4)
+    exact = {(r._level, r._bin): r["count"] for r in filed.groupBy(*where).count().collect()}
+    got = {(r._level, r._bin): r.np for r in intervals._full_bins(filed, filed, where, 1).collect()}
+    assert got == exact
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "k long, t long, a long, b long")
     some = spark.createDataFrame([(1, 2, 1, 3)], "k long, t long, a long, b long")
